@@ -1,0 +1,149 @@
+"""Views of the driver tables in the shapes the operators expect.
+
+Each view is one SQL text used twice: by Spark over the Parquet files and, as a
+CTE, by the check SQL.  ``Dialect`` holds the few spellings that differ.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+@dataclass(frozen=True)
+class Dialect:
+    root: str | None = None  # None: the check engine, with tables registered as views
+
+    def t(self, table: str) -> str:
+        return table if self.root is None else f"parquet.`{self.root}/{table}.parquet`"
+
+    def iso(self, expr: str) -> str:
+        if self.root is None:
+            return f"strftime({expr}, '%Y-%m-%dT%H:%M:%SZ')"
+        return f"date_format({expr}, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"
+
+    def json_k(self, expr: str) -> str:
+        if self.root is None:
+            return f"cast(json_extract_string({expr}, '$.k') as bigint)"
+        return f"cast(get_json_object({expr}, '$.k') as bigint)"
+
+
+RUN = "concat('run-', cast(cast(floor(event_id / 40) as bigint) as string))"
+TASK = "concat('task-', cast(event_id % 25 as string))"
+ENGINE = "case user_id % 3 when 0 then 'codex' when 1 then 'grok' else 'opencode' end"
+
+VIEWS: dict[str, Callable[[Dialect], str]] = {}
+
+
+def _view(name: str):
+    def register(fn: Callable[[Dialect], str]) -> Callable[[Dialect], str]:
+        VIEWS[name] = fn
+        return fn
+
+    return register
+
+
+@_view("attempts")
+def _attempts(d: Dialect) -> str:
+    return f"""select event_id as id, {RUN} as run_id,
+ concat('job-', cast(user_id % 30 as string)) as run_name, {TASK} as task_key, {ENGINE} as engine,
+ case when user_id % 10 = 9 then ' '
+      when user_id % 3 = 2 then concat('openrouter/vendor/part-', cast(user_id % 8 as string))
+      else concat('vendor/part-', cast(user_id % 8 as string)) end as model,
+ case when user_id % 7 = 0 then '' else event_type end as task_type,
+ case event_type when 'error' then 'FAIL' when 'signup' then 'timeout' else 'PASS' end as verdict,
+ cast(event_id % 2 as int) as retry, value as duration_s,
+ case when event_id % 9 = 0 then cast(-1 as bigint) else {d.json_k('props')} * 1000 end as tokens,
+ concat(event_type, ' check of ', props) as check_output, 'orchestrator' as identity,
+ {d.iso('ts')} as created_at
+from {d.t('events')}"""
+
+
+@_view("catalog_models")
+def _catalog_models(d: Dialect) -> str:
+    return f"""select concat('vendor/part-', cast(p_partkey as string)) as id, p_name as name,
+ cast(p_size * 2000 as int) as context_length,
+ case p_partkey % 3 when 0 then 'text->text' when 1 then 'text+image->text' else '' end as modality,
+ case when p_size % 5 = 0 then cast(null as double) else p_retailprice / 1000 end as prompt_per_m,
+ case when p_size % 5 = 0 then cast(null as double) else p_retailprice / 500 end as completion_per_m,
+ p_size % 5 = 0 as variable_pricing, p_size % 10 = 0 as pricing_unknown, p_size % 4 = 0 as free
+from {d.t('part')}"""
+
+
+def _snapshot(d: Dialect, keep: str, price: str, variable: str, free: str) -> str:
+    return f"""select concat('vendor/part-', cast(p_partkey as string)) as id, p_name as name,
+ cast(p_size * 2000 as int) as context_length,
+ case p_partkey % 3 when 0 then 'text->text' when 1 then 'text+image->text' else '' end as modality,
+ case when {variable} then cast(null as double) else {price} end as prompt_per_m,
+ case when {variable} then cast(null as double) else {price} * 2 end as completion_per_m,
+ {variable} as variable_pricing, {variable} as pricing_unknown, {free} as free
+from {d.t('part')} where {keep}"""
+
+
+@_view("catalog_old")
+def _catalog_old(d: Dialect) -> str:
+    return _snapshot(
+        d, "p_brand <> 'Brand#7'", "p_retailprice / 1000", "p_size % 10 = 0", "p_size % 4 = 0"
+    )
+
+
+@_view("catalog_new")
+def _catalog_new(d: Dialect) -> str:
+    return _snapshot(
+        d, "p_brand <> 'Brand#9'",
+        "(case when p_partkey % 7 = 0 then p_retailprice / 800 else p_retailprice / 1000 end)",
+        "(p_size + p_partkey % 2) % 10 = 0", "(p_size + p_partkey % 3) % 4 = 0",
+    )
+
+
+@_view("registry_engines")
+def _registry_engines(d: Dialect) -> str:
+    return f"""select case r_regionkey when 0 then 'codex' when 1 then ' opencode ' when 2 then 'local'
+  when 3 then ' ' else 'spare' end as engine,
+ case r_regionkey when 0 then 'Codex CLI' when 1 then 'OpenCode' else ' ' end as harness,
+ case r_regionkey when 0 then 'OAuth plan' when 1 then 'Router API' else '' end as access,
+ case r_regionkey when 0 then 'vendor/part-1' else '' end as default_model_key
+from {d.t('region')}"""
+
+
+@_view("registry_models")
+def _registry_models(d: Dialect) -> str:
+    return f"""select case when p_partkey % 2 = 0 then 'codex' else 'opencode' end as engine,
+ case when p_partkey % 2 = 0 then '' else 'openrouter/' end
+   || 'vendor/part-' || cast(p_partkey as string) as model_key,
+ case when p_size % 3 = 0 then ' ' else p_name end as display,
+ 'verified' as confidence, p_brand as source
+from {d.t('part')} where p_size > 5"""
+
+
+@_view("runs")
+def _runs(d: Dialect) -> str:
+    return f"""select concat('run-', cast(o_orderkey as string)) as run_id,
+ concat('job-', cast(o_custkey % 30 as string)) as run_name, o_orderpriority as identity,
+ o_orderstatus <> 'P' as done, {d.iso('o_orderdate')} as started_at,
+ {d.iso("(o_orderdate + interval 1 minute * cast(o_orderkey % 200 as int) + interval 1 second * cast(o_custkey % 60 as int))")} as updated_at
+from {d.t('orders')}"""
+
+
+@_view("active_runs")
+def _active_runs(d: Dialect) -> str:
+    return f"""select concat('run-', cast(o_orderkey as string)) as run_id
+from {d.t('orders')} where o_orderpriority in ('1-URGENT', '2-HIGH')"""
+
+
+@_view("run_tasks")
+def _run_tasks(d: Dialect) -> str:
+    return f"""select concat('run-', cast(l_orderkey as string)) as run_id,
+ concat('task-', cast(l_linenumber as string)) as task_key, cast(l_linenumber as int) as pos,
+ case max(l_returnflag) when 'R' then 'failed' when 'A' then 'passed'
+   else case when max(l_linestatus) = 'O' then 'running' else
+     case when max(l_partkey) % 3 = 0 then 'timeout' else 'queued' end end end as status,
+ 1 + cast(max(l_partkey) % 2 as int) as attempt, cast(sum(l_quantity) as bigint) as tokens,
+ case when max(l_suppkey) % 4 = 0 then ' ' else concat(' row count ', cast(count(*) as string), ' ') end as verified,
+ case when max(l_suppkey) % 5 = 0 then '' else concat('line ', cast(max(l_partkey) as string)) end as check_tail,
+ case when max(l_suppkey) % 6 = 0 then '' else concat('vendor/part-', cast(max(l_partkey) % 8 as string)) end as model,
+ {d.iso('min(l_shipdate)')} as started_at,
+ case when max(l_returnflag) = 'N' then '' else {d.iso('(max(l_shipdate) + interval 45 second)')} end as ended_at
+from {d.t('lineitem')} group by l_orderkey, l_linenumber"""

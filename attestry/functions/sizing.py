@@ -1,0 +1,24 @@
+"""Plan-time size checks used before choosing a memory-bound strategy."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+
+
+def estimated_bytes(df: DataFrame) -> int | None:
+    """Catalyst's size estimate for ``df`` or None when it cannot be read.
+
+    Without column statistics the estimate of scans, filters and projections is
+    an upper bound (file sizes are never scaled down by a filter), so "small"
+    answers can be trusted and unknown answers are treated as large.
+    """
+    try:
+        stats = df._jdf.queryExecution().optimizedPlan().stats()
+        return int(stats.sizeInBytes().toString())
+    except Exception:  # Spark Connect or a changed plan API: unknown size
+        return None
+
+
+def is_small(df: DataFrame, limit_bytes: int) -> bool:
+    size = estimated_bytes(df)
+    return size is not None and size <= limit_bytes
