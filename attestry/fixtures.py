@@ -147,3 +147,49 @@ def _run_tasks(d: Dialect) -> str:
  {d.iso('min(l_shipdate)')} as started_at,
  case when max(l_returnflag) = 'N' then '' else {d.iso('(max(l_shipdate) + interval 45 second)')} end as ended_at
 from {d.t('lineitem')} group by l_orderkey, l_linenumber"""
+
+
+@_view("catalog_raw")
+def _catalog_raw(d: Dialect) -> str:
+    return f"""select cast(p_partkey as bigint) as part_no, concat('{{"id":"',
+ case when p_size = 50 then '  ' else concat('vendor/part-', cast(p_partkey as string)) end,
+ case when p_partkey % 17 = 0 and p_size <> 50 then ':free' else '' end, '",',
+ case when p_partkey % 6 = 0 then '"name":" "' else concat('"name":" ', p_name, '"') end,
+ ',"context_length":', case p_partkey % 5 when 0 then cast(p_size * 1000 as string)
+   when 1 then concat(cast(p_size * 1000 as string), '.75') when 2 then concat('" ', cast(p_size * 1000 as string), '"')
+   when 3 then '"12.5"' else 'null' end,
+ ',"pricing":{{', case p_partkey % 9 when 0 then '"prompt":""' when 1 then '"prompt":"n/a"' when 2 then '"other":1'
+   when 3 then '"prompt":"-1"' when 4 then '"prompt":0' when 5 then '"prompt":"0"'
+   else concat('"prompt":"0.', lpad(cast(p_partkey % 1000 as string), 7, '0'), '"') end,
+ ',"completion":', case p_partkey % 7 when 0 then 'null' when 1 then '"0"' when 2 then '0'
+   else concat('"0.', lpad(cast(p_size as string), 6, '0'), '"') end,
+ '}},"architecture":{{"modality":"', case p_partkey % 3 when 0 then 'text->text' when 1 then ' text ' else '' end,
+ '"}}}}') as raw from {d.t('part')}"""
+
+
+@_view("attempts_jsonl")
+def _attempts_jsonl(d: Dialect) -> str:
+    iso = d.iso("ts")
+    return f"""select event_id as line_no, case
+ when event_id % 50 = 7 then '{{not json' when event_id % 50 = 8 then '   ' when event_id % 50 = 9 then '[1, 2]'
+ when event_id % 2 = 0 then concat('{{"run_id":"', {RUN}, '","task_key":"', case when event_id % 70 = 6 then '' else {TASK} end,
+  '","run_name":"job","engine":" codex ","model":"', case when event_id % 6 = 0 then ' ' else concat('m', cast(user_id % 8 as string)) end,
+  '","task_type":"', case when event_id % 8 = 0 then 'code' else '' end, '","verdict":"pass","retry":',
+  case event_id % 10 when 0 then 'true' when 2 then '"2"' when 4 then '"maybe"' when 6 then '2.9' else '-1' end,
+  ',"duration_s":', case when event_id % 4 = 0 then concat('"', cast(event_id % 90 as string), '.5"') else cast(event_id % 90 as string) end,
+  ',"tokens":', cast(event_id % 1000 as string), '.9,"check_output":"done","created_at":"', {iso}, '"}}')
+ else concat('{{"run_id":"', case when event_id % 25 = 10 or event_id % 30 = 11 then ' ' else {RUN} end, '","task_key":"', {TASK},
+  '","worker_engine":"grok","verdict":"', case when event_id % 40 = 13 then '' else 'FAIL' end, '","retry":',
+  case event_id % 6 when 1 then '"True"' when 3 then 'null' else '"n/a"' end,
+  ',"duration_ms":', cast(event_id * 10 as string), ',"worker_tokens":', case when event_id % 3 = 0 then '"77"' else 'null' end,
+  ',"notes":"', case when event_id % 4 = 1 then 'x retry=true' else 'plain' end, '","orchestrator":"me","logged_at":"', {iso}, '"}}')
+ end as line from {d.t('events')}"""
+
+
+@_view("task_type_map")
+def _task_type_map(d: Dialect) -> str:
+    return f"""select concat('run-', cast(o_orderkey as string)) as k,
+  case when o_orderstatus = 'P' then '' else 'whole-run' end as v from {d.t('orders')} where o_orderpriority = '5-LOW'
+ union all select concat('run-', cast(o_orderkey as string), ':task-3'), o_orderstatus from {d.t('orders')} where o_orderpriority = '1-URGENT'
+ union all select concat('name:run-', cast(n_nationkey as string)), case when n_regionkey = 2 then '' else n_name end from {d.t('nation')}
+ union all select 'name:', 'never' from {d.t('region')} where r_regionkey = 0"""
