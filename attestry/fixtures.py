@@ -193,3 +193,47 @@ def _task_type_map(d: Dialect) -> str:
  union all select concat('run-', cast(o_orderkey as string), ':task-3'), o_orderstatus from {d.t('orders')} where o_orderpriority = '1-URGENT'
  union all select concat('name:run-', cast(n_nationkey as string)), case when n_regionkey = 2 then '' else n_name end from {d.t('nation')}
  union all select 'name:', 'never' from {d.t('region')} where r_regionkey = 0"""
+
+
+@_view("status_events")
+def _status_events(d: Dialect) -> str:
+    return f"""select event_id as seq, {RUN} as run_id, {TASK} as task_key,
+ case when event_type in ('view', 'click') then 'set_status' else 'set_result' end as op,
+ case event_type when 'view' then 'running' when 'click' then 'running' when 'purchase' then 'passed'
+  when 'error' then 'failed' else 'timeout' end as status,
+ cast(1 + event_id % 2 as int) as attempt, {d.iso('ts')} as ts from {d.t('events')}"""
+
+
+@_view("task_files")
+def _task_files(d: Dialect) -> str:
+    return f"""select concat('run-', cast(l_suppkey as string)) as run_id, concat('task-', cast(l_linenumber as string)) as task_key,
+ concat(case when l_suppkey % 7 = 0 and l_partkey % 5 = 0 then '.' else '' end, 'out-', cast(l_partkey as string), case l_partkey % 8 when 0 then '.MD' when 1 then '.log' when 2 then '.csv'
+  when 3 then '.png' when 4 then '.exe' when 5 then '' when 6 then '.html' else '.txt' end) as name,
+ max(cast(floor(l_extendedprice * 300) as bigint)) as bytes from {d.t('lineitem')} group by 1, 2, 3"""
+
+
+@_view("harvest_tasks")
+def _harvest_tasks(d: Dialect) -> str:
+    return f"""select concat('run-', cast(l_suppkey as string)) as run_id, concat('task-', cast(l_linenumber as string)) as task_key,
+ l_suppkey % 10 = 0 as worktrees from {d.t('lineitem')} group by l_suppkey, l_linenumber"""
+
+
+@_view("expected_files")
+def _expected_files(d: Dialect) -> str:
+    return f"""select concat('run-', cast(l_suppkey as string)) as run_id, concat('task-', cast(l_linenumber as string)) as task_key,
+ concat('out-', cast(l_partkey as string), case l_partkey % 8 when 0 then '.MD' when 3 then '.png' else '.txt' end) as name
+ from {d.t('lineitem')} where l_suppkey % 3 = 0 group by 1, 2, 3"""
+
+
+@_view("outcomes")
+def _outcomes(d: Dialect) -> str:
+    return f"""select event_id as id, {RUN} as run_id, {TASK} as task_key, event_type = 'signup' as timed_out,
+ user_id % 11 = 0 as spawn_error, value > 20 as check_pass, case when event_id % 9 = 0 then -1 else event_id end as tokens from {d.t('events')}"""
+
+
+@_view("library_updates")
+def _library_updates(d: Dialect) -> str:
+    return f"""select r.run_name, r.run_id, r.identity, r.updated_at, r.run_id as current_run_id,
+ case when not r.done then 'live' when coalesce(f.bad, 0) > 0 then 'fail' else 'pass' end as state
+ from ({VIEWS['runs'](d)}) r left join (select run_id, count(*) as bad from ({VIEWS['run_tasks'](d)}) t
+  where status in ('failed', 'timeout') group by run_id) f on f.run_id = r.run_id"""
