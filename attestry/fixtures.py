@@ -237,3 +237,66 @@ def _library_updates(d: Dialect) -> str:
  case when not r.done then 'live' when coalesce(f.bad, 0) > 0 then 'fail' else 'pass' end as state
  from ({VIEWS['runs'](d)}) r left join (select run_id, count(*) as bad from ({VIEWS['run_tasks'](d)}) t
   where status in ('failed', 'timeout') group by run_id) f on f.run_id = r.run_id"""
+
+
+@_view("notes_md")
+def _notes_md(d: Dialect) -> str:
+    return f"""select doc_id, concat('# Notes', chr(10), '- 2026-01-01 outside any section', chr(10),
+ '## Vendor/part-', cast(doc_id % 8 as string), case doc_id % 5 when 0 then '' when 1 then ' (router lane)' when 2 then '-xl extra'
+   when 3 then concat('   in  ', source) else concat(', ', lang) end, chr(10), text, chr(10),
+ '- 2026-07-0', cast(1 + doc_id % 9 as string), ' — **Solid** on `', source, '` [link](http://x.y/z)', chr(10), '  more _detail_ ', lang, chr(10), chr(10),
+ 'break', chr(10), '  dropped', chr(10), '- undated ', lang, chr(10), '##   Second   heading ', lang, chr(10),
+ '- seen 2026-13-05 odd', chr(10), '- 2026-13-05 odd month', chr(10), '- 2026-06-1', cast(doc_id % 10 as string), ' -', chr(10)) as text from {d.t('documents')}"""
+
+
+@_view("dq_records")
+def _dq_records(d: Dialect) -> str:
+    return f"""select case when o_orderkey % 97 = 0 then ' ' else cast(o_orderkey - o_orderkey % 31 % 2 as string) end as id,
+ case when o_orderkey % 50 = 0 then 'n/a' when o_orderkey % 7 = 0 then concat('1,', cast(o_custkey % 900 + 100 as string)) else cast(o_totalprice as string) end as amount,
+ o_orderstatus as status, case when o_orderpriority = '5-LOW' then cast(null as string) else concat(' ', o_orderpriority, ' ') end as priority from {d.t('orders')}"""
+
+
+@_view("validation_reports")
+def _validation_reports(d: Dialect) -> str:
+    return f"""select doc_id as report_id, concat('## Verdict', chr(10), text, chr(10), '## Row counts', chr(10),
+ case when doc_id % 3 = 0 then 'unknown' else cast((select count(*) from {d.t('orders')}) as string) end, chr(10),
+ case when doc_id % 4 = 0 then '## Schema' else '' end, chr(10), '## Empty value scan', chr(10), '## Spot Invariants', chr(10), '## Rejects', chr(10),
+ case when doc_id % 5 = 0 then 'none' else cast((select count(*) from {d.t('events')}) as string) end, chr(10), '## Assumptions') as text from {d.t('documents')}"""
+
+
+@_view("worker_logs")
+def _worker_logs(d: Dialect) -> str:
+    return f"""select event_id as id, {RUN} as run_id, {TASK} as task_key, {ENGINE} as engine,
+ concat('step one', chr(10), 'tokens used 10', chr(10), case when event_id % 9 = 0 then 'no report' when user_id % 3 = 2
+   then concat('{{"tokens":{{"total":', cast(event_id as string), '}}}}') else
+   concat('Tokens', chr(10), 'used: ', chr(10), 'tokens used: ', cast(cast(floor(value) as bigint) as string), ',', lpad(cast(event_id % 1000 as string), 3, '0')) end) as tail
+from {d.t('events')}"""
+
+
+@_view("engine_patterns")
+def _engine_patterns(d: Dialect) -> str:
+    return f"""select case r_regionkey when 0 then 'codex' when 1 then 'opencode' when 2 then 'grok' else r_name end as engine,
+ case r_regionkey when 0 then 'tokens\\\\s+used\\\\s*:?\\\\s*([0-9][0-9,]*)' when 1 then '"tokens":\\\\{{"total":([0-9]+)' else '' end as token_regex,
+ case when r_regionkey < 2 then 1 else 0 end as token_group from {d.t('region')}"""
+
+
+@_view("output_chunks")
+def _output_chunks(d: Dialect) -> str:
+    return f"""select event_id as seq, concat('run-', cast(user_id % 9 as string)) as run_id, {TASK} as task_key,
+ concat(repeat(event_type, 1 + cast(event_id % 40 as int)), cast(event_id as string), chr(10)) as chunk from {d.t('events')}"""
+
+
+@_view("session_edits")
+def _session_edits(d: Dialect) -> str:
+    return f"""select event_id as seq, concat('sess-', cast(user_id as string), '-', cast(day(ts) % 8 as string)) as session_id,
+ case when event_id % 13 = 0 then ' ' else concat('src/', event_type, '/f', cast(event_id % 4 as string), '.py') end as file_path,
+ day(ts) % 5 = 0 as live, ts from {d.t('events')} where event_type <> 'error'"""
+
+
+@_view("session_commands")
+def _session_commands(d: Dialect) -> str:
+    return f"""select event_id as seq, concat('sess-', cast(user_id as string)) as session_id, case event_id % 9
+ when 0 then 'python3 tools/eval_runner.py --n 3' when 1 then 'curl https://API.openai.com/v1/chat/completions'
+ when 2 then 'ls -la' when 3 then 'git status' when 4 then 'conductor run eval api.openai.com' when 5 then ' python3 lib/conductor.py openrouter.ai'
+ when 6 then '   ' when 7 then 'grep conductor api.anthropic.com' else 'node bench/smoke.mjs' end as command,
+ day(ts) % 5 = 0 as live, ts from {d.t('events')}"""

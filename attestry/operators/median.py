@@ -63,7 +63,10 @@ def _select_middle(rows: DataFrame, keys: list[str], out: str, accuracy: int) ->
         # Placed in its own exchange so adaptive execution can split a hot group's side.
         joined = rows.join(bracket.repartition(*keys), keys)
     else:
-        joined = rows.crossJoin(bracket)  # global median: the other side is one row
+        # Global median: the bracket is one row, read as scalar subqueries.
+        joined = rows.select(
+            "_v", bracket.select("_n").scalar().alias("_n"), bracket.select("_e").scalar().alias("_e")
+        )
     side = (
         F.when(F.col("_v") < F.col("_e")[0], -1).when(F.col("_v") > F.col("_e")[1], 1).otherwise(0)
     )
@@ -74,7 +77,7 @@ def _select_middle(rows: DataFrame, keys: list[str], out: str, accuracy: int) ->
         .agg(F.count("*").alias("_c"))
     )
     running = (
-        Window.partitionBy(*keys)
+        Window.partitionBy(*keys)  # only the sliver of a group, never the group
         .orderBy("_side", "_v")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
