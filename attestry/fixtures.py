@@ -300,3 +300,132 @@ def _session_commands(d: Dialect) -> str:
  when 2 then 'ls -la' when 3 then 'git status' when 4 then 'conductor run eval api.openai.com' when 5 then ' python3 lib/conductor.py openrouter.ai'
  when 6 then '   ' when 7 then 'grep conductor api.anthropic.com' else 'node bench/smoke.mjs' end as command,
  day(ts) % 5 = 0 as live, ts from {d.t('events')}"""
+
+
+def _nl(*parts: str) -> str:
+    return "concat(" + ", chr(10), ".join(parts) + ")"
+
+
+@_view("cited_reports")
+def _cited_reports(d: Dialect) -> str:
+    return f"""select page_id as report_id, cast(floor(page_id / 5) as bigint) as group_id, {_nl(
+        "'## Target'", "concat('See ', url, '. Also (', replace(url, 'http', 'HTTP'), '),')",
+        "concat('and http://Extra.example.com//a//bcdefghij/', cast(page_id % 7 as string), '/x/?q=', cast(page_id % 3 as string), '#frag;')",
+        "concat('plus \"https://short.example.com/a', cast(page_id % 4 as string), '\" fetched on time')",
+        "case when page_id % 6 = 0 then '' else '## Source Log' end", "'12% of 3,400 users, 5.5 ms, a1 x2'", "html",
+        "case when page_id % 8 = 0 then 'none' else '## Angle findings: pricing' end", "'## Extracted Numbers'")} as text from {d.t('pages')}"""
+
+
+@_view("allowlist")
+def _allowlist(d: Dialect) -> str:
+    return f"""select url from {d.t('pages')} where url like 'https:%'
+ union all select concat('http://', r_name, '.example.com/a/bcdefghij') from {d.t('region')}
+ union all select concat('http://extra.example.com/a/bcdefghij/', cast(r_regionkey as string), case when r_regionkey > 2 then '?q=1' else '' end) from {d.t('region')}
+ union all select concat('https://short.example.com/a', cast(n_nationkey as string)) from {d.t('nation')}"""
+
+
+@_view("synthesis_reports")
+def _synthesis_reports(d: Dialect) -> str:
+    return f"""select page_id as report_id, cast(floor(page_id / 5) as bigint) as group_id,
+ concat('We compare ', case when page_id % 3 = 0 then replace(url, 'example', 'elsewhere') else url end, ', and [x](http://new.example.com/',
+  cast(page_id % 11 as string), ').', chr(10), html) as text from {d.t('pages')}"""
+
+
+@_view("review_reports")
+def _review_reports(d: Dialect) -> str:
+    return f"""select doc_id, {_nl(
+        "case when doc_id % 13 = 0 then 'Review' else '# Review Report' end", "'## Summary'", "text",
+        "case when doc_id % 4 = 0 then case when doc_id % 8 = 0 then '## Findings' else concat('## Findings', chr(10), 'No findings') end else concat('## Findings', chr(10), '### Finding: ', source, chr(10), 'Priority: P', cast(doc_id % 5 as string), chr(10), 'Confidence: ', case doc_id % 3 when 0 then 'high' when 1 then 'LOW' else 'unsure' end, chr(10), 'Evidence: ', case when doc_id % 2 = 0 then 'src/a.py:12' else 'somewhere' end, chr(10), case when doc_id % 5 = 0 then '' else 'Impact: big' end, chr(10), '### finding: second', chr(10), 'evidence: x', chr(10), 'Fix: y', chr(10), 'priority:  p2') end",
+        "case when doc_id % 7 = 0 then '' else '## Clean' end", "lang", "'## Assumptions'",
+        "case when doc_id % 9 = 0 then 'I  patched the code' else 'none' end")} as text from {d.t('documents')}"""
+
+
+@_view("strict_reviews")
+def _strict_reviews(d: Dialect) -> str:
+    return f"""select doc_id, {_nl(
+        "case when doc_id % 5 = 0 then 'Intro' else '## Summary of work' end", "text",
+        "case when doc_id % 4 = 0 then case when doc_id % 8 = 0 then 'no findings' else 'all good' end else concat('Finding: one', chr(10), 'Evidence: ', case when doc_id % 2 = 0 then 'short' else 'src/a.py line 12 shows the loop' end, chr(10), 'Impact: big', chr(10), 'Fix: y', chr(10), 'Priority: P', cast(doc_id % 5 as string), chr(10), 'Confidence: ', case doc_id % 3 when 0 then 'high' else 'sure' end, chr(10), 'finding : two', chr(10), 'Priority: P1') end",
+        "case when doc_id % 9 = 0 then 'We committed the change' else 'end' end")} as text from {d.t('documents')}"""
+
+
+@_view("contract_docs")
+def _contract_docs(d: Dialect) -> str:
+    from attestry.operators.contracts import CONTRACTS
+
+    cases = []
+    for i, c in enumerate(CONTRACTS):
+        parts = [f"case when doc_id % 11 = 3 then 'Untitled' else '# {c.title}' end", "text"]
+        parts += [
+            f"case when (doc_id + {n}) % 9 = 0 then 'gap' else '## {h} ' end"
+            for n, h in enumerate(c.headings)
+        ]
+        parts += [
+            f"case when (doc_id + {n}) % 10 = 0 then 'gap' else '{p.upper() if n % 2 else p}' end"
+            for n, p in enumerate(c.phrases)
+        ]
+        parts += [
+            "case when doc_id % 6 = 0 then 'no verdict' else 'verdict: mixed' end",
+            "case when doc_id % 5 = 0 then '' else 'see https://example.com/x accessed: 2026-07-01' end",
+            "concat('model ', source)",
+        ]
+        cases.append(f"when {i} then {_nl(*parts)}")
+    names = " ".join(f"when {i} then '{c.name}'" for i, c in enumerate(CONTRACTS))
+    n = len(CONTRACTS)
+    return f"""select doc_id, case doc_id % {n} {names} end as doc_type,
+ case when doc_id % 37 = 36 then '' else case doc_id % {n} {' '.join(cases)} end end as text,
+ case when doc_id % 12 = 0 then 'absent-model' else source end as expected_model from {d.t('documents')}"""
+
+
+@_view("doc_files")
+def _doc_files(d: Dialect) -> str:
+    return f"""select doc_id, {_nl(
+        "'preamble'", "'# Over-View!'", "text", "case when doc_id % 6 = 0 then '##### other' else '## API symbols' end",
+        "concat('Use `', source, '()` and `', lang, '.run` or `http://x.y` or ` `')", "'### api  SYMBOLS:'", "concat('also `fn_', cast(doc_id % 40 as string), '`')",
+        "'## Usage'", "case when doc_id % 5 = 0 then 'few words' else concat('Run it. ', text) end",
+        "case when doc_id % 4 = 0 then 'none' else concat('```Python title', chr(10), 'print(1)', chr(10), '```') end",
+        "'# over view'", "'tail `late`'")} as text from {d.t('documents')}"""
+
+
+@_view("transcripts")
+def _transcripts(d: Dialect) -> str:
+    return f"""select concat(cast(conv_id as string), ':', cast(turn as string)) as tid,
+ case conv_id % 4 when 0 then 'model' when 1 then 'api' when 2 then 'postmortem' else 'generic' end as mode, {_nl(
+        "case when turn % 3 = 0 then 'PROMPT: hi' else 'start' end",
+        "case when turn % 5 = 4 then 'nothing' else concat(case when role = 'user' then 'Response:  ' else 'MODEL response: ' end, text) end",
+        "case when turn % 2 = 0 then 'OBSERVED BEHAVIOR: fine' else '## Next' end", "case when conv_id % 3 = 0 then 'Verdict: ok' else 'bye' end",
+        "case when conv_id % 5 = 0 then 'Failure Observed: x  Evidence: y  Next check: z' else '' end")} as transcript,
+ case turn % 4 when 0 then 'HTTP_STATUS: 200' when 1 then 'status code: 404' when 2 then 'an Error came' else 'quiet' end as output from {d.t('conversations')}"""
+
+
+@_view("site_pages")
+def _site_pages(d: Dialect) -> str:
+    return f"""select page_id, concat(html, case when page_id % 3 = 0 then '' else '<img src="data:image/png;base64,AA"><img src="DATA:image/webp;base64,BB">' end,
+ case when page_id % 4 = 0 then '<a HREF = "https://cdn.example.com/x">' else '' end, case when page_id % 5 = 0 then '' else '<form>' end,
+ case when page_id % 7 = 0 then '' else 'Draft prices for Acme Lamp' end, case when page_id % 6 = 0 then '<svg>acme</svg>' else '' end,
+ case when page_id % 8 = 0 then 'Working Title' else '#AA11bb' end, case when page_id % 9 = 0 then '' else 'Money back guarantee' end) as html from {d.t('pages')}"""
+
+
+@_view("copy_docs")
+def _copy_docs(d: Dialect) -> str:
+    names = ", chr(10), ".join(f"'- Name {i}: Lamp{i}'" for i in range(1, 8))
+    return f"""select doc_id, source, lang, {_nl(
+        names, "case when doc_id % 2 = 0 then '**NAME** — Lamp8' else 'Nam: no' end", "concat('Pitch A: ', case when doc_id % 3 = 0 then replace(text, chr(10), ' ') else 'short pitch' end)",
+        "'Pitch b - second'", "case when doc_id % 5 = 0 then '' else 'pitch C: third' end", "'Tagline one: light'", "'Tagline two — glow'", "case when doc_id % 7 = 0 then 'x' else 'TAGLINE: shine' end",
+        "case when doc_id % 4 = 0 then 'none' else '> My pick: A' end", "'## 1. Direction North'", "'#112233 #aabbcc #445566 #778899 Headline Font: x Body type: y Why this'", "'## Direction two'", "'#112233 body font'",
+        "case when doc_id % 6 = 0 then 'text' else '# 3) direction' end", "text", "'## Typography'", "concat('<svg width=1>', case when doc_id % 3 = 0 then 'Acme' else 'none' end, '</svg> price list')",
+        "'# Product 1'", "'Title: Lamp'", "' * bullet one'", "'- bullet two'", "'- bullet three'", "'## 2) PRODUCT'", "concat('Title - ', replace(text, chr(10), ' '))", "'- only'",
+        "case when doc_id % 3 = 1 then '## product' else 'end' end", "case when doc_id % 10 = 0 then 'sure' else 'prices TBD' end", "case when doc_id % 9 = 0 then '' else '# About us' end")} as text from {d.t('documents')}"""
+
+
+@_view("persona_docs")
+def _persona_docs(d: Dialect) -> str:
+    return f"""select doc_id, source as scenario, lang as model, {_nl(
+        "text", "concat('Verdict: ', case doc_id % 4 when 0 then 'Buy now' when 1 then 'maybe' when 2 then 'PASS, sorry' else 'hmm' end)", "concat('* PITCH — ', case when doc_id % 5 = 0 then 'Z' else 'b' end)",
+        "'name: Ann'", "case when doc_id % 3 = 0 then 'would pay: nothing' else 'Would Pay: $12 a month' end", "'Where - online'", "case when doc_id % 7 = 0 then '' else 'Top objection: price' end")} as text from {d.t('documents')}"""
+
+
+@_view("test_files")
+def _test_files(d: Dialect) -> str:
+    return f"""select doc_id, {_nl("'# comment'", "'  // other'", "text", "'assert x == 1'", "case when doc_id % 3 = 0 then '' else '  expect(y).toBe(2); assert z' end", "' * star'")} as text,
+ concat(case doc_id % 5 when 0 then 'Tests: 3 failed, ' when 1 then 'Ran 14 tests in 2s' when 2 then 'collected 8 items' when 3 then concat(cast(doc_id as string), ' passing') else 'nothing' end,
+  case when doc_id % 5 = 0 then concat(cast(doc_id as string), ' passed, 9 total') else '' end, case when doc_id % 10 = 3 then concat(chr(10), '77 passed in 3s') else '' end) as output from {d.t('documents')}"""
