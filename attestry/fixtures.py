@@ -429,3 +429,38 @@ def _test_files(d: Dialect) -> str:
     return f"""select doc_id, {_nl("'# comment'", "'  // other'", "text", "'assert x == 1'", "case when doc_id % 3 = 0 then '' else '  expect(y).toBe(2); assert z' end", "' * star'")} as text,
  concat(case doc_id % 5 when 0 then 'Tests: 3 failed, ' when 1 then 'Ran 14 tests in 2s' when 2 then 'collected 8 items' when 3 then concat(cast(doc_id as string), ' passing') else 'nothing' end,
   case when doc_id % 5 = 0 then concat(cast(doc_id as string), ' passed, 9 total') else '' end, case when doc_id % 10 = 3 then concat(chr(10), '77 passed in 3s') else '' end) as output from {d.t('documents')}"""
+
+
+@_view("manifest_tasks")
+def _manifest_tasks(d: Dialect) -> str:
+    return f"""select concat('m-', cast(cast(floor(event_id / 10) as bigint) as string)) as manifest_id, cast(event_id % 10 as int) as pos,
+ case when event_id % 23 = 0 then '' when event_id % 29 = 0 then '../x' when event_id % 31 = 0 then './logs/a' when event_id % 37 = 0 then '../w/ok' else concat('k', cast(event_id % 9 as string)) end as task_key,
+ case event_id % 7 when 0 then 'Read /tmp/brief.md and do what it says' when 1 then ''
+  when 2 then concat(repeat('Describe the output in detail. ', 5), 'Then run git commit.')
+  when 3 then concat(repeat('Describe the output in detail. ', 5), 'Do not run git commit. Never: `git commit`')
+  when 4 then concat(repeat('Describe it. ', 60), 'See /etc/hosts') when 5 then concat(repeat('Explain more. ', 9), 'open the file at ~/notes/a.md')
+  else concat(repeat('Describe the output in detail. ', 5), 'no git commit', repeat(' really', 9), ' but do not, after all of that long talk about everything, git commit') end as spec,
+ case event_id % 6 when 0 then 'true' when 1 then 'test -s out.txt' when 2 then 'echo ok && echo done'
+  when 3 then 'diff -q a b || echo differs' when 4 then '' else 'python3 check.py --file out.txt' end as check_cmd,
+ case event_id % 5 when 0 then cast(null as string) when 1 then '/shared/out.txt' when 2 then 'out.txt' when 3 then '~/x.md'
+  else concat('/shared/', cast(event_id % 3 as string), '.md') end as expect_file,
+ cast(floor(event_id / 10) as bigint) % 2 = 0 as worktrees, event_id % 4 = 0 as full_access, {ENGINE} as engine from {d.t('events')}"""
+
+
+@_view("manifests")
+def _manifests(d: Dialect) -> str:
+    return f"""select concat('m-', cast(o_orderkey as string)) as manifest_id, case when o_orderkey % 7 = 0 then '' else 'run' end as run_name,
+ case when o_orderkey % 9 = 0 then '' else '/w' end as workdir, cast(o_orderkey % 5 - 1 as int) as max_parallel, o_orderkey % 2 = 0 as worktrees,
+ case when o_orderkey % 3 = 0 then '' else '/repo' end as repo from {d.t('orders')}"""
+
+
+@_view("owned_paths")
+def _owned_paths(d: Dialect) -> str:
+    return f"""select distinct concat('sess-', cast(user_id as string), '-', cast(day(ts) % 8 as string)) as task_id,
+ case user_id % 6 when 0 then '*' when 1 then 'src/click' when 2 then './src/view/f1.py' when 3 then ' src/purchase/ ' when 4 then 'src' else 'src/click/f1.py/deep.txt' end as path from {d.t('events')}"""
+
+
+@_view("source_files")
+def _source_files(d: Dialect) -> str:
+    return f"""select doc_id, concat(case doc_id % 9 when 0 then 'lib/node_modules/' when 1 then 'build/' else 'lib/' end, cast(doc_id as string), '.py') as path,
+ concat('def ', source, '() ', text, ' fn_', cast(doc_id % 23 as string), case when doc_id % 9 < 2 then ' hidden_fn late' else '' end) as content from {d.t('documents')}"""
