@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 BURST_EDITS = 8
@@ -59,3 +59,36 @@ def burst_sessions(edits: DataFrame) -> DataFrame:
     return session_files(edits).where(
         (F.col("edits") >= BURST_EDITS) & (F.col("files") >= BURST_FILES)
     )
+
+
+def burst_alerts(edits: DataFrame) -> DataFrame:
+    """The edit at which each session's burst alert fires (batch form of the stream).
+
+    It is the first edit with nothing live at or after both the eighth edit and the
+    first sight of the third file.  Both places come from rank filters that Spark
+    applies before the shuffle.
+    """
+    by_seq = Window.partitionBy("session_id").orderBy("seq")
+    eighth = (
+        edits.select("session_id", "seq").withColumn("_r", F.row_number().over(by_seq))
+        .where(F.col("_r") <= BURST_EDITS)
+        .groupBy("session_id").agg(F.max("seq").alias("_at8"), F.count("*").alias("_n"))
+        .where(F.col("_n") == BURST_EDITS)
+    )
+    third = (
+        edits.where(F.col("file_path").rlike(r"\S"))
+        .groupBy("session_id", "file_path").agg(F.min("seq").alias("seq"))
+        .withColumn("_r", F.row_number().over(by_seq))
+        .where(F.col("_r") <= BURST_FILES)
+        .groupBy("session_id").agg(F.max("seq").alias("_at3"), F.count("*").alias("_k"))
+        .where(F.col("_k") == BURST_FILES)
+    )
+    ready = eighth.join(third, "session_id").select(
+        "session_id", F.greatest("_at8", "_at3").alias("_from")
+    )
+    return (
+        edits.where(~F.col("live"))
+        .join(ready.repartition("session_id"), "session_id")
+        .where(F.col("seq") >= F.col("_from"))
+        .groupBy("session_id").agg(F.min("seq").alias("seq"))
+    )

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from attestry.registry.base import ORACLES, QUERIES
 
-_MODULES = ["scoreboard", "catalog", "ingest", "runs", "texts", "contracts", "files"]
+_MODULES = ["scoreboard", "catalog", "ingest", "runs", "texts", "contracts", "files", "streams"]
 
 for _name in _MODULES:
     import_module(f"attestry.registry.{_name}")
