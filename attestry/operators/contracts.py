@@ -638,3 +638,21 @@ def research_evidence(documents: DataFrame) -> DataFrame:
     rules = [(f"pattern:{n}", ~matches(text, p)) for n, p in research.patterns]
     rules += [(f"phrase:{p}", ~contains_any_case(text, p)) for p in research.phrases]
     return findings(documents, ["doc_id"], rules)
+
+
+def copy_contracts(
+    documents: DataFrame, brand: str, tagline: str, palette: list[str]
+) -> DataFrame:
+    """All copy checks over one table: (kind, doc_id, part, rule)."""
+    whole = F.lit(0).alias("part")
+    checks = {
+        "candidates": candidate_copy(documents).select("doc_id", whole, "rule"),
+        "brand_board": brand_board(documents),
+        "brand_kit": brand_kit(documents, brand, tagline, palette).select("doc_id", whole, "rule"),
+        "listing": listing_copy(documents),
+    }
+    found = None
+    for kind, rows in checks.items():
+        named = rows.select(F.lit(kind).alias("kind"), "doc_id", "part", "rule")
+        found = named if found is None else found.unionByName(named)
+    return found

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from attestry.functions import measures, urls
 from attestry.operators import contracts, links, reports
-from attestry.registry.base import Inputs, query
+from attestry.registry.base import ORACLES, query
 
 WORDS = r"len(regexp_extract_all({t}, '\S+'))"
 BOUNDED = r"len(regexp_extract_all({t}, '[\p{{L}}\p{{N}}_](?:[\p{{L}}\p{{N}}_''-]*[\p{{L}}\p{{N}}_])?'))"
@@ -117,7 +117,7 @@ def _(v):
 MARKET = rf"""mc as (select report_id, unnest(list_distinct(list_transform(regexp_extract_all(text, 'https?://\S+'), lambda u: regexp_replace(u, '[.,);\]]+$', '')))) as url from cited_reports),
  bad as (select distinct url from mc where not exists (select 1 from allowlist a where rtrim(a.url, '/') = rtrim(mc.url, '/')
   or ((starts_with(rtrim(a.url, '/'), rtrim(mc.url, '/')) or starts_with(rtrim(mc.url, '/'), rtrim(a.url, '/'))) and least(length(rtrim(a.url, '/')), length(rtrim(mc.url, '/'))) >= 34))),
- tl as (select report_id, count_if(url not in (select url from bad)) as good, count_if(url in (select url from bad)) as wrong from mc group by report_id),
+ tl as (select report_id, count(*) filter (where url not in (select url from bad)) as good, count(*) filter (where url in (select url from bad)) as wrong from mc group by report_id),
  mr as (select c.*, coalesce(good, 0) as good, coalesce(wrong, 0) as wrong from cited_reports c left join tl using (report_id))"""
 
 
@@ -442,3 +442,16 @@ def _(v):
 def _(v):
     counted = v("test_files").select("doc_id", measures.test_count(F.col("output")).alias("tests"))
     return counted.withColumn("grew", F.coalesce(F.col("tests") > 12, F.lit(False)))
+
+
+def _part(key: str, table: str) -> str:
+    """One copy check's SQL as a named CTE with its kind."""
+    return f"{table} as ({ORACLES[key]})"
+
+
+@query("copy_contracts", "with " + ", ".join(
+    _part(f"copy_{k}", f"c{n}") for n, k in enumerate(("candidates", "brand_board", "brand_kit", "listing"))
+) + """ select 'candidates' as kind, doc_id, 0 as part, rule from c0 union all select 'brand_board', doc_id, part, rule from c1
+ union all select 'brand_kit', doc_id, 0, rule from c2 union all select 'listing', doc_id, part, rule from c3""")
+def _(v):
+    return contracts.copy_contracts(v("copy_docs"), "Acme", "Price list", PALETTE)

@@ -56,7 +56,7 @@ def rows(v: Inputs):
     return ingest.coalesce_attempts(ingest.parse_lines(v("attempts_jsonl")))
 
 
-@query("scan_attempts_jsonl", f"with {ROWS} select count(*) as lines, count_if(parsed) as good, count_if(not parsed) as bad from c", LOG)
+@query("scan_attempts_jsonl", f"with {ROWS} select count(*) as lines, count(*) filter (where parsed) as good, count(*) filter (where not parsed) as bad from c", LOG)
 def _(v):
     parsed = ingest.parse_lines(v("attempts_jsonl"))
     return parsed.agg(
@@ -102,7 +102,7 @@ def _(v):
     return ingest.rejected(ingest.classify(rows(v)))
 
 
-@query("import_counts", f"with {ROWS} select count_if({REASON} is null) as imported, count_if({REASON} is not null) as skipped from c", LOG)
+@query("import_counts", f"with {ROWS} select count(*) filter (where {REASON} is null) as imported, count(*) filter (where {REASON} is not null) as skipped from c", LOG)
 def _(v):
     return ingest.import_counts(attempt_import.classified_rows(v("attempts_jsonl")))
 

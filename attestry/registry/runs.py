@@ -17,8 +17,8 @@ KIND = """case when status = 'passed' then 'pass' when status = 'running' then c
  when status in ('failed', 'timeout') then 'fail' else 'waiting' end"""
 COUNTED = f"""
 k as (select run_id, {KIND} as kind from run_tasks),
-cnt as (select run_id, count(*) as total, count_if(kind = 'pass') as passed, count_if(kind = 'working') as working,
-  count_if(kind = 'retry') as retry, count_if(kind = 'fail') as failed, count_if(kind = 'waiting') as waiting from k group by run_id),
+cnt as (select run_id, count(*) as total, count(*) filter (where kind = 'pass') as passed, count(*) filter (where kind = 'working') as working,
+  count(*) filter (where kind = 'retry') as retry, count(*) filter (where kind = 'fail') as failed, count(*) filter (where kind = 'waiting') as waiting from k group by run_id),
 rc as (select r.*, coalesce(total, 0) as total, coalesce(passed, 0) as passed, coalesce(working, 0) as working,
   coalesce(retry, 0) as retry, coalesce(failed, 0) as failed, coalesce(waiting, 0) as waiting,
   not r.done and r.run_id not in (select run_id from active_runs) as died,
@@ -162,7 +162,7 @@ def _(v):
 
 
 @query("all_passed", f"""select run_id, bool_and({VERDICT} = 'PASS') as all_passed, count(*) as tasks,
- count_if(case when tokens < 0 then '-' else cast(tokens as varchar) end = '-') as unknown_tokens from outcomes group by run_id""", ("outcomes",))
+ count(*) filter (where case when tokens < 0 then '-' else cast(tokens as varchar) end = '-') as unknown_tokens from outcomes group by run_id""", ("outcomes",))
 def _(v):
     verdict = status.attempt_verdict(F.col("timed_out"), F.col("spawn_error"), F.col("check_pass"))
     rows = v("outcomes").withColumn("verdict", verdict)
@@ -172,9 +172,9 @@ def _(v):
     return runs.all_passed(rows).join(unknown, "run_id")
 
 
-@query("deliverable_totals", """select run_id, cast(count_if(status = 'passed') as bigint) as files,
+@query("deliverable_totals", """select run_id, cast(count(*) filter (where status = 'passed') as bigint) as files,
  cast(coalesce(sum(case when status = 'passed' then tokens end), 0) as bigint) as bytes,
- count_if(status = 'passed') as tasks_pass, count_if(status in ('failed', 'timeout')) as tasks_fail from run_tasks group by run_id""", ("runs", "run_tasks"))
+ count(*) filter (where status = 'passed') as tasks_pass, count(*) filter (where status in ('failed', 'timeout')) as tasks_fail from run_tasks group by run_id""", ("runs", "run_tasks"))
 def _(v):
     states = nested_states(v).where(F.col("tasks").isNotNull())
     return library.deliverable_totals(runs.tasks_of(states.withColumn(

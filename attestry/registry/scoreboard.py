@@ -32,7 +32,7 @@ latest as (select {keys}, engine from (
    from labeled) where rn = 1),
 roll as (select {keys}, count(*) as tasks, cast(sum(attempts_in_task) as bigint) as attempts,
    cast(sum(attempts_in_task) - count(*) as bigint) as retries,
-   count_if(final_verdict = 'PASS') as passed, count_if(final_verdict <> 'PASS') as failed,
+   count(*) filter (where final_verdict = 'PASS') as passed, count(*) filter (where final_verdict <> 'PASS') as failed,
    avg(case when first_verdict = 'PASS' then 1.0 else 0.0 end) as first_rate,
    avg(case when final_verdict = 'PASS' then 1.0 else 0.0 end) as pass_rate,
    median(final_duration_s) as median_duration_s, max(final_created_at) as last_seen

@@ -95,9 +95,9 @@ NUM = "try_cast(replace(amount, ',', '') as double)"
 
 @query("dq_check", f"""with t as (select count(*) as n,
   count(case when trim(id) <> '' then id end) - count(distinct case when trim(id) <> '' then id end) as dup,
-  count_if(priority is null or trim(priority) = '') as noprio, count_if(trim(id) = '') as noid,
-  count_if(not coalesce({NUM} >= 1000, false)) as a1, count_if(not coalesce({NUM} < 900000, false)) as a2,
-  count_if(status = 'P') as s1, count_if(status = 'F') as s2, count_if(trim(coalesce(priority, 'None')) <> 'None') as p1 from dq_records)
+  count(*) filter (where priority is null or trim(priority) = '') as noprio, count(*) filter (where trim(id) = '') as noid,
+  count(*) filter (where not coalesce({NUM} >= 1000, false)) as a1, count(*) filter (where not coalesce({NUM} < 900000, false)) as a2,
+  count(*) filter (where status = 'P') as s1, count(*) filter (where status = 'F') as s2, count(*) filter (where trim(coalesce(priority, 'None')) <> 'None') as p1 from dq_records)
  select 'min_rows:10' as rule, n >= 10 as ok, 0 as bad from t
  union all select 'schema:id', true, 0 union all select 'schema:colour', false, 1
  union all select 'required:id', noid = 0, noid from t
@@ -130,14 +130,14 @@ def _(v):
     return quality.duplicates(v("dq_records"), "id")
 
 
-@query("dq_nonempty", """select 'id' as field, count_if(trim(coalesce(id, '')) = '') as empty from dq_records union all select 'amount', count_if(trim(coalesce(amount, '')) = '') from dq_records
- union all select 'priority', count_if(trim(coalesce(priority, '')) = '') from dq_records""", DQ)
+@query("dq_nonempty", """select 'id' as field, count(*) filter (where trim(coalesce(id, '')) = '') as empty from dq_records union all select 'amount', count(*) filter (where trim(coalesce(amount, '')) = '') from dq_records
+ union all select 'priority', count(*) filter (where trim(coalesce(priority, '')) = '') from dq_records""", DQ)
 def _(v):
     return quality.empty_counts(v("dq_records"), ["id", "amount", "priority"])
 
 
-@query("dq_predicate", f"""select 'amount>=100000' as rule, count_if(not coalesce({NUM} >= 100000, false)) = 0 as ok, count_if(not coalesce({NUM} >= 100000, false)) as bad from dq_records
- union all select 'status==F', bool_and(status = 'F'), count_if(status <> 'F') from dq_records
+@query("dq_predicate", f"""select 'amount>=100000' as rule, count(*) filter (where not coalesce({NUM} >= 100000, false)) = 0 as ok, count(*) filter (where not coalesce({NUM} >= 100000, false)) as bad from dq_records
+ union all select 'status==F', bool_and(status = 'F'), count(*) filter (where status <> 'F') from dq_records
  union all select 'any:amount>499000', coalesce(bool_or({NUM} > 499000), false), case when bool_or({NUM} > 499000) then 0 else count(*) end from dq_records""", DQ)
 def _(v):
     return _one(v, "amount>=100000", "status==F", "any:amount>499000")
