@@ -9,23 +9,22 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
-
 
 @dataclass(frozen=True)
 class Dialect:
-    root: str | None = None  # None: the check engine, with tables registered as views
+    # How Spark names a table; None is the check engine, with tables registered as views.
+    source: Callable[[str], str] | None = None
 
     def t(self, table: str) -> str:
-        return table if self.root is None else f"parquet.`{self.root}/{table}.parquet`"
+        return table if self.source is None else self.source(table)
 
     def iso(self, expr: str) -> str:
-        if self.root is None:
+        if self.source is None:
             return f"strftime({expr}, '%Y-%m-%dT%H:%M:%SZ')"
         return f"date_format({expr}, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"
 
     def json_k(self, expr: str) -> str:
-        if self.root is None:
+        if self.source is None:
             return f"cast(json_extract_string({expr}, '$.k') as bigint)"
         return f"cast(get_json_object({expr}, '$.k') as bigint)"
 

@@ -22,3 +22,14 @@ def estimated_bytes(df: DataFrame) -> int | None:
 def is_small(df: DataFrame, limit_bytes: int) -> bool:
     size = estimated_bytes(df)
     return size is not None and size <= limit_bytes
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Redistribute a scan that offers fewer splits than there are cores.
+
+    A table kept in one big row group is read by one task, and everything narrow
+    after it would run there too.  Tables with enough splits are left alone, so at
+    scale this adds no exchange.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

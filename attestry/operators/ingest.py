@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from attestry.functions.values import (
-    first_nonblank, json_number, json_text, json_type, nonblank, trimmed, truncated,
-)
+from attestry.functions.values import first_nonblank, number, trimmed, truncated
 
 ATTEMPT = [
     "id", "run_id", "run_name", "task_key", "engine", "model", "task_type", "verdict", "retry",
@@ -18,33 +16,46 @@ RETRY_NOTE = "retry=true"
 PREFIX_MARK = "name:"
 
 
-def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
-    """Non-blank lines with the parsed row in ``_v``; NULL when not a JSON object."""
-    parsed = F.try_parse_json(trimmed(F.col(line)))
-    rows = lines.where(nonblank(F.col(line)).isNotNull()).withColumn("_v", parsed)
-    is_object = F.coalesce(F.schema_of_variant("_v").startswith("OBJECT"), F.lit(False))
-    return rows.withColumn("_v", F.when(is_object, F.col("_v")))
+# Every field either dialect uses.  All are read as text: booleans and numbers
+# arrive as their JSON spelling, so the two ways of writing them read the same.
+FIELDS = [
+    "run_id", "run_name", "task_key", "engine", "worker_engine", "model", "task_type", "verdict",
+    "retry", "duration_s", "duration_ms", "tokens", "worker_tokens", "check_output", "notes",
+    "identity", "orchestrator", "created_at", "logged_at",
+]
+BROKEN = "_broken"
+JSON_OPTIONS = {
+    "columnNameOfCorruptRecord": BROKEN, "allowSingleQuotes": "false",
+    "allowNonNumericNumbers": "false",
+}
+
+
+def parse_lines(lines: DataFrame, line: str = "line", extra: tuple[str, ...] = ()) -> DataFrame:
+    """Non-blank lines with their fields in the struct ``_j``; NULL when not a JSON object."""
+    schema = ", ".join(f"{name} string" for name in [*FIELDS, *extra, BROKEN])
+    text = trimmed(F.col(line))
+    rows = lines.withColumn("_t", text).where(F.col("_t") != "")
+    parsed = rows.withColumn("_p", F.from_json("_t", schema, JSON_OPTIONS))
+    whole = F.col(f"_p.{BROKEN}").isNull() & F.col("_t").startswith("{") & F.col("_t").endswith("}")
+    return parsed.withColumn("_j", F.when(whole, F.col("_p"))).drop("_p", "_t")
+
+
+def _raw(name: str) -> Column:
+    return F.col(f"_j.{name}")
 
 
 def field(*names: str) -> Column:
     """First non-blank of several alternative keys, as trimmed text, else blank."""
-    texts = [json_text(F.col("_v"), f"$.{name}") for name in names]
-    return F.coalesce(first_nonblank(*texts), F.lit(""))
+    return F.coalesce(first_nonblank(*[_raw(name) for name in names]), F.lit(""))
 
 
 def retry_value() -> Column:
     """Retry count from a boolean, a number, their text forms, or the notes marker."""
-    v = F.col("_v")
-    kind = json_type(v, "$.retry")
-    text = F.lower(trimmed(json_text(v, "$.retry")))
-    count = json_number(v, "$.retry")
-    marked = F.coalesce(
-        (json_type(v, "$.notes") == "STRING") & json_text(v, "$.notes").contains(RETRY_NOTE),
-        F.lit(False),
-    )
+    text, count = F.lower(trimmed(_raw("retry"))), number(_raw("retry"))
+    marked = F.coalesce(_raw("notes").contains(RETRY_NOTE), F.lit(False))
     return (
-        F.when(kind.isin("BOOLEAN", "STRING") & (text == "true"), F.lit(1))
-        .when(kind.isin("BOOLEAN", "STRING") & (text == "false"), F.lit(0))
+        F.when(text == "true", F.lit(1))
+        .when(text == "false", F.lit(0))
         .when(count > 0, count.try_cast("int"))
         .when(count.isNotNull(), F.lit(0))
         .when(marked, F.lit(1))
@@ -53,16 +64,14 @@ def retry_value() -> Column:
 
 
 def duration_value() -> Column:
-    v = F.col("_v")
     return F.coalesce(
-        json_number(v, "$.duration_s"), json_number(v, "$.duration_ms") / F.lit(1000.0), F.lit(0.0)
+        number(_raw("duration_s")), number(_raw("duration_ms")) / F.lit(1000.0), F.lit(0.0)
     )
 
 
 def tokens_value() -> Column:
-    v = F.col("_v")
     return F.coalesce(
-        truncated(json_number(v, "$.tokens")), truncated(json_number(v, "$.worker_tokens")),
+        truncated(number(_raw("tokens"))), truncated(number(_raw("worker_tokens"))),
         F.lit(UNKNOWN_TOKENS).cast("bigint"),
     )
 
@@ -70,7 +79,7 @@ def tokens_value() -> Column:
 def coalesce_attempts(parsed: DataFrame, id_column: str = "line_no") -> DataFrame:
     """Native and legacy field names folded into attempt columns (before backfill)."""
     return parsed.select(
-        F.col(id_column).alias("id"), F.col("_v").isNotNull().alias("parsed"),
+        F.col(id_column).alias("id"), F.col("_j").isNotNull().alias("parsed"),
         field("run_id").alias("run_id"), field("run_name").alias("run_name"),
         field("task_key").alias("task_key"), field("engine", "worker_engine").alias("engine"),
         field("model").alias("model"), field("task_type").alias("task_type"),

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
 from attestry.fixtures import VIEWS, Dialect
+from attestry.functions.sizing import spread
+
+# Tables whose rows cost much more to process than to move.
+TEXT_TABLES = {"documents", "pages", "conversations"}
 
 
 @dataclass(frozen=True)
@@ -18,10 +23,19 @@ class Inputs:
     root: str
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        df = self.spark.read.parquet(f"{self.root}/{name}.parquet")
+        return spread(df) if name in TEXT_TABLES else df
+
+    def _source(self, name: str) -> str:
+        """Name to read a table by in SQL; text tables go through their spread form."""
+        if name not in TEXT_TABLES:
+            return f"parquet.`{self.root}/{name}.parquet`"
+        view = f"attestry_{zlib.crc32(self.root.encode()):08x}_{name}"
+        self.table(name).createOrReplaceTempView(view)
+        return view
 
     def __call__(self, view: str) -> DataFrame:
-        return self.spark.sql(VIEWS[view](Dialect(self.root)))
+        return self.spark.sql(VIEWS[view](Dialect(self._source)))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

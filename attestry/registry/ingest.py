@@ -60,8 +60,8 @@ def rows(v: Inputs):
 def _(v):
     parsed = ingest.parse_lines(v("attempts_jsonl"))
     return parsed.agg(
-        F.count("*").alias("lines"), F.count_if(F.col("_v").isNotNull()).alias("good"),
-        F.count_if(F.col("_v").isNull()).alias("bad"),
+        F.count("*").alias("lines"), F.count_if(F.col("_j").isNotNull()).alias("good"),
+        F.count_if(F.col("_j").isNull()).alias("bad"),
     )
 
 
@@ -120,8 +120,8 @@ def _(v):
     path = storage.scratch_path(v.spark, "export")
     storage.export_jsonl(v("attempts"), path)
     back = v.spark.read.text(path).withColumnRenamed("value", "line")
-    parsed = ingest.parse_lines(back).withColumn(
-        "line_no", F.try_variant_get("_v", "$.id", "bigint")
+    parsed = ingest.parse_lines(back, extra=("id",)).withColumn(
+        "line_no", F.col("_j.id").cast("bigint")
     )
     return ingest.coalesce_attempts(parsed).select(
         "id", "run_id", "task_key", "engine", "model", "verdict", "tokens", "created_at"
