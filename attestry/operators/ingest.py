@@ -51,7 +51,7 @@ def field(*names: str) -> Column:
 
 def retry_value() -> Column:
     """Retry count from a boolean, a number, their text forms, or the notes marker."""
-    text, count = F.lower(trimmed(_raw("retry"))), number(_raw("retry"))
+    text, count = F.lower(trimmed(_raw("retry"))), F.col("_retry")
     marked = F.coalesce(_raw("notes").contains(RETRY_NOTE), F.lit(False))
     return (
         F.when(text == "true", F.lit(1))
@@ -78,7 +78,8 @@ def tokens_value() -> Column:
 
 def coalesce_attempts(parsed: DataFrame, id_column: str = "line_no") -> DataFrame:
     """Native and legacy field names folded into attempt columns (before backfill)."""
-    return parsed.select(
+    # A column of its own, because the retry ladder looks at it several times.
+    return parsed.withColumn("_retry", number(_raw("retry"))).select(
         F.col(id_column).alias("id"), F.col("_j").isNotNull().alias("parsed"),
         field("run_id").alias("run_id"), field("run_name").alias("run_name"),
         field("task_key").alias("task_key"), field("engine", "worker_engine").alias("engine"),
