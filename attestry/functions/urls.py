@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed patterns: a URL inside text, the punctuation that never ends one, its parts.
@@ -41,10 +41,22 @@ def normalised(url: Column) -> Column:
     )
 
 
-def prefixes(text: Column, shortest: Column) -> Column:
-    """All leading parts of ``text`` from ``shortest`` characters up to the whole."""
+def prefixes(text: Column, lengths: Column) -> Column:
+    """Leading parts of ``text`` with the given lengths, as far as it reaches.
+
+    ``lengths`` are those the other side of a prefix join has, so only parts that
+    could match are formed.
+    """
     size = F.char_length(text)
-    lengths = F.when(shortest <= size, F.sequence(shortest, size)).otherwise(
-        F.array().cast("array<int>")
+    return F.transform(
+        F.filter(lengths, lambda n: n <= size), lambda n: F.substring(text, F.lit(1), n)
     )
-    return F.transform(lengths, lambda n: F.substring(text, F.lit(1), n))
+
+
+def length_set(rows: DataFrame, column: str, shortest: int) -> Column:
+    """Distinct text lengths of a column from ``shortest`` up, as a scalar array.
+
+    Bounded by the longest URL, not by the number of rows.
+    """
+    sizes = rows.select(F.char_length(column).alias("n")).where(F.col("n") >= shortest)
+    return sizes.agg(F.array_sort(F.collect_set("n"))).scalar()

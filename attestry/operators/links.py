@@ -29,10 +29,14 @@ def _parts(rows: DataFrame) -> DataFrame:
     )
 
 
-def _path_prefixes(path: Column) -> Column:
-    """Prefixes whose text without outer slashes has the minimum length."""
-    parts = urls.prefixes(path, F.lit(MIN_PREFIX))
-    return F.filter(parts, lambda p: F.char_length(F.regexp_replace(p, "^/+|/+$", "")) >= MIN_PREFIX)
+def _long(path: Column) -> Column:
+    """Long enough without outer slashes to count as a prefix."""
+    return F.char_length(F.regexp_replace(path, "^/+|/+$", "")) >= MIN_PREFIX
+
+
+def _path_prefixes() -> Column:
+    """Prefixes of ``path`` with a length that occurs on the other side."""
+    return F.filter(urls.prefixes(F.col("path"), F.col("lengths")), _long)
 
 
 def outside_allowlist(cited: DataFrame, allowed: DataFrame) -> DataFrame:
@@ -42,6 +46,8 @@ def outside_allowlist(cited: DataFrame, allowed: DataFrame) -> DataFrame:
     path a prefix of the other, the shorter one at least eight characters.
     """
     c, a = _parts(cited), _parts(allowed)
+    c_lengths, a_lengths = (urls.length_set(rows, "path", MIN_PREFIX) for rows in (c, a))
+    c, a = c.withColumn("lengths", a_lengths), a.withColumn("lengths", c_lengths)
     # A cited query finds allowed rows with the same or no query; without one it finds all.
     cited_keys = F.when(F.col("query") == "", F.array(F.lit(ANY))).otherwise(
         F.array(F.lit(""), F.concat(F.lit("="), "query"))
@@ -66,17 +72,12 @@ def outside_allowlist(cited: DataFrame, allowed: DataFrame) -> DataFrame:
         keys = right.select(*on).distinct().repartition(*on)
         return left.join(keys, on, "left_semi").select("url")
 
-    a_whole = spread(a, allowed_keys, whole)
-    matched = (
-        covered(spread(c, cited_keys, F.array_distinct(F.concat(whole, _path_prefixes(F.col("path"))))), a_whole)
-        .unionByName(
-            covered(
-                spread(c, cited_keys, F.filter(whole, lambda p: F.char_length(F.regexp_replace(p, "^/+|/+$", "")) >= MIN_PREFIX)),
-                spread(a, allowed_keys, _path_prefixes(F.col("path"))),
-            )
-        )
-        .distinct()
+    starts = F.array_distinct(F.concat(whole, _path_prefixes()))
+    forward = covered(spread(c, cited_keys, starts), spread(a, allowed_keys, whole))
+    backward = covered(
+        spread(c, cited_keys, F.filter(whole, _long)), spread(a, allowed_keys, _path_prefixes())
     )
+    matched = forward.unionByName(backward).distinct()
     return c.select("url").join(matched, "url", "left_anti")
 
 
@@ -85,14 +86,16 @@ def outside_sources(cited: DataFrame, sources: DataFrame) -> DataFrame:
     trimmed = F.regexp_replace("url", "/+$", "")
     c = cited.select("url", trimmed.alias("p")).distinct()
     a = sources.select(trimmed.alias("p")).distinct()
-    long_enough = urls.prefixes(F.col("p"), F.lit(MIN_WHOLE_PREFIX))
-    same = c.join(a, "p", "left_semi").select("url")
+    sizes_a = urls.length_set(a, "p", MIN_WHOLE_PREFIX)
+    sizes_c = urls.length_set(c, "p", MIN_WHOLE_PREFIX)
+    c, a = c.withColumn("lengths", sizes_a), a.withColumn("lengths", sizes_c)
+    same = c.join(a.select("p"), "p", "left_semi").select("url")
     longer = (
-        c.select("url", F.explode(long_enough).alias("p"))
-        .join(a.repartition("p"), "p", "left_semi").select("url")
+        c.select("url", F.explode(urls.prefixes(F.col("p"), F.col("lengths"))).alias("p"))
+        .join(a.select("p").repartition("p"), "p", "left_semi").select("url")
     )
     shorter = c.join(
-        a.select(F.explode(long_enough).alias("p")).distinct(), "p", "left_semi"
+        a.select(F.explode(urls.prefixes(F.col("p"), F.col("lengths"))).alias("p")).distinct(), "p", "left_semi"
     ).select("url")
     matched = same.unionByName(longer).unionByName(shorter).distinct()
     return c.select("url").distinct().join(matched, "url", "left_anti")

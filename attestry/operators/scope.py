@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from attestry.functions.paths import ancestors, normal
+from attestry.session import cut_lineage
 
 WILDCARD = "*"
 MAX_FILE_BYTES = 1_000_000
@@ -82,7 +83,8 @@ def symbols_found(symbols: DataFrame, files: DataFrame, per_pass: int = SYMBOLS_
     (by hash), so a large symbol set means more passes, never a larger automaton.
     """
     spark = symbols.sparkSession
-    distinct = symbols.select("symbol").where(F.col("symbol") != "").distinct()
+    # Stored once: it is counted, then read back slice by slice.
+    distinct = cut_lineage(symbols.select("symbol").where(F.col("symbol") != "").distinct())
     slices = max(1, math.ceil(distinct.count() / per_pass))
     texts = searchable(files).select(F.col("content").cast("string").alias("content"))
     found = None
@@ -127,16 +129,22 @@ def missing_text(
 ) -> DataFrame:
     """Required snippets that no owned file of their task contains.
 
-    A task's snippets are a short configured list; it rides along as one array, so
-    each file is tested once and no file-snippet pairs are formed.
+    A task's snippets and owned prefixes are short configured lists; both ride
+    along as arrays, so file contents move at most once, each file is tested once,
+    and no file-snippet pairs are formed.
     """
-    small = files.where(F.octet_length("content") < max_bytes)
-    mine = small.join(under(small, owned), ["task_id", "path"], "left_semi")
     lists = snippets.groupBy("task_id").agg(F.collect_set("snippet").alias("_s"))
-    hits = mine.join(lists.repartition("task_id"), "task_id").select(
-        "task_id",
-        F.explode(F.expr("filter(_s, s -> contains(content, s))")).alias("snippet"),
-    ).distinct()
+    roots = owned.groupBy("task_id").agg(F.collect_set(normal(F.col("path"))).alias("_o"))
+    config = lists.join(roots, "task_id").repartition("task_id")
+    small = files.where(F.octet_length("content") < max_bytes).withColumn("_p", normal(F.col("path")))
+    mine = F.exists(
+        "_o", lambda o: (o == WILDCARD) | ((o != "") & ((F.col("_p") == o) | F.col("_p").startswith(F.concat(o, F.lit("/")))))
+    )
+    held = F.filter("_s", lambda s: F.contains(F.col("content"), s))
+    hits = (
+        small.join(config, "task_id").where(mine)
+        .select("task_id", F.explode(held).alias("snippet")).distinct()
+    )
     return snippets.select("task_id", "snippet").distinct().join(
         hits, ["task_id", "snippet"], "left_anti"
     )

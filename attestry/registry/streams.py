@@ -15,8 +15,8 @@ import attestry.registry.runs  # noqa: F401  (batch twins of these queries)
 import attestry.registry.texts  # noqa: F401
 
 
-def replay(v: Inputs, view: str, order: str = "seq", slices: int = 3):
-    return runtime.replay(v(view), storage.scratch_path(v.spark, view), order, slices)
+def replay(v: Inputs, view: str, run, order: str = "seq") -> None:
+    runtime.replay(v(view), storage.scratch_path(v.spark, view), order, run)
 
 
 def out(v: Inputs, name: str) -> str:
@@ -26,21 +26,22 @@ def out(v: Inputs, name: str) -> str:
 @query("stream_attempts", f"with {ROWS}, {MODELLED} select {ATTEMPT} from m where {REASON} is null", ("attempts_jsonl", "run_tasks"))
 def _(v):
     root = out(v, "stream-attempts")
-    runtime.finish(imports.stream_attempts(replay(v, "attempts_jsonl", "line_no"), root, v("run_tasks")))
+    tasks_of = v("run_tasks")
+    replay(v, "attempts_jsonl", lambda s, cp: imports.stream_attempts(s, root, tasks_of, checkpoint=cp), "line_no")
     return runtime.read_batches(v.spark, f"{root}/attempts").drop("batch")
 
 
 @query("stream_task_state", ORACLES["first_start_sticky"])
 def _(v):
     root = out(v, "stream-task-state")
-    runtime.finish(tasks.stream_task_state(replay(v, "status_events"), root))
+    replay(v, "status_events", lambda s, cp: tasks.stream_task_state(s, root, checkpoint=cp))
     return tasks.current_task_state(v.spark, root)
 
 
 @query("stream_output_tail", ORACLES["output_tail_batch"])
 def _(v):
     root = out(v, "stream-output-tail")
-    runtime.finish(tasks.stream_output_tail(replay(v, "output_chunks"), root, cap=2_000, block=64))
+    replay(v, "output_chunks", lambda s, cp: tasks.stream_output_tail(s, root, cap=2_000, block=64, checkpoint=cp))
     return tasks.current_tails(v.spark, root, limit=300, cap=2_000, block=64)
 
 
@@ -59,15 +60,17 @@ def _(v):
 @query("stream_edit_burst", BURST, ("session_edits",))
 def _(v):
     root = out(v, "stream-edit-burst")
-    runtime.finish(alerts.stream_rows(alerts.edit_bursts(replay(v, "session_edits")), root, "edit-burst"))
+    replay(v, "session_edits", lambda s, cp: alerts.stream_rows(alerts.edit_bursts(s), root, "edit-burst", checkpoint=cp))
     return runtime.read_batches(v.spark, root).select("session_id", "seq")
 
 
 @query("stream_command_alerts", "select session_id from (" + ORACLES["command_alerts"] + ")")
 def _(v):
     root = out(v, "stream-command-alerts")
-    found = alerts.command_alerts(replay(v, "session_commands"), "conductor")
-    runtime.finish(alerts.stream_rows(found, root, "command-alerts"))
+    replay(
+        v, "session_commands",
+        lambda s, cp: alerts.stream_rows(alerts.command_alerts(s, "conductor"), root, "command-alerts", checkpoint=cp),
+    )
     return runtime.read_batches(v.spark, root).select("session_id")
 
 
@@ -90,9 +93,10 @@ def snapshots(v: Inputs):
  select run_id, seq, outcome from w where kept""", ("status_events",))
 def _(v):
     root = out(v, "stream-library-live")
-    path = out(v, "snapshots")
-    stream = runtime.replay(snapshots(v), path, "seq")
-    runtime.finish(alerts.stream_rows(alerts.library_updates(stream, seconds=600), root, "library-live"))
+    runtime.replay(
+        snapshots(v), out(v, "snapshots"), "seq",
+        lambda s, cp: alerts.stream_rows(alerts.library_updates(s, seconds=600), root, "library-live", checkpoint=cp),
+    )
     return runtime.read_batches(v.spark, root).select("run_id", "seq", "outcome")
 
 
@@ -110,17 +114,18 @@ def _(v):
         ((F.col("status") == "passed") & (F.col("attempt") == 2) & (F.col("seq") % 11 == 0)).alias("done"),
     )
     root = out(v, "stream-dead-runs")
-    stream = runtime.replay(beats, out(v, "beats"), "seq").drop("seq")
-    runtime.finish(alerts.stream_rows(alerts.dead_runs(stream, TIMEOUT_MS), root, "dead-runs"))
+    runtime.replay(
+        beats, out(v, "beats"), "seq",
+        lambda s, cp: alerts.stream_rows(alerts.dead_runs(s.drop("seq"), TIMEOUT_MS), root, "dead-runs", checkpoint=cp),
+    )
     return runtime.read_batches(v.spark, root).select("run_id", "last_seen_ms")
 
 
 @query("stream_scoreboard", MODELS + "select * from scored", ("attempts", "catalog_models"))
 def _(v):
     root = out(v, "stream-scoreboard")
-    runtime.finish(
-        imports.stream_scoreboard(replay(v, "attempts", "id"), root, v("catalog_models"))
-    )
+    prices = v("catalog_models")
+    replay(v, "attempts", lambda s, cp: imports.stream_scoreboard(s, root, prices, checkpoint=cp), "id")
     board = imports.current_scoreboard(v.spark, root)
     return rounded(board, "first_rate", "pass_rate", "median_duration_s", "cost")
 
@@ -131,8 +136,10 @@ def _(v):
     old = v("catalog_old").withColumns({"fetched_at": F.lit("2026-07-12T00:00:00Z"), "n": F.lit(0)})
     new = v("catalog_new").withColumns({"fetched_at": F.lit("2026-07-13T00:00:00Z"), "n": F.lit(1)})
     root = out(v, "stream-catalog")
-    stream = runtime.replay(old.unionByName(new), out(v, "payloads"), "n", slices=2).drop("n")
-    runtime.finish(imports.stream_catalog(stream, root))
+    runtime.replay(
+        old.unionByName(new), out(v, "payloads"), "n",
+        lambda s, cp: imports.stream_catalog(s.drop("n"), root, checkpoint=cp),
+    )
     return imports.catalog_events(v.spark, root).select("ts", "kind", "model_id")
 
 

@@ -80,7 +80,7 @@ def read_events(spark: SparkSession, root: str) -> DataFrame:
 
 
 def write_report(rows: DataFrame, path: str) -> None:
-    """A report is an aggregate with one row per model, so one file is enough."""
-    rows.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+    """Report rows as JSON, one object per line; every part file keeps its own rows."""
+    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
 
 

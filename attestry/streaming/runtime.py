@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -53,15 +54,21 @@ def latest_rows(batches: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-def replay(df: DataFrame, path: str, order: str, slices: int = 3) -> DataFrame:
-    """Write a table as a few files in ``order`` and open them as a stream, one per batch.
+def replay(
+    df: DataFrame, path: str, order: str, run: Callable[[DataFrame, str], StreamingQuery],
+    slices: int = 2,
+) -> None:
+    """Feed a stored table to a streaming job as a source that grows in ``order``.
 
-    Used where a stored table stands in for a live source.
+    Each slice is appended as ordinary parallel files and the job, started by
+    ``run(stream, checkpoint)``, is run until it has caught up; the next slice
+    resumes it from the same checkpoint, as a scheduled job would.
     """
     spark = df.sparkSession
     low, high = df.agg(F.min(order), F.max(order)).first()
     width = (high - low) // slices + 1
     place = F.floor((F.col(order) - low) / width)
-    for n in range(slices):  # one write per slice keeps the files' times in order
-        df.where(place == n).coalesce(1).write.mode("append").parquet(path)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    checkpoint = stream_checkpoint(spark, uuid.uuid4().hex)
+    for n in range(slices):
+        df.where(place == n).write.mode("append").parquet(path)
+        finish(run(spark.readStream.schema(df.schema).parquet(path), checkpoint))
