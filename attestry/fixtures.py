@@ -21,7 +21,8 @@ class Dialect:
     def iso(self, expr: str) -> str:
         if self.source is None:
             return f"strftime({expr}, '%Y-%m-%dT%H:%M:%SZ')"
-        return f"date_format({expr}, \"yyyy-MM-dd'T'HH:mm:ss'Z'\")"
+        # Text of a zone-less timestamp, so the session's time zone plays no part.
+        return f"concat(replace(substr(cast({expr} as string), 1, 19), ' ', 'T'), 'Z')"
 
     def json_k(self, expr: str) -> str:
         if self.source is None:

@@ -116,30 +116,26 @@ def backfill_task_type(rows: DataFrame, mapping: DataFrame) -> DataFrame:
     prefix tier runs on distinct run ids and turns the prefix test into an equi
     join on every prefix of the (short) run id.
     """
-    entries = mapping.select(F.col("k"), F.coalesce("v", F.lit("")).alias("v"))
+    entries = mapping.select("k", F.coalesce("v", F.lit("")).alias("v"))
     exact = entries.where(F.col("v") != "")
-    prefixes = entries.where(F.col("k").startswith(PREFIX_MARK)).select(
-        F.substr("k", F.lit(len(PREFIX_MARK) + 1)).alias("_prefix"), "v"
-    ).where(F.col("_prefix") != "")
-    need = rows.where((F.col("task_type") == "") & (F.col("run_id") != ""))
-    runs = need.select("run_id").distinct()
-    spread = runs.select(
-        "run_id",
-        F.explode(
-            F.transform(
-                F.sequence(F.lit(1), F.char_length("run_id")),
-                lambda n: F.substring("run_id", F.lit(1), n),
-            )
-        ).alias("_prefix"),
-    )
-    longest = spread.join(prefixes, "_prefix").groupBy("run_id").agg(
-        F.max_by("v", F.char_length("_prefix")).alias("_t3")
-    )
-    per_run = runs.join(
-        exact.select(F.col("k").alias("run_id"), F.col("v").alias("_t2")), "run_id", "left"
-    ).join(longest, "run_id", "left").select(
-        "run_id", F.coalesce("_t2", "_t3").alias("_by_run")
+    # The need is an aggregate, not a filter: a filter would be pushed below the
+    # parsing of the lines and parse them a second time.
+    blank = (F.col("task_type") == "") & (F.col("run_id") != "")
+    runs = rows.groupBy("run_id").agg(F.bool_or(blank).alias("_need")).where("_need").select("run_id")
+    own = F.array(F.struct(F.lit(True).alias("whole"), F.col("run_id").alias("k")))
+    starts = F.transform(
+        F.sequence(F.lit(1), F.char_length("run_id")),
+        lambda n: F.struct(
+            F.lit(False).alias("whole"),
+            F.concat(F.lit(PREFIX_MARK), F.substring("run_id", F.lit(1), n)).alias("k"),
+        ),
     )
+    found = runs.select("run_id", F.inline(F.concat(own, starts))).join(entries, "k")
+    prefix_size = F.when(~F.col("whole"), F.char_length("k"))
+    per_run = found.groupBy("run_id").agg(
+        F.max(F.when(F.col("whole"), F.nullif("v", F.lit("")))).alias("_t2"),
+        F.max_by("v", prefix_size).alias("_t3"),
+    ).select("run_id", F.coalesce("_t2", "_t3").alias("_by_run"))
     per_task = exact.select(F.col("k").alias("_pair"), F.col("v").alias("_t1"))
     pair = F.when(
         (F.col("run_id") != "") & (F.col("task_key") != ""),

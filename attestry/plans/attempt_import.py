@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 
 from attestry.operators import ingest
+from attestry.session import cut_lineage
 from attestry.sources import storage
 
 
@@ -27,5 +28,6 @@ def run_import(
     """Append the valid rows to ``path`` and return the imported/skipped counts."""
     rows = classified_rows(lines, run_tasks, mapping)
     if not dry_run:
+        rows = cut_lineage(rows)  # written and counted, parsed once
         storage.append_attempts(ingest.accepted(rows), path)
     return ingest.import_counts(rows)

@@ -52,6 +52,9 @@ def stream_checkpoint(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared folder so later stages survive executor loss."""
+    """Compute ``df`` once into the shared folder; later stages survive executor loss.
+
+    Runs now: a lazy checkpoint would compute the plan twice.
+    """
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=False)
+    return df.checkpoint(eager=True)
