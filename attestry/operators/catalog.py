@@ -100,14 +100,15 @@ def models_from_documents(documents: DataFrame, body: str = "body") -> DataFrame
 
 
 def snapshot_rows(models: DataFrame, position: Column | None = None) -> DataFrame:
-    """Keyed snapshot: blank ids dropped, the last row of an id wins."""
+    """Keyed snapshot: blank ids dropped, the last row of an id by ``position`` wins.
+
+    Without a position the choice among duplicates is by value, so that every
+    recomputation picks the same row.
+    """
+    kept = F.struct(*[c for c in models.columns if c != "id"])
+    pick = F.max(kept) if position is None else F.max_by(kept, position)
     named = models.where(F.col("id") != "")
-    if position is None:
-        return named.dropDuplicates(["id"])
-    kept = [c for c in models.columns if c != "id"]
-    return (
-        named.groupBy("id").agg(F.max_by(F.struct(*kept), position).alias("_r")).select("id", "_r.*")
-    )
+    return named.groupBy("id").agg(pick.alias("_r")).select("id", "_r.*")
 
 
 def price_sum() -> Column:

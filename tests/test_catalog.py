@@ -77,6 +77,8 @@ def test_last_duplicate_wins(spark):
     rows = spark.createDataFrame([(1, *model("a", 1.0, 1.0)), (2, *model("a", 9.0, 1.0)), (3, *model("", 1.0, 1.0))], "n int, " + MODEL)
     kept = catalog.snapshot_rows(rows, F.col("n")).collect()
     assert [(r.id, r.prompt_per_m) for r in kept] == [("a", 9.0)]
+    picks = {catalog.snapshot_rows(rows.drop("n").repartition(k)).first().prompt_per_m for k in (1, 3)}
+    assert picks == {9.0}
 
 
 def test_refresh_keeps_events_and_snapshots(spark, tmp_path):
