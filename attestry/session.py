@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import re
+import shutil
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -34,14 +37,23 @@ def session(app_name: str = "attestry", master: str | None = None, **conf: str)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a local one only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named:
-        named = spark.sparkContext.getCheckpointDir()
+    """The shared folder the cluster names in ``spark.checkpoint.dir``.
+
+    A temporary folder stands in only for a ``local`` master, where the driver and
+    its tasks share one machine, and goes when the process ends.  Elsewhere a
+    missing setting is an error: executors would each write to their own disk.
+    """
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not named:
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError(
+                f"spark.checkpoint.dir must name a folder shared by all executors of {context.master}"
+            )
         named = tempfile.mkdtemp(prefix="attestry-checkpoint-")
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(named)
+        atexit.register(shutil.rmtree, named, ignore_errors=True)
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(named)
     return named
 
 
