@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from attestry.llm import host_rules, mixing
+import public_tokenizers
+
+from attestry.llm import exact, host_rules, mixing, packing
 from attestry.llm.common import shared, text_of, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -124,3 +126,27 @@ def op6(spark: SparkSession, root: str) -> DataFrame:
     return mixing.mix(shared(sized, "mix-sizes")).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken")
     )
+
+
+@query("op2_sum_of_squares_packing")
+def op2(spark: SparkSession, root: str) -> DataFrame:
+    return packing.pack(documents(spark, root), public_tokenizers.path("word_bpe_49k.json")).select(
+        "doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"
+    )
+
+
+@query(
+    "op5_extendible_hash_dedup",
+    r"""
+with base as (
+  select doc_id, coalesce(text, '') as text,
+    regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') as body from documents),
+ranked as (
+  select *, first_value(doc_id) over best as keep_id, row_number() over best as place,
+    count(*) over (partition by body) as group_size
+  from base window best as (partition by body order by length(text) desc, doc_id nulls last))
+select doc_id, keep_id, group_size, place = 1 as kept, sha256(body) as text_sha256 from ranked
+""",
+)
+def op5(spark: SparkSession, root: str) -> DataFrame:
+    return exact.exact_dedup(documents(spark, root).select("doc_id", "text")).drop("row")
