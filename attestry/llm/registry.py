@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from attestry.llm import exact, host_rules, mixing, packing
-from attestry.llm.common import shared, text_of, word_count
+from attestry.llm import exact, host_rules, language, minhash, mixing, packing
+from attestry.llm.common import remainder, shared, text_of, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -150,3 +150,43 @@ select doc_id, keep_id, group_size, place = 1 as kept, sha256(body) as text_sha2
 )
 def op5(spark: SparkSession, root: str) -> DataFrame:
     return exact.exact_dedup(documents(spark, root).select("doc_id", "text")).drop("row")
+
+
+@query(
+    "op7_bayesian_minhash",
+    r"""
+with recursive base as (
+  select doc_id, regexp_extract_all(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') as w from documents),
+shingles as (
+  select distinct doc_id, array_to_string(w[i:i + 4], ' ') as s
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) as i from base where len(w) > 0)),
+sizes as (select doc_id, count(*) as n from shingles group by doc_id),
+common as (
+  select a.doc_id as a, b.doc_id as b, count(*) as c
+  from shingles a join shingles b on a.s = b.s and a.doc_id < b.doc_id group by a.doc_id, b.doc_id),
+links as (
+  select a, b from common join sizes x on x.doc_id = a join sizes y on y.doc_id = b
+  where 100 * c >= 75 * (x.n + y.n - c)),
+edges as (select a, b from links union all select b, a from links),
+reach as (
+  select a, b from edges union select reach.a, edges.b from reach join edges on reach.b = edges.a),
+least_of as (select a, min(b) as m from reach group by a)
+select base.doc_id, coalesce(n, 0) as n_shingles, least(base.doc_id, coalesce(m, base.doc_id)) as component_id,
+  base.doc_id = least(base.doc_id, coalesce(m, base.doc_id)) as kept
+from base left join sizes using (doc_id) left join least_of on a = base.doc_id
+""",
+)
+def op7(spark: SparkSession, root: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, root).select("doc_id", "text")).drop("row", "stays")
+
+
+@query("op4_kneser_ney_language")
+def op4(spark: SparkSession, root: str) -> DataFrame:
+    held_out = remainder("doc_id", 4) == 2
+    docs = documents(spark, root)
+    model = language.fit(docs, ~held_out)
+    return language.identify(docs.select("doc_id", "text"), model).select(
+        "row.doc_id", (remainder("row.doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected"
+    )
