@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from attestry.llm import exact, host_rules, language, minhash, mixing, packing
+from attestry.llm import credentials, exact, host_rules, language, licenses, minhash, mixing, packing
 from attestry.llm.common import remainder, shared, text_of, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -190,3 +190,16 @@ def op4(spark: SparkSession, root: str) -> DataFrame:
     return language.identify(docs.select("doc_id", "text"), model).select(
         "row.doc_id", (remainder("row.doc_id", 4) == 2).alias("held_out"), "lang_pred", "score", "rejected"
     )
+
+
+@query("op8_fuzzy_notices")
+def op8(spark: SparkSession, root: str) -> DataFrame:
+    return licenses.scan(documents(spark, root).select("doc_id", "text")).select(
+        "row.doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"
+    )
+
+
+@query("op9_credential_linking")
+def op9(spark: SparkSession, root: str) -> DataFrame:
+    found = credentials.scan(documents(spark, root).select("doc_id", "text"))
+    return found.select("row.doc_id", *[c for c in found.columns if c != "row"])
