@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from attestry.llm import credentials, exact, host_rules, language, licenses, minhash, mixing, packing
+from attestry.llm import credentials, exact, host_rules, language, licenses, minhash, mixing, packing, pii
 from attestry.llm.common import remainder, shared, text_of, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -203,3 +203,9 @@ def op8(spark: SparkSession, root: str) -> DataFrame:
 def op9(spark: SparkSession, root: str) -> DataFrame:
     found = credentials.scan(documents(spark, root).select("doc_id", "text"))
     return found.select("row.doc_id", *[c for c in found.columns if c != "row"])
+
+
+@query("op10_weak_supervision_pii")
+def op10(spark: SparkSession, root: str) -> DataFrame:
+    found = pii.scan(documents(spark, root).select("doc_id", "text"))
+    return found.select("row.doc_id", *[c for c in found.columns if c != "row"])
