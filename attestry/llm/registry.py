@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import public_tokenizers
 
-from attestry.llm import credentials, exact, host_rules, language, licenses, minhash, mixing, packing, pii
+from attestry.llm import credentials, exact, host_rules, language, licenses, minhash, mixing, packing, pii, quality
 from attestry.llm.common import remainder, shared, text_of, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -209,3 +209,14 @@ def op9(spark: SparkSession, root: str) -> DataFrame:
 def op10(spark: SparkSession, root: str) -> DataFrame:
     found = pii.scan(documents(spark, root).select("doc_id", "text"))
     return found.select("row.doc_id", *[c for c in found.columns if c != "row"])
+
+
+@query("op1_non_negative_pu")
+def op1(spark: SparkSession, root: str) -> DataFrame:
+    docs = documents(spark, root).select("doc_id", "text")
+    labels = spark.read.parquet(f"{root}/labels.parquet").select("doc_id", "quality")
+    model = quality.fit(docs, labels, remainder("doc_id", 5) != 0)
+    return quality.score(docs, model).select(
+        "row.doc_id", (remainder("row.doc_id", 5) == 0).alias("held_out"), "score",
+        (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
+    )
