@@ -136,9 +136,10 @@ def sum_of_squares(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.n
 
 def pack_shard(frames: Iterable[pd.DataFrame], capacity: int, turn: int) -> Iterator[pd.DataFrame]:
     """One partition is one shard; it holds lengths and ids of a bounded number of pieces."""
-    shard = pd.concat(list(frames), ignore_index=True)
-    if shard.empty:
+    held = [frame for frame in frames if len(frame)]
+    if not held:
         return
+    shard = pd.concat(held, ignore_index=True)
     bins, offsets, gaps = sum_of_squares(shard["length"].to_numpy(), capacity)
     place = (turn << 56) + (TaskContext.get().partitionId() << 24)
     yield shard.assign(sequence_id=place + bins, offset=offsets, gap=gaps[bins])

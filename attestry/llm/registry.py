@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 import public_tokenizers
 
 from attestry.llm import credentials, exact, host_rules, language, licenses, minhash, mixing, packing, pii, quality
@@ -220,3 +221,8 @@ def op1(spark: SparkSession, root: str) -> DataFrame:
         "row.doc_id", (remainder("row.doc_id", 5) == 0).alias("held_out"), "score",
         (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"),
     )
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, root: str) -> DataFrame:
+    return corpus_pipeline.run(spark, root)
