@@ -38,7 +38,7 @@ BANDS, BAND_ROWS = 32, 4
 HASHES = BANDS * BAND_ROWS
 BATCH = 32
 MISS = 1e-6
-BLOCK = 256  # members of one bucket that one task compares with as many others
+BLOCK = 512  # members of one bucket that one task compares with as many others
 REMEMBERED = 500_000  # words a Python worker keeps hashes of
 
 LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -114,7 +114,8 @@ def band(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key ^= key >> np.uint64(31)
         class_ids = np.repeat(batch.column("class_id").to_numpy(), BANDS)
         yield pa.RecordBatch.from_arrays(
-            [pa.array(key.reshape(-1).view(np.int64)), pa.array(class_ids)], ["band", "class_id"]
+            [pa.array(key.reshape(-1).view(np.int64)), pa.array(np.tile(np.arange(BANDS, dtype=np.int32), len(batch))), pa.array(class_ids)],
+            ["band", "number", "class_id"],
         )
 
 
@@ -147,37 +148,59 @@ def plausible(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return keep
 
 
-def prune(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        keep = plausible(signature_matrix(batch.column("sig_a")), signature_matrix(batch.column("sig_b")))
-        yield batch.filter(pa.array(keep)).select(["a", "b"])
+def similar(left: np.ndarray, right: np.ndarray) -> bool:
+    both = len(np.intersect1d(left, right, assume_unique=True))
+    return 100 * both >= PERCENT * (len(left) + len(right) - both)
 
 
 def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs whose full shingle sets are similar enough."""
+    """Pairs that stay in the race and whose full shingle sets are similar enough."""
     first, found = None, np.zeros(0, np.uint64)
     for batch in batches:
-        keep = []
+        keep = plausible(signature_matrix(batch.column("signature_a")), signature_matrix(batch.column("signature_b")))
+        batch = batch.filter(pa.array(keep))
+        linked = []
         for a, left, right in zip(batch.column("a").to_pylist(), _binary(batch.column("text_a")), _binary(batch.column("text_b"))):
             if a != first:
                 first, found = a, shingles(left)
-            other = shingles(right)
-            both = len(np.intersect1d(found, other, assume_unique=True))
-            keep.append(100 * both >= PERCENT * (len(found) + len(other) - both))
-        yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
+            linked.append(similar(found, shingles(right)))
+        yield batch.filter(pa.array(linked, pa.bool_())).select(["a", "b"])
 
 
 def compare_block(frame: pd.DataFrame) -> pd.DataFrame:
-    """Plausible pairs of one block pair of a bucket that lie in different components."""
-    i, j = int(frame["i"].iat[0]), int(frame["j"].iat[0])
-    left, right = frame[frame["block"] == i], frame[frame["block"] == j]
-    matrix = np.frombuffer(b"".join(right["signature"]), "<u4").reshape(-1, HASHES)
-    ids, parts = right["class_id"].to_numpy(), right["component"].to_numpy()
+    """Links between members of a pair of blocks of one bucket, enough to join all they join.
+
+    A pair is looked at in the first band it agrees in and nowhere else, and only
+    while its components are apart: links found on the way join them.
+    """
+    i, j, number = int(frame["i"].iat[0]), int(frame["j"].iat[0]), int(frame["number"].iat[0])
+    ids, parts, block = frame["class_id"].to_numpy(), frame["component"].to_numpy(), frame["block"].to_numpy()
+    matrix = np.frombuffer(b"".join(frame["signature"]), "<u4").reshape(-1, HASHES)
+    texts, sets = frame["text"].tolist(), {}
+    joined: dict[int, int] = {}
+
+    def root(part: int) -> int:
+        while part in joined:
+            part = joined[part]
+        return part
+
+    def set_of(row: int) -> np.ndarray:
+        if row not in sets:
+            sets[row] = shingles(texts[row].encode())
+        return sets[row]
+
+    right = np.flatnonzero(block == j)
     out = []
-    for a, part, own in zip(left["class_id"], left["component"], left["signature"]):
-        there = np.flatnonzero((parts != part) & ((ids > a) if i == j else True))
-        one = np.broadcast_to(np.frombuffer(own, "<u4"), (len(there), HASHES))
-        out += [(min(a, b), max(a, b)) for b in ids[there[plausible(one, matrix[there])]].tolist()]
+    for row in np.flatnonzero(block == i).tolist():
+        others = right[(parts[right] != parts[row]) & ((ids[right] > ids[row]) if i == j else True)]
+        agree = (matrix[others].reshape(-1, BANDS, BAND_ROWS) == matrix[row].reshape(1, BANDS, BAND_ROWS)).all(axis=2)
+        others = others[agree.argmax(axis=1) == number] if len(others) else others
+        one = np.broadcast_to(matrix[row], (len(others), HASHES))
+        for other in others[plausible(one, matrix[others])].tolist():
+            mine, theirs = root(int(parts[row])), root(int(parts[other]))
+            if mine != theirs and similar(set_of(row), set_of(other)):
+                joined[mine] = theirs
+                out.append((min(ids[row], ids[other]), max(ids[row], ids[other])))
     return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
 
 
@@ -233,22 +256,23 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         .select("print", "first", F.col("first.rid").alias("class_id"), "signature"),
         "near-classes",
     )
-    texts = signed.select(
-        F.col("rid").alias("class_id"), F.coalesce(F.col(f"{ROW}.{text}").cast("string"), F.lit("")).alias("text")
-    )
-    bands = classes.select("class_id", "signature").mapInArrow(band, "band long, class_id long")
+    bands = classes.select("class_id", "signature").mapInArrow(band, "band long, number int, class_id long")
     buckets = bands.groupBy("band").agg(F.min("class_id").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = shared(bands.join(buckets, "band"), "near-members")
 
-    def attach(pairs: DataFrame, table: DataFrame, column: str, short: str) -> DataFrame:
-        for side in "ba":
-            pairs = pairs.join(table.select(F.col("class_id").alias(side), F.col(column).alias(f"{short}_{side}")), side)
-        return pairs
+    # Signature and text of the classes that met another in a bucket; nothing else of
+    # the texts is read again.
+    met = members.select(F.col("class_id").alias("rid")).distinct()
+    bodies = shared(
+        signed.select("rid", "signature", F.coalesce(F.col(f"{ROW}.{text}").cast("string"), F.lit("")).alias("text"))
+        .join(met, "rid").withColumnRenamed("rid", "class_id"),
+        "near-bodies",
+    )
 
-    def linked(pairs: DataFrame, plausible_already: bool = False) -> DataFrame:
-        if not plausible_already:
-            pairs = attach(pairs, classes, "signature", "sig").mapInArrow(prune, "a long, b long")
-        return shared(attach(pairs, texts, "text", "text").mapInArrow(verify, "a long, b long"), "near-links")
+    def linked(pairs: DataFrame) -> DataFrame:
+        for side in "ba":
+            pairs = pairs.join(bodies.select(*[F.col(c).alias(f"{n}{side}") for c, n in (("class_id", ""), ("signature", "signature_"), ("text", "text_"))]), side)
+        return shared(pairs.mapInArrow(verify, "a long, b long"), "near-links")
 
     def label(rows: DataFrame, parts: DataFrame) -> DataFrame:
         return rows.join(parts, "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
@@ -266,17 +290,17 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
         links = links.unionByName(more)
         parts = components(links)
     # What is left: members of one bucket in different components, compared by blocks.
-    grouped = label(members.select("band", "class_id", "n"), parts)
+    grouped = label(members.select("band", "number", "class_id", "n"), parts)
     split = grouped.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     block = F.pmod(F.xxhash64("class_id"), blocks).cast("int")
     replicated = (
-        grouped.join(split.select("band"), "band").select("band", "class_id", "component", block.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-        .select("band", "class_id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        .join(classes.select("class_id", "signature"), "class_id")
+        grouped.join(split.select("band"), "band")
+        .select("band", "number", "class_id", "component", block.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
+        .select("band", "number", "class_id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+        .join(bodies, "class_id")
     )
-    pairs = replicated.groupBy("band", "i", "j").applyInPandas(compare_block, "a long, b long").distinct()
-    last = linked(pairs, plausible_already=True)
+    last = shared(replicated.groupBy("band", "i", "j").applyInPandas(compare_block, "a long, b long"), "near-links")
     if not last.isEmpty():
         parts = components(links.unionByName(last))
 
