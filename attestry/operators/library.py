@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from attestry.functions.display import file_suffix
@@ -110,8 +110,12 @@ def any_changed(reconciled: DataFrame) -> DataFrame:
     return reconciled.agg(F.coalesce(F.bool_or("changed"), F.lit(False)).alias("changed"))
 
 
+def entry_order() -> list[Column]:
+    return [F.desc("updated_at"), F.col("run_name")]
+
+
 def sorted_entries(entries: DataFrame) -> DataFrame:
-    return entries.orderBy(F.desc("updated_at"), "run_name")
+    return entries.orderBy(*entry_order())
 
 
 def deliverable_totals(tasks: DataFrame) -> DataFrame:

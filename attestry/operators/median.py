@@ -1,94 +1,53 @@
 """Exact grouped medians that stay bounded when one group dominates.
 
-Spark's ``median`` keeps a value -> count map per group, so a group holding a
-third of a large table would sit in one task.  Beyond a checked input size the
-median is found by rank selection in two passes instead:
+One strategy at every size.  Values are counted per group first, combined on the map
+side.  The distinct values are then laid out in ranges of (group, value), so a group
+with very many values spreads over many ranges.  Counts per group and range tell in
+which range the two middle ranks fall, and only those ranges are ordered.
 
-1. a mergeable quantile sketch brackets each group's middle (bounded buffers,
-   combined on the map side);
-2. one aggregate counts, per group, everything below the bracket as one row,
-   everything above as one row, and each distinct value inside it.
-
-A running count over that sliver picks the two middle ranks.  All counts are
-exact; the sketch's guaranteed rank error only decides how wide the sliver is.
+Null group keys are a group of their own, and NaN is greater than every number.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestry.functions.sizing import is_small
+from attestry.operators.ranks import sliced
 
-# Input size up to which the built-in aggregate's per-group buffers are safe.
-BUILTIN_LIMIT_BYTES = 64 * 1024 * 1024
-# The sketch's rank error is n / accuracy; the bracket is four errors each side.
-SKETCH_ACCURACY = 50_000
-BRACKET_ERRORS = 4
 
-
-def exact_median(
-    df: DataFrame,
-    keys: list[str],
-    value: Column,
-    out: str,
-    strategy: str = "auto",
-    accuracy: int = SKETCH_ACCURACY,
-) -> DataFrame:
+def exact_median(df: DataFrame, keys: list[str], value: Column, out: str) -> DataFrame:
     """One row per group with the exact median of the non-null ``value``s.
 
-    ``strategy`` is ``builtin`` (one aggregate), ``select`` (rank selection) or
-    ``auto`` (the size check decides).  Groups without a value are absent; group
-    keys must not be null.
+    Groups without a value are absent.
     """
-    rows = df.select(*keys, value.cast("double").alias("_v")).where(F.col("_v").isNotNull())
-    if use_builtin(df, strategy):
-        return rows.groupBy(*keys).agg(F.median("_v").alias(out))
-    return _select_middle(rows, keys, out, accuracy)
-
-
-def use_builtin(df: DataFrame, strategy: str = "auto") -> bool:
-    if strategy == "auto":
-        return is_small(df, BUILTIN_LIMIT_BYTES)
-    return strategy == "builtin"
-
-
-def _select_middle(rows: DataFrame, keys: list[str], out: str, accuracy: int) -> DataFrame:
-    reach = BRACKET_ERRORS / accuracy
-    edges = F.percentile_approx(
-        "_v", F.array(F.lit(max(0.0, 0.5 - reach)), F.lit(min(1.0, 0.5 + reach))), accuracy
+    counted = (
+        df.select(*keys, value.cast("double").alias("_v")).where(F.col("_v").isNotNull())
+        .groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
+    )
+    laid = sliced(counted, [F.col(k) for k in keys] + [F.col("_v")])
+    per_range = laid.groupBy(*keys, "_slice").agg(F.sum("_c").alias("_in"))
+    group = Window.partitionBy(*keys)
+    so_far = group.orderBy("_slice").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = per_range.withColumn("_n", F.sum("_in").over(group)).withColumn(
+        "_before", F.sum("_in").over(so_far) - F.col("_in")
     )
-    bracket = rows.groupBy(*keys).agg(F.count("*").alias("_n"), edges.alias("_e"))
-    if keys:
-        # Placed in its own exchange so adaptive execution can split a hot group's side.
-        joined = rows.join(bracket.repartition(*keys), keys)
-    else:
-        # Global median: the bracket is one row, read as scalar subqueries.
-        joined = rows.select(
-            "_v", bracket.select("_n").scalar().alias("_n"), bracket.select("_e").scalar().alias("_e")
-        )
-    side = (
-        F.when(F.col("_v") < F.col("_e")[0], -1).when(F.col("_v") > F.col("_e")[1], 1).otherwise(0)
+    low, high = F.floor((F.col("_n") + 1) / 2), F.floor((F.col("_n") + 2) / 2)
+    middle = placed.where((F.col("_before") < high) & (F.col("_before") + F.col("_in") >= low)).select(
+        F.col("_slice").alias("_at"), "_n", "_before", *[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
     )
-    sliver = (
-        joined.withColumn("_side", side)
-        .withColumn("_v", F.when(F.col("_side") == 0, F.col("_v")))
-        .groupBy(*keys, "_n", "_side", "_v")
-        .agg(F.count("*").alias("_c"))
+    same = reduce(
+        lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)],
+        F.col("_slice") == F.col("_at"),
     )
-    running = (
-        Window.partitionBy(*keys)  # only the sliver of a group, never the group
-        .orderBy("_side", "_v")
-        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    running = Window.partitionBy(*keys, "_slice").orderBy("_v").rowsBetween(
+        Window.unboundedPreceding, Window.currentRow
     )
-    ranked = sliver.withColumn("_upto", F.sum("_c").over(running))
-    lower = F.floor((F.col("_n") + 1) / 2)
-    upper = F.floor((F.col("_n") + 2) / 2)
+    ordered = laid.join(middle, same).withColumn("_upto", F.col("_before") + F.sum("_c").over(running))
 
     def at(rank: Column) -> Column:
-        inside = F.min(F.when((F.col("_side") == 0) & (F.col("_upto") >= rank), F.col("_v")))
-        under = F.max(F.when(F.col("_side") == -1, F.col("_upto") >= rank))
-        miss = F.coalesce(under, F.lit(False)) | inside.isNull()
-        return F.when(miss, F.raise_error(F.lit("median bracket missed its rank"))).otherwise(inside)
+        return F.min(F.when(F.col("_upto") >= rank, F.col("_v")))
 
-    return ranked.groupBy(*keys).agg(((at(lower) + at(upper)) / F.lit(2).cast("double")).alias(out))
+    return ordered.groupBy(*keys).agg(((at(low) + at(high)) / F.lit(2.0)).alias(out))

@@ -15,7 +15,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from attestry.operators.median import exact_median, use_builtin
+from attestry.operators.median import exact_median
+from attestry.session import cut_lineage
 
 INSTANCE = ["run_id", "task_key"]
 UNTYPED = "(untyped)"
@@ -123,10 +124,7 @@ def token_medians(
     instances: DataFrame, attempts: DataFrame, keys: list[str], f: ScoreFilter = ScoreFilter()
 ) -> DataFrame:
     tokens = labelled_tokens(instances, attempts, f)
-    return exact_median(
-        tokens, keys, F.col("tokens"), "median_tokens",
-        strategy="builtin" if use_builtin(attempts) else "select",
-    )
+    return exact_median(tokens, keys, F.col("tokens"), "median_tokens")
 
 
 def latest_engine(instances: DataFrame, keys: list[str]) -> DataFrame:
@@ -142,7 +140,7 @@ def _rate(condition: Column) -> Column:
     return F.avg(F.when(condition, F.lit(1).cast("double")).otherwise(F.lit(0).cast("double")))
 
 
-def _rollup(instances: DataFrame, keys: list[str], strategy: str) -> DataFrame:
+def _rollup(instances: DataFrame, keys: list[str]) -> DataFrame:
     passed = F.col("final_verdict") == "PASS"
     totals = [
         _latest_engine().alias("engine"),
@@ -154,14 +152,15 @@ def _rollup(instances: DataFrame, keys: list[str], strategy: str) -> DataFrame:
         _rate(passed).alias("pass_rate"),
         F.max("final_created_at").alias("last_seen"),
     ]
-    if strategy == "builtin":
-        return instances.groupBy(*keys).agg(
-            *totals, F.median("final_duration_s").alias("median_duration_s")
-        )
-    durations = exact_median(
-        instances, keys, F.col("final_duration_s"), "median_duration_s", strategy="select"
-    )
-    return instances.groupBy(*keys).agg(*totals).join(durations, keys, "left")
+    durations = exact_median(instances, keys, F.col("final_duration_s"), "median_duration_s")
+    return _beside(instances.groupBy(*keys).agg(*totals), durations, keys)
+
+
+def _beside(rows: DataFrame, more: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join on ``keys`` in which a null key meets a null key."""
+    named = more.withColumnsRenamed({k: f"_{k}" for k in keys})
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return rows.join(named, same, "left").drop(*[f"_{k}" for k in keys])
 
 
 def catalog_key(label: Column) -> Column:
@@ -238,9 +237,9 @@ def scoreboard_groups(attempts: DataFrame, f: ScoreFilter = ScoreFilter()) -> Da
 def _with_medians(
     instances: DataFrame, attempts: DataFrame, keys: list[str], f: ScoreFilter
 ) -> DataFrame:
-    strategy = "builtin" if use_builtin(attempts) else "select"
+    instances = cut_lineage(instances)  # read by the roll-up and by both medians
     tokens = token_medians(instances, attempts, keys, f)
-    return _rollup(instances, keys, strategy).join(tokens, keys, "left")
+    return _beside(_rollup(instances, keys), tokens, keys)
 
 
 def score_dims(attempts: DataFrame, f: ScoreFilter = ScoreFilter()) -> DataFrame:
@@ -249,16 +248,16 @@ def score_dims(attempts: DataFrame, f: ScoreFilter = ScoreFilter()) -> DataFrame
     counts = instances.groupBy("model").agg(
         F.count("*").alias("tasks"), _latest_engine().alias("engine")
     )
-    return counts.join(token_medians(instances, attempts, ["model"], f), "model", "left")
+    return _beside(counts, token_medians(instances, attempts, ["model"], f), ["model"])
 
 
 def rank_models(rollup: DataFrame) -> DataFrame:
     """Proven first, then rates, then cheapest; an unpriced model sorts as free
     only when its tokens are unknown."""
-    return rollup.orderBy(*_model_order())
+    return rollup.orderBy(*model_order())
 
 
-def _model_order() -> list[Column]:
+def model_order() -> list[Column]:
     price = F.coalesce(
         "cost", F.when(F.col("median_tokens").isNull(), F.lit(0.0)).otherwise(F.lit(float("inf")))
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attestry.functions import display
-from attestry.operators import catalog, identity, scoreboard
+from attestry.operators import catalog, identity, ranks, scoreboard
 from attestry.plans import catalog_refresh
 from attestry.registry.base import Inputs, query
 from attestry.registry.scoreboard import GROUPS, LABELLED, MODELS, groups, models, rounded
@@ -95,13 +95,11 @@ def _(v):
     return catalog.stale(stamped, F.lit("2001-08-02T00:00:00Z"))
 
 
-@query("catalog_sort", """select id, variable_pricing, round(prompt_per_m, 6) as prompt_per_m from catalog_models
- order by variable_pricing, case when variable_pricing then 'infinity'::double else coalesce(prompt_per_m, 0) + coalesce(completion_per_m, 0) end, id
- limit 100""", ("catalog_models",))
+@query("catalog_sort", """select id, variable_pricing, round(prompt_per_m, 6) as prompt_per_m, row_number() over (
+ order by variable_pricing, case when variable_pricing then 'infinity'::double else coalesce(prompt_per_m, 0) + coalesce(completion_per_m, 0) end, id) as rank from catalog_models""", ("catalog_models",))
 def _(v):
-    """The cheapest hundred: the order decides which rows come back."""
-    top = catalog.sorted_catalog(v("catalog_models")).limit(100)
-    return rounded(top.select("id", "variable_pricing", "prompt_per_m"), "prompt_per_m")
+    placed = ranks.ranked(v("catalog_models"), catalog.catalog_order())
+    return rounded(placed.select("id", "variable_pricing", "prompt_per_m", "rank"), "prompt_per_m")
 
 
 @query("catalog_key_diff", """select coalesce(o.id, n.id) as id,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from attestry.functions import clock, display, status
-from attestry.operators import library, runs
+from attestry.operators import library, ranks, runs
 from attestry.registry.base import Inputs, query
 from attestry.schemas import RUN_STATE
 from attestry.sources import documents
@@ -287,12 +287,10 @@ def _(v):
     )
 
 
-@query("library_sorted", f"with {LATEST} select run_name, updated_at from latest order by updated_at desc, run_name limit 20", ("library_updates",))
+@query("library_sorted", f"with {LATEST} select run_name, updated_at, row_number() over (order by updated_at desc, run_name) as rank from latest", ("library_updates",))
 def _(v):
-    """First page of the library: the order decides which entries show."""
-    return library.sorted_entries(library.latest_entries(v("library_updates"))).select(
-        "run_name", "updated_at"
-    ).limit(20)
+    entries = library.latest_entries(v("library_updates"))
+    return ranks.ranked(entries, library.entry_order()).select("run_name", "updated_at", "rank")
 
 
 NOW = "2002-01-01T00:00:00Z"

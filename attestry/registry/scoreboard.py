@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from attestry.operators import median, scoreboard
+from attestry.operators import median, ranks, scoreboard
 from attestry.registry.base import Inputs, query
 
 ATTEMPTS = ("attempts",)
@@ -135,9 +135,7 @@ def _(v):
 def _(v):
     labelled = v("attempts").withColumn("model", scoreboard.label_column())
     return rounded(
-        median.exact_median(
-            labelled, ["model"], F.col("duration_s"), "median_duration_s", strategy="select"
-        ),
+        median.exact_median(labelled, ["model"], F.col("duration_s"), "median_duration_s"),
         "median_duration_s",
     )
 
@@ -170,14 +168,13 @@ def _(v):
     return groups(v)
 
 
-@query("scoreboard_rank", MODELS + """select model, tier, first_rate, pass_rate, cost from scored
+@query("scoreboard_rank", MODELS + """select model, tier, first_rate, pass_rate, cost, row_number() over (
  order by case tier when 'proven' then 0 when 'probation' then 1 else 3 end, first_rate desc, pass_rate desc,
- coalesce(cost, case when median_tokens is null then 0.0 else 'infinity'::double end), model limit 10""",
+ coalesce(cost, case when median_tokens is null then 0.0 else 'infinity'::double end), model) as rank from scored""",
        ("attempts", "catalog_models"))
 def _(v):
-    """Top of the board: the order decides which ten rows come back."""
-    return scoreboard.rank_models(models(v)).limit(10).select(
-        "model", "tier", "first_rate", "pass_rate", "cost"
+    return ranks.ranked(models(v), scoreboard.model_order()).select(
+        "model", "tier", "first_rate", "pass_rate", "cost", "rank"
     )
 
 

@@ -3,7 +3,6 @@
 import pytest
 from pyspark.sql import functions as F
 
-from attestry.functions.sizing import spread
 from attestry.operators import library, links, scoreboard
 from attestry.registry import QUERIES
 
@@ -77,9 +76,3 @@ def _sevens(i):
         first = -(-low // 7)
         hits += [j for j in range(first, high // 7 + 1) if j < 10_000]
     return hits
-
-
-def test_spread_leaves_wide_scans_alone(spark):
-    wide = spark.range(0, 100, 1, 64)
-    assert spread(wide) is wide
-    assert spread(spark.range(0, 100, 1, 1)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism

@@ -6,7 +6,7 @@ import statistics
 import pytest
 from pyspark.sql import functions as F
 
-from attestry.operators import median, scoreboard
+from attestry.operators import median, ranks, scoreboard
 
 ATTEMPTS = (
     "id bigint, run_id string, task_key string, engine string, model string, task_type string, "
@@ -71,46 +71,40 @@ def test_documented_tier_rule_is_a_parameter(attempts):
     assert strict.where("model = 'M'").first().tier == "probation"
 
 
-@pytest.mark.parametrize("strategy", ["builtin", "select"])
 @pytest.mark.parametrize(
     "values,expected", [([1, 5, 3], 3), ([10, 20, 40, 30], 25), ([7], 7), ([], None), ([None, 2], 2)]
 )
-def test_median_cases(spark, strategy, values, expected):
+def test_median_cases(spark, values, expected):
     df = spark.createDataFrame([("k", None if v is None else float(v)) for v in values], "k string, v double")
-    rows = median.exact_median(df, ["k"], F.col("v"), "m", strategy=strategy).collect()
+    rows = median.exact_median(df, ["k"], F.col("v"), "m").collect()
     assert [r.m for r in rows] == ([] if expected is None else [expected])
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_rank_selection_with_a_dominant_group(spark, seed):
-    """One group holds most rows; a coarse sketch leaves a real sliver to rank."""
-    rng = random.Random(seed)
+@pytest.mark.parametrize("parts", [1, 2, 3, 8])
+def test_median_with_a_dominant_group(spark, parts):
+    """One group holds most rows, one has a null key, one holds NaN."""
+    rng = random.Random(parts)
     rows = [("hot", rng.choice([rng.gauss(0, 50), float(rng.randint(-3, 3))])) for _ in range(20_000)]
     rows += [(f"k{i % 7}", rng.random()) for i in range(400)] + [("flat", 2.5)] * 1_000
-    df = spark.createDataFrame(rows, "k string, v double").repartition(8)
-    got = {
-        r.k: r.m
-        for r in median.exact_median(df, ["k"], F.col("v"), "m", strategy="select", accuracy=200).collect()
-    }
-    want = {}
-    for k in {r[0] for r in rows}:
-        want[k] = statistics.median(v for g, v in rows if g == k)
-    assert got == pytest.approx(want)
-
-
-def test_global_rank_selection(spark):
+    rows += [(None, 4.0), (None, 8.0)]
+    want = {k: statistics.median(v for g, v in rows if g == k) for k in {r[0] for r in rows}}
+    nan = float("nan")
+    rows += [("n3", 5.0), ("n3", nan), ("n3", 2.0), ("n2", nan), ("n2", 1.0)]
+    df = spark.createDataFrame(rows, "k string, v double").repartition(parts)
+    got = {r.k: r.m for r in median.exact_median(df, ["k"], F.col("v"), "m").collect()}
+    assert got.pop("n3") == 5.0 and got.pop("n2") != 0 and got == pytest.approx(want)
+
+
+def test_global_median(spark):
     df = spark.range(1001).withColumn("v", F.col("id") * 2)
-    row = median.exact_median(df, [], F.col("v"), "m", strategy="select", accuracy=100).first()
-    assert row.m == 1000
+    assert median.exact_median(df, [], F.col("v"), "m").first().m == 1000
 
 
-def test_large_inputs_do_not_use_the_builtin_median(spark, attempts, monkeypatch):
-    monkeypatch.setattr(median, "BUILTIN_LIMIT_BYTES", 0)
-    board = scoreboard.scoreboard_models(attempts)
-    plan = board._jdf.queryExecution().optimizedPlan().toString()
-    assert "percentile_approx" in plan and "median(" not in plan
-    assert board.where("model = 'M'").first().median_tokens == 80
-    assert board.where("model = 'M'").first().median_duration_s == 10
+def test_ranks_are_those_of_one_order(spark):
+    df = spark.range(5_000).withColumn("v", F.pmod(F.xxhash64("id"), F.lit(700))).repartition(7)
+    got = ranks.ranked(df, [F.desc("v"), F.col("id")]).collect()
+    order = sorted(got, key=lambda r: (-r.v, r.id))
+    assert [r["rank"] for r in order] == list(range(1, 5_001))
 
 
 def test_instances_take_one_shuffle(spark, attempts):
