@@ -112,7 +112,8 @@ def backfill_task_type(rows: DataFrame, mapping: DataFrame) -> DataFrame:
     """Blank task types from a map: ``run:task``, then ``run``, then the longest prefix.
 
     Blank values fall through the first two tiers; in the third the longest
-    prefix wins even when its value is blank, which leaves the type blank.  The
+    prefix wins even when its value is blank, which leaves the type blank.  Of a
+    key that is listed twice the greatest value counts.  The
     prefix tier runs on distinct run ids and turns the prefix test into an equi
     join on every prefix of the (short) run id.
     """
@@ -134,9 +135,9 @@ def backfill_task_type(rows: DataFrame, mapping: DataFrame) -> DataFrame:
     prefix_size = F.when(~F.col("whole"), F.char_length("k"))
     per_run = found.groupBy("run_id").agg(
         F.max(F.when(F.col("whole"), F.nullif("v", F.lit("")))).alias("_t2"),
-        F.max_by("v", prefix_size).alias("_t3"),
+        F.max_by("v", F.when(~F.col("whole"), F.struct(prefix_size.alias("size"), "v"))).alias("_t3"),
     ).select("run_id", F.coalesce("_t2", "_t3").alias("_by_run"))
-    per_task = exact.select(F.col("k").alias("_pair"), F.col("v").alias("_t1"))
+    per_task = exact.groupBy(F.col("k").alias("_pair")).agg(F.max("v").alias("_t1"))
     pair = F.when(
         (F.col("run_id") != "") & (F.col("task_key") != ""),
         F.concat("run_id", F.lit(":"), "task_key"),

@@ -46,14 +46,27 @@ def scrape_tokens(text: Column, pattern: str) -> Column:
     The pattern is engine configuration, so it is validated here and compiled once
     per task; a blank or invalid one gives the unknown count.
     """
-    unknown = F.lit(UNKNOWN).cast("bigint")
-    if not pattern:
-        return unknown
+    usable = usable_pattern(pattern, None)
+    if usable is None:
+        return F.lit(UNKNOWN).cast("bigint")
+    return token_count(F.regexp_extract_all(text, F.lit(usable), F.lit(re.compile(pattern).groups)))
+
+
+def usable_pattern(pattern: str | None, group: int | None) -> str | None:
+    """``pattern`` with its named groups as Spark writes them; None if it cannot be run.
+
+    Conditional groups are unknown to Spark's expressions and count as invalid, and
+    so does a pattern without the wanted ``group``.
+    """
+    if not pattern or "(?(" in pattern:
+        return None
     try:
         groups = re.compile(pattern).groups
     except re.error:
-        return unknown
-    return token_count(F.regexp_extract_all(text, F.lit(pattern), F.lit(groups)))
+        return None
+    if group is not None and not 0 <= group <= groups:
+        return None
+    return re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern.replace("(?P<", "(?<"))
 
 
 def scrape_by_engine(logs: DataFrame, patterns: dict[str, str], text: str = "tail") -> DataFrame:
@@ -68,7 +81,10 @@ def scrape_by_engine(logs: DataFrame, patterns: dict[str, str], text: str = "tai
 def scrape_by_table(logs: DataFrame, engines: DataFrame, text: str = "tail") -> DataFrame:
     """As above with patterns in a table: ``engine``, ``token_regex``, ``token_group``."""
     window = tail_text(F.col(text), SCRAPE_BYTES)
-    joined = logs.join(engines.select("engine", "token_regex", "token_group"), "engine", "left")
+    # One row per engine: the patterns are checked there, not per log.
+    usable = F.udf(usable_pattern, "string")(F.col("token_regex"), F.col("token_group"))
+    checked = engines.select("engine", usable.alias("token_regex"), "token_group")
+    joined = logs.join(checked, "engine", "left")
     matches = F.when(
         F.coalesce("token_regex", F.lit("")) != "",
         F.regexp_extract_all(window, F.col("token_regex"), F.col("token_group")),

@@ -11,10 +11,12 @@ CORRUPT = "_corrupt_record"
 def read_records(spark: SparkSession, path: str, form: str, schema: str | None = None) -> DataFrame:
     """Records of ``form`` ``csv`` (header, all text), ``json`` (array) or ``jsonl``.
 
+    A quoted CSV field may hold line ends and doubled quotes, so a file is one split.
     JSON without a schema is read twice, once to infer the union of the keys.
     """
     if form == "csv":
         reader = spark.read.option("header", "true").option("inferSchema", "false")
+        reader = reader.option("multiLine", "true").option("escape", '"')
         return (reader.schema(schema) if schema else reader).csv(path)
     reader = spark.read.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
     if form == "json":

@@ -88,3 +88,9 @@ def test_export_import_round_trip(spark, tmp_path):
     storage.export_jsonl(df, path)
     line = documents.read_lines(spark, path).first().line
     assert json.loads(line) == {"id": 1, "run_id": "r", "task_key": "t", "model": None, "tokens": 3}
+
+
+def test_a_key_listed_twice_adds_no_rows(spark):
+    df = spark.createDataFrame([(1, "r", "t", "")], "id long, run_id string, task_key string, task_type string")
+    mapping = spark.createDataFrame([("r:t", "a"), ("r:t", "b"), ("r", "c")], "k string, v string")
+    assert [r.task_type for r in ingest.backfill_task_type(df, mapping).collect()] == ["b"]

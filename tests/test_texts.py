@@ -266,3 +266,28 @@ def test_status_ladders(spark):
     assert one(spark, status.attempt_verdict(F.lit(False), F.lit(True), F.lit(True))) == "ERROR"
     assert one(spark, status.status_verdict(F.lit("queued"))) == "ERROR"
     assert one(spark, status.known_tokens(F.lit(-1))) == "-"
+
+
+@pytest.mark.parametrize("text,field,op,value", [
+    ("any:created_at>=2026-07-01T00:00:00Z", "created_at", ">=", "2026-07-01T00:00:00Z"),
+    ("all:url==http://x.y/z?a==b", "url", "==", "http://x.y/z?a==b"), ("amount <= 3", "amount", "<=", "3"),
+])
+def test_values_may_hold_colons_and_operators(text, field, op, value):
+    rule = quality.invariant(text)
+    assert (rule.field, rule.op, rule.value) == (field, op, value)
+
+
+def test_quoted_csv_fields(spark, tmp_path):
+    (tmp_path / "q.csv").write_text('id,note\n1,"a ""q"" b"\n2,"two\nlines"\n')
+    got = {r.id: r.note for r in records.read_records(spark, str(tmp_path / "q.csv"), "csv").collect()}
+    assert got == {"1": 'a "q" b', "2": "two\nlines"}
+
+
+def test_unusable_patterns_give_the_unknown_count(spark):
+    rows = [(i, e, "used 12, used 34") for i, e in enumerate(("good", "named", "broken", "group", "none"))]
+    engines = [("good", r"used (\d+)", 1), ("named", r"used (?P<n>\d+)", 1), ("broken", "([x", 1), ("group", "used", 2)]
+    got = logs.scrape_by_table(
+        spark.createDataFrame(rows, "id long, engine string, tail string"),
+        spark.createDataFrame(engines, "engine string, token_regex string, token_group int"),
+    )
+    assert {r.engine: r.tokens for r in got.collect()} == {"good": 34, "named": 34, "broken": -1, "group": -1, "none": -1}
