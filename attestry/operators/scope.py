@@ -2,20 +2,17 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry.functions.paths import ancestors, normal
-from attestry.session import cut_lineage
 
 WILDCARD = "*"
-MAX_FILE_BYTES = 1_000_000
 BINARY_PROBE = 2_048
-SYMBOLS_PER_PASS = 200_000
+# What a needle lies inside of; the characters of it looked up first; a window's length.
+PIECE, LINE, WHOLE = 0, 1, 2
+KEY_CHARS = 12
+WINDOW_CHARS = 1_024
 # Fixed list: folders that are never searched.
 SKIP_DIRS = [
     ".git", ".hg", ".svn", "node_modules", ".next", "dist", "build", "coverage", "__pycache__",
@@ -63,88 +60,119 @@ def in_forbidden(changed: DataFrame, forbidden: DataFrame) -> DataFrame:
     return under(changed, forbidden)
 
 
-def searchable(files: DataFrame) -> DataFrame:
-    """Text files of moderate size outside the skipped folders."""
+def searchable(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Text files outside the skipped folders; ``max_bytes`` leaves larger ones out."""
     folders = F.split("path", "/")
     skipped = F.arrays_overlap(folders, F.array(*[F.lit(d) for d in SKIP_DIRS]))
     data = F.col("content").cast("binary")
     # Hex pairs: only a pair at an even offset is a zero byte.
     binary = F.hex(F.substring(data, 1, BINARY_PROBE)).rlike("^(?:..)*?00")
-    return files.where(
-        ~skipped & (F.octet_length(data) <= MAX_FILE_BYTES) & ~binary
-    )
+    return within(files.where(~skipped & ~binary), max_bytes)
+
+
+def within(files: DataFrame, max_bytes: int | None) -> DataFrame:
+    return files if max_bytes is None else files.where(F.octet_length("content") <= max_bytes)
 
 
-def symbols_found(symbols: DataFrame, files: DataFrame, per_pass: int = SYMBOLS_PER_PASS) -> DataFrame:
-    """Distinct symbols that occur in some searchable file.
+def oversized(files: DataFrame, max_bytes: int) -> DataFrame:
+    """Paths a size limit keeps out of a search, with their sizes."""
+    size = F.octet_length("content")
+    return files.where(size > max_bytes).select("path", size.alias("bytes"))
 
-    Finding many needles in much text is one automaton walk per file, which no
-    built-in expresses.  Each pass holds a bounded slice of the distinct symbols
-    (by hash), so a large symbol set means more passes, never a larger automaton.
+
+def texts_held(needles: DataFrame, texts: DataFrame, by: list[str] = ()) -> DataFrame:
+    """Distinct needles that occur in a text of their group: columns ``by`` and ``needle``.
+
+    ``needles`` has columns ``by`` and ``needle``, ``texts`` has ``by`` and ``content``.
+    No needle meets a text: both are cut to strings that must be equal.  A needle
+    without blanks lies inside one blank-free piece of a text, one with blanks inside
+    one line, any other in the whole text, so only distinct pieces are looked at.  At
+    each place of a piece its first characters are looked up; where some needle starts
+    with them, the text from there is cut to the lengths such needles have.  Empty
+    needles occur nowhere; null ones and null texts are left out.
     """
-    spark = symbols.sparkSession
-    # Stored once: it is counted, then read back slice by slice.
-    distinct = cut_lineage(symbols.select("symbol").where(F.col("symbol") != "").distinct())
-    slices = max(1, math.ceil(distinct.count() / per_pass))
-    texts = searchable(files).select(F.col("content").cast("string").alias("content"))
-    found = None
-    for n in range(slices):
-        mine = distinct.where(F.pmod(F.xxhash64("symbol"), F.lit(slices)) == n)
-        needles = spark.sparkContext.broadcast([r[0] for r in mine.toLocalIterator()])
-        part = texts.mapInPandas(_finder(needles), "symbol string").distinct()
-        found = part if found is None else found.unionByName(part)
-    return found
-
-
-def _finder(needles):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import ahocorasick
-
-        machine = ahocorasick.Automaton()
-        for needle in needles.value:
-            machine.add_word(needle, needle)
-        if len(machine):
-            machine.make_automaton()
-        seen: set[str] = set()
-        for batch in batches:
-            fresh: set[str] = set()
-            if len(machine):
-                for text in batch["content"]:
-                    fresh.update(hit for _, hit in machine.iter(text))
-            fresh -= seen
-            seen |= fresh
-            yield pd.DataFrame({"symbol": sorted(fresh)}, dtype="object")
-
-    return run
-
-
-def missing_symbols(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    by = list(by)
+    blank, broken = F.col("needle").rlike(r"\s"), F.contains("needle", F.lit("\n"))
+    kind = F.when(broken, WHOLE).when(blank, LINE).otherwise(PIECE)
+    names = needles.where(F.col("needle") != "").select(
+        *by, "needle", kind.alias("kind"), F.char_length("needle").alias("n"),
+        F.substring("needle", 1, KEY_CHARS).alias("key"),
+    ).distinct()
+    # Bounded by the longest needle, never by the number of needles.
+    starts = names.groupBy(*by, "kind", "key").agg(F.collect_set("n").alias("lengths"))
+    longest = names.agg(F.coalesce(F.max("n"), F.lit(0))).scalar()
+    kinds = names.agg(F.collect_set("kind")).scalar()
+    key_sizes = names.agg(F.array_sort(F.collect_set(F.least("n", F.lit(KEY_CHARS))))).scalar()
+
+    def units(which: int, found: Column) -> Column:
+        none = F.array().cast("array<struct<kind:int,unit:string>>")
+        rows = F.transform(F.array_distinct(found), lambda u: F.struct(F.lit(which).alias("kind"), u.alias("unit")))
+        return F.when(F.array_contains(kinds, which), rows).otherwise(none)
+
+    content = F.col("content").cast("string")
+    every = texts.select(
+        *by,
+        F.explode(
+            F.concat(
+                units(PIECE, F.split(content, r"\s+")), units(LINE, F.split(content, "\n")), units(WHOLE, F.array(content))
+            )
+        ).alias("u"),
+    ).select(*by, "u.kind", "u.unit").where("unit <> ''").distinct()
+    # Long units in overlapping windows: a row never holds a place times a whole text.
+    step = F.greatest(longest, F.lit(WINDOW_CHARS)).cast("string")
+    pieces = F.regexp_extract_all("unit", F.concat(F.lit("(?s).{1,"), step, F.lit("}")), F.lit(0))
+    windows = every.select(*by, "kind", pieces.alias("p")).select(
+        *by, "kind",
+        F.explode(
+            F.transform(
+                "p",
+                lambda piece, i: F.struct(
+                    F.char_length(piece).alias("places"),
+                    F.concat(piece, F.coalesce(F.get("p", i + 1), F.lit(""))).alias("text"),
+                ),
+            )
+        ).alias("w"),
+    ).select(*by, "kind", "w.*", longest.alias("longest"))
+    tails = windows.select(
+        *by, "kind",
+        F.explode(F.transform(F.sequence(F.lit(1), "places"), lambda at: F.substring("text", at, F.col("longest")))).alias("tail"),
+    ).withColumn("key_sizes", key_sizes)
+    keyed = tails.select(
+        *by, "kind", "tail",
+        F.explode(F.transform(F.filter("key_sizes", lambda n: n <= F.char_length("tail")), lambda n: F.substring("tail", F.lit(1), n))).alias("key"),
+    ).distinct()
+    spans = keyed.join(starts, [*by, "kind", "key"]).select(
+        *by, F.explode(F.transform("lengths", lambda n: F.substring("tail", F.lit(1), n))).alias("needle")
+    ).distinct()
+    wanted = names.select(*by, "needle")
+    return wanted.join(spans, [*by, "needle"], "left_semi")
+
+
+def symbols_found(symbols: DataFrame, files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """Distinct symbols that occur in some searchable file."""
+    held = texts_held(symbols.select(F.col("symbol").alias("needle")), searchable(files, max_bytes))
+    return held.withColumnRenamed("needle", "symbol")
+
+
+def missing_symbols(symbols: DataFrame, files: DataFrame, max_bytes: int | None = None) -> DataFrame:
     """Documented symbols that occur in no source file."""
-    found = symbols_found(symbols, files)
+    found = symbols_found(symbols, files, max_bytes)
     return symbols.join(found.repartition("symbol"), "symbol", "left_anti").select("doc_id", "symbol")
 
 
 def missing_text(
-    snippets: DataFrame, owned: DataFrame, files: DataFrame, max_bytes: int = MAX_FILE_BYTES
+    snippets: DataFrame, owned: DataFrame, files: DataFrame, max_bytes: int | None = None
 ) -> DataFrame:
     """Required snippets that no owned file of their task contains.
 
-    A task's snippets and owned prefixes are short configured lists; both ride
-    along as arrays, so file contents move at most once, each file is tested once,
-    and no file-snippet pairs are formed.
+    Files above ``max_bytes`` are left out, see ``oversized``; by default none is.
     """
-    lists = snippets.groupBy("task_id").agg(F.collect_set("snippet").alias("_s"))
-    roots = owned.groupBy("task_id").agg(F.collect_set(normal(F.col("path"))).alias("_o"))
-    config = lists.join(roots, "task_id").repartition("task_id")
-    small = files.where(F.octet_length("content") < max_bytes).withColumn("_p", normal(F.col("path")))
-    mine = F.exists(
-        "_o", lambda o: (o == WILDCARD) | ((o != "") & ((F.col("_p") == o) | F.col("_p").startswith(F.concat(o, F.lit("/")))))
-    )
-    held = F.filter("_s", lambda s: F.contains(F.col("content"), s))
-    hits = (
-        small.join(config, "task_id").where(mine)
-        .select("task_id", F.explode(held).alias("snippet")).distinct()
-    )
-    return snippets.select("task_id", "snippet").distinct().join(
-        hits, ["task_id", "snippet"], "left_anti"
+    small = within(files, max_bytes)
+    wild = owned.where(F.trim("path") == WILDCARD).select("task_id").distinct()
+    mine = under(small, owned.where(F.trim("path") != WILDCARD))
+    named = small.join(wild, "task_id", "left_anti").join(mine, ["task_id", "path"], "left_semi")
+    texts = small.join(wild, "task_id", "left_semi").unionByName(named).select("task_id", "content")
+    wanted = snippets.select("task_id", F.col("snippet").alias("needle")).distinct()
+    return wanted.join(texts_held(wanted, texts, ["task_id"]), ["task_id", "needle"], "left_anti").select(
+        "task_id", F.col("needle").alias("snippet")
     )

@@ -9,7 +9,7 @@ from attestry.registry import QUERIES
 STREAMING = {k for k in QUERIES if k.startswith("stream_")}
 WRITING = {
     "catalog_snapshot_write", "catalog_events_append", "catalog_refresh", "report_json", "append_attempts",
-    "export_attempts_jsonl", "scan_records_any_format", "binary_listing", "symbols_in_corpus",
+    "export_attempts_jsonl", "scan_records_any_format", "binary_listing",
 }
 
 

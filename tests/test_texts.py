@@ -1,5 +1,7 @@
 """Notes, quality, lint, display, log and contract semantics on literal rows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,18 +52,24 @@ def test_note_matching_prefers_exact_then_longer_then_earlier(spark):
     assert got == {"ABC": 1, "more": 0, "a\\E.b": 4}
 
 
-@pytest.mark.parametrize(
-    "command,expected",
-    [
-        ("true", (True, False)), (" : ", (True, False)), ("exit 0 # fine", (True, False)), ("echo a && echo b", (True, False)), ("echo a; ls", (False, False)),
-        ("echo 'a > b'", (False, False)), ("test -s '#x'", (False, True)), ("[ -f a ]", (False, True)), ("test -s a && grep -q x b", (False, True)),
-        ("grep -iq x f 2>/dev/null", (False, True)), ("grep x f", (False, False)), ("diff -q a b", (False, True)), ("diff -q a b || echo no", (False, False)),
-        ("diff -q a b || { cat a; exit 1; }", (False, False)), ("diff -q a b || exit 1", (False, True)), ("test -s a || echo no", (False, False)),
-        ("test -s a | cat", (False, False)), ("echo 'open", (False, False)), ("", (False, False)), ("# only", (False, False)), ("python3 check.py", (False, False)),
-    ],
-)
-def test_check_commands(command, expected):
-    assert (shell.cannot_fail(command), shell.fails_silently(command)) == expected
+CHECKS = [
+    ("true", (True, False)), (" : ", (True, False)), ("exit 0 # fine", (True, False)), ("echo a && echo b", (True, False)), ("echo a; ls", (False, False)),
+    ("echo 'a > b'", (False, False)), ("test -s '#x'", (False, True)), ("[ -f a ]", (False, True)), ("test -s a && grep -q x b", (False, True)),
+    ("grep -iq x f 2>/dev/null", (False, True)), ("grep x f", (False, False)), ("diff -q a b", (False, True)), ("diff -q a b || echo no", (False, False)),
+    ("diff -q a b || { cat a; exit 1; }", (False, False)), ("diff -q a b || exit 1", (False, True)), ("test -s a || echo no", (False, False)),
+    ("grep 'x y' -c f && [ -d 'a b' ]", (False, False)), ("[ -d 'a b' ] && grep -c '-q' f 2>&1", (False, True)), ("echo 'a; b'", (False, False)),
+    ("(diff -q a b) || { exit 1; }", (False, True)), ("echo \"a \\\" b\"\necho c;", (True, False)), ("echo a # | b", (True, False)),
+    ("echo a#b > c", (False, False)), ("[ -f ]", (False, False)), ("test -f a >x 2>&1", (False, True)), ("test -n a", (False, False)),
+    ("diff -q 'a b' c && true || printf '%s' no", (False, False)), ("echoes a", (False, False)), (None, (False, False)),
+    ("test -s a | cat", (False, False)), ("echo 'open", (False, False)), ("", (False, False)), ("# only", (False, False)), ("python3 check.py", (False, False)),
+]
+
+
+def test_check_commands(spark):
+    rows = [(i, command) for i, (command, _) in enumerate(CHECKS)]
+    judged = spark.createDataFrame(rows, "i int, c string").select("i", shell.judge_check("c").alias("j")).collect()
+    wrong = [(CHECKS[r.i], tuple(r.j)) for r in judged if tuple(r.j) != CHECKS[r.i][1]]
+    assert len(judged) == len(CHECKS) and not wrong
 
 
 @pytest.mark.parametrize(
@@ -207,12 +215,38 @@ def test_scope_variants(spark):
     assert {r.path for r in scope.in_forbidden(changed, owned).collect()} == {"src/a.py"}
 
 
-def test_symbols_over_several_passes(spark):
+def test_texts_held_match_brute_force(spark):
+    """Short, long, blank-holding and many-line needles; long pieces and a hot start."""
+    rng = random.Random(7)
+    word = lambda n: "".join(rng.choice("abA_") for _ in range(n))
+    texts = [(g, " ".join(word(rng.randint(1, 30)) for _ in range(60)) + "\n" + word(40) + "\n\t" + word(3_000)) for g in (1, 1, 2)]
+    texts += [(1, None), (2, ""), (1, "same_start_here_" * 300 + "end")]
+    needles = {(g, t[at : at + n]) for g, t in texts if t for n in (1, 2, 11, 12, 13, 40, 1_500) for at in rng.sample(range(len(t)), 6)}
+    needles |= {(2, n) for g, n in needles if g == 1} | {(1, "same_start_here_same_start_herf"), (1, "here_end")}
+    want = {(g, n) for g, n in needles if n and any(g == h and n in (t or "") for h, t in texts)}
+    got = scope.texts_held(
+        spark.createDataFrame(sorted(needles) + [(1, ""), (1, None)], "g int, needle string"), spark.createDataFrame(texts, "g int, content string"), ["g"]
+    ).collect()
+    assert len(got) == len(want) and {(r.g, r.needle) for r in got} == want
+    nothing = spark.createDataFrame([], "g int, needle string")
+    assert scope.texts_held(nothing, spark.createDataFrame(texts, "g int, content string"), ["g"]).count() == 0
+
+
+def test_large_files_are_searched_unless_a_limit_is_given(spark):
+    files = spark.createDataFrame([("t", "src/big.py", "x" * 1_100_000 + " needle"), ("t", "src/small.py", "hay")], "task_id string, path string, content string")
+    owned = spark.createDataFrame([("t", "src")], "task_id string, path string")
+    snippets = spark.createDataFrame([("t", "needle"), ("t", "absent")], "task_id string, snippet string")
+    assert {r.snippet for r in scope.missing_text(snippets, owned, files).collect()} == {"absent"}
+    assert {r.snippet for r in scope.missing_text(snippets, owned, files, 1_000_000).collect()} == {"absent", "needle"}
+    assert [r.path for r in scope.oversized(files, 1_000_000).collect()] == ["src/big.py"]
+
+
+def test_symbols_in_searchable_files(spark):
     symbols = spark.createDataFrame([(1, f"s{i}") for i in range(20)] + [(1, "in.bin"), (1, "skipped"), (1, "x(y)")], "doc_id int, symbol string")
     files = spark.createDataFrame(
         [("a.py", bytearray(b"s1 xs2x s19 x(y)")), ("b.bin", bytearray(b"\0in.bin")), ("dist/c.py", bytearray(b"skipped"))], "path string, content binary"
     )
-    found = {r.symbol for r in scope.symbols_found(symbols, files, per_pass=4).collect()}
+    found = {r.symbol for r in scope.symbols_found(symbols, files).collect()}
     assert found == {"s1", "s2", "s19", "x(y)"}
 
 
