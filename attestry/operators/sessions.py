@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,13 +22,8 @@ HARNESS = (
 
 def invokes(command: Column, tool: str) -> Column:
     """The command runs ``tool``: as first word, or as a script given to an interpreter."""
-    words = F.split(F.regexp_replace(command, r"^\s+", ""), r"\s+")
-    first, second = F.get(words, F.lit(0)), F.coalesce(F.get(words, F.lit(1)), F.lit(""))
-    script = f"{tool}.py"
-    return (
-        first.isin(tool, script) | first.endswith(f"/{tool}") | first.endswith(f"/{script}")
-        | (second == script) | second.endswith(f"/{script}")
-    )
+    name = re.escape(tool)
+    return command.rlike(rf"^\s*(?:(?:\S*/)?{name}(?:\.py)?|\S+\s+(?:\S*/)?{name}\.py)(?=\s|\z)")
 
 
 def needs_routing(command: Column, tool: str) -> Column:
