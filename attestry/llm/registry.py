@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 import public_tokenizers
 
-from attestry.llm import credentials, exact, host_rules, language, licenses, minhash, mixing, packing, pii, quality
+from attestry.llm import credentials, exact, host_rules, language, licenses, lines, minhash, mixing, packing, pii, quality
 from attestry.llm.common import remainder, shared, text_of, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -223,6 +223,33 @@ def op1(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+@query(
+    "op12_two_bloom_lines",
+    r"""
+with base as (
+  select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents),
+split as (
+  select rid, doc_id, unnest(l) as line, unnest(range(len(l))) as pos
+  from (select rid, doc_id, string_split(text, chr(10)) as l from base)),
+keyed as (
+  select *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as k from split),
+firsts as (
+  select k, min(doc_id) as first from keyed where length(k) >= 10
+  group by k having count(distinct doc_id) > 1),
+judged as (
+  select rid, doc_id, line, pos, coalesce(doc_id > first, false) as dropped
+  from keyed left join firsts on keyed.k = firsts.k)
+select doc_id, count(*) as n_lines, count(*) filter (where dropped) as n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) order by pos) filter (where not dropped), '')) as kept_sha256
+from judged group by rid, doc_id
+""",
+)
+def op12(spark: SparkSession, root: str) -> DataFrame:
+    found = lines.drop_repeated_lines(documents(spark, root).select("doc_id", "text"))
+    return found.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, root: str) -> DataFrame:
     return corpus_pipeline.run(spark, root)
