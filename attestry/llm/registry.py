@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 import public_tokenizers
 
-from attestry.llm import credentials, exact, host_rules, language, licenses, lines, minhash, mixing, packing, pii, quality
+from attestry.llm import credentials, divergence, exact, host_rules, language, licenses, lines, minhash, mixing, packing, pii, quality
 from attestry.llm.common import remainder, shared, text_of, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -250,6 +250,53 @@ def op12(spark: SparkSession, root: str) -> DataFrame:
     return found.select("row.doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query(
+    "op13_divergence_tree",
+    r"""
+with base as (
+  select row_number() over () as rid, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as text
+  from documents),
+tokens as (
+  select rid, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from base),
+vocabulary as (
+  select lang, term, count(*)::hugeint as lang_n from tokens group by lang, term having count(distinct rid) >= 3),
+counted as (
+  select lang, source, term, count(*)::hugeint as n from tokens group by lang, source, term),
+kept as (select counted.*, lang_n from counted join vocabulary using (lang, term)),
+sizes as (select lang, count(*)::hugeint as v, sum(lang_n)::hugeint as lang_total from vocabulary group by lang),
+stats as (
+  select g.lang, g.source, coalesce(total, 0)::hugeint as total, coalesce(v, 0)::hugeint as v, lang_total
+  from (select distinct lang, source from base) g
+  left join (select lang, source, sum(n)::hugeint as total from kept group by lang, source) t using (lang, source)
+  left join sizes using (lang)),
+chances as (
+  select s.lang, s.source, term, 1 + (1000000000 * (coalesce(n, 0) + 1)) // (total + v) as p
+  from stats s join vocabulary using (lang) left join counted using (lang, source, term)),
+pairs as (
+  select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) as value
+  from chances a join chances b on a.lang = b.lang and a.term = b.term and a.source <> b.source
+  group by a.lang, a.source, b.source
+  union all
+  select a.lang, a.source, b.source, 0 from stats a join stats b on a.lang = b.lang and a.source <> b.source
+  where a.v = 0),
+terms as (
+  select lang, source, term as item, ((p - q) * (p - q)) // q as value
+  from (select lang, source, term, 1 + (1000000000 * (n + 1)) // (total + v) as p,
+          1 + (1000000000 * (lang_n + 1)) // (lang_total + v) as q
+        from kept join stats using (lang, source))
+  where p > q),
+ranked as (
+  select *, row_number() over (partition by lang, source, part order by value desc, encode(item)) as rank
+  from (select *, 'pair' as part from pairs union all select *, 'term' as part from terms))
+select lang, source, part, item, value::bigint as value, rank::integer as rank
+from ranked where part = 'pair' or rank <= 200
+""",
+)
+def op13(spark: SparkSession, root: str) -> DataFrame:
+    return divergence.audit(documents(spark, root))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, root: str) -> DataFrame:
     return corpus_pipeline.run(spark, root)
