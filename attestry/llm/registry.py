@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 import public_tokenizers
 
-from attestry.llm import credentials, divergence, exact, host_rules, language, licenses, lines, minhash, mixing, packing, pii, quality
+from attestry.llm import credentials, divergence, exact, host_rules, language, licenses, lines, minhash, mixing, packing, pii, prefix_trie, quality
 from attestry.llm.common import remainder, shared, text_of, word_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -223,6 +223,54 @@ def op1(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+@query(
+    "op11_radix_prefix_trie",
+    r"""
+with base as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text
+  from conversations where conv_id is not null),
+convs as (
+  select conv_id as c,
+    list(struct_pack(r := role, t := text, w := len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')))
+         order by turn nulls first, role, sha256(length(role)::varchar || ':' || role || text)) as own
+  from base group by conv_id),
+hashed as (
+  select c, own, list_reduce(
+    list_prepend(4294967295::ubigint, list_transform(string_split(c::varchar, ''), lambda x: ascii(x)::ubigint)),
+    lambda a, b: list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::ubigint[]),
+      lambda x, y: xor(x >> 1, 3988292384::ubigint * (x & 1::ubigint)))) as crc
+  from convs),
+headed as (
+  select h.c, h.own, b.own as head, (xor(h.crc, 4294967295::ubigint) % 4)::bigint as k
+  from hashed h left join convs b on b.c = h.c - h.c % 20),
+rebuilt as (
+  select c, list_concat(coalesce(head[1:k], []), own[k + 1:]) as turns from headed),
+prefixes as (
+  select c, len(turns) as d_all, unnest(range(0, len(turns) + 1)) as depth, turns from rebuilt),
+nodes as (
+  select turns[1:depth] as path, depth, min(c) as conv_id, count(*) as n_convs,
+    sha256(coalesce(string_agg(c::varchar, ',' order by c) filter (where d_all = depth), '')) as ends_sha256
+  from prefixes group by turns[1:depth], depth),
+kids as (
+  select path[1:depth - 1] as path, depth - 1 as depth, count(*) as n_children from nodes where depth > 0
+  group by path[1:depth - 1], depth),
+whole as (
+  select nodes.*, coalesce(n_children, 0) as n_children,
+    case when nodes.depth = 0 then 0 else (n_convs - 1) * nodes.path[nodes.depth].w end as saved
+  from nodes left join kids on nodes.path = kids.path and nodes.depth = kids.depth),
+above as (
+  select path[1:a] as path, a as depth, (n_children = 0)::int as leaf, saved
+  from (select *, unnest(range(0, depth + 1)) as a from whole)),
+sums as (select path, depth, sum(leaf)::bigint as n_leaves, sum(saved)::bigint as saved_tokens from above group by path, depth)
+select w.conv_id, w.depth, p.conv_id as parent_conv_id, w.n_convs, w.n_children, s.n_leaves, s.saved_tokens, w.ends_sha256
+from whole w join sums s on w.path = s.path and w.depth = s.depth
+left join nodes p on w.depth > 0 and p.depth = w.depth - 1 and p.path = w.path[1:w.depth - 1]
+""",
+)
+def op11(spark: SparkSession, root: str) -> DataFrame:
+    return prefix_trie.prefix_trie(spark.read.parquet(f"{root}/conversations.parquet"))
+
+
 @query(
     "op12_two_bloom_lines",
     r"""
