@@ -32,7 +32,7 @@ from attestry.llm.common import shared
 TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")  # fixed value of the contract; in UTF-8 as in code points
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 SCALE = 1_000_000_000
-HELD = 1 << 18  # counts or combinations a task holds before it passes them on
+HELD_TERMS, HELD_PAIRS = 1 << 19, 1 << 18  # counts and combinations a task holds before it passes them on
 SLICE = 1 << 24  # bytes of a text searched at a time
 
 
@@ -49,20 +49,21 @@ def term_slices(text: bytes) -> Iterator[list[bytes]]:
 
 def count_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Partial counts: lang, source, term, occurrences, documents; a null term marks the group."""
-    held: dict[tuple, dict[bytes, list[int]]] = {}
+    held: dict[tuple, tuple[Counter, Counter]] = {}
     size = 0
 
     def passed_on() -> pa.RecordBatch:
-        lengths = [1 + len(cells) for cells in held.values()]
+        lengths = [1 + len(counts) for counts, _ in held.values()]
         langs, sources = (np.repeat(np.array([k[i] for k in held], object), lengths) for i in (0, 1))
-        terms = [term for cells in held.values() for term in (None, *cells)]
-        counts = [c for cells in held.values() for c in ([0, 0], *cells.values())]
+        rows = [
+            [x for cells in held.values() for x in column(*cells)]
+            for column in (lambda n, d: (None, *n), lambda n, d: (0, *n.values()), lambda n, d: (0, *(d[t] for t in n)))
+        ]
         held.clear()
         return pa.RecordBatch.from_arrays(
             [
-                pa.array(langs, pa.string()), pa.array(sources, pa.string()),
-                pc.cast(pa.array(terms, pa.binary()), pa.string()),
-                pa.array([c[0] for c in counts], pa.int64()), pa.array([c[1] for c in counts], pa.int64()),
+                pa.array(langs, pa.string()), pa.array(sources, pa.string()), pc.cast(pa.array(rows[0], pa.binary()), pa.string()),
+                pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64()),
             ],
             ["lang", "source", "term", "n", "docs"],
         )
@@ -72,20 +73,14 @@ def count_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             batch.column("lang").to_pylist(), batch.column("source").to_pylist(),
             pc.cast(batch.column("text"), pa.binary()).to_pylist(),
         ):
-            seen: Counter = Counter()
+            counts, spread = held.setdefault((lang, source), (Counter(), Counter()))
+            before, seen = len(counts), set()
             for terms in term_slices(text):
+                counts.update(terms)
                 seen.update(terms)
-            cells = held.setdefault((lang, source), {})
-            size -= len(cells)
-            for term, n in seen.items():
-                cell = cells.get(term)
-                if cell is None:
-                    cells[term] = [n, 1]
-                else:
-                    cell[0] += n
-                    cell[1] += 1
-            size += len(cells)
-            if size >= HELD:
+            spread.update(seen)
+            size += len(counts) - before
+            if size >= HELD_TERMS:
                 yield passed_on()
                 size = 0
     if held:
@@ -143,18 +138,18 @@ class Tree:
         if not self.pairs:
             return []
         keys = np.array(list(self.pairs), np.int64)
-        times = list(self.pairs.values())
+        times, sources = list(self.pairs.values()), [source for source, _, _ in self.items]
         p = np.array([chance(c, total, kept) for _, c, total in self.items], np.int64)
         zero = np.array([chance(0, total, kept) for _, _, total in self.items], np.int64)
         sums: dict[tuple, int] = {}
         for one, other in ((keys[:, 0], keys[:, 1]), (keys[:, 1], keys[:, 0])):
-            gains = [
-                distance(p[one], p[other]), -distance(p[one], zero[other]),
-                -distance(zero[one], p[other]), distance(zero[one], zero[other]),
-            ]
-            for a, b, n, w, x, y, z in zip(one.tolist(), other.tolist(), times, *(g.tolist() for g in gains)):
-                pair = (self.items[a][0], self.items[b][0])
-                sums[pair] = sums.get(pair, 0) + n * (w + x + y + z)
+            gains = (
+                distance(p[one], p[other]) - distance(p[one], zero[other])
+                - distance(zero[one], p[other]) + distance(zero[one], zero[other])
+            )
+            for a, b, n, gain in zip(one.tolist(), other.tolist(), times, gains.tolist()):
+                pair = (sources[a], sources[b])
+                sums[pair] = sums.get(pair, 0) + n * gain
         self.pairs = {}
         if not self.path:
             self.names, self.items = {}, []
@@ -166,14 +161,18 @@ def tree_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("lang", pa.string()), ("source", pa.string()), ("item", pa.string()), ("value", pa.string())])
     tree, lang, kept = Tree(), None, 0
     for batch in batches:
-        for row in batch.to_pylist():
-            if row["lang"] != lang:
+        flat = batch.column("items").flatten()
+        items = list(zip(*(flat.field(name).to_pylist() for name in ("source", "n", "total"))))
+        ends = np.cumsum(pc.list_value_length(batch.column("items")).to_numpy(zero_copy_only=False)).tolist()
+        rows = zip(*(batch.column(name).to_pylist() for name in ("lang", "times", "kept")), [0, *ends], ends)
+        for row_lang, times, row_kept, start, end in rows:
+            if row_lang != lang:
                 tree.close()
                 if found := tree.corrections(lang, kept):
                     yield pa.RecordBatch.from_pylist(found, schema=schema)
-                tree, lang, kept = Tree(), row["lang"], row["kept"]
-            tree.insert([(i["source"], i["n"], i["total"]) for i in row["items"]], row["times"])
-            if len(tree.pairs) >= HELD:
+                tree, lang, kept = Tree(), row_lang, row_kept
+            tree.insert(items[start:end], times)
+            if len(tree.pairs) >= HELD_PAIRS:
                 tree.close()
                 yield pa.RecordBatch.from_pylist(tree.corrections(lang, kept), schema=schema)
     tree.close()
@@ -206,20 +205,20 @@ def audit(docs: DataFrame, lang: str = "lang", source: str = "source", text: str
     def named(column: str) -> Column:
         return F.coalesce(F.col(f"`{column}`").cast("string"), F.lit(""))
 
-    counts = shared(
+    # One exchange by term serves both groupings: batches have counted already.
+    terms = shared(
         docs.select(named(lang).alias("lang"), named(source).alias("source"), named(text).alias("text"))
         .mapInArrow(count_batches, "lang string, source string, term string, n long, docs long")
-        .groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")),
-        "term-counts",
-    )
-    kept_rows = shared(
-        counts.where("term is not null").groupBy("lang", "term")
+        .repartition("lang", "term")
+        .groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+        .groupBy("lang", "term")
         .agg(F.array_sort(F.collect_list(F.struct("source", "n"))).alias("cells"), F.sum("n").alias("lang_n"), F.sum("docs").alias("docs"))
-        .where(F.col("docs") >= min_docs).drop("docs"),
+        .where((F.col("docs") >= min_docs) | F.col("term").isNull()).drop("docs"),
         "kept-terms",
     )
+    kept_rows = terms.where("term is not null")
+    groups = terms.where("term is null").select("lang", F.explode("cells.source").alias("source"))
     cells = kept_rows.select("lang", "term", "lang_n", F.explode("cells").alias("cell")).select("lang", "term", "lang_n", "cell.*")
-    groups = counts.where("term is null").select("lang", "source")
     langs = kept_rows.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("lang_n").alias("lang_total"))
     totals = cells.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     stats = shared(
@@ -235,8 +234,10 @@ def audit(docs: DataFrame, lang: str = "lang", source: str = "source", text: str
         .select("lang", items.alias("items"), "times", "kept"),
         "term-rows",
     )
+    start = F.slice(F.transform("items", lambda i: F.struct(i["source"], i["n"])), 1, 4)
     met = (
-        rows.where(F.size("items") > 1).repartitionByRange("lang", "items").sortWithinPartitions("lang", "items")
+        rows.where(F.size("items") > 1).repartitionByRange("lang", start, F.xxhash64("items"))
+        .sortWithinPartitions("lang", "items")
         .mapInArrow(tree_batches, "lang string, source string, item string, value string")
         .select("lang", "source", "item", F.col("value").cast("decimal(38,0)").alias("value"))
     )
@@ -272,7 +273,7 @@ def audit(docs: DataFrame, lang: str = "lang", source: str = "source", text: str
 
     best = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     p, q = (chance_of(F.col(n), F.col(t), F.col("kept")) for n, t in (("n", "total"), ("lang_n", "lang_total")))
-    terms = (
+    stand_out = (
         cells.join(stats, ["lang", "source"]).select("lang", "source", F.col("term").alias("item"), p.alias("p"), q.alias("q"))
         .where("p > q").select("lang", "source", "item", distance_of(F.col("p"), F.col("q")).alias("value"))
         .withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= top_terms)
@@ -280,4 +281,4 @@ def audit(docs: DataFrame, lang: str = "lang", source: str = "source", text: str
     )
     ranked = pairs.withColumn("rank", F.row_number().over(best))
     columns = ["lang", "source", "part", "item", "value", "rank"]
-    return ranked.select(columns).unionByName(terms.select(columns))
+    return ranked.select(columns).unionByName(stand_out.select(columns))
