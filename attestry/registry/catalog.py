@@ -170,7 +170,7 @@ def _stored(df):
 @query("catalog_events_append", STORED, BOTH)
 def _(v):
     root = storage.scratch_path(v.spark, "events")
-    storage.append_events(events(v), root)
+    storage.append_events(events(v), root, TS)
     return _stored(storage.read_events(v.spark, root))
 
 

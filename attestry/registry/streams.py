@@ -133,13 +133,17 @@ def _(v):
 @query("stream_catalog", "select ts, kind, model_id from (" + ORACLES["catalog_diff"] + """) union all
  select '2026-07-12T00:00:00Z', 'added', concat('vendor/part-', cast(p_partkey as varchar)) from part where p_brand <> 'Brand#7'""")
 def _(v):
-    old = v("catalog_old").withColumns({"fetched_at": F.lit("2026-07-12T00:00:00Z"), "n": F.lit(0)})
-    new = v("catalog_new").withColumns({"fetched_at": F.lit("2026-07-13T00:00:00Z"), "n": F.lit(1)})
+    """Both payloads arrive in parts: three slices, the middle one with rows of both."""
+    def parts(view, fetched_at, n):
+        rows = v(view)
+        place = F.pmod(F.xxhash64("id"), F.lit(100)) + 100 * n
+        return rows.withColumns({
+            "fetched_at": F.lit(fetched_at), "position": F.xxhash64("id"), "total": F.lit(rows.count()), "n": place,
+        })
+
     root = out(v, "stream-catalog")
     runtime.replay(
-        old.unionByName(new), out(v, "payloads"), "n",
-        lambda s, cp: imports.stream_catalog(s.drop("n"), root, checkpoint=cp),
+        parts("catalog_old", "2026-07-12T00:00:00Z", 0).unionByName(parts("catalog_new", "2026-07-13T00:00:00Z", 1)),
+        out(v, "payloads"), "n", lambda s, cp: imports.stream_catalog(s.drop("n"), root, checkpoint=cp), slices=3,
     )
     return imports.catalog_events(v.spark, root).select("ts", "kind", "model_id")
-
-

@@ -40,43 +40,71 @@ def export_jsonl(rows: DataFrame, path: str) -> None:
 
 
 def write_snapshot(models: DataFrame, root: str, fetched_at: str) -> None:
-    """Write one catalog snapshot to its own folder; earlier ones stay readable."""
-    snapshot_rows(models.drop("fetched_at")).write.mode("overwrite").parquet(
-        f"{root}/snapshots/fetched_at={_folder(fetched_at)}"
+    """Write one catalog snapshot to its own folder, then list it; earlier ones stay readable.
+
+    The list holds one row a snapshot.  What is not listed was not finished.
+    """
+    snapshot_rows(models.drop("fetched_at")).write.mode("overwrite").parquet(_snapshot_path(root, fetched_at))
+    models.sparkSession.createDataFrame([(fetched_at,)], "fetched_at string").coalesce(1).write.mode("overwrite").parquet(
+        f"{root}/published/payload={payload_key(fetched_at)}"
     )
 
 
-def _folder(stamp: str) -> str:
-    return stamp.replace(":", "%3A")
+def payload_key(fetched_at: str) -> str:
+    """A payload's folder name; the prefix keeps Spark from reading it as a time."""
+    return "at-" + fetched_at.replace(":", ".")
+
+
+def _snapshot_path(root: str, fetched_at: str) -> str:
+    return f"{root}/snapshots/payload={payload_key(fetched_at)}"
 
 
-def read_snapshots(spark: SparkSession, root: str) -> DataFrame | None:
-    """All snapshots with their ``fetched_at``; None before the first one."""
+def published(spark: SparkSession, root: str) -> DataFrame | None:
+    """The times of all finished snapshots; None before the first one."""
     try:
-        return (
-            spark.read.option("basePath", f"{root}/snapshots").parquet(f"{root}/snapshots")
-            .withColumn("fetched_at", F.col("fetched_at").cast("string"))
-        )
+        return spark.read.parquet(f"{root}/published").select("fetched_at")
     except AnalysisException:
         return None
 
 
-def latest_snapshot(spark: SparkSession, root: str) -> DataFrame | None:
-    """Rows of the newest snapshot; only its folder is read."""
-    every = read_snapshots(spark, root)
-    if every is None:
+def time_beside(spark: SparkSession, root: str, fetched_at: str | None = None, after: bool = False) -> str | None:
+    """The newest snapshot's time, the newest before ``fetched_at``, or the first one after it."""
+    times = published(spark, root)
+    if times is None:
+        return None
+    at = F.col("fetched_at")
+    if fetched_at is not None:
+        times = times.where(at > fetched_at if after else at < fetched_at)
+    return times.agg(F.min(at) if after else F.max(at)).first()[0]
+
+
+def read_snapshot(spark: SparkSession, root: str, fetched_at: str | None) -> DataFrame | None:
+    """One snapshot with its time, from its own folder."""
+    if fetched_at is None:
         return None
-    newest = every.agg(F.max("fetched_at")).first()[0]
-    return every.where(F.col("fetched_at") == newest)
+    return spark.read.parquet(_snapshot_path(root, fetched_at)).withColumn("fetched_at", F.lit(fetched_at))
+
+
+def latest_snapshot(spark: SparkSession, root: str) -> DataFrame | None:
+    """The newest snapshot; only the list of snapshots and its folder are read."""
+    return read_snapshot(spark, root, time_beside(spark, root))
 
 
-def append_events(events: DataFrame, root: str) -> None:
-    """Append change events, payload as JSON text."""
-    events.withColumn("payload", F.to_json("payload")).write.mode("append").parquet(f"{root}/events")
+def append_events(events: DataFrame, root: str, fetched_at: str) -> None:
+    """Store the change events of one payload, details as JSON text.
+
+    Each payload has a folder of its own, so a repeated refresh replaces its events.
+    """
+    events.withColumn("payload", F.to_json("payload")).write.mode("overwrite").parquet(
+        f"{root}/events/of={payload_key(fetched_at)}"
+    )
 
 
-def read_events(spark: SparkSession, root: str) -> DataFrame:
-    return spark.read.parquet(f"{root}/events")
+def read_events(spark: SparkSession, root: str, fetched_at: str | None = None) -> DataFrame:
+    """All events, or those of one payload from its folder alone."""
+    if fetched_at is not None:
+        return spark.read.parquet(f"{root}/events/of={payload_key(fetched_at)}")
+    return spark.read.parquet(f"{root}/events").drop("of")
 
 
 def write_report(rows: DataFrame, path: str) -> None:

@@ -21,9 +21,11 @@ def stream_attempts(
 
     def write(batch: DataFrame, batch_id: int) -> None:
         rows = classified_rows(batch, run_tasks, mapping).persist()
-        runtime.write_batch(ingest.accepted(rows), f"{root}/attempts", batch_id)
-        runtime.write_batch(ingest.rejected(rows), f"{root}/rejects", batch_id)
-        rows.unpersist()
+        try:
+            runtime.write_batch(ingest.accepted(rows), f"{root}/attempts", batch_id)
+            runtime.write_batch(ingest.rejected(rows), f"{root}/rejects", batch_id)
+        finally:
+            rows.unpersist()
 
     writer = lines.writeStream.foreachBatch(write)
     return runtime.start(writer, lines.sparkSession, "attempts", **options)
@@ -72,16 +74,28 @@ def current_scoreboard(spark: SparkSession, root: str) -> DataFrame:
 
 
 def stream_catalog(payloads: DataFrame, root: str, **options) -> StreamingQuery:
-    """Refresh the catalog for every payload time in a batch, oldest first.
-
-    ``payloads`` holds normalised model rows with their ``fetched_at``.  The times
-    in one micro-batch are few: each is a whole catalog.
+    """Refresh the catalog once for every payload that has arrived in full.
+
+    ``payloads`` holds normalised model rows with their payload's ``fetched_at``, their
+    ``position`` in it and its ``total`` of rows.  A payload may come in any number of
+    files and batches, and a batch may hold parts of many.  Parts are kept by payload;
+    one is complete when ``total`` different positions have come.  Rows that come again
+    change nothing.  Complete payloads of a batch are refreshed oldest first; one without
+    a total waits for ever.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        times = [r[0] for r in batch.select("fetched_at").distinct().orderBy("fetched_at").toLocalIterator()]
-        for fetched_at in times:
-            refresh(batch.where(F.col("fetched_at") == fetched_at), root, fetched_at)
+        spark = batch.sparkSession
+        key = F.concat(F.lit("at-"), F.replace("fetched_at", F.lit(":"), F.lit(".")))
+        parts = f"{root}/parts/batch={batch_id}"
+        batch.withColumn("payload", key).write.mode("overwrite").partitionBy("payload").parquet(parts)
+        touched = spark.read.schema(batch.schema).parquet(parts).select("fetched_at").distinct()
+        # A batch holds few payloads: each is a whole catalog.
+        for fetched_at in [r[0] for r in touched.orderBy("fetched_at").toLocalIterator()]:
+            rows = spark.read.schema(batch.schema).parquet(f"{root}/parts/batch=*/payload={storage.payload_key(fetched_at)}")
+            come, total = rows.agg(F.count_distinct("position"), F.max("total")).first()
+            if come == total:
+                refresh(rows, root, fetched_at, F.col("position"))
 
     writer = payloads.writeStream.foreachBatch(write)
     return runtime.start(writer, payloads.sparkSession, "catalog", **options)

@@ -88,8 +88,14 @@ def test_refresh_keeps_events_and_snapshots(spark, tmp_path):
     assert catalog_refresh.refresh(first, root, "2026-01-01T00:00:00Z").count() == 1
     events = catalog_refresh.refresh(second, root, "2026-01-02T00:00:00Z")
     assert {(e.kind, e.model_id) for e in events.collect()} == {("price_change", "a"), ("added", "b")}
+    again = catalog_refresh.refresh(second, root, "2026-01-02T00:00:00Z")
+    assert again.count() == 2 and storage.read_events(spark, root).count() == 3
     newest = storage.latest_snapshot(spark, root)
     assert {r.id for r in newest.collect()} == {"a", "b"}
+    assert catalog_refresh.refresh(first.limit(0), root, "2026-01-01T12:00:00Z").count() == 1
+    assert [(e.kind, e.model_id) for e in storage.read_events(spark, root, "2026-01-02T00:00:00Z").orderBy("model_id").collect()] == [
+        ("added", "a"), ("added", "b")
+    ]
     assert catalog.stale(newest, F.lit("2026-01-02T23:00:00Z")).first().stale is False
     assert catalog.stale(newest, F.lit("2026-01-03T00:00:01Z")).first().stale is True
     assert catalog.stale(newest.limit(0), F.lit("2026-01-03T00:00:00Z")).first().stale is True

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from attestry.operators import logs, runs, sessions
-from attestry.streaming import alerts, runtime, tasks
+from attestry.streaming import alerts, imports, runtime, tasks
 
 
 def files_stream(spark, frames, path):
@@ -61,3 +61,47 @@ def test_replayed_batch_overwrites(spark, tmp_path):
     for _ in range(2):
         runtime.write_batch(spark.range(3), root, 7)
     assert runtime.read_batches(spark, root).count() == 3
+
+
+MODEL = (
+    "id string, name string, context_length int, modality string, prompt_per_m double, completion_per_m double, "
+    "variable_pricing boolean, pricing_unknown boolean, free boolean, fetched_at string, position long, total long"
+)
+
+
+def payload(fetched_at, prices):
+    return [
+        (f"m{i}", f"M{i}", 8, "text", p, p, False, False, p == 0, fetched_at, i, len(prices)) for i, p in enumerate(prices)
+    ]
+
+
+FIRST, SECOND, THIRD = payload("2026-01-01T00:00:00Z", [1.0] * 4), payload("2026-01-02T00:00:00Z", [1.0, 2.0, 0.0]), payload("2026-01-03T00:00:00Z", [5.0] * 3)
+EVENTS = sorted(
+    [("2026-01-01T00:00:00Z", "added", f"m{i}") for i in range(4)]
+    + [("2026-01-02T00:00:00Z", k, m) for k, m in (("removed", "m3"), ("price_change", "m1"), ("price_change", "m2"), ("went_free", "m2"))]
+    + [("2026-01-03T00:00:00Z", k, m) for k, m in (("price_change", "m0"), ("price_change", "m1"), ("price_change", "m2"), ("went_paid", "m2"))]
+)
+
+
+@pytest.mark.parametrize(
+    "files",
+    [
+        [FIRST[:2], FIRST[2:], SECOND, THIRD],  # one payload in two files
+        [FIRST + SECOND, THIRD],  # two payloads in one file
+        [FIRST[:1], FIRST[1:] + SECOND[:2], SECOND[:2], SECOND[2:] + THIRD, THIRD, FIRST],  # parts come again
+        [THIRD, SECOND[1:], FIRST, SECOND[:1]],  # later ones first
+    ],
+)
+def test_catalog_payloads_arrive_in_parts(spark, tmp_path, files):
+    frames = [spark.createDataFrame(rows, MODEL) for rows in files]
+    stream = files_stream(spark, frames, str(tmp_path / "in"))
+    runtime.finish(imports.stream_catalog(stream, str(tmp_path / "out"), checkpoint=str(tmp_path / "cp")))
+    got = imports.catalog_events(spark, str(tmp_path / "out")).select("ts", "kind", "model_id").collect()
+    assert sorted(tuple(r) for r in got) == EVENTS
+
+
+def test_incomplete_payload_gives_no_events(spark, tmp_path):
+    frames = [spark.createDataFrame(FIRST, MODEL), spark.createDataFrame(SECOND[:2], MODEL)]
+    stream = files_stream(spark, frames, str(tmp_path / "in"))
+    runtime.finish(imports.stream_catalog(stream, str(tmp_path / "out"), checkpoint=str(tmp_path / "cp")))
+    assert {r.ts for r in imports.catalog_events(spark, str(tmp_path / "out")).collect()} == {"2026-01-01T00:00:00Z"}
