@@ -9,10 +9,8 @@ from attestry.functions.paths import ancestors, normal
 
 WILDCARD = "*"
 BINARY_PROBE = 2_048
-# What a needle lies inside of; the characters of it looked up first; a window's length.
-PIECE, LINE, WHOLE = 0, 1, 2
-KEY_CHARS = 12
-WINDOW_CHARS = 1_024
+# Lengths of the n-grams looked up: the longest that a run of a needle has room for.
+GRAM_CHARS = [6, 3, 2, 1]
 # Fixed list: folders that are never searched.
 SKIP_DIRS = [
     ".git", ".hg", ".svn", "node_modules", ".next", "dist", "build", "coverage", "__pycache__",
@@ -80,72 +78,92 @@ def oversized(files: DataFrame, max_bytes: int) -> DataFrame:
     return files.where(size > max_bytes).select("path", size.alias("bytes"))
 
 
+BLANKS = r"\s+"
+
+
+def _grams(run: Column, size: Column) -> Column:
+    """Distinct n-grams of a run that is at least ``size`` long."""
+    places = F.sequence(F.lit(1), F.char_length(run) - size + 1)
+    return F.array_distinct(F.transform(places, lambda at: F.substring(run, at, size)))
+
+
 def texts_held(needles: DataFrame, texts: DataFrame, by: list[str] = ()) -> DataFrame:
     """Distinct needles that occur in a text of their group: columns ``by`` and ``needle``.
 
     ``needles`` has columns ``by`` and ``needle``, ``texts`` has ``by`` and ``content``.
-    No needle meets a text: both are cut to strings that must be equal.  A needle
-    without blanks lies inside one blank-free piece of a text, one with blanks inside
-    one line, any other in the whole text, so only distinct pieces are looked at.  At
-    each place of a piece its first characters are looked up; where some needle starts
-    with them, the text from there is cut to the lengths such needles have.  Empty
-    needles occur nowhere; null ones and null texts are left out.
+    Needles and texts are cut at blanks.  Where a needle occurs, each of its words lies in
+    a word of the text, so an index of n-grams is made of the distinct words of all texts,
+    and each needle looks up the one n-gram of its own that fewest texts hold.  A needle
+    without blanks is found once such a word contains it; any other is compared with the
+    texts that hold a fitting word.  Needles without a common n-gram go before any text is
+    compared.  Needles of nothing but blanks are looked up in the distinct runs of blanks.
+    Empty needles occur nowhere; null ones and null texts are left out.
     """
     by = list(by)
-    blank, broken = F.col("needle").rlike(r"\s"), F.contains("needle", F.lit("\n"))
-    kind = F.when(broken, WHOLE).when(blank, LINE).otherwise(PIECE)
-    names = needles.where(F.col("needle") != "").select(
-        *by, "needle", kind.alias("kind"), F.char_length("needle").alias("n"),
-        F.substring("needle", 1, KEY_CHARS).alias("key"),
-    ).distinct()
-    # Bounded by the longest needle, never by the number of needles.
-    starts = names.groupBy(*by, "kind", "key").agg(F.collect_set("n").alias("lengths"))
-    longest = names.agg(F.coalesce(F.max("n"), F.lit(0))).scalar()
-    kinds = names.agg(F.collect_set("kind")).scalar()
-    key_sizes = names.agg(F.array_sort(F.collect_set(F.least("n", F.lit(KEY_CHARS))))).scalar()
-
-    def units(which: int, found: Column) -> Column:
-        none = F.array().cast("array<struct<kind:int,unit:string>>")
-        rows = F.transform(F.array_distinct(found), lambda u: F.struct(F.lit(which).alias("kind"), u.alias("unit")))
-        return F.when(F.array_contains(kinds, which), rows).otherwise(none)
-
-    content = F.col("content").cast("string")
-    every = texts.select(
-        *by,
-        F.explode(
-            F.concat(
-                units(PIECE, F.split(content, r"\s+")), units(LINE, F.split(content, "\n")), units(WHOLE, F.array(content))
-            )
-        ).alias("u"),
-    ).select(*by, "u.kind", "u.unit").where("unit <> ''").distinct()
-    # Long units in overlapping windows: a row never holds a place times a whole text.
-    step = F.greatest(longest, F.lit(WINDOW_CHARS)).cast("string")
-    pieces = F.regexp_extract_all("unit", F.concat(F.lit("(?s).{1,"), step, F.lit("}")), F.lit(0))
-    windows = every.select(*by, "kind", pieces.alias("p")).select(
-        *by, "kind",
-        F.explode(
-            F.transform(
-                "p",
-                lambda piece, i: F.struct(
-                    F.char_length(piece).alias("places"),
-                    F.concat(piece, F.coalesce(F.get("p", i + 1), F.lit(""))).alias("text"),
-                ),
-            )
-        ).alias("w"),
-    ).select(*by, "kind", "w.*", longest.alias("longest"))
-    tails = windows.select(
-        *by, "kind",
-        F.explode(F.transform(F.sequence(F.lit(1), "places"), lambda at: F.substring("text", at, F.col("longest")))).alias("tail"),
-    ).withColumn("key_sizes", key_sizes)
-    keyed = tails.select(
-        *by, "kind", "tail",
-        F.explode(F.transform(F.filter("key_sizes", lambda n: n <= F.char_length("tail")), lambda n: F.substring("tail", F.lit(1), n))).alias("key"),
-    ).distinct()
-    spans = keyed.join(starts, [*by, "kind", "key"]).select(
-        *by, F.explode(F.transform("lengths", lambda n: F.substring("tail", F.lit(1), n))).alias("needle")
-    ).distinct()
-    wanted = names.select(*by, "needle")
-    return wanted.join(spans, [*by, "needle"], "left_semi")
+    names = needles.where(F.col("needle") != "").select(*by, "needle").distinct()
+    blank = F.col("needle").rlike(r"\A\s+\z")
+    single = ~F.col("needle").rlike(r"\s") | blank
+    words = F.when(blank, F.array("needle")).otherwise(F.split("needle", BLANKS))
+    size = F.lit(GRAM_CHARS[-1])
+    for n in GRAM_CHARS[-2::-1]:
+        size = F.when(F.char_length("run") >= n, n).otherwise(size)
+    keys = (
+        names.withColumns({"single": single, "words": words})
+        .select(*by, "needle", "single", F.size("words").alias("words"), F.posexplode("words").alias("at", "run"))
+        .where("run <> ''").withColumn("size", size)
+        .withColumn("gram", F.explode(_grams(F.col("run"), F.col("size"))))
+    )
+    seen = keys.agg(
+        F.struct(F.collect_set("size").alias("sizes"), F.bool_or(blank).alias("blank"), F.bool_or(~F.col("single")).alias("across"))
+    ).scalar()
+    any_across = F.coalesce(seen["across"], F.lit(False))
+    none = F.array().cast("array<string>")
+
+    held = texts.where("content is not null").select(*by, F.col("content").cast("string").alias("content"))
+    cut = F.split("content", BLANKS)
+    gaps = F.when(seen["blank"], F.regexp_extract_all("content", F.lit(BLANKS), F.lit(0))).otherwise(none)
+    # Two branches, so that cutting the texts does not wait for what needles there are.
+    pieces = (
+        held.select(*by, F.explode(F.array_distinct(cut)).alias("piece")).where("piece <> ''")
+        .groupBy(*by, "piece").agg(F.count("*").alias("texts"))
+        .unionByName(
+            held.select(*by, F.explode(F.array_distinct(gaps)).alias("piece")).groupBy(*by, "piece").agg(F.count("*").alias("texts"))
+        )
+        .withColumn("sizes", seen["sizes"])
+    )
+    fitting = F.filter("sizes", lambda n: n <= F.char_length("piece"))
+    index = pieces.select(
+        *by, "piece", "texts", F.explode(F.flatten(F.transform(fitting, lambda n: _grams(F.col("piece"), n)))).alias("gram")
+    )
+    hits = index.join(keys.select(*by, "gram").distinct(), [*by, "gram"], "left_semi")
+    counts = hits.groupBy(*by, "gram").agg(F.sum("texts").alias("held"))
+    # A needle with an n-gram that no text holds occurs nowhere.
+    held_by = F.coalesce("held", F.lit(0))
+    rarest = (
+        keys.join(counts, [*by, "gram"], "left").groupBy(*by, "needle")
+        .agg(F.min_by(F.struct("single", "words", "gram", "run", "at"), held_by).alias("best"), F.min(held_by).alias("held"))
+        .where("held > 0").select(*by, "needle", "best.*")
+    )
+    whole = rarest.where(F.col("needle") == F.col("gram")).select(*by, "needle")
+    first, last = F.col("at") == 0, F.col("at") == F.col("words") - 1
+    fits = (
+        F.when(F.col("single"), F.contains("piece", "run")).when(first, F.endswith("piece", "run"))
+        .when(last, F.startswith("piece", "run")).otherwise(F.col("piece") == F.col("run"))
+    )
+    # Counts stay in the plan, so that the exchange of words is made once and used twice.
+    near = rarest.where(F.col("needle") != F.col("gram")).join(hits.where("texts > 0"), [*by, "gram"]).where(fits)
+    inside = near.where("single").select(*by, "needle")
+    keyed = held.withColumn("text_key", F.xxhash64("content"))
+    across = (
+        near.where(~F.col("single")).select(*by, "needle", "piece")
+        .join(
+            keyed.select(*by, "text_key", F.explode(F.array_distinct(F.when(any_across, cut).otherwise(none))).alias("piece")),
+            [*by, "piece"],
+        )
+        .select(*by, "needle", "text_key").distinct()
+        .join(keyed.where(any_across), [*by, "text_key"]).where(F.contains("content", "needle")).select(*by, "needle")
+    )
+    return whole.unionByName(inside).unionByName(across).distinct()
 
 
 def symbols_found(symbols: DataFrame, files: DataFrame, max_bytes: int | None = None) -> DataFrame:

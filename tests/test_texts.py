@@ -232,6 +232,27 @@ def test_texts_held_match_brute_force(spark):
     assert scope.texts_held(nothing, spark.createDataFrame(texts, "g int, content string"), ["g"]).count() == 0
 
 
+def test_blank_needles_and_edges_of_words(spark):
+    text = "alpha beta\n\n  gamma delta epsilon\tzeta"
+    yes = ["beta\n\n  gam", " ", "\n\n", "  ", "\n  g", "ta e", "a d", "gamma delta epsilon", "\tz", "alpha", "pha be", "a beta\n"]
+    no = ["beta gamma", "\n\n\n", "   ", "ha bet gam", "amma del epsilon", "zeta ", " alpha", "delta\tepsilon", "\t\t"]
+    needles = spark.createDataFrame([(n,) for n in yes + no], "needle string")
+    texts = spark.createDataFrame([(text,), ("other words",), (text,)], "content string")
+    assert sorted(r.needle for r in scope.texts_held(needles, texts).collect()) == sorted(yes)
+
+
+def test_one_long_snippet_is_found_by_its_rarest_gram(spark):
+    """Neither a row per character nor a tail as long as the longest needle."""
+    rng = random.Random(3)
+    body = "\n".join(" ".join("".join(rng.choice("abcdef") for _ in range(6)) for _ in range(10)) for _ in range(5_700))
+    snippets = [body[200_000:203_000], body[200_000:203_000] + "#", "common"]
+    texts = spark.createDataFrame([(body,)] + [("common " * 50,)] * 20, "content string")
+    found = scope.texts_held(spark.createDataFrame([(n,) for n in snippets], "needle string"), texts)
+    assert {r.needle for r in found.collect()} == {snippets[0], "common"}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "substring(content" not in plan and "Cartesian" not in plan
+
+
 def test_large_files_are_searched_unless_a_limit_is_given(spark):
     files = spark.createDataFrame([("t", "src/big.py", "x" * 1_100_000 + " needle"), ("t", "src/small.py", "hay")], "task_id string, path string, content string")
     owned = spark.createDataFrame([("t", "src")], "task_id string, path string")
