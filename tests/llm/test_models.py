@@ -1,4 +1,6 @@
+import random
 import zlib
+from collections import Counter
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -44,13 +46,72 @@ def test_language_of_odd_texts(table):
 def test_language_probabilities_sum_to_one():
     packed, _, _ = language.grams(["abab cab", "bca bac abc"])
     keys, n = np.unique(packed, return_counts=True)
-    model = language.Model.fit(["x"], np.zeros(len(keys), int), keys, n.astype(float))
+    model = language.Language.fit(keys, n.astype(float))
     for history in ("ab ", "zzz", "\x01\x01\x01"):
         context = sum(ord(c) << (16 * (3 - i)) for i, c in enumerate(history))
         every = np.uint64(context) + np.arange(1 << 16, dtype=np.uint64)
         assert abs(np.exp(model.log_probs(every)).sum() - 1) < 1e-3
 
 
+def plain_kneser_ney(texts, gram):
+    """Interpolated Kneser-Ney by its definition, on strings."""
+    start = "\x01"
+    counts = Counter(
+        padded[i - 3:i + 1] for padded in (start * 3 + t for t in texts) for i in range(3, len(padded))
+    )
+    p = 1 / (1 << 16)
+    for width in range(1, 5):
+        level = counts
+        for shorter in range(3, width - 1, -1):
+            level = Counter(g[1:] for g in level)
+        once, twice = (sum(n == k for n in level.values()) for k in (1, 2))
+        discount = once / (once + 2 * twice) if once else 0.5
+        context = {g: n for g, n in level.items() if g[:-1] == gram[4 - width:-1]}
+        if not context:
+            break
+        total = sum(context.values())
+        p = max(context.get(gram[4 - width:], 0) - discount, 0) / total + discount * len(context) / total * p
+    return p
+
+
+def test_language_probabilities_match_the_definition():
+    texts = ["abab cab", "bca bac abc", "a b c abba", "cabbage"]
+    packed, _, _ = language.grams(texts)
+    keys, n = np.unique(packed, return_counts=True)
+    model = language.Language.fit(keys, n.astype(float))
+    for gram in ("abab", "bca ", "zzzz", "\x01\x01\x01a", "xaba", "cabz", "ge a", "\x01\x01zb"):
+        key = np.array([sum(ord(c) << (16 * (3 - i)) for i, c in enumerate(gram))], np.uint64)
+        assert abs(np.exp(model.log_probs(key)[0]) / plain_kneser_ney(texts, gram) - 1) < 1e-5
+
+
+def test_many_languages_and_any_memory_setting(table, monkeypatch):
+    """176 languages over one alphabet, told apart by their words; nothing is pruned."""
+    dice = random.Random(1)
+    vocabulary = [["".join(dice.choice("abcdefghij") for _ in range(5)) for _ in range(12)] for _ in range(176)]
+    docs = [(1000 * k + i, " ".join(dice.choices(vocabulary[k], k=30)), f"l{k:03}") for k in range(176) for i in range(4)]
+    frame = table(*docs)
+    found = []
+    for held in (language.HELD_GRAMS, 2_000):
+        real = language.count_grams
+
+        def small(batches, held=held, real=real):
+            language.HELD_GRAMS = held
+            yield from real(batches)
+
+        monkeypatch.setattr(language, "count_grams", small)
+        model = language.fit(frame, F.col("doc_id") % 1000 < 3)
+        monkeypatch.setattr(language, "count_grams", real)
+        found.append({r.row.doc_id: (r.lang_pred, round(r.entropy, 9)) for r in language.identify(frame, model).collect()})
+    assert found[0] == found[1]
+    assert all(found[0][doc][0] == lang for doc, _, lang in docs)
+
+
+def test_marks_alone_are_no_letters(table):
+    frame = table(*[(i, "plain words in a row", "en") for i in range(4)], (9, "\u0301\u0302 \u0303", None), (10, "e\u0301", None))
+    got = {r.row.doc_id: r for r in language.identify(frame, language.fit(frame, F.col("doc_id") < 9)).collect()}
+    assert got[9].lang_pred == "und" and got[9].score == 0 and got[10].lang_pred == "en"
+
+
 def test_quality_on_held_out_labels(spark):
     sf = "/root/testdata/sf0.1"
     got = QUERIES["op1_non_negative_pu"](spark, sf).join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("held_out").collect()
