@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestry.llm.common import ROW, packed
+
 # Fixed values of the contract: weights by source in code-point order, repeating.
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -26,7 +28,7 @@ def targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: in
 
     In order of cap over weight the clamped sources come first, so one ordered pass
     finds the level at which clamping stops.  The windows run over one row per
-    source, never over documents.
+    source, never over documents, and one task holds them: fit for sources, not for hosts.
     """
     by_name = Window.orderBy(F.col("source").isNull(), "source")
     weight = F.element_at(
@@ -55,9 +57,9 @@ def targets(sources: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: in
 
 
 def mix(sized: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
-    """Rows with ``doc_id``, ``source`` and ``size`` plus how often each is taken.
+    """Rows with ``doc_id``, ``source`` and ``size`` to how often each is taken.
 
-    Other columns of ``sized`` pass through.  Adds source_size, target and copies.
+    Gives row (the input row), doc_id, source, size, source_size, target and copies.
     ``copies`` is the whole part of target over source size, plus one for the rows
     that come first in the source's seeded order until the fractional part is
     filled to within half a document.  The order is cut into slices of the seed
@@ -65,10 +67,14 @@ def mix(sized: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MA
     all rows is ordered by thousands of tasks and the result is that of one order.
 
     A null source is a source, last in order.  A document without words is never
-    short of its source's whole copies.  Rows that repeat are separate rows.
+    short of its source's whole copies.  Rows that repeat are separate rows; equal
+    places in the order go by id, null last, then size.  Empty tables give no rows.  The
+    input row travels as one struct, so its column names cannot clash; texts need not
+    be in it.
     """
+    rows = packed(sized, F.col("doc_id"), F.col("source"), F.col("size").cast("long").alias("size"))
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    placed = sized.withColumn("mix_key", key).withColumn("mix_slice", F.substring("mix_key", 1, SLICE_DIGITS))
+    placed = rows.withColumn("mix_key", key).withColumn("mix_slice", F.substring("mix_key", 1, SLICE_DIGITS))
     slices = placed.groupBy("source", "mix_slice").agg(F.sum("size").alias("slice_size"))
     in_order = Window.partitionBy("source").orderBy("mix_slice").rowsBetween(Window.unboundedPreceding, -1)
     started = slices.withColumn("slice_start", F.coalesce(F.sum("slice_size").over(in_order), F.lit(0)))
@@ -91,5 +97,5 @@ def mix(sized: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int = MA
         .withColumn("whole", whole.cast("long"))
         .withColumn("once_more", once_more & (F.col("target") > F.col("whole") * F.col("source_size")))
         .withColumn("copies", F.col("whole") + F.col("once_more").cast("long"))
-        .drop("plan_source", "plan_slice", "mix_key", "mix_slice", "slice_start", "whole", "once_more")
+        .select(ROW, "doc_id", "source", "size", "source_size", "target", "copies")
     )

@@ -94,3 +94,17 @@ def test_exact_copies_of_odd_texts(table, spark):
 
 def test_empty_tables_of_rules(table):
     assert host_rules.host_rules(table((1, "x")).limit(0)).count() == 0
+
+
+def test_mix_of_clashing_names_and_odd_rows(spark):
+    names = "doc_id long, source string, size long, target string, whole int, mix_key string, copies int, row string, slice_start int"
+    rows = [(i, f"s{i % 3}" if i % 5 else None, i % 7, "t", 1, "k", -1, "r", 0) for i in range(200)] + [(None, "s1", 4, "t", 1, "k", -1, "r", 0)] * 2
+    frame = spark.createDataFrame(rows, names)
+    got = mixing.mix(frame)
+    assert got.columns == ["row", "doc_id", "source", "size", "source_size", "target", "copies"]
+    found = got.collect()
+    assert Counter(tuple(r.row) for r in found) == Counter(rows)
+    for source in {r.source for r in found}:
+        mine = [r for r in found if r.source == source]
+        assert abs(sum(r.size * r.copies for r in mine) - mine[0].target) <= 7 and max(r.copies for r in mine) <= 3
+    assert mixing.mix(frame.limit(0)).count() == 0
