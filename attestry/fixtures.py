@@ -172,6 +172,7 @@ def _attempts_jsonl(d: Dialect) -> str:
     iso = d.iso("ts")
     return f"""select event_id as line_no, case
  when event_id % 50 = 7 then '{{not json' when event_id % 50 = 8 then '   ' when event_id % 50 = 9 then '[1, 2]'
+ when event_id % 50 = 12 then '{{"run_id":"r","task_key":"t","verdict":"PASS"}}{{"run_id":"s"}}'
  when event_id % 2 = 0 then concat('{{"run_id":"', {RUN}, '","task_key":"', case when event_id % 70 = 6 then '' else {TASK} end,
   '","run_name":"job","engine":" codex ","model":"', case when event_id % 6 = 0 then ' ' else concat('m', cast(user_id % 8 as string)) end,
   '","task_type":"', case when event_id % 8 = 0 then 'code' else '' end, '","verdict":"pass","retry":',
@@ -276,7 +277,7 @@ from {d.t('events')}"""
 @_view("engine_patterns")
 def _engine_patterns(d: Dialect) -> str:
     return f"""select case r_regionkey when 0 then 'codex' when 1 then 'opencode' when 2 then 'grok' else r_name end as engine,
- case r_regionkey when 0 then 'tokens\\\\s+used\\\\s*:?\\\\s*([0-9][0-9,]*)' when 1 then '"tokens":\\\\{{"total":([0-9]+)' else '' end as token_regex,
+ case r_regionkey when 0 then 'tokens\\\\s+used\\\\s*:?\\\\s*(?P<token_count>[0-9][0-9,]*)(?#total)' when 1 then '"tokens":\\\\{{"total":([0-9]+)' else '' end as token_regex,
  case when r_regionkey < 2 then 1 else 0 end as token_group from {d.t('region')}"""
 
 

@@ -6,7 +6,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed patterns: what counts as a word, a number with its unit, and a URL.
-SPACED_WORD = r"\S+"
+BLANKS = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+SPACED_WORD = f"[^{BLANKS}]+"
 TOKEN_WORD = r"[A-Za-z0-9_'-]+"
 BOUNDED_WORD = r"[\p{L}\p{N}_](?:[\p{L}\p{N}_'-]*[\p{L}\p{N}_])?"
 NUMERIC_FACT = (
@@ -37,7 +38,7 @@ def lines(text: Column) -> Column:
 
 
 def visible_chars(text: Column) -> Column:
-    return F.char_length(F.regexp_replace(text, r"\s+", ""))
+    return F.char_length(F.regexp_replace(text, f"[{BLANKS}]+", ""))
 
 
 def numeric_facts(text: Column) -> Column:

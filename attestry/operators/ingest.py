@@ -29,6 +29,8 @@ JSON_OPTIONS = {
     "allowNonNumericNumbers": "false",
 }
 
+JSON_LIST_OPTIONS = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
+
 
 def parse_lines(lines: DataFrame, line: str = "line", extra: tuple[str, ...] = ()) -> DataFrame:
     """Non-blank lines with their fields in the struct ``_j``; NULL when not a JSON object."""
@@ -36,7 +38,14 @@ def parse_lines(lines: DataFrame, line: str = "line", extra: tuple[str, ...] = (
     text = trimmed(F.col(line))
     rows = lines.withColumn("_t", text).where(F.col("_t") != "")
     parsed = rows.withColumn("_p", F.from_json("_t", schema, JSON_OPTIONS))
-    whole = F.col(f"_p.{BROKEN}").isNull() & F.col("_t").startswith("{") & F.col("_t").endswith("}")
+    # The parser stops behind the first object; where another may follow, the line is
+    # read once more as a list, which must have one member.
+    several = F.col("_t").rlike(r"\}\s*,?\s*\{")
+    members = F.size(F.from_json(F.concat(F.lit("["), "_t", F.lit("]")), "array<struct<run_id:string>>", JSON_LIST_OPTIONS))
+    whole = (
+        F.col(f"_p.{BROKEN}").isNull() & F.col("_t").startswith("{") & F.col("_t").endswith("}")
+        & F.when(several, F.coalesce(members == 1, F.lit(False))).otherwise(True)
+    )
     return parsed.withColumn("_j", F.when(whole, F.col("_p"))).drop("_p", "_t")
 
 

@@ -7,6 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from attestry.functions.patterns import java_pattern
 from attestry.functions.values import integer
 
 CONTEXT_BYTES = 6_000
@@ -53,34 +54,32 @@ def scrape_tokens(text: Column, pattern: str) -> Column:
 
 
 def usable_pattern(pattern: str | None, group: int | None) -> str | None:
-    """``pattern`` with its named groups as Spark writes them; None if it cannot be run.
+    """``pattern`` as Spark writes it; None if it cannot be run.
 
-    Conditional groups are unknown to Spark's expressions and count as invalid, and
-    so does a pattern without the wanted ``group``.
+    A pattern without the wanted ``group`` is as unusable as one that does not parse.
     """
-    if not pattern or "(?(" in pattern:
+    written = java_pattern(pattern) if pattern else None
+    if written is None or (group is not None and not 0 <= group <= re.compile(pattern).groups):
         return None
-    try:
-        groups = re.compile(pattern).groups
-    except re.error:
-        return None
-    if group is not None and not 0 <= group <= groups:
-        return None
-    return re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", pattern.replace("(?P<", "(?<"))
+    return written
 
 
-def scrape_by_engine(logs: DataFrame, patterns: dict[str, str], text: str = "tail") -> DataFrame:
-    """Token counts with the pattern of each row's engine, read from the log's end."""
-    window = tail_text(F.col(text), SCRAPE_BYTES)
+def scrape_by_engine(
+    logs: DataFrame, patterns: dict[str, str], text: str = "tail", scrape_bytes: int = SCRAPE_BYTES
+) -> DataFrame:
+    """Token counts with the pattern of each row's engine, read from the log's last bytes."""
+    window = tail_text(F.col(text), scrape_bytes)
     tokens = F.lit(UNKNOWN).cast("bigint")
     for engine, pattern in patterns.items():
         tokens = F.when(F.col("engine") == engine, scrape_tokens(window, pattern)).otherwise(tokens)
     return logs.withColumn("tokens", tokens)
 
 
-def scrape_by_table(logs: DataFrame, engines: DataFrame, text: str = "tail") -> DataFrame:
+def scrape_by_table(
+    logs: DataFrame, engines: DataFrame, text: str = "tail", scrape_bytes: int = SCRAPE_BYTES
+) -> DataFrame:
     """As above with patterns in a table: ``engine``, ``token_regex``, ``token_group``."""
-    window = tail_text(F.col(text), SCRAPE_BYTES)
+    window = tail_text(F.col(text), scrape_bytes)
     # One row per engine: the patterns are checked there, not per log.
     usable = F.udf(usable_pattern, "string")(F.col("token_regex"), F.col("token_group"))
     checked = engines.select("engine", usable.alias("token_regex"), "token_group")
@@ -92,10 +91,12 @@ def scrape_by_table(logs: DataFrame, engines: DataFrame, text: str = "tail") ->
     return joined.withColumn("tokens", token_count(matches)).drop("token_regex", "token_group")
 
 
-def retry_specs(attempts: DataFrame, specs: DataFrame, verdict: str = "verdict") -> DataFrame:
+def retry_specs(
+    attempts: DataFrame, specs: DataFrame, verdict: str = "verdict", context_bytes: int = CONTEXT_BYTES
+) -> DataFrame:
     """Spec of the second attempt: the task's spec plus the end of the first check's output."""
     first = attempts.where((F.col("retry") == 0) & (F.col(verdict) != "PASS"))
-    context = tail_text(F.col("check_output"), CONTEXT_BYTES)
+    context = tail_text(F.col("check_output"), context_bytes)
     return first.join(specs, TASK).select(
         "id", *TASK, F.concat("spec", F.lit(RETRY_SEPARATOR), context).alias("retry_spec")
     )

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DataType, DoubleType, FloatType
 
 from attestry.functions.values import null, number
 
@@ -67,7 +68,41 @@ def _compare(left: Column, op: str, right: Column) -> Column:
 
 
 def _field(records: DataFrame, name: str) -> Column:
-    return F.col(f"`{name}`") if name in records.columns else null("string")
+    if name not in records.columns:
+        return null("string")
+    return plain_text(F.col(f"`{name}`"), records.schema[name].dataType)
+
+
+def plain_text(value: Column, kind: DataType) -> Column:
+    """A value as the checks print it: ``True``, ``10000000.0``, ``1e-05``; others as Spark does.
+
+    The least double keeps the two digits Spark gives it.
+    """
+    if isinstance(kind, BooleanType):
+        return F.when(value, "True").when(~value, "False")
+    if not isinstance(kind, (DoubleType, FloatType)):
+        return value
+    text = value.cast("double").cast("string")
+    if isinstance(kind, FloatType):
+        text = value.cast("string")
+    sign = F.when(text.startswith("-"), "-").otherwise("")
+    mantissa, power = F.split_part(text, F.lit("E"), F.lit(1)), F.split_part(text, F.lit("E"), F.lit(2)).try_cast("int")
+    digits = F.regexp_replace(F.regexp_replace(mantissa, "[-.]", ""), "0+$", "")
+    count = F.char_length(digits)
+    large = F.concat(
+        F.rpad(F.substring(digits, F.lit(1), power + 1), power + 1, F.lit("0")), F.lit("."),
+        F.when(count > power + 1, F.substring(digits, power + 2, count)).otherwise("0"),
+    )
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits)
+    scientific = F.concat(
+        F.substring(digits, 1, 1), F.when(count > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), count))).otherwise(""),
+        F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.char_length(F.abs(power).cast("string")), F.lit(2)), F.lit("0")),
+    )
+    written = F.when(power.between(0, 15), large).when(power.between(-4, -1), small).otherwise(scientific)
+    return (
+        F.when(F.isnan(value), "nan").when(text.contains("Infinity"), F.concat(sign, F.lit("inf")))
+        .when(power.isNull(), text).otherwise(F.concat(sign, written))
+    )
 
 
 def is_empty(value: Column) -> Column:

@@ -10,7 +10,7 @@ from attestry.functions import measures, urls
 from attestry.operators import contracts, links, reports
 from attestry.registry.base import ORACLES, query
 
-WORDS = r"len(regexp_extract_all({t}, '\S+'))"
+WORDS = "len(regexp_extract_all({t}, '[^" + measures.BLANKS.replace("{", "{{").replace("}", "}}") + "]+'))"
 BOUNDED = r"len(regexp_extract_all({t}, '[\p{{L}}\p{{N}}_](?:[\p{{L}}\p{{N}}_''-]*[\p{{L}}\p{{N}}_])?'))"
 TOKENS = r"len(regexp_extract_all({t}, '[A-Za-z0-9_''-]+'))"
 NW = r"[^\p{L}\p{N}_]"
@@ -43,9 +43,11 @@ DOCS = "documents"
 
 @query("text_measures", rf"""select doc_id, {WORDS.format(t='text')} as spaced_words, {TOKENS.format(t='text')} as token_words,
  {BOUNDED.format(t='text')} as bounded_words, octet_length(encode(text)) as bytes, len(string_split(text, chr(10))) as lines,
- length(regexp_replace(text, '\s+', '', 'g')) as visible_chars from documents""")
+ length(regexp_replace(text, '[{measures.BLANKS}]+', '', 'g')) as visible_chars
+ from (select doc_id, concat(text, chr(160), 'one', chr(12288), 'two', chr(31), '3') as text from documents)""")
 def _(v):
-    t = F.col("text")
+    """Texts with blanks beyond ASCII at their end."""
+    t = F.concat("text", F.lit("\u00a0one\u3000two\x1f3"))
     return v.table(DOCS).select(
         "doc_id", measures.spaced_words(t).alias("spaced_words"),
         measures.token_words(t).alias("token_words"), measures.bounded_words(t).alias("bounded_words"),

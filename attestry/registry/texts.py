@@ -143,6 +143,23 @@ def _(v):
     return _one(v, "amount>=100000", "status==F", "any:amount>499000")
 
 
+@query("dq_typed", """with t as (select o_orderpriority = '1-URGENT' as flag, o_orderkey * 1e7 as n, o_orderkey / 1e6 as s from orders)
+ select 'any:flag==True' as rule, bool_or(flag) as ok, case when bool_or(flag) then 0 else count(*) end as bad from t
+ union all select 'flag!=False', bool_and(flag), count(*) filter (where not flag) from t
+ union all select 'any:n==10000000.0', bool_or(n = 1e7), case when bool_or(n = 1e7) then 0 else count(*) end from t
+ union all select 'n!=20000000.0', not bool_or(n = 2e7), count(*) filter (where n = 2e7) from t
+ union all select 'any:s==1e-06', bool_or(s = 1e-6), case when bool_or(s = 1e-6) then 0 else count(*) end from t
+ union all select 'any:s==1E-06', false, count(*) from t""")
+def _(v):
+    """Booleans and floating numbers compare as the checks print them."""
+    key = F.col("o_orderkey").cast("double")
+    records = v.table("orders").select(
+        (F.col("o_orderpriority") == "1-URGENT").alias("flag"), (key * 1e7).alias("n"), (key / 1e6).alias("s")
+    )
+    rules = ["any:flag==True", "flag!=False", "any:n==10000000.0", "n!=20000000.0", "any:s==1e-06", "any:s==1E-06"]
+    return quality.check_records(records, [quality.invariant(r) for r in rules])
+
+
 @query("dq_schema", """with k as (select distinct unnest(json_keys(case when json_valid(line) then line::json end)) as field from attempts_jsonl)
  select field from (values ('run_id'), ('colour'), ('notes'), ('verdict'), ('size')) as w(field) where field not in (select field from k)""", ("attempts_jsonl",))
 def _(v):

@@ -94,3 +94,10 @@ def test_a_key_listed_twice_adds_no_rows(spark):
     df = spark.createDataFrame([(1, "r", "t", "")], "id long, run_id string, task_key string, task_type string")
     mapping = spark.createDataFrame([("r:t", "a"), ("r:t", "b"), ("r", "c")], "k string, v string")
     assert [r.task_type for r in ingest.backfill_task_type(df, mapping).collect()] == ["b"]
+
+
+def test_one_object_a_line(spark):
+    one, nested = '{"run_id":"a","task_key":"t"}', '{"run_id":"a","extra":[{"x":1},{"y":2}]}'
+    lines = [one + one, one + " , " + one, one + " {}", nested, "  " + one + "  ", '{"run_id":"}{"}', one + "]"]
+    parsed = ingest.parse_lines(spark.createDataFrame(list(enumerate(lines)), "line_no bigint, line string")).orderBy("line_no").collect()
+    assert [r._j is not None for r in parsed] == [False, False, False, True, True, True, False]

@@ -1,11 +1,12 @@
 """Notes, quality, lint, display, log and contract semantics on literal rows."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from attestry.functions import clock, display, measures, shell, status, urls
+from attestry.functions import clock, display, measures, patterns, shell, status, urls
 from attestry.operators import contracts, lint, links, logs, media, notes, quality, runs, scope, sessions
 from attestry.schemas import RUN_STATE
 from attestry.sources import documents, records
@@ -340,9 +341,41 @@ def test_quoted_csv_fields(spark, tmp_path):
 
 def test_unusable_patterns_give_the_unknown_count(spark):
     rows = [(i, e, "used 12, used 34") for i, e in enumerate(("good", "named", "broken", "group", "none"))]
-    engines = [("good", r"used (\d+)", 1), ("named", r"used (?P<n>\d+)", 1), ("broken", "([x", 1), ("group", "used", 2)]
+    engines = [("good", r"used (\d+)", 1), ("named", r"used (?P<token_count>\d+)(?#total)", 1), ("broken", "([x", 1), ("group", "used", 2)]
     got = logs.scrape_by_table(
         spark.createDataFrame(rows, "id long, engine string, tail string"),
         spark.createDataFrame(engines, "engine string, token_regex string, token_group int"),
     )
     assert {r.engine: r.tokens for r in got.collect()} == {"good": 34, "named": 34, "broken": -1, "group": -1, "none": -1}
+
+
+PATTERNS = [
+    r"(?P<a_b>\d+)(?#note) (?P=a_b)", r"(\d+)(?#c)", r"(?i)TOTAL\s*=\s*([\d,]+)$", r"(?x) used \  (\d+) # end", r"(?m)^n: (\w+)$",
+    r"[^x\W]+", r"[\D,]+", r"[^\d\S]+", r"[a&&b]+", r"[[a]+", r"(?:a|b(?:c))+?d", r"(?<=: )\S+", r"(?<!\d)\d{2}(?!\d)", r"(?s)n.(\d)",
+    r"n.(\d)", r"\bend\Z", r"(?i:TOTAL) = (\d+)", r"(?a)\w+", r"(?>ab*)c", r"x*+y", "caf\u00e9|\\u00e9+", r"([\]\-^.])", r"\$(\d+)",
+]
+TEXT = "7 7\ntotal = 1,234\nused 55\nn: abc\nn\r9\n42 bcd &&a [a] x: caf\u00e9 \u0663 $8 ^-] abbc xxy\u00a0end"
+
+
+def test_patterns_mean_what_they_meant(spark):
+    for pattern in PATTERNS:
+        written = patterns.java_pattern(pattern)
+        groups = re.compile(pattern).groups
+        found = spark.range(1).select(F.regexp_extract_all(F.lit(TEXT), F.lit(written), F.lit(min(groups, 1)))).first()[0]
+        assert found == [m.group(min(groups, 1)) or "" for m in re.finditer(pattern, TEXT)], (pattern, written)
+    assert [patterns.java_pattern(p) for p in ("([x", r"(a)?(?(1)b|c)", "a**")] == [None] * 3
+
+
+def test_values_print_as_the_checks_print_them(spark):
+    values = [0.0, -0.0, 1.5, 1e7, 12345678.9, -2.5e8, 1e15, 123456789012345.6, 1e16, 1.5e22, 1e-3, 1.25e-4, 1e-4, 9.9e-5, -1e-5, 1.5e-10, 1e100, 2.25e-300,
+              float("inf"), float("-inf"), float("nan")]
+    rows = spark.createDataFrame([(v,) for v in values], "x double")
+    got = [r[0] for r in rows.select(quality.plain_text(F.col("x"), rows.schema["x"].dataType)).collect()]
+    assert got == [str(v) for v in values]
+    flags = spark.createDataFrame([(True,), (False,), (None,)], "x boolean")
+    assert [r[0] for r in flags.select(quality.plain_text(F.col("x"), flags.schema["x"].dataType)).collect()] == ["True", "False", None]
+
+
+def test_words_end_at_any_blank(spark):
+    text = "a\u00a0b\u3000c d\u2028e\x1ff\u200bg"
+    assert one(spark, measures.spaced_words(F.lit(text))) == len(text.split()) == 6
