@@ -27,6 +27,11 @@ def exact_median(df: DataFrame, keys: list[str], value: Column, out: str) -> Dat
         df.select(*keys, value.cast("double").alias("_v")).where(F.col("_v").isNotNull())
         .groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
     )
+    return counted_median(counted, keys, out)
+
+
+def counted_median(counted: DataFrame, keys: list[str], out: str) -> DataFrame:
+    """As above from values that are counted already: ``keys``, ``_v`` and its count ``_c``."""
     laid = sliced(counted, [F.col(k) for k in keys] + [F.col("_v")])
     per_range = laid.groupBy(*keys, "_slice").agg(F.sum("_c").alias("_in"))
     group = Window.partitionBy(*keys)

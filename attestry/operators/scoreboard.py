@@ -211,6 +211,13 @@ def scoreboard_models(
     """Per-model roll-up, ranked."""
     instances = selected_instances(attempts, f)
     rollup = _with_medians(instances, attempts, ["model"], f)
+    return finished_models(rollup, catalog, min_tasks, min_first_rate)
+
+
+def finished_models(
+    rollup: DataFrame, catalog: DataFrame | None = None, min_tasks: int = PROVEN_TASKS, min_first_rate: float = 0.0
+) -> DataFrame:
+    """A model roll-up with tier, retries and cost, ranked."""
     rollup = rollup.withColumn("tier", tier_column(min_tasks, min_first_rate)).withColumn(
         "retries", F.col("attempts") - F.col("tasks")
     )

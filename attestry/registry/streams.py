@@ -125,7 +125,7 @@ def _(v):
 def _(v):
     root = out(v, "stream-scoreboard")
     prices = v("catalog_models")
-    replay(v, "attempts", lambda s, cp: imports.stream_scoreboard(s, root, prices, checkpoint=cp), "id")
+    replay(v, "attempts", lambda s, cp: imports.stream_scoreboard(s, root, prices, buckets=8, checkpoint=cp), "id")
     board = imports.current_scoreboard(v.spark, root)
     return rounded(board, "first_rate", "pass_rate", "median_duration_s", "cost")
 

@@ -10,7 +10,9 @@ from attestry.operators import ingest, scoreboard
 from attestry.plans.attempt_import import classified_rows
 from attestry.plans.catalog_refresh import refresh
 from attestry.sources import storage
-from attestry.streaming import runtime
+from attestry.streaming import board_state, runtime
+
+BUCKETS = 64  # of the scoreboard's stored state
 
 
 def stream_attempts(
@@ -32,36 +34,19 @@ def stream_attempts(
 
 
 def stream_scoreboard(
-    attempts: DataFrame, root: str, catalog: DataFrame | None = None, **options
+    attempts: DataFrame, root: str, catalog: DataFrame | None = None, buckets: int = BUCKETS, **options
 ) -> StreamingQuery:
     """Keep the model scoreboard current.
 
-    Exact medians cannot be updated in place, so each batch recomputes the models
-    it touches: those its instances belong to now and those they belonged to
-    before.  A model left without instances gets a row with no tasks.
+    Instances and each model's counted values are stored state (see ``board_state``): a
+    batch reads and writes the buckets it touches and gives new rows for the models whose
+    instances changed.  A model left without instances gets a row with no tasks.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        runtime.write_batch(batch, f"{root}/attempts", batch_id)
-        stored = runtime.read_batches(spark, f"{root}/attempts")
-        now = stored.where(F.col("batch") <= batch_id)
-        key = scoreboard.INSTANCE
-        touched = stored.where(F.col("batch") == batch_id).select(*key).distinct()
-        mine = now.join(touched.repartition(*key), key, "left_semi")
-        models = (
-            scoreboard.first_final(mine).select("model")
-            .unionByName(
-                scoreboard.first_final(mine.where(F.col("batch") < batch_id)).select("model")
-            )
-            .distinct()
-        )
-        affected = scoreboard.first_final(now).join(models, "model", "left_semi").select(*key)
-        rows = now.drop("batch").join(affected.repartition(*key), key, "left_semi")
-        board = scoreboard.scoreboard_models(rows, catalog)
-        gone = models.join(board.select("model"), "model", "left_anti").withColumn(
-            "tasks", F.lit(0).cast("bigint")
-        )
+        models, counted = board_state.take_in(batch, batch_id, root, buckets)
+        board = scoreboard.finished_models(board_state.rollup(counted), catalog)
+        gone = models.join(board.select("model"), "model", "left_anti").withColumn("tasks", F.lit(0).cast("bigint"))
         runtime.write_batch(board.unionByName(gone, allowMissingColumns=True), f"{root}/board", batch_id)
 
     writer = attempts.writeStream.foreachBatch(write)

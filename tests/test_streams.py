@@ -3,8 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from attestry.operators import logs, runs, sessions
-from attestry.streaming import alerts, imports, runtime, tasks
+from attestry.operators import logs, runs, scoreboard, sessions
+from attestry.streaming import alerts, board_state, imports, runtime, tasks
 
 
 def files_stream(spark, frames, path):
@@ -105,3 +105,47 @@ def test_incomplete_payload_gives_no_events(spark, tmp_path):
     stream = files_stream(spark, frames, str(tmp_path / "in"))
     runtime.finish(imports.stream_catalog(stream, str(tmp_path / "out"), checkpoint=str(tmp_path / "cp")))
     assert {r.ts for r in imports.catalog_events(spark, str(tmp_path / "out")).collect()} == {"2026-01-01T00:00:00Z"}
+
+
+ATTEMPT = "id long, run_id string, task_key string, model string, engine string, task_type string, verdict string, tokens long, duration_s double, created_at string"
+
+
+def attempt(i, run, model, verdict="PASS", tokens=10, duration=1.0):
+    return (i, run, "t", model, "e" + str(i % 2), "x", verdict, tokens, duration, f"2026-01-01T00:00:{i:02}Z")
+
+
+ATTEMPTS = [
+    [attempt(1, "a", "m1", "FAIL", 5, 2.0), attempt(2, "b", "m1", tokens=-1), attempt(3, "c", "m2", duration=None)],
+    [attempt(4, "a", "m2", tokens=7, duration=4.0), attempt(5, "d", "m3"), attempt(6, "b", "m1", "FAIL", 9, 8.0)],
+    [attempt(9, "d", "m1", tokens=1, duration=3.0), attempt(7, "e", " ", tokens=2), attempt(8, "e", "m2", "fail", 3, 6.0)],
+]
+
+
+@pytest.mark.parametrize("order", [(0, 1, 2), (2, 1, 0)])
+def test_scoreboard_state_equals_the_batch(spark, tmp_path, order):
+    """Instances move between models, and a model loses its last one."""
+    frames = [spark.createDataFrame(ATTEMPTS[i], ATTEMPT) for i in order]
+    stream = files_stream(spark, frames, str(tmp_path / "in"))
+    root = str(tmp_path / "out")
+    runtime.finish(imports.stream_scoreboard(stream, root, buckets=3, checkpoint=str(tmp_path / "cp")))
+    want = scoreboard.scoreboard_models(spark.createDataFrame(sum(ATTEMPTS, []), ATTEMPT))
+    got = imports.current_scoreboard(spark, root).select(want.columns)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(map(tuple, want.collect()), key=str)
+
+
+def test_scoreboard_trigger_reads_only_touched_buckets(spark, tmp_path):
+    root = str(tmp_path)
+    many = [attempt(i % 60, f"run{i}", f"m{i}") for i in range(60)]
+    board_state.take_in(spark.createDataFrame(many, ATTEMPT), 0, root, 32)
+    small = spark.createDataFrame([attempt(59, "new", "m7", tokens=99)], ATTEMPT)
+    for _ in range(2):  # a replay changes nothing
+        models, counted = board_state.take_in(small, 1, root, 32)
+        assert [r.model for r in models.collect()] == ["m7"]
+        board = board_state.rollup(counted).collect()
+        assert [(r.model, r.tasks, r.median_tokens) for r in board] == [("m7", 2, 54.5)]
+    state = board_state.BoardState(spark, root, 32)
+    wanted = [r.bucket for r in small.select(state.bucket("model")).collect()]
+    assert len(state.versions("models", wanted, 2)) == 1 and "batch=1" in state.versions("models", wanted, 2)[0]
+    written = spark.read.schema(board_state.SCHEMAS["models"]).parquet(f"{root}/models/batch=1")
+    assert {r.bucket for r in written.select("bucket").distinct().collect()} == set(wanted)
+    assert len(state.versions("models", list(range(32)), 1)) > 10
