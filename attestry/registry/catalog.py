@@ -335,17 +335,25 @@ def _(v):
     )
 
 
-@query("report_json", GROUPS + f""" select model, cast(sum(tasks) as bigint) as tasks,
- string_agg(task_type, ',' order by tasks desc, task_type) as task_types from grouped group by model""", ("attempts",))
+@query("report_json", GROUPS + f""" select 'rollup' as part, model, cast(sum(tasks) as bigint) as tasks,
+ string_agg(task_type, ',' order by tasks desc, task_type) as task_types from grouped group by model
+ union all select 'groups', model, cast(tasks as bigint), task_type from grouped""", ("attempts",))
 def _(v):
-    """Scoreboard document written as JSON and read back."""
+    """The scoreboard's one document, ``{rollup, groups}``, written and read back."""
     detail = groups(v)
     heads = detail.groupBy("model").agg(F.sum("tasks").alias("tasks"))
     path = storage.scratch_path(v.spark, "report")
-    storage.write_report(scoreboard.nest_task_types(detail, heads), path)
-    back = v.spark.read.schema(
-        "model string, tasks bigint, task_types array<struct<task_type: string>>"
-    ).json(path)
-    return back.select(
-        "model", "tasks", F.array_join(F.col("task_types.task_type"), ",").alias("task_types")
+    nested = scoreboard.nest_task_types(detail, heads).orderBy(F.desc("tasks"), "model")
+    storage.write_report({"rollup": nested, "groups": detail}, path)
+    report = storage.read_report(
+        v.spark, path,
+        "rollup array<struct<model: string, tasks: bigint, task_types: array<struct<task_type: string>>>>, "
+        "groups array<struct<model: string, tasks: bigint, task_type: string>>",
     )
+    rollup = report.select(F.inline("rollup")).select(
+        F.lit("rollup").alias("part"), "model", "tasks", F.array_join(F.col("task_types.task_type"), ",").alias("task_types")
+    )
+    rows = report.select(F.inline("groups")).select(
+        F.lit("groups").alias("part"), "model", "tasks", F.col("task_type").alias("task_types")
+    )
+    return rollup.unionByName(rows)

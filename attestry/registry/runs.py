@@ -8,7 +8,7 @@ from attestry.functions import clock, display, status
 from attestry.operators import library, ranks, runs
 from attestry.registry.base import Inputs, query
 from attestry.schemas import RUN_STATE
-from attestry.sources import documents
+from attestry.sources import documents, storage
 
 RUNS = ("runs", "run_tasks", "active_runs")
 SUBJECT = "The crew"
@@ -59,11 +59,18 @@ def state_documents(v: Inputs):
     )
 
 
+def filed(v: Inputs, docs, name: str) -> str:
+    """Documents written to files, one a line; returns their folder."""
+    path = storage.scratch_path(v.spark, name)
+    docs.select("body").write.text(path)
+    return path
+
+
 @query("scan_run_states", """select r.run_id, r.run_name, r.done, coalesce(n.n, 0) as tasks from runs r
  left join (select run_id, count(*) as n from run_tasks group by run_id) n using (run_id)
  where r.done or r.identity <> '5-LOW'""", ("runs", "run_tasks"))
 def _(v):
-    states = runs.parse_run_states(state_documents(v), RUN_STATE)
+    states = documents.read_run_states(v.spark, filed(v, state_documents(v), "run-states"), one_per_line=True)
     return states.orderBy(F.desc("updated_at"), "run_id").select(
         "run_id", "run_name", "done",
         F.greatest(F.size(F.coalesce("tasks", F.array())), F.lit(0)).cast("bigint").alias("tasks"),
@@ -78,7 +85,8 @@ ACTIVE_BODY = """case when o_orderstatus = 'P' then '{oops' else concat('{"run-'
  union all select 'twin-' || o_orderkey, 1, null, o_orderpriority from orders where o_orderstatus <> 'P'""")
 def _(v):
     docs = v.table("orders").select(F.expr(ACTIVE_BODY).alias("body"))
-    return documents.active_runs(docs).select("run_id", "pid", "run_name", "identity")
+    found = documents.read_active_runs(v.spark, filed(v, docs, "active-runs"), one_per_line=True)
+    return found.select("run_id", "pid", "run_name", "identity")
 
 
 LIBRARY_BODY = """case when o_orderpriority = '5-LOW' then '[garbage' else concat('{"artifacts":{"job-', cast(o_orderkey as string),
@@ -92,7 +100,7 @@ LIBRARY_BODY = """case when o_orderpriority = '5-LOW' then '[garbage' else conca
  from orders, (select cast(unnest([0, 1]) as int) as p) where o_orderpriority <> '5-LOW'""")
 def _(v):
     docs = v.table("orders").select(F.expr(LIBRARY_BODY).alias("body"))
-    entries = library.library_entries(docs)
+    entries = documents.read_library(v.spark, filed(v, docs, "library"), one_per_line=True)
     versions = library.library_versions(entries)
     return entries.select("run_name", "state", "current_run_id").join(versions, "run_name").select(
         "run_name", "state", "current_run_id", "pos", "run_id", "outcome", "tasks_pass", "tasks_fail"

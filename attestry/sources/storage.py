@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
@@ -107,8 +107,32 @@ def read_events(spark: SparkSession, root: str, fetched_at: str | None = None) -
     return spark.read.parquet(f"{root}/events").drop("of")
 
 
-def write_report(rows: DataFrame, path: str) -> None:
-    """Report rows as JSON, one object per line; every part file keeps its own rows."""
-    rows.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
-
+def write_report(lists: dict[str, DataFrame], path: str) -> None:
+    """One JSON document, ``{"name": [rows], ...}``, with every list in its rows' order.
 
+    The lists are results, already ranked.  A document is one file, so one task writes
+    it, but row by row: no list is ever held.
+    """
+    columns = ["part", "at", "line"]
+    text: DataFrame | None = None
+    for part, (name, rows) in enumerate(lists.items()):
+        spark = rows.sparkSession
+        head = ("{" if part == 0 else "],") + f'"{name}":['
+        body = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]), {"ignoreNullFields": "false"})
+        ranked = rows.select(body.alias("line")).withColumn("at", F.monotonically_increasing_id())
+        place = F.row_number().over(Window.orderBy("at"))
+        numbered = ranked.select(
+            F.lit(part).alias("part"), place.alias("at"),
+            F.concat(F.when(place > 1, ",").otherwise(""), "line").alias("line"),
+        )
+        opened = spark.createDataFrame([(part, 0, head)], "part int, at int, line string").unionByName(numbered)
+        text = opened if text is None else text.unionByName(opened)
+    end = text.sparkSession.createDataFrame([(len(lists), 0, "]}")], "part int, at int, line string")
+    text.unionByName(end).select(columns).repartition(1).sortWithinPartitions("part", "at").select("line").write.mode(
+        "overwrite"
+    ).text(path)
+
+
+def read_report(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The one document of a report as a row with a column per list."""
+    return spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("r")).select("r.*")

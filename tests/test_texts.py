@@ -1,5 +1,7 @@
 """Notes, quality, lint, display, log and contract semantics on literal rows."""
 
+import json
+import os
 import random
 import re
 
@@ -9,7 +11,7 @@ from pyspark.sql import functions as F
 from attestry.functions import clock, display, measures, patterns, shell, status, urls
 from attestry.operators import contracts, lint, links, logs, media, notes, quality, runs, scope, sessions
 from attestry.schemas import RUN_STATE
-from attestry.sources import documents, records
+from attestry.sources import documents, records, storage
 
 NOTES = """# File
 - 2026-01-01 before any section
@@ -379,3 +381,43 @@ def test_values_print_as_the_checks_print_them(spark):
 def test_words_end_at_any_blank(spark):
     text = "a\u00a0b\u3000c d\u2028e\x1ff\u200bg"
     assert one(spark, measures.spaced_words(F.lit(text))) == len(text.split()) == 6
+
+
+def test_folders_of_documents(spark, tmp_path):
+    """Files, their times, and what cannot be read."""
+    folder = tmp_path / "runs"
+    folder.mkdir()
+    for name, body, at in (
+        ("old", '{"run_id": "r1", "done": true, "tasks": []}', 100), ("new", '{"run_id": "r2",\n "done": false}', 300),
+        ("mid", '{"run_id": "r3", "done": false}', 200), ("cut", '{"run_id": "r4"', 400), ("anon", '{"done": true}', 500),
+    ):
+        (folder / f"{name}.json").write_text(body)
+        os.utime(folder / f"{name}.json", (at, at))
+    (tmp_path / "active.json").write_text('{"r2": {"pid": 7}}')
+    states = documents.read_run_states(spark, str(folder))
+    active = documents.read_active_runs(spark, str(tmp_path / "active.json"))
+    got = [(r.run_id, r.died) for r in runs.recent_runs(states, active, "modified", limit=2).orderBy(F.desc("modified")).collect()]
+    assert got == [("r2", False), ("r3", True)]
+    assert documents.read_active_runs(spark, str(tmp_path / "none.json")) is None
+    assert documents.read_run_states(spark, str(tmp_path / "none")).count() == 0
+    (tmp_path / "library.json").write_text('{"artifacts": {"job": {"state": "live", "versions": []}}}')
+    assert [r.run_name for r in documents.read_library(spark, str(tmp_path / "library.json")).collect()] == ["job"]
+    (tmp_path / "library.json").write_text("garbage")
+    assert documents.read_library(spark, str(tmp_path / "library.json")).count() == 0
+
+
+def test_an_override_of_the_notes_is_never_the_default(spark, tmp_path):
+    (tmp_path / "notes.md").write_text("## model-a\n- 2026-01-01 fine\n")
+    default = str(tmp_path / "notes.md")
+    assert [r.heading for r in notes.sections(documents.read_notes(spark, default)).collect()] == ["model-a"]
+    assert documents.read_notes(spark, default, str(tmp_path / "missing.md")).count() == 0
+
+
+def test_report_is_one_document(spark, tmp_path):
+    rows = spark.createDataFrame([(i, None if i % 2 else f"n{i}") for i in range(50)], "i int, name string").repartition(4).orderBy("i")
+    storage.write_report({"rollup": rows, "groups": rows.limit(0)}, str(tmp_path / "r"))
+    files = list((tmp_path / "r").glob("part-*"))
+    assert len(files) == 1
+    document = json.loads(files[0].read_text())
+    assert list(document) == ["rollup", "groups"] and document["groups"] == []
+    assert document["rollup"] == [{"i": i, "name": None if i % 2 else f"n{i}"} for i in range(50)]
