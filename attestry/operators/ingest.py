@@ -122,9 +122,9 @@ def backfill_task_type(rows: DataFrame, mapping: DataFrame) -> DataFrame:
 
     Blank values fall through the first two tiers; in the third the longest
     prefix wins even when its value is blank, which leaves the type blank.  Of a
-    key that is listed twice the greatest value counts.  The
-    prefix tier runs on distinct run ids and turns the prefix test into an equi
-    join on every prefix of the (short) run id.
+    key that is listed twice the greatest value counts.  The prefix tier runs on
+    distinct run ids and turns the prefix test into an equi join on those beginnings
+    of the run id that are as long as some key of the map.
     """
     entries = mapping.select("k", F.coalesce("v", F.lit("")).alias("v"))
     exact = entries.where(F.col("v") != "")
@@ -133,14 +133,16 @@ def backfill_task_type(rows: DataFrame, mapping: DataFrame) -> DataFrame:
     blank = (F.col("task_type") == "") & (F.col("run_id") != "")
     runs = rows.groupBy("run_id").agg(F.bool_or(blank).alias("_need")).where("_need").select("run_id")
     own = F.array(F.struct(F.lit(True).alias("whole"), F.col("run_id").alias("k")))
+    named = entries.where(F.startswith("k", F.lit(PREFIX_MARK)))
+    sizes = named.agg(F.collect_set(F.char_length("k") - len(PREFIX_MARK))).scalar()
     starts = F.transform(
-        F.sequence(F.lit(1), F.char_length("run_id")),
+        F.filter("sizes", lambda n: (n >= 1) & (n <= F.char_length("run_id"))),
         lambda n: F.struct(
             F.lit(False).alias("whole"),
             F.concat(F.lit(PREFIX_MARK), F.substring("run_id", F.lit(1), n)).alias("k"),
         ),
     )
-    found = runs.select("run_id", F.inline(F.concat(own, starts))).join(entries, "k")
+    found = runs.withColumn("sizes", sizes).select("run_id", F.inline(F.concat(own, starts))).join(entries, "k")
     prefix_size = F.when(~F.col("whole"), F.char_length("k"))
     per_run = found.groupBy("run_id").agg(
         F.max(F.when(F.col("whole"), F.nullif("v", F.lit("")))).alias("_t2"),

@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 from attestry.session import cut_lineage
 
+RANGES = 1_024  # ranges of a block: sums inside a block run on, those of blocks are few
+
 
 def sliced(df: DataFrame, order: list[Column]) -> DataFrame:
     """``df`` in ranges of ``order`` with the range's number as ``_slice``."""
@@ -22,11 +24,18 @@ def ranked(df: DataFrame, order: list[Column], out: str = "rank") -> DataFrame:
     """Every row with its 1-based place in ``order``; ties get places in any order."""
     rows = sliced(df, order)
     sizes = rows.groupBy("_slice").agg(F.count("*").alias("_rows"))
-    # One entry per range: as many as there are partitions, whatever the table's size.
-    ranges = sizes.agg(F.sort_array(F.collect_list(F.struct("_slice", "_rows"))).alias("_all"))
-    starts = ranges.select(F.explode(F.transform("_all", lambda x, i: F.struct(
-        x["_slice"].alias("_slice"),
-        F.aggregate(F.slice("_all", F.lit(1), i), F.lit(0).cast("long"), lambda n, y: n + y["_rows"]).alias("_start"),
+    # One row per range, as many as there are partitions; summed in blocks of ranges.
+    blocks = sizes.withColumn("_block", F.floor(F.col("_slice") / RANGES))
+    before = Window.partitionBy("_block").orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    every = blocks.groupBy("_block").agg(F.sum("_rows").alias("_rows")).agg(
+        F.sort_array(F.collect_list(F.struct("_block", "_rows"))).alias("_all")
+    )
+    block_starts = every.select(F.explode(F.transform("_all", lambda x, i: F.struct(
+        x["_block"].alias("_block"),
+        F.aggregate(F.slice("_all", F.lit(1), i), F.lit(0).cast("long"), lambda n, y: n + y["_rows"]).alias("_block_start"),
     ))).alias("r")).select("r.*")
+    starts = blocks.withColumn("_in_block", F.coalesce(F.sum("_rows").over(before), F.lit(0))).join(block_starts, "_block").select(
+        "_slice", (F.col("_block_start") + F.col("_in_block")).alias("_start")
+    )
     inside = F.row_number().over(Window.partitionBy("_slice").orderBy(*order))
     return rows.join(starts, "_slice").withColumn(out, (F.col("_start") + inside).cast("long")).drop("_slice", "_start")
