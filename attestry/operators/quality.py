@@ -219,3 +219,12 @@ def report_agreement(reports: DataFrame, records: DataFrame, rejects: DataFrame)
     found.append(F.when(~text.contains(bad), F.lit("reject count not stated")))
     return reports.select("report_id", F.explode(F.array_compact(F.array(*found))).alias("finding"))
 
+
+
+def log_findings(logs: DataFrame, text: str = "text") -> DataFrame:
+    """Logs that are missing or empty, or that record no row counts: other columns and ``finding``."""
+    low = F.lower(text)
+    finding = F.when(F.coalesce(F.col(text), F.lit("")) == "", "missing or empty log").when(
+        ~low.contains("row count") & ~low.contains("rows"), "no row counts"
+    )
+    return logs.withColumn("finding", finding).where("finding is not null").drop(text)

@@ -54,6 +54,12 @@ def outside_scope(changed: DataFrame, owned: DataFrame, parents_allowed: bool =
     )
 
 
+def unchanged_tasks(tasks: DataFrame, changed: DataFrame) -> DataFrame:
+    """Tasks that changed no path at all: nothing was added or edited."""
+    touched = changed.select("task_id").distinct()
+    return tasks.select("task_id").distinct().join(touched, "task_id", "left_anti")
+
+
 def in_forbidden(changed: DataFrame, forbidden: DataFrame) -> DataFrame:
     return under(changed, forbidden)
 

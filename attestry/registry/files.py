@@ -106,6 +106,12 @@ def _(v):
     return scope.outside_scope(changed(v), v("owned_paths"))
 
 
+@query("tasks_without_changes", f"with {OWN} select distinct task_id from ow where task_id not in (select task_id from ch) union select 'idle-' || r_name from region", SCOPE)
+def _(v):
+    idle = v.table("region").select(F.concat(F.lit("idle-"), "r_name").alias("task_id"))
+    return scope.unchanged_tasks(v("owned_paths").select("task_id").unionByName(idle), changed(v))
+
+
 @query("paths_parents_allowed", f"with {OWN} select task_id, path from ch where not {COVER.format(extra=' or starts_with(ow.p, ch.path || chr(47))')}", SCOPE)
 def _(v):
     return scope.outside_scope(changed(v), v("owned_paths"), parents_allowed=True)

@@ -315,6 +315,14 @@ def _(v):
     return library.reconcile(entries, v("active_runs"), NOW)
 
 
+@query("reconcile_changed", "select bool_or(state = 'live' and current_run_id not in (select run_id from active_runs)) as changed from library_updates", ("library_updates", "active_runs"))
+def _(v):
+    entries = v("library_updates").select(
+        F.col("run_id").alias("run_name"), "current_run_id", "state", "updated_at"
+    )
+    return library.any_changed(library.reconcile(entries, v("active_runs"), NOW))
+
+
 VERSIONS = """ver as (select run_name, run_id, updated_at as finished_at, state as outcome,
   row_number() over (partition by run_name order by updated_at desc, run_id desc) as rank from library_updates)"""
 

@@ -173,6 +173,30 @@ def _(v):
     return quality.reject_count(v("attempts_jsonl"))
 
 
+@query("dq_rejects_file", """select form, count(*) as rejects from attempts_jsonl, (values ('csv'), ('jsonl')) as t(form) where trim(line) <> '' group by form
+ union all select 'missing', 0""", ("attempts_jsonl",))
+def _(v):
+    """Reject files in both forms, written and counted; a file that is not there holds none."""
+    lines = v("attempts_jsonl").where("trim(line) <> ''").select("line")
+    counts = []
+    for form in ("csv", "jsonl"):
+        path = f"{storage.scratch_path(v.spark, 'rejects')}.{form}"
+        if form == "csv":
+            lines.write.option("header", "true").option("escape", '"').csv(path)
+        else:
+            lines.write.text(path)
+        counts.append(records.reject_counts(v.spark, path).select(F.lit(form).alias("form"), "rejects"))
+    missing = records.reject_counts(v.spark, f"{storage.scratch_path(v.spark, 'rejects')}.csv", require_file=True)
+    counts.append(missing.select(F.lit("missing").alias("form"), "rejects"))
+    return counts[0].unionByName(counts[1]).unionByName(counts[2])
+
+
+@query("dq_log_counts", """select doc_id, case when coalesce(text, '') = '' then 'missing or empty log' else 'no row counts' end as finding from documents
+ where coalesce(text, '') = '' or (not contains(lower(text), 'row count') and not contains(lower(text), 'rows'))""")
+def _(v):
+    return quality.log_findings(v.table("documents").select("doc_id", "text"))
+
+
 REPORT_SECTIONS = ", ".join(f"('{s}')" for s in quality.REPORT_SECTIONS)
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
 CORRUPT = "_corrupt_record"
 
@@ -31,3 +32,25 @@ def bad_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     return lines.where(F.col(line).rlike(r"\S") & ~is_object).withColumn(
         "found", F.coalesce(kind, F.lit("not JSON"))
     )
+
+
+def reject_counts(spark: SparkSession, path: str | None, require_file: bool = False) -> DataFrame:
+    """One row: ``rejects``, the records of a reject file, and a ``finding`` if it must exist and does not.
+
+    A CSV file counts records under its header, whatever lines they span; any other file
+    counts lines that are not blank.  Without a file nothing was rejected.
+    """
+    none = spark.createDataFrame([(0, None)], "rejects long, finding string")
+    if path is None:
+        return none
+    try:
+        if path.lower().endswith(".csv"):
+            rows = read_records(spark, path, "csv")
+        else:
+            rows = spark.read.text(path).where(F.col("value").rlike(r"\S"))
+    except AnalysisException as problem:
+        if "PATH_NOT_FOUND" not in (problem.getCondition() or ""):
+            return none
+        finding = f"missing rejects file: {path}" if require_file else None
+        return spark.createDataFrame([(0, finding)], "rejects long, finding string")
+    return rows.agg(F.count("*").alias("rejects")).withColumn("finding", F.lit(None).cast("string"))

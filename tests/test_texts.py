@@ -421,3 +421,19 @@ def test_report_is_one_document(spark, tmp_path):
     document = json.loads(files[0].read_text())
     assert list(document) == ["rollup", "groups"] and document["groups"] == []
     assert document["rollup"] == [{"i": i, "name": None if i % 2 else f"n{i}"} for i in range(50)]
+
+
+def test_reject_files(spark, tmp_path):
+    (tmp_path / "r.csv").write_text('id,why\n1,"two\nlines"\n\n2,b\n')
+    (tmp_path / "r.jsonl").write_text('{"id": 1}\n  \n{"id": 2}\n\n{"id": 3}\n')
+    (tmp_path / "empty.csv").write_text("")
+    count = lambda name, **k: tuple(records.reject_counts(spark, name and str(tmp_path / name), **k).first())
+    assert (count("r.csv"), count("r.jsonl"), count("empty.csv"), count(None)) == ((2, None), (3, None), (0, None), (0, None))
+    assert count("gone.csv") == (0, None)
+    assert count("gone.csv", require_file=True) == (0, f"missing rejects file: {tmp_path / 'gone.csv'}")
+
+
+def test_logs_record_row_counts(spark):
+    rows = [("a", "ROW COUNT 3"), ("b", "3 rows"), ("c", ""), ("d", None), ("e", "done")]
+    found = {r.stage: r.finding for r in quality.log_findings(spark.createDataFrame(rows, "stage string, text string")).collect()}
+    assert found == {"c": "missing or empty log", "d": "missing or empty log", "e": "no row counts"}
