@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 CORRUPT = "_corrupt_record"
+JSON_OPTIONS = {"allowSingleQuotes": "false", "allowNonNumericNumbers": "false"}
 
 
 def read_records(spark: SparkSession, path: str, form: str, schema: str | None = None) -> DataFrame:
@@ -27,7 +28,9 @@ def read_records(spark: SparkSession, path: str, form: str, schema: str | None =
 
 def bad_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     """Non-blank lines that are not JSON objects, with what they are instead."""
-    kind = F.schema_of_variant(F.try_parse_json(line))
+    # The parser stops behind the first value; as a list, a line must have one member.
+    members = F.size(F.from_json(F.concat(F.lit("["), F.col(line), F.lit("]")), "array<string>", JSON_OPTIONS))
+    kind = F.when(members == 1, F.schema_of_variant(F.try_parse_json(line)))
     is_object = F.coalesce(kind.startswith("OBJECT"), F.lit(False))
     return lines.where(F.col(line).rlike(r"\S") & ~is_object).withColumn(
         "found", F.coalesce(kind, F.lit("not JSON"))
