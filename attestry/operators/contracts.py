@@ -23,6 +23,17 @@ def findings(rows: DataFrame, ids: list[str], rules: list[tuple[str | Column, Co
     return rows.select(*ids, F.explode(violations(rules)).alias("rule"))
 
 
+def numbered(part: Column | int, rules: Column) -> Column:
+    """Rule names as (part, rule), part 0 being the whole document."""
+    place = F.lit(part) if isinstance(part, int) else part
+    return F.transform(rules, lambda rule: F.struct(place.cast("int").alias("part"), rule.alias("rule")))
+
+
+def part_findings(parts: Column, rules) -> Column:
+    """(part, rule) for every part of an array, counted from 1; ``rules`` judges one part."""
+    return F.flatten(F.transform(parts, lambda p, at: numbered(at + 1, violations(rules(p)))))
+
+
 def violations(rules: list[tuple[str | Column, Column]]) -> Column:
     named = [
         F.when(bad, name if isinstance(name, Column) else F.lit(name)) for name, bad in rules
@@ -47,8 +58,12 @@ def headed(text: Column) -> Column:
     )
 
 
-def has_heading(text: Column, heading: str) -> Column:
-    return F.array_contains(F.transform(headed(text), lambda s: s["name"]), heading.lower())
+def section_names(sections: Column) -> Column:
+    return F.transform(sections, lambda s: s["name"])
+
+
+def lacks_heading(names: Column, heading: str) -> Column:
+    return ~F.array_contains(names, heading.lower())
 
 
 def has_title(text: Column, title: str) -> Column:
@@ -59,10 +74,16 @@ def contains_any_case(text: Column, part: str) -> Column:
     return F.lower(text).contains(part.lower())
 
 
-def section(text: Column, heading: str) -> Column:
-    """Body of the first section of that name; blank when absent."""
-    named = F.filter(headed(text), lambda s: s["name"] == heading.lower())
-    return F.when(text.isNotNull(), F.coalesce(F.get(named, F.lit(0))["body"], F.lit("")))
+def section(sections: Column, heading: str) -> Column:
+    """Body of the first of the sections with that name; blank when absent."""
+    named = F.filter(sections, lambda s: s["name"] == heading.lower())
+    return F.when(sections.isNotNull(), F.coalesce(F.get(named, F.lit(0))["body"], F.lit("")))
+
+
+def mentions_any(text: Column, words: list[str]) -> Column:
+    """Some word of a list occurs anywhere in the text, in either case."""
+    low = F.lower(text)
+    return F.exists(F.array(*[F.lit(w) for w in words]), lambda w: F.contains(low, w))
 
 
 def nonblank_lines(text: Column) -> Column:
@@ -123,7 +144,7 @@ CONTRACTS = [
 ]
 
 
-def contract_rules(c: Contract, text: Column) -> list[tuple[str, Column]]:
+def contract_rules(c: Contract, text: Column, names: Column) -> list[tuple[str, Column]]:
     rules: list[tuple[str, Column]] = []
     if c.max_words:
         rules.append(("too-long", measures.spaced_words(text) > c.max_words))
@@ -131,7 +152,7 @@ def contract_rules(c: Contract, text: Column) -> list[tuple[str, Column]]:
         rules.append(("too-short", measures.bounded_words(text) < c.min_words))
     if c.title:
         rules.append(("title", ~has_title(text, c.title)))
-    rules += [(f"section:{h}", ~has_heading(text, h)) for h in c.headings]
+    rules += [(f"section:{h}", lacks_heading(names, h)) for h in c.headings]
     rules += [(f"pattern:{name}", ~matches(text, p)) for name, p in c.patterns]
     rules += [(f"phrase:{p}", ~contains_any_case(text, p)) for p in c.phrases]
     if c.names_model:
@@ -141,12 +162,13 @@ def contract_rules(c: Contract, text: Column) -> list[tuple[str, Column]]:
 
 def section_contracts(documents: DataFrame, contracts: list[Contract] = CONTRACTS) -> DataFrame:
     """Findings of documents against the contract of their ``doc_type``; empty ones say so."""
-    text = F.col("text")
+    text, names = F.col("text"), F.col("_names")
     found = F.array().cast("array<string>")
     for c in contracts:
-        found = F.when(F.col("doc_type") == c.name, violations(contract_rules(c, text))).otherwise(found)
+        found = F.when(F.col("doc_type") == c.name, violations(contract_rules(c, text, names))).otherwise(found)
     found = F.when(F.coalesce(text, F.lit("")) == "", F.array(F.lit("empty"))).otherwise(found)
-    return documents.select("doc_id", "doc_type", F.explode(found).alias("rule"))
+    named = documents.withColumn("_names", section_names(headed(text)))
+    return named.select("doc_id", "doc_type", F.explode(found).alias("rule"))
 
 
 def total_length(pairs: DataFrame, max_words: int = 1500) -> DataFrame:
@@ -164,91 +186,155 @@ REVIEW_WORDS = 1200
 SUMMARY_LINES = 3
 
 
+def _finding_blocks(body: Column) -> Column:
+    parts = F.filter(F.split(body, r"(?idm)(?=^###\s+Finding:)"), lambda b: b.rlike(r"\S"))
+    return F.when(matches(body, r"^###\s+Finding:"), parts)
+
+
+def _priority(block: Column) -> Column:
+    return F.upper(F.regexp_extract(block, r"(?i)Priority:\s*(P[0-3])\b", 1))
+
+
+def _confidence(block: Column) -> Column:
+    return F.lower(F.regexp_extract(block, r"(?i)Confidence:\s*(high|medium|low)\b", 1))
+
+
+def _file_line(block: Column) -> Column:
+    return F.regexp_extract(block, r"\b([\w./-]+:\d+)\b", 1)
+
+
 def review_blocks(reports: DataFrame) -> DataFrame:
     """Finding blocks of review reports with their parsed fields."""
-    body = section(F.col("text"), "Findings")
-    parts = F.filter(F.split(body, r"(?idm)(?=^###\s+Finding:)"), lambda b: b.rlike(r"\S"))
-    blocks = F.when(matches(body, r"^###\s+Finding:"), parts)
-    rows = reports.select("doc_id", F.posexplode(blocks).alias("_pos", "block"))
+    body = section(headed(F.col("text")), "Findings")
+    rows = reports.withColumn("_body", body).select(
+        "doc_id", F.posexplode(_finding_blocks(F.col("_body"))).alias("_pos", "block")
+    )
     b = F.col("block")
     return rows.select(
         "doc_id", (F.col("_pos") + 1).alias("finding"), "block",
-        F.upper(F.regexp_extract(b, r"(?i)Priority:\s*(P[0-3])\b", 1)).alias("priority"),
-        F.lower(F.regexp_extract(b, r"(?i)Confidence:\s*(high|medium|low)\b", 1)).alias("confidence"),
-        F.regexp_extract(b, r"\b([\w./-]+:\d+)\b", 1).alias("evidence"),
+        _priority(b).alias("priority"), _confidence(b).alias("confidence"), _file_line(b).alias("evidence"),
+    )
+
+
+def _block_rules(b: Column) -> list[tuple[str, Column]]:
+    return [
+        *[(f"field:{f}", ~contains_any_case(b, f)) for f in REVIEW_FIELDS],
+        ("no-file-line", b.contains("Evidence:") & (_file_line(b) == "")),
+        ("priority", _priority(b) == ""),
+        ("confidence", _confidence(b) == ""),
+    ]
+
+
+def _exploded(rows: DataFrame, part_name: str, *found: Column) -> DataFrame:
+    """(doc_id, part, rule) of the (part, rule) arrays of each document."""
+    none = F.array().cast("array<struct<part:int,rule:string>>")
+    every = F.concat(*[F.coalesce(f, none) for f in found])
+    return rows.select("doc_id", F.explode(every).alias("_f")).select(
+        "doc_id", F.col("_f.part").alias(part_name), F.col("_f.rule").alias("rule")
     )
 
 
 def review_findings(reports: DataFrame) -> DataFrame:
-    """Report-level findings (finding 0) and block-level ones (finding 1, 2, ...)."""
-    text = F.col("text")
-    body = section(text, "Findings")
+    """Report-level findings (finding 0) and block-level ones (finding 1, 2, ...).
+
+    A report is read and parsed once: its sections are bound first, then the rules of
+    the whole and of every block are judged inside the row.
+    """
+    text, sections, body = F.col("text"), F.col("_sections"), F.col("_body")
+    rows = (
+        reports.withColumn("_sections", headed(text))
+        .withColumn("_body", section(sections, "Findings"))
+        .withColumn("_names", section_names(sections))
+    )
     explicit = matches(body, r"^###\s+Finding:") | contains_any_case(body, "no findings")
-    whole = findings(
-        reports, ["doc_id"],
+    whole = violations(
         [
             ("too-long", measures.spaced_words(text) > REVIEW_WORDS),
             ("title", ~has_title(text, "Review Report")),
-            *[(f"section:{h}", ~has_heading(text, h)) for h in REVIEW_HEADINGS],
-            ("summary-too-long", nonblank_lines(section(text, "Summary")) > SUMMARY_LINES),
+            *[(f"section:{h}", lacks_heading(F.col("_names"), h)) for h in REVIEW_HEADINGS],
+            ("summary-too-long", nonblank_lines(section(sections, "Summary")) > SUMMARY_LINES),
             ("findings-empty", body == ""),
             ("findings-not-explicit", (body != "") & ~explicit),
-        ],
-    ).select("doc_id", F.lit(0).alias("finding"), "rule")
-    b = F.col("block")
-    blocks = findings(
-        review_blocks(reports), ["doc_id", "finding"],
-        [
-            *[(f"field:{f}", ~contains_any_case(b, f)) for f in REVIEW_FIELDS],
-            ("no-file-line", b.contains("Evidence:") & (F.col("evidence") == "")),
-            ("priority", F.col("priority") == ""),
-            ("confidence", F.col("confidence") == ""),
-        ],
+        ]
     )
-    return whole.unionByName(blocks)
+    return _exploded(rows, "finding", numbered(0, whole), part_findings(_finding_blocks(body), _block_rules))
 
 
 STRICT_LABELS = ["Finding", "Evidence", "Impact", "Fix", "Priority", "Confidence"]
 EVIDENCE_CHARS = 20
-CLAIMS_EDIT = (
-    r"\b(i\s+(fixed|patched|committed|pushed|modified)|patched\s+the|committed\s+the|pushed\s+the)\b"
-)
+# Fixed phrases: what a reviewer who changed the code says.
+EDIT_CLAIMS = [
+    "i fixed", "i patched", "i committed", "i pushed", "i modified",
+    "patched the", "committed the", "pushed the",
+]
+
+
+def claims_edit(text: Column) -> Column:
+    """Two neighbouring words, with nothing but blanks between them, claim an edit."""
+    low = F.lower(text)
+    neighbours = F.lit(r"(?U)\b(\w++)\s++(?=(\w++))")
+    pairs = F.zip_with(
+        F.regexp_extract_all(low, neighbours, F.lit(1)), F.regexp_extract_all(low, neighbours, F.lit(2)),
+        lambda first, second: F.concat(first, F.lit(" "), second),
+    )
+    return F.arrays_overlap(pairs, F.array(*[F.lit(c) for c in EDIT_CLAIMS]))
+
+
+def labelled(block: Column) -> Column:
+    """The labelled paragraphs of a block as (label in lower case, body, whole), in order.
+
+    A label is two or more letters and blanks before a colon at the start of a line.
+    """
+    return F.transform(
+        F.split(block, r"\n(?=[A-Za-z][A-Za-z ]+\s*:)"),
+        lambda part: F.struct(
+            F.lower(trimmed(F.substring_index(part, ":", 1))).alias("label"),
+            F.regexp_replace(part, r"\A[^:]*:", "").alias("body"), part.alias("whole"),
+        ),
+    )
+
+
+def _strict_rules(parts: Column) -> list[tuple[str, Column]]:
+    """Rules of one finding; a label with nothing behind it speaks for the next paragraph."""
+    labels = F.transform(parts, lambda p: p["label"])
+
+    def some(label: str, pattern: str) -> Column:
+        return F.exists(parts, lambda p: (p["label"] == label) & p["body"].rlike(pattern))
+
+    at = F.array_position(labels, "evidence").cast("int")
+    own = F.get(parts, at - 1)["body"]
+    evidence = F.when(at > 0, F.when(trimmed(own) != "", own).otherwise(F.coalesce(F.get(parts, at)["whole"], own)))
+    return [
+        *[(f"label:{name}", ~F.array_contains(labels, name.lower())) for name in STRICT_LABELS],
+        ("priority", ~some("priority", r"(?i)^\s*P[0-3]\b")),
+        ("confidence", ~some("confidence", r"(?i)^\s*(high|medium|low)\b")),
+        ("thin-evidence", (evidence != "") & (F.char_length(trimmed(evidence)) < EVIDENCE_CHARS)),
+    ]
 
 
 def strict_review_findings(reports: DataFrame) -> DataFrame:
     """Block-label variant: every ``Finding:`` block needs all labels and solid evidence."""
-    text = F.col("text")
+    text, blocks = F.col("text"), F.col("_blocks")
     parts = F.split(text, r"(?idm)^Finding\s*:\s*")
-    blocks = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
-    none = matches(text, r"\bNO FINDINGS\b")
-    whole = findings(
-        reports, ["doc_id"],
-        [
-            ("section:Summary", ~matches(text, r"^#+\s*summary\b")),
-            ("nothing-stated", (F.size(blocks) == 0) & ~none),
-            ("claims-edit", matches(text, CLAIMS_EDIT)),
-        ],
-    ).select("doc_id", F.lit(0).alias("finding"), "rule")
-    rows = reports.select("doc_id", F.posexplode(blocks).alias("_pos", "_b")).select(
-        "doc_id", (F.col("_pos") + 1).alias("finding"), F.concat(F.lit("Finding: "), "_b").alias("b")
+    rows = reports.withColumn(
+        "_blocks",
+        F.transform(
+            F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))),
+            lambda b: labelled(F.concat(F.lit("Finding: "), b)),
+        ),
     )
-    b = F.col("b")
-    evidence = F.regexp_extract(b, r"(?idms)^Evidence\s*:\s*(.+?)(?:\n[A-Z][A-Za-z ]+\s*:|\z)", 1)
-    evidence_text = F.regexp_replace(evidence, r"^\s+|\s+$", "")
-    detail = findings(
-        rows, ["doc_id", "finding"],
+    whole = violations(
         [
-            *[(f"label:{name}", ~matches(b, rf"^{name}\s*:")) for name in STRICT_LABELS],
-            ("priority", ~matches(b, r"^Priority\s*:\s*(P[0-3])\b")),
-            ("confidence", ~matches(b, r"^Confidence\s*:\s*(high|medium|low)\b")),
-            ("thin-evidence", (evidence != "") & (F.char_length(evidence_text) < EVIDENCE_CHARS)),
-        ],
+            ("section:Summary", ~matches(text, r"^#+\s*summary\b")),
+            ("nothing-stated", (F.size(blocks) == 0) & ~matches(text, r"\bNO FINDINGS\b")),
+            ("claims-edit", claims_edit(text)),
+        ]
     )
-    return whole.unionByName(detail)
+    return _exploded(rows, "finding", numbered(0, whole), part_findings(blocks, _strict_rules))
 
 
 def claims_of_edits(reports: DataFrame) -> DataFrame:
-    return reports.where(matches(F.col("text"), CLAIMS_EDIT)).select("doc_id")
+    return reports.where(claims_edit(F.col("text"))).select("doc_id")
 
 
 # --- documentation files -----------------------------------------------------
@@ -278,37 +364,52 @@ def section_words(documents: DataFrame) -> DataFrame:
     )
 
 
-def symbol_spans(documents: DataFrame, section_name: str, allowlist: list[str] = ()) -> DataFrame:
-    """Code spans of the first run of symbol-section blocks, URLs and allowed ones left out."""
-    target = " ".join(re.sub("[^a-z0-9]+", " ", section_name.lower()).split())
-    blocks = F.transform(
-        F.filter(F.split("text", HEADING_BLOCK), lambda b: b.rlike(HEADING_LINE)),
+def heading_blocks(text: Column) -> Column:
+    """Heading blocks of any level as (slug, body), in order."""
+    return F.transform(
+        F.filter(F.split(text, HEADING_BLOCK), lambda b: b.rlike(HEADING_LINE)),
         lambda b: F.struct(
-            (slug(F.regexp_extract(b, HEADING_LINE, 1)) == target).alias("hit"),
+            slug(F.regexp_extract(b, HEADING_LINE, 1)).alias("slug"),
             F.regexp_replace(b, HEADING_LINE, "").alias("body"),
         ),
     )
-    rows = documents.select("doc_id", blocks.alias("_blocks"))
+
+
+def _slug_of(name: str) -> str:
+    return " ".join(re.sub("[^a-z0-9]+", " ", name.lower()).split())
+
+
+def _blocks_of(blocks: Column, target: str) -> Column:
+    return F.filter(blocks, lambda b: b["slug"] == target)
+
+
+def symbols_of(blocks: Column, section_name: str, allowlist: list[str] = ()) -> Column:
+    """Code spans of the first run of symbol-section blocks, URLs and allowed ones left out."""
+    target = _slug_of(section_name)
+    hits = F.transform(blocks, lambda b: b["slug"] == target)
     # First hit, then the run of hits that follows it without a break.
-    first = F.array_position(F.transform("_blocks", lambda b: b["hit"]), True).cast("int")
-    rest = F.when(
-        first > 0, F.slice("_blocks", first, F.size("_blocks") - first + 1)
-    ).otherwise(F.slice("_blocks", F.lit(1), F.lit(0)))
-    rows = rows.withColumn("_rest", rest)
-    stop = F.array_position(F.transform("_rest", lambda b: b["hit"]), False).cast("int")
-    run = F.when(stop > 0, F.slice("_rest", F.lit(1), stop - 1)).otherwise(F.col("_rest"))
+    first = F.array_position(hits, True).cast("int")
+    after = F.slice(hits, F.greatest(first, F.lit(1)), F.size(hits))
+    stop = F.array_position(after, False).cast("int")
+    length = F.when(first == 0, 0).when(stop > 0, stop - 1).otherwise(F.size(after))
+    run = F.slice(blocks, F.greatest(first, F.lit(1)), length)
     body = F.array_join(F.transform(run, lambda b: b["body"]), "\n")
     spans = F.transform(
         F.regexp_extract_all(body, F.lit("`([^`\\n]+)`"), F.lit(1)),
         lambda s: F.regexp_replace(s, r"^\s+|\s+$", ""),
     )
     skip = F.array(*[F.lit(a) for a in allowlist]) if allowlist else F.array().cast("array<string>")
-    kept = F.filter(
+    return F.filter(
         F.array_distinct(spans),
         lambda s: (s != "") & ~s.startswith("http://") & ~s.startswith("https://")
         & ~F.array_contains(skip, s),
     )
-    return rows.select("doc_id", F.explode(kept).alias("symbol"))
+
+
+def symbol_spans(documents: DataFrame, section_name: str, allowlist: list[str] = ()) -> DataFrame:
+    """(doc_id, symbol) for every documented symbol."""
+    rows = documents.withColumn("_blocks", heading_blocks(F.col("text")))
+    return rows.select("doc_id", F.explode(symbols_of(F.col("_blocks"), section_name, allowlist)).alias("symbol"))
 
 
 def fenced_blocks(text: Column, language: str) -> Column:
@@ -318,36 +419,31 @@ def fenced_blocks(text: Column, language: str) -> Column:
     return F.size(F.filter(labels, lambda x: x == language.strip().lower()))
 
 
-def _blocks_of(target: str) -> Column:
-    return F.filter("_blocks", lambda b: b["slug"] == target)
-
-
 def doc_sections(
     documents: DataFrame, required: list[str], min_words: int, min_section_words: int,
-    symbol_section: str, language: str,
+    symbol_section: str, language: str, allowlist: list[str] = (), missing: DataFrame | None = None,
 ) -> DataFrame:
-    """Findings of documentation files, evaluated inside each row."""
-    text = F.col("text")
-    wanted = {name: " ".join(re.sub("[^a-z0-9]+", " ", name.lower()).split()) for name in required}
-    blocks = F.transform(
-        F.filter(F.split(text, HEADING_BLOCK), lambda b: b.rlike(HEADING_LINE)),
-        lambda b: F.struct(
-            slug(F.regexp_extract(b, HEADING_LINE, 1)).alias("slug"),
-            measures.token_words(F.regexp_replace(b, HEADING_LINE, "")).alias("words"),
-        ),
-    )
-    rows = documents.withColumn("_blocks", blocks)
+    """Findings of documentation files, evaluated inside each row.
+
+    ``allowlist`` names symbols that count neither as documented nor as missing.
+    ``missing`` (doc_id, symbol), as ``scope.missing_symbols`` gives it, adds a finding
+    ``unknown-symbol:NAME`` for every documented symbol no source file holds.
+    """
+    text, blocks = F.col("text"), F.col("_blocks")
+    rows = documents.withColumn("_blocks", heading_blocks(text))
     rules: list[tuple[str, Column]] = [("too-short", measures.token_words(text) < min_words)]
-    for name, target in wanted.items():
-        mine = _blocks_of(target)
-        words = F.aggregate(mine, F.lit(0), lambda total, b: total + b["words"])
+    for name in required:
+        mine = _blocks_of(blocks, _slug_of(name))
+        words = F.aggregate(mine, F.lit(0), lambda total, b: total + measures.token_words(b["body"]))
         rules.append((f"section:{name}", F.size(mine) == 0))
         rules.append((f"thin:{name}", (F.size(mine) > 0) & (words < min_section_words)))
     rules.append((f"no-example:{language}", fenced_blocks(text, language) == 0))
+    rules.append(("no-symbols", F.size(symbols_of(blocks, symbol_section, allowlist)) == 0))
     whole = findings(rows, ["doc_id"], rules)
-    with_symbols = symbol_spans(documents, symbol_section).select("doc_id").distinct()
-    silent = documents.select("doc_id").join(with_symbols, "doc_id", "left_anti")
-    return whole.unionByName(silent.withColumn("rule", F.lit("no-symbols")))
+    if missing is None:
+        return whole
+    named = missing.where(~F.col("symbol").isin(list(allowlist))) if allowlist else missing
+    return whole.unionByName(named.select("doc_id", F.concat(F.lit("unknown-symbol:"), "symbol").alias("rule")))
 
 
 # --- probe transcripts -------------------------------------------------------
@@ -355,14 +451,26 @@ def doc_sections(
 POSTMORTEM_MARKERS = [
     "failure observed:", "evidence:", "likely cause:", "next check:", "verdict:",
 ]
-NEXT_HEADING = r"\n(?:##\s+|[A-Z][A-Z _-]{3,}:)"
 RESPONSE_MARKERS = ["MODEL RESPONSE:", "ASSISTANT:", "RESPONSE:"]
 
 
+def opens_section(line: Column) -> Column:
+    """A line that starts a new part: a second-level heading, or a label in capitals."""
+    label = F.substring_index(line, ":", 1)
+    capitals = (F.char_length(label) >= 4) & (F.regexp_replace(label, "[A-Z _-]+", "") == "") & label.rlike("^[A-Z]")
+    return line.rlike(r"^##(\s|$)") | (line.contains(":") & capitals)
+
+
 def after_marker(text: Column, marker: str) -> Column:
-    """Text after a marker up to the next heading, trimmed."""
-    rest = F.regexp_extract(text, rf"(?ids){re.escape(marker)}\s*(.*)", 1)
-    return F.regexp_replace(F.split(rest, NEXT_HEADING, 2)[0], r"^\s+|\s+$", "")
+    """Text after a marker, trimmed, up to the next line that opens a section.
+
+    The line the text starts in never ends it; blank when there is no marker.
+    """
+    rest = trimmed(F.get(F.split(text, "(?i)" + re.escape(marker), 2), F.lit(1)))
+    lines = F.split(rest, "\n")
+    ends = F.array_position(F.transform(lines, lambda line, at: (at > 0) & opens_section(line)), True).cast("int")
+    kept = F.when(ends > 0, F.slice(lines, F.lit(1), ends - 1)).otherwise(lines)
+    return F.coalesce(trimmed(F.array_join(kept, "\n")), F.lit(""))
 
 
 def probe_transcripts(
@@ -407,12 +515,43 @@ def probe_transcripts(
 
 # --- web pages ---------------------------------------------------------------
 
-EMBEDDED = r"(?i)data:image/(?:jpeg|jpg|png|webp);base64,"
-EXTERNAL = r"""(?i)(?:src|href)\s*=\s*['"](https?://[^'"]+)"""
-HONEST = r"(draft|tbd|placeholder|assumption|coming soon|to be measured)"
-HONEST_FINAL = r"(draft|tbd|placeholder|coming soon|to be measured)"
-TRUST = r"(objection|small print|make.it.right|refund|replace|trust|guarantee)"
-LEFTOVER = r"working title|placeholder brand"
+# Fixed words: image types a page may embed, attributes that load or link, words that
+# admit what is unfinished, that answer an objection, or that a draft left behind.
+IMAGE_TYPES = ["jpeg", "jpg", "png", "webp"]
+LINK_ATTRIBUTES = ["src", "href"]
+HONEST_WORDS = ["draft", "tbd", "placeholder", "assumption", "coming soon", "to be measured"]
+FINAL_HONEST_WORDS = ["draft", "tbd", "placeholder", "coming soon", "to be measured"]
+TRUST_WORDS = ["objection", "small print", "refund", "replace", "trust", "guarantee"]
+TRUST_SPELLINGS = ["make.it.right"]
+LEFTOVER_WORDS = ["working title", "placeholder brand"]
+PRICE_WORDS = ["price", "pricing", "offer"]
+
+
+def embedded_images(html: Column) -> Column:
+    """Number of images embedded as data URIs of a known type."""
+    types = F.regexp_extract_all(html, F.lit("(?i)data:image/([a-z]+);base64,"), F.lit(1))
+    return F.size(F.filter(types, lambda t: F.lower(t).isin(IMAGE_TYPES)))
+
+
+def linked(html: Column) -> Column:
+    """Absolute URLs that a quoted link attribute holds, in order.
+
+    The page is cut at its quotes: a value is the piece behind ``name =``.
+    """
+    pieces = F.split(html, "[\"']")
+    before = F.slice(pieces, F.lit(1), F.size(pieces) - 1)
+    values = F.slice(pieces, F.lit(2), F.size(pieces))
+
+    def holds_link(name: Column) -> Column:
+        assigned = trimmed(name)
+        left = F.lower(trimmed(F.left(assigned, F.char_length(assigned) - 1)))
+        return F.endswith(assigned, F.lit("=")) & F.exists(
+            F.array(*[F.lit(a) for a in LINK_ATTRIBUTES]), lambda a: F.endswith(left, a)
+        )
+
+    return F.array_compact(
+        F.zip_with(before, values, lambda name, value: F.when(value.rlike("(?is)^https?://.") & holds_link(name), value))
+    )
 
 
 @dataclass(frozen=True)
@@ -437,7 +576,7 @@ def page_contract(pages: DataFrame, site: Site) -> DataFrame:
             *_media_rules(html, site),
             *[(f"term:{t}", ~contains_any_case(html, t)) for t in site.terms],
             ("no-form", ~contains_any_case(html, "<form") & ~contains_any_case(html, "interest")),
-            ("no-honesty", ~matches(html, HONEST)),
+            ("no-honesty", ~mentions_any(html, HONEST_WORDS)),
         ],
     )
 
@@ -452,11 +591,14 @@ def final_page_contract(pages: DataFrame, site: Site) -> DataFrame:
     if site.pitch:
         rules.append(("pitch", ~contains_any_case(html, site.pitch)))
     rules += [
-        ("leftover", matches(html, LEFTOVER)),
+        ("leftover", mentions_any(html, LEFTOVER_WORDS)),
         *_media_rules(html, site),
         ("no-svg", ~contains_any_case(html, "<svg")),
-        ("no-honesty", ~matches(html, HONEST_FINAL)),
-        ("no-trust", ~matches(html, TRUST)),
+        ("no-honesty", ~mentions_any(html, FINAL_HONEST_WORDS)),
+        (
+            "no-trust",
+            ~mentions_any(html, TRUST_WORDS) & ~F.lower(html).rlike("|".join(TRUST_SPELLINGS)),
+        ),
     ]
     return findings(pages, ["page_id"], rules)
 
@@ -464,14 +606,13 @@ def final_page_contract(pages: DataFrame, site: Site) -> DataFrame:
 def _media_rules(html: Column, site: Site) -> list[tuple[str, Column]]:
     return [
         ("too-small", F.octet_length(html) < site.min_bytes),
-        ("few-images", measures.count(html, EMBEDDED) < site.min_images),
-        ("external", html.rlike(EXTERNAL)),
+        ("few-images", embedded_images(html) < site.min_images),
+        ("external", F.size(linked(html)) > 0),
     ]
 
 
 def external_urls(pages: DataFrame) -> DataFrame:
-    found = F.regexp_extract_all("html", F.lit(EXTERNAL), F.lit(1))
-    return pages.select("page_id", F.explode(F.array_distinct(found)).alias("url"))
+    return pages.select("page_id", F.explode(F.array_distinct(linked(F.col("html")))).alias("url"))
 
 
 # --- copy documents ----------------------------------------------------------
@@ -493,9 +634,8 @@ def _parts(text: Column, word: str) -> Column:
     return F.slice(pieces, F.lit(2), F.greatest(F.size(pieces) - 1, F.lit(0)))
 
 
-def candidate_copy(documents: DataFrame) -> DataFrame:
+def _candidate_rules(text: Column) -> Column:
     """Names, pitches, taglines and a pick."""
-    text = F.col("text")
     pitches = _labels(text, r"pitch\s*[abc123]")
     taglines = F.regexp_extract_all(
         text, F.lit(f"(?idm)^{NON_WORD}*tagline\\b[^:\\-\\u2014]*{SEP}\\s*(.+)$"), F.lit(1)
@@ -503,45 +643,37 @@ def candidate_copy(documents: DataFrame) -> DataFrame:
     wordy = F.exists(
         F.slice(pitches, F.lit(1), F.lit(3)), lambda p: measures.spaced_words(p) > 30
     )
-    return findings(
-        documents, ["doc_id"],
-        [
-            ("names", F.size(_labels(text, r"name\s*\d*")) < 8),
-            ("pitches", F.size(pitches) < 3), ("pitch-too-long", wordy),
-            ("taglines", F.size(taglines) < 3), ("no-pick", ~_picked(text)),
-        ],
-    )
+    rules = [
+        ("names", F.size(_labels(text, r"name\s*\d*")) < 8),
+        ("pitches", F.size(pitches) < 3), ("pitch-too-long", wordy),
+        ("taglines", F.size(taglines) < 3), ("no-pick", ~_picked(text)),
+    ]
+    return numbered(0, violations(rules))
 
 
-def brand_board(documents: DataFrame) -> DataFrame:
+def _board_rules(text: Column) -> Column:
     """Three directions with colors, type and reasons, and a pick."""
-    text = F.col("text")
     parts = _parts(text, "direction")
-    whole = findings(
-        documents, ["doc_id"], [("directions", F.size(parts) < 3), ("no-pick", ~_picked(text))]
-    ).select("doc_id", F.lit(0).alias("part"), "rule")
-    rows = documents.select("doc_id", F.posexplode(parts).alias("_pos", "p")).select(
-        "doc_id", (F.col("_pos") + 1).alias("part"), "p"
-    )
-    p = F.col("p")
-    return whole.unionByName(
-        findings(
-            rows, ["doc_id", "part"],
-            [
-                ("colors", measures.count(p, HEX) < 4),
-                ("headline-type", ~matches(p, r"headline\s*(type|font)")),
-                ("body-type", ~matches(p, r"body\s*(type|font)")),
-                ("why", ~matches(p, r"why\s*(it\s*fits|this)")),
-            ],
-        )
-    )
 
+    def direction(p: Column) -> list[tuple[str, Column]]:
+        return [
+            ("colors", measures.count(p, HEX) < 4),
+            ("headline-type", ~matches(p, r"headline\s*(type|font)")),
+            ("body-type", ~matches(p, r"body\s*(type|font)")),
+            ("why", ~matches(p, r"why\s*(it\s*fits|this)")),
+        ]
 
-def brand_kit(documents: DataFrame, brand: str, tagline: str, palette: list[str]) -> DataFrame:
-    text = F.col("text")
-    colors = F.array_distinct(
-        F.transform(F.regexp_extract_all(text, F.lit(HEX), F.lit(0)), F.upper)
-    )
+    whole = violations([("directions", F.size(parts) < 3), ("no-pick", ~_picked(text))])
+    return F.concat(numbered(0, whole), part_findings(parts, direction))
+
+
+def _colors(text: Column) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(HEX), F.lit(0)), F.upper))
+
+
+def _kit_rules(text: Column, brand: str, tagline: str, palette: list[str]) -> Column:
+    """Brand, tagline, palette, type, wordmark and price of a brand kit."""
+    colors = _colors(text)
     svg = F.regexp_extract(text, r"(?i)(<svg[\s\S]*?</svg>)", 1)
     absent = measures.missing([c.upper() for c in palette], colors)
     rules: list[tuple[str, Column]] = [("brand", ~contains_any_case(text, brand))]
@@ -553,46 +685,52 @@ def brand_kit(documents: DataFrame, brand: str, tagline: str, palette: list[str]
         ("type-section", ~matches(text, r"^#+\s*(?:\d+[\).]?\s*)?(type|typography)\b")),
         ("no-svg", svg == ""),
         ("svg-without-brand", (svg != "") & ~contains_any_case(svg, brand)),
-        ("no-pricing", ~matches(text, "(price|pricing|offer)")),
+        ("no-pricing", ~mentions_any(text, PRICE_WORDS)),
     ]
-    return findings(documents, ["doc_id"], rules)
+    return numbered(0, violations(rules))
 
 
-def palette_coverage(documents: DataFrame, palette: list[str]) -> DataFrame:
-    """Required colors a document does not show."""
-    colors = F.array_distinct(
-        F.transform(F.regexp_extract_all("text", F.lit(HEX), F.lit(0)), F.upper)
-    )
-    absent = measures.missing([c.upper() for c in palette], colors)
-    return documents.select("doc_id", F.explode(absent).alias("color"))
-
-
-def listing_copy(documents: DataFrame) -> DataFrame:
+def _listing_rules(text: Column) -> Column:
     """Three products with title and bullets; honest, long enough, with an about part."""
-    text = F.col("text")
     parts = _parts(text, "product")
-    whole = findings(
-        documents, ["doc_id"],
+
+    def product(p: Column) -> list[tuple[str, Column]]:
+        title = F.regexp_extract(p, f"(?idm)^{NON_WORD}*title\\s*{SEP}\\s*(.+)$", 1)
+        return [
+            ("no-title", title == ""), ("title-too-long", F.char_length(title) > 140),
+            ("bullets", measures.count(p, r"(?dm)^\s*[-*]\s+\S") < 3),
+        ]
+
+    whole = violations(
         [
             ("products", F.size(parts) < 3), ("too-short", measures.spaced_words(text) < 250),
-            ("no-honesty", ~matches(text, "(assumption|tbd|to be measured|draft|coming soon|placeholder)")),
-            ("no-about", ~matches(text, r"^#+\s*about")),
-        ],
-    ).select("doc_id", F.lit(0).alias("part"), "rule")
-    rows = documents.select(
-        "doc_id", F.posexplode(F.slice(parts, F.lit(1), F.lit(3))).alias("_pos", "p")
-    ).select("doc_id", (F.col("_pos") + 1).alias("part"), "p")
-    p = F.col("p")
-    title = F.regexp_extract(p, f"(?idm)^{NON_WORD}*title\\s*{SEP}\\s*(.+)$", 1)
-    return whole.unionByName(
-        findings(
-            rows, ["doc_id", "part"],
-            [
-                ("no-title", title == ""), ("title-too-long", F.char_length(title) > 140),
-                ("bullets", measures.count(p, r"(?dm)^\s*[-*]\s+\S") < 3),
-            ],
-        )
+            ("no-honesty", ~mentions_any(text, HONEST_WORDS)), ("no-about", ~matches(text, r"^#+\s*about")),
+        ]
     )
+    return F.concat(numbered(0, whole), part_findings(F.slice(parts, F.lit(1), F.lit(3)), product))
+
+
+def candidate_copy(documents: DataFrame) -> DataFrame:
+    return _exploded(documents, "part", _candidate_rules(F.col("text"))).drop("part")
+
+
+def brand_board(documents: DataFrame) -> DataFrame:
+    return _exploded(documents, "part", _board_rules(F.col("text")))
+
+
+def brand_kit(documents: DataFrame, brand: str, tagline: str, palette: list[str]) -> DataFrame:
+    return _exploded(documents, "part", _kit_rules(F.col("text"), brand, tagline, palette)).drop("part")
+
+
+def listing_copy(documents: DataFrame) -> DataFrame:
+    return _exploded(documents, "part", _listing_rules(F.col("text")))
+
+
+def palette_coverage(documents: DataFrame, palette: list[str]) -> DataFrame:
+    """Required colors a document does not show."""
+    colors = _colors(F.col("text"))
+    absent = measures.missing([c.upper() for c in palette], colors)
+    return documents.select("doc_id", F.explode(absent).alias("color"))
 
 
 # Fixed fields of a persona reaction and what each may hold.
@@ -656,16 +794,18 @@ def research_evidence(documents: DataFrame) -> DataFrame:
 def copy_contracts(
     documents: DataFrame, brand: str, tagline: str, palette: list[str]
 ) -> DataFrame:
-    """All copy checks over one table: (kind, doc_id, part, rule)."""
-    whole = F.lit(0).alias("part")
+    """All copy checks over one table: (kind, doc_id, part, rule); each text is read once."""
+    text = F.col("text")
     checks = {
-        "candidates": candidate_copy(documents).select("doc_id", whole, "rule"),
-        "brand_board": brand_board(documents),
-        "brand_kit": brand_kit(documents, brand, tagline, palette).select("doc_id", whole, "rule"),
-        "listing": listing_copy(documents),
+        "candidates": _candidate_rules(text), "brand_board": _board_rules(text),
+        "brand_kit": _kit_rules(text, brand, tagline, palette), "listing": _listing_rules(text),
     }
-    found = None
-    for kind, rows in checks.items():
-        named = rows.select(F.lit(kind).alias("kind"), "doc_id", "part", "rule")
-        found = named if found is None else found.unionByName(named)
-    return found
+    none = F.array().cast("array<struct<part:int,rule:string>>")
+    kinds = F.array(
+        *[F.struct(F.lit(kind).alias("kind"), F.coalesce(rules, none).alias("found")) for kind, rules in checks.items()]
+    )
+    return (
+        documents.select("doc_id", F.explode(kinds).alias("_k"))
+        .select("doc_id", F.col("_k.kind").alias("kind"), F.explode("_k.found").alias("_f"))
+        .select("kind", "doc_id", "_f.part", "_f.rule")
+    )

@@ -38,6 +38,13 @@ def has(text: str, part: str) -> str:
     return f"contains(lower({text}), '{part.lower()}')"
 
 
+def has_any(text: str, words: list[str]) -> str:
+    return "(" + " or ".join(has(text, w) for w in words) + ")"
+
+
+# Two words with blanks between them, anywhere in a text.
+CLAIMS = "(?:" + "|".join(c.replace(" ", r"\s+") for c in contracts.EDIT_CLAIMS) + ")"
+
 DOCS = "documents"
 
 
@@ -218,7 +225,7 @@ ev as (select *, regexp_extract(b, '(?ims)^Evidence\s*:\s*(.+?)(?:\n[A-Z][A-Za-z
 
 @query("review_findings_strict", f"with {STRICT} " + rules_sql("sp", "doc_id, 0 as finding", [
     ("section:Summary", no(hit("text", r"^#+\s*summary\b"))),
-    ("nothing-stated", "len(bs) = 0 and " + no(hit("text", r"\bNO FINDINGS\b"))), ("claims-edit", hit("text", contracts.CLAIMS_EDIT)),
+    ("nothing-stated", "len(bs) = 0 and " + no(hit("text", r"\bNO FINDINGS\b"))), ("claims-edit", hit("text", rf"\b{CLAIMS}\b")),
 ]) + " union all " + rules_sql("ev", "doc_id, finding", [
     *[(f"label:{n}", no(hit("b", rf"^{n}\s*:"))) for n in contracts.STRICT_LABELS],
     ("priority", no(hit("b", r"^Priority\s*:\s*(P[0-3])\b"))), ("confidence", no(hit("b", r"^Confidence\s*:\s*(high|medium|low)\b"))),
@@ -228,7 +235,7 @@ def _(v):
     return contracts.strict_review_findings(v("strict_reviews"))
 
 
-@query("claims_of_edits", f"select doc_id from review_reports where {hit('text', contracts.CLAIMS_EDIT)}", ("review_reports",))
+@query("claims_of_edits", "select doc_id from review_reports where " + hit("text", rf"\b{CLAIMS}\b"), ("review_reports",))
 def _(v):
     return contracts.claims_of_edits(v("review_reports"))
 
@@ -298,16 +305,21 @@ SITE = contracts.Site(
     min_bytes=2500, min_images=2, terms=("Lamp", "</article>"), brand="Acme", tagline="draft prices",
     palette=("#AA11BB",), pitch="Money Back",
 )
+IMAGES = "(?:" + "|".join(contracts.IMAGE_TYPES) + ")"
+# Pieces between quotes; a link's piece starts with its scheme, the one before ends with its name.
+QUOTED = """string_split(replace(html, '"', chr(39)), chr(39))"""
+LINKS = rf"""list_transform(list_filter(range(2, len({QUOTED}) + 1), lambda i: regexp_matches({QUOTED}[i], '(?is)^https?://.')
+ and regexp_matches({QUOTED}[i - 1], '(?i)(?:{"|".join(contracts.LINK_ATTRIBUTES)})\s*=\s*$')), lambda i: {QUOTED}[i])"""
 MEDIA = [
     ("too-small", "octet_length(encode(html)) < 2500"),
-    ("few-images", "len(regexp_extract_all(html, '(?i)data:image/(?:jpeg|jpg|png|webp);base64,')) < 2"),
-    ("external", r"""regexp_matches(html, '(?i)(?:src|href)\s*=\s*[''"](https?://[^''"]+)')"""),
+    ("few-images", f"len(regexp_extract_all(html, '(?i)data:image/{IMAGES};base64,')) < 2"),
+    ("external", f"len({LINKS}) > 0"),
 ]
 
 
 @query("page_contract", "with z as (select 1) " + rules_sql("site_pages", "page_id", [
     *MEDIA, ("term:Lamp", no(has("html", "lamp"))), ("term:</article>", no(has("html", "</article>"))),
-    ("no-form", no(has("html", "<form") + " or " + has("html", "interest"))), ("no-honesty", no(hit("html", contracts.HONEST))),
+    ("no-form", no(has("html", "<form") + " or " + has("html", "interest"))), ("no-honesty", no(has_any("html", contracts.HONEST_WORDS))),
 ]), ("site_pages",))
 def _(v):
     return contracts.page_contract(v("site_pages"), SITE)
@@ -315,14 +327,14 @@ def _(v):
 
 @query("page_contract_final", "with z as (select 1) " + rules_sql("site_pages", "page_id", [
     ("brand", no(has("html", "acme"))), ("tagline", no(has("html", "draft prices"))), ("color:#AA11BB", no(has("html", "#aa11bb"))),
-    ("pitch", no(has("html", "money back"))), ("leftover", hit("html", contracts.LEFTOVER)), *MEDIA, ("no-svg", no(has("html", "<svg"))),
-    ("no-honesty", no(hit("html", contracts.HONEST_FINAL))), ("no-trust", no(hit("html", contracts.TRUST))),
+    ("pitch", no(has("html", "money back"))), ("leftover", has_any("html", contracts.LEFTOVER_WORDS)), *MEDIA, ("no-svg", no(has("html", "<svg"))),
+    ("no-honesty", no(has_any("html", contracts.FINAL_HONEST_WORDS))), ("no-trust", no(has_any("html", contracts.TRUST_WORDS) + " or " + hit("html", contracts.TRUST_SPELLINGS[0]))),
 ]), ("site_pages",))
 def _(v):
     return contracts.final_page_contract(v("site_pages"), SITE)
 
 
-@query("page_external_urls", r"""select distinct page_id, unnest(regexp_extract_all(html, '(?i)(?:src|href)\s*=\s*[''"](https?://[^''"]+)', 1)) as url from site_pages""", ("site_pages",))
+@query("page_external_urls", f"select distinct page_id, unnest({LINKS}) as url from site_pages", ("site_pages",))
 def _(v):
     return contracts.external_urls(v("site_pages"))
 
@@ -365,7 +377,7 @@ PALETTE = ["#112233", "#abcdef", "#778899"]
     *[(f"color:{c.upper()}", f"not list_contains({COLORS}, '{c.upper()}')") for c in PALETTE], ("few-colors", f"len(list_distinct({COLORS})) < 4"),
     ("type-section", no(hit("text", r"^#+\s*(?:\d+[\).]?\s*)?(type|typography)\b"))), ("no-svg", r"not regexp_matches(text, '(?is)<svg.*?</svg>')"),
     ("svg-without-brand", r"regexp_matches(text, '(?is)<svg.*?</svg>') and not contains(lower(regexp_extract(text, '(?is)<svg.*?</svg>')), 'acme')"),
-    ("no-pricing", no(hit("text", "(price|pricing|offer)"))),
+    ("no-pricing", no(has_any("text", contracts.PRICE_WORDS))),
 ]), ("copy_docs",))
 def _(v):
     return contracts.brand_kit(v("copy_docs"), "Acme", "Price list", PALETTE)
@@ -379,7 +391,7 @@ def _(v):
 
 @query("copy_listing", f"with {_blocks('product', '[1:3]')} " + rules_sql("cp", "doc_id, 0 as part", [
     ("products", "len(ps) < 3"), ("too-short", WORDS.format(t="text") + " < 250"),
-    ("no-honesty", no(hit("text", "(assumption|tbd|to be measured|draft|coming soon|placeholder)"))), ("no-about", no(hit("text", r"^#+\s*about"))),
+    ("no-honesty", no(has_any("text", contracts.HONEST_WORDS))), ("no-about", no(hit("text", r"^#+\s*about"))),
 ]) + " union all " + rules_sql("(select *, regexp_extract(p, '(?im)^" + NW + "*title\\s*" + SEP + "\\s*(.+)$', 1) as title from pp)", "doc_id, part", [
     ("no-title", "title = ''"), ("title-too-long", "length(title) > 140"), ("bullets", r"len(regexp_extract_all(p, '(?m)^\s*[-*]\s+\S')) < 3"),
 ]), ("copy_docs",))

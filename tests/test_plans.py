@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from attestry.operators import library, links, scoreboard
 from attestry.registry import QUERIES
+from attestry.registry.base import Inputs
 
 STREAMING = {k for k in QUERIES if k.startswith("stream_")}
 WRITING = {
@@ -30,6 +31,18 @@ def test_scan_is_pruned(spark, sf_dir):
     assert "props" not in plan.split("ReadSchema")[1][:200]
 
 
+@pytest.mark.parametrize("key", ["review_findings", "review_findings_strict", "copy_contracts", "doc_sections", "section_contract"])
+def test_documents_are_read_once_and_not_shuffled(spark, sf_dir, key):
+    """As many scans as the view itself has, and no exchange beyond its own."""
+    views = {
+        "review_findings": "review_reports", "review_findings_strict": "strict_reviews", "copy_contracts": "copy_docs",
+        "doc_sections": "doc_files", "section_contract": "contract_docs",
+    }
+    view = Inputs(spark, sf_dir)(views[key])._jdf.queryExecution().executedPlan().toString()
+    plan = QUERIES[key](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == view.count("FileScan") and plan.count("Exchange") == view.count("Exchange")
+
+
 def test_version_rank_is_limited_before_the_shuffle(spark, sf_dir):
     plan = QUERIES["library_versions_top20"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") >= 1

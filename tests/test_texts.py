@@ -282,6 +282,66 @@ def test_review_block_fields(spark):
     assert (block.priority, block.confidence, block.evidence) == ("P1", "high", "src/a.py:3")
 
 
+def test_strict_findings_read_labelled_paragraphs(spark):
+    good = (
+        "## Summary\nFinding: a\nEvidence: src/a.py:3 shows it plainly\nImpact: x\nFix\t: y\n"
+        "priority:\n p2 now\nConfidence: HIGH"
+    )
+    thin = good.replace("src/a.py:3 shows it plainly", "short")
+    # Evidence that is empty is taken from the next paragraph; a bare last label is thin.
+    empty = good.replace("Evidence: src/a.py:3 shows it plainly\nImpact: x", "Evidence:\nImpact: something long enough")
+    last = good.replace("Evidence: src/a.py:3 shows it plainly\n", "") + "\nEvidence: "
+    wrong = good.replace("p2", "P7").replace("HIGH", "highly").replace("Fix\t", "Fix notes")
+    df = spark.createDataFrame(list(enumerate([good, thin, empty, last, wrong, "I  fixed it. NO FINDINGS", None])), "doc_id int, text string")
+    found = {}
+    for r in contracts.strict_review_findings(df).collect():
+        found.setdefault(r.doc_id, set()).add((r.finding, r.rule))
+    assert found == {
+        1: {(1, "thin-evidence")}, 3: {(1, "thin-evidence")},
+        4: {(1, "priority"), (1, "confidence"), (1, "label:Fix")}, 5: {(0, "section:Summary"), (0, "claims-edit")},
+    }
+
+
+@pytest.mark.parametrize("text, claimed", [
+    ("we then Patched\nthe file", True), ("(I pushed)", True), ("I have fixed it", False), ("ski fixed", False),
+    ("committed them", False), ("I, fixed", False), ("x" * 200_000, False),
+])
+def test_claims_of_edits(spark, text, claimed):
+    df = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    assert (contracts.claims_of_edits(df).count() == 1) == claimed
+
+
+def test_transcript_answer_ends_at_the_next_part(spark):
+    rows = [
+        "x\nmodel response:\n\n first\nstill: it\nABC: too short\nNEXT_ PART: no", "MODEL RESPONSE: VERDICT: quoted\n##\nrest",
+        "MODEL RESPONSE: a\n###no\n## End", "nothing here", None,
+    ]
+    df = spark.createDataFrame([(t,) for t in rows], "t string")
+    got = [r.a for r in df.select(contracts.after_marker(F.col("t"), "MODEL RESPONSE:").alias("a")).collect()]
+    assert got == ["first\nstill: it\nABC: too short", "VERDICT: quoted", "a\n###no", "", ""]
+
+
+def test_links_and_images_of_a_page(spark):
+    html = (
+        "<img SRC = 'HTTPS://a.b/c'><a data-href=\"http://d\">x</a><a href='/e'><img srcset=\"http://f\">"
+        "<a href=http://g><i x='src=' y><a href=\"http://\"><b src=\"http://h"
+        "<p> data:image/PNG;base64,AA data:image/gif;base64,BB data:image/webp;base64,CC"
+    )
+    df = spark.createDataFrame([(1, html), (2, ""), (3, None)], "page_id int, html string")
+    assert sorted(r.url for r in contracts.external_urls(df).collect())[:2] == ["HTTPS://a.b/c", "http://d"]
+    assert contracts.external_urls(df).count() == 3
+    assert df.where("page_id = 1").select(contracts.embedded_images(F.col("html"))).first()[0] == 2
+
+
+def test_unknown_symbols_are_findings(spark):
+    text = "# API symbols\n`known` `gone` `allowed`\n"
+    docs = spark.createDataFrame([(1, text), (2, "# API symbols\n`allowed`")], "doc_id int, text string")
+    files = spark.createDataFrame([("a.py", "def known(): pass")], "path string, content string")
+    missing = scope.missing_symbols(contracts.symbol_spans(docs, "API symbols"), files)
+    found = contracts.doc_sections(docs, [], 0, 0, "API symbols", "python", ["allowed"], missing).where("rule not like 'no-example%'")
+    assert {tuple(r) for r in found.collect()} == {(1, "unknown-symbol:gone"), (2, "no-symbols")}
+
+
 def test_png(spark):
     png = bytearray.fromhex("89504e470d0a1a0a0000000d4948445200000280000001e0") + b"rest"
     df = spark.createDataFrame([("a", png), ("b", png[:20]), ("c", bytearray(b"GIF"))], "path string, content binary")
