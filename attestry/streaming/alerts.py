@@ -1,10 +1,16 @@
-"""Once-only alerts and liveness from keyed state."""
+"""Once-only alerts and liveness from keyed state.
+
+A key's rows of one batch are folded chunk by chunk into numbers; texts are never
+gathered.  Alerted sessions and finished runs are forgotten after a stated time; a
+session's edit count and a run's last outcome stay, a few values each.
+"""
 
 from __future__ import annotations
 
 import sys
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
@@ -15,13 +21,15 @@ from attestry.operators.sessions import BURST_EDITS, BURST_FILES, needs_routing
 from attestry.streaming import runtime
 
 LIBRARY_SECONDS = 5
+KEEP_SECONDS = 30 * 24 * 3600  # of alerted sessions and finished runs
 
 
 class EditBurst(StatefulProcessor):
     """Fires once per session, at the first edit past both thresholds with nothing live.
 
-    State per session is small: the count, up to the needed number of file names,
-    and whether it fired.
+    State per session is small: the count, up to the needed number of file names, and
+    whether it fired.  Of a batch a task holds nine bytes per edit of the session, and the
+    earliest new files.
     """
 
     def __init__(self, edits: int, files: int):
@@ -32,18 +40,30 @@ class EditBurst(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         edits, files, fired = self.state.get() if self.state.exists() else (0, [], False)
-        files = set(files)
+        wanted, firsts, parts = self.files - len(files), {}, []
+        for chunk in rows:
+            parts.append((chunk["seq"].to_numpy("int64"), chunk["live"].to_numpy("bool")))
+            name = chunk["file_path"].fillna("")
+            new = chunk[name.str.strip().ne("") & ~name.isin(files)].groupby("file_path")["seq"].min()
+            for path, seq in new.items():
+                firsts[path] = min(int(seq), firsts.get(path, int(seq)))
+            # Later files cannot be among the first ones wanted.
+            firsts = dict(sorted(firsts.items(), key=lambda f: f[1])[: max(wanted, 0)])
         if not fired:
-            batch = pd.concat(list(rows), ignore_index=True).sort_values("seq")
-            for row in batch.itertuples(index=False):
-                edits += 1
-                if row.file_path and row.file_path.strip() and len(files) < self.files:
-                    files.add(row.file_path)
-                if edits >= self.edits and len(files) >= self.files and not row.live:
-                    fired = True
-                    yield pd.DataFrame({"session_id": [key[0]], "seq": [row.seq], "edits": [edits]})
-                    break
-            self.state.update((edits, sorted(files), fired))
+            seqs, live = (np.concatenate(p) for p in zip(*parts))
+            order = np.argsort(seqs, kind="stable")
+            seqs, live = seqs[order], live[order]
+            place = np.arange(1, len(seqs) + 1) + edits
+            ready = (place >= self.edits) & ~live
+            if wanted > 0:
+                ready &= (seqs >= max(firsts.values())) if len(firsts) == wanted else False
+            hits = np.flatnonzero(ready)
+            if len(hits):
+                fired = True
+                at = hits[0]
+                yield pd.DataFrame({"session_id": [key[0]], "seq": [int(seqs[at])], "edits": [int(place[at])]})
+            edits, files = edits + len(seqs), sorted([*files, *firsts])
+        self.state.update((edits, files, fired))
 
     def close(self) -> None:
         pass
@@ -52,20 +72,31 @@ class EditBurst(StatefulProcessor):
 def edit_bursts(edits: DataFrame) -> DataFrame:
     """Streaming frame of burst alerts from (session_id, seq, file_path, live) edits."""
     runtime.use_rocksdb(edits.sparkSession)
-    return edits.groupBy("session_id").transformWithStateInPandas(
+    return edits.select("session_id", "seq", "file_path", "live").groupBy("session_id").transformWithStateInPandas(
         EditBurst(BURST_EDITS, BURST_FILES), "session_id string, seq bigint, edits bigint",
         "Append", "None",
     )
 
 
-def command_alerts(commands: DataFrame, tool: str) -> DataFrame:
-    """Sessions with a command to route; suppressed ones do not use up the once."""
+def command_alerts(commands: DataFrame, tool: str, keep_seconds: int = KEEP_SECONDS) -> DataFrame:
+    """Sessions with a command to route; suppressed ones do not use up the once.
+
+    A session is remembered for ``keep_seconds`` after its alert.  The time is that of
+    the batch, so no command is ever too late to count.
+    """
     hits = commands.where(needs_routing(F.col("command"), tool) & ~F.col("live"))
-    return hits.select("session_id").dropDuplicates(["session_id"])
+    stamped = hits.select("session_id", F.current_timestamp().alias("met_at"))
+    return (
+        stamped.withWatermark("met_at", f"{keep_seconds} seconds")
+        .dropDuplicatesWithinWatermark(["session_id"]).select("session_id")
+    )
 
 
 class OutcomeThrottle(StatefulProcessor):
-    """Lets an outcome through when it changes or the last one is old enough."""
+    """Lets an outcome through when it changes or the last one is old enough.
+
+    Of a batch a task holds the times, numbers and outcome codes of the run's rows.
+    """
 
     def __init__(self, seconds: int):
         self.seconds = seconds
@@ -75,12 +106,19 @@ class OutcomeThrottle(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         last, at = self.state.get() if self.state.exists() else (None, 0.0)
-        batch = pd.concat(list(rows), ignore_index=True).sort_values(["at", "seq"])
+        codes: dict[str, int] = {}
+        parts = []
+        for chunk in rows:
+            code = chunk["outcome"].map(lambda outcome: codes.setdefault(outcome, len(codes)))
+            parts.append((chunk["at"].to_numpy("float64"), chunk["seq"].to_numpy("int64"), code.to_numpy("int32")))
+        times, seqs, outcomes = (np.concatenate(p) for p in zip(*parts))
+        names = list(codes)
         kept = []
-        for row in batch.itertuples(index=False):
-            if row.outcome != last or row.at - at >= self.seconds:
-                last, at = row.outcome, row.at
-                kept.append((key[0], row.seq, row.outcome))
+        for n in np.lexsort((seqs, times)):
+            outcome, time = names[outcomes[n]], float(times[n])
+            if outcome != last or time - at >= self.seconds:
+                last, at = outcome, time
+                kept.append((key[0], int(seqs[n]), outcome))
         self.state.update((last, at))
         yield pd.DataFrame(kept, columns=["run_id", "seq", "outcome"])
 
@@ -91,7 +129,7 @@ class OutcomeThrottle(StatefulProcessor):
 def library_updates(snapshots: DataFrame, seconds: int = LIBRARY_SECONDS) -> DataFrame:
     """Streaming frame of library writes from (run_id, seq, at seconds, outcome)."""
     runtime.use_rocksdb(snapshots.sparkSession)
-    return snapshots.groupBy("run_id").transformWithStateInPandas(
+    return snapshots.select("run_id", "seq", "at", "outcome").groupBy("run_id").transformWithStateInPandas(
         OutcomeThrottle(seconds), "run_id string, seq bigint, outcome string", "Append", "None"
     )
 
@@ -99,11 +137,12 @@ def library_updates(snapshots: DataFrame, seconds: int = LIBRARY_SECONDS) -> Dat
 class Heartbeat(StatefulProcessor):
     """A run that is not done and stays silent past the timeout is reported dead.
 
-    Each heartbeat moves the run's single event-time timer; finishing removes it.
+    Each heartbeat moves the run's single event-time timer.  A finished run is remembered
+    for ``keep_ms`` of event time after its last heartbeat, then its state goes unreported.
     """
 
-    def __init__(self, timeout_ms: int):
-        self.timeout_ms = timeout_ms
+    def __init__(self, timeout_ms: int, keep_ms: int):
+        self.timeout_ms, self.keep_ms = timeout_ms, max(keep_ms, timeout_ms)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
@@ -111,36 +150,40 @@ class Heartbeat(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         seen, done = self.state.get() if self.state.exists() else (-1, False)
-        batch = pd.concat(list(rows), ignore_index=True)
-        newest = int(batch["at_ms"].max())
         if seen >= 0:
-            self.handle.deleteTimer(seen + self.timeout_ms)
-        done = bool(done or batch["done"].any())
-        seen = max(seen, newest)
+            self.handle.deleteTimer(seen + self._wait(done))
+        for chunk in rows:
+            seen = max(seen, int(chunk["at_ms"].max()))
+            done = bool(done or chunk["done"].any())
         self.state.update((seen, done))
-        if not done:
-            self.handle.registerTimer(seen + self.timeout_ms)
+        self.handle.registerTimer(seen + self._wait(done))
         yield pd.DataFrame({"run_id": [], "last_seen_ms": []}).astype(
             {"run_id": "object", "last_seen_ms": "int64"}
         )
 
+    def _wait(self, done: bool) -> int:
+        return self.keep_ms if done else self.timeout_ms
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        seen, _ = self.state.get()
+        seen, done = self.state.get()
         self.state.clear()
-        yield pd.DataFrame({"run_id": [key[0]], "last_seen_ms": [seen]})
+        dead = [] if done else [(key[0], seen)]
+        yield pd.DataFrame(dead, columns=["run_id", "last_seen_ms"]).astype({"run_id": "object", "last_seen_ms": "int64"})
 
     def close(self) -> None:
         pass
 
 
-def dead_runs(heartbeats: DataFrame, timeout_ms: int, lateness: str = "0 seconds") -> DataFrame:
+def dead_runs(
+    heartbeats: DataFrame, timeout_ms: int, lateness: str = "0 seconds", keep_ms: int = KEEP_SECONDS * 1000
+) -> DataFrame:
     """Streaming frame of dead runs from (run_id, at timestamp, at_ms, done) heartbeats."""
     runtime.use_rocksdb(heartbeats.sparkSession)
     return (
         heartbeats.withWatermark("at", lateness)
         .groupBy("run_id")
         .transformWithStateInPandas(
-            Heartbeat(timeout_ms), "run_id string, last_seen_ms bigint", "Append", "EventTime"
+            Heartbeat(timeout_ms, keep_ms), "run_id string, last_seen_ms bigint", "Append", "EventTime"
         )
     )
 

@@ -42,6 +42,56 @@ def test_task_state_in_any_arrival_order(spark, tmp_path):
     assert (got["t"]["status"], got["t"]["attempt"], got["t"]["started_at"], got["t"]["ended_at"]) == ("running", 2, "a", "b")
 
 
+STATUS = "seq bigint, run_id string, task_key string, op string, status string, attempt int, ts string"
+
+
+@pytest.mark.parametrize("every", [2, 3])
+def test_merged_batches_equal_the_whole(spark, tmp_path, every):
+    """Bases replace batches; tails and states stay those of the whole log."""
+    rows = [("r", f"t{i % 3}", i, f"{i}:" + "x" * (i % 5)) for i in range(70)]
+    frames = [spark.createDataFrame(rows[i : i + 10], CHUNK) for i in (30, 0, 60, 10, 50, 20, 40)]
+    root = str(tmp_path / "tails")
+    runtime.finish(tasks.stream_output_tail(
+        files_stream(spark, frames, str(tmp_path / "in")), root, cap=25, block=4, every=every, checkpoint=str(tmp_path / "cp")
+    ))
+    whole = logs.output_tails(spark.createDataFrame(rows, CHUNK), 20, 25, 4)
+    got = tasks.current_tails(spark, root, 20, cap=25, block=4)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, whole.collect()))
+    upto = runtime.compacted_upto(spark, root)
+    assert upto == 7 // every * every - 2 and len(list((tmp_path / "tails").glob("base/upto=*"))) <= 2
+    left = sorted(int(p.name[6:]) for p in (tmp_path / "tails").glob("batch=*"))
+    assert left[-1] == 6 and left[0] >= upto - every + 1
+    base = spark.read.parquet(f"{root}/base/upto={upto}")
+    assert base.groupBy("task_key").agg(F.sum(F.octet_length("chunk")).alias("n")).agg(F.max("n")).first()[0] <= 25
+    commands = [(i, "r", f"t{i % 4}", "set_result" if i % 3 else "set_status", f"s{i}", i, f"at{i}") for i in range(35)]
+    frames = [spark.createDataFrame(commands[i : i + 5], STATUS) for i in (30, 0, 25, 10, 20, 15, 5)]
+    root = str(tmp_path / "state")
+    runtime.finish(tasks.stream_task_state(
+        files_stream(spark, frames, str(tmp_path / "in2")), root, every=every, checkpoint=str(tmp_path / "cp2")
+    ))
+    want = runs.task_state(spark.createDataFrame(commands, STATUS))
+    assert sorted(map(tuple, tasks.current_task_state(spark, root).select(want.columns).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_idle_tasks_go_at_a_merge(spark, tmp_path):
+    frames = [spark.createDataFrame([("r", f"t{i}", i, "x")], CHUNK) for i in range(4)]
+    root = str(tmp_path / "out")
+    runtime.finish(tasks.stream_output_tail(
+        files_stream(spark, frames, str(tmp_path / "in")), root, every=2, keep_seconds=0, checkpoint=str(tmp_path / "cp")
+    ))
+    assert spark.read.parquet(f"{root}/base/upto=2").count() == 0
+    assert [r.task_key for r in tasks.current_tails(spark, root, 20).collect()] == ["t3"]
+
+
+def test_replayed_batch_leaves_its_base(spark, tmp_path):
+    root = str(tmp_path)
+    for n in range(3):
+        runtime.write_batch(spark.range(n + 1), root, n)
+    for merge in (lambda rows: rows, lambda rows: rows.limit(0)):
+        runtime.compact(spark, root, 2, merge)
+        assert runtime.read_compacted(spark, root).count() == 6
+
+
 def test_suppressed_burst_does_not_use_up_the_once(spark, tmp_path):
     schema = "seq bigint, session_id string, file_path string, live boolean"
     rows = [(i, "s", f"f{i % 3}", i < 12) for i in range(15)] + [(i, "two", f"f{i % 2}", False) for i in range(20)]
@@ -149,3 +199,20 @@ def test_scoreboard_trigger_reads_only_touched_buckets(spark, tmp_path):
     written = spark.read.schema(board_state.SCHEMAS["models"]).parquet(f"{root}/models/batch=1")
     assert {r.bucket for r in written.select("bucket").distinct().collect()} == set(wanted)
     assert len(state.versions("models", list(range(32)), 1)) > 10
+
+
+def kept_rows(query):
+    return [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+
+
+def test_finished_runs_leave_the_state_unreported(spark, tmp_path):
+    beat = "run_id string, at_ms bigint, done boolean"
+    beats = [[("a", 1_000, False), ("b", 1_000, True), ("b", 500, False), ("c", 9_000, False)], [("c", 30_000, False)], [("c", 31_000, False)]]
+    frames = [spark.createDataFrame(b, beat).withColumn("at", F.timestamp_millis("at_ms")) for b in beats]
+    stream = files_stream(spark, frames, str(tmp_path / "in"))
+    query = alerts.stream_rows(alerts.dead_runs(stream, 2_000, keep_ms=5_000), str(tmp_path / "out"), "dead", checkpoint=str(tmp_path / "cp"))
+    runtime.finish(query)
+    dead = {tuple(r) for r in runtime.read_batches(spark, str(tmp_path / "out")).select("run_id", "last_seen_ms").collect()}
+    assert dead == {("a", 1_000)}
+    counts = kept_rows(query)
+    assert counts[-1] < max(counts)
