@@ -103,34 +103,43 @@ def retry_specs(
 
 
 def output_tails(
-    chunks: DataFrame, limit: int, cap: int = RETAINED_BYTES, block: int = 65_536
+    chunks: DataFrame, limit: int, cap: int = RETAINED_BYTES, block: int = 65_536, segment: int = 64
 ) -> DataFrame:
     """Last ``limit`` bytes of each task's ordered chunks, within what a ``cap`` retains.
 
     Retained are the newest chunks whose total is at most ``cap``, or the newest
-    one alone.  Chunks are first weighed per block of sequence numbers (combined
-    on the map side); only chunks of blocks that can reach the tail are ordered,
-    so a task with a huge output never meets in one place.
+    one alone.  Sizes are summed at two levels, by ``segment`` sequence numbers and by
+    ``block``, combined on the map side; only segments that reach the tail are ordered,
+    so a task with a huge output never meets in one place.  Of a chunk no more than
+    ``limit`` characters travel, which bounds what is ordered by bytes: the tail and one
+    segment of such ends.
     """
-    sized = chunks.withColumns(
-        {"_n": F.octet_length("chunk"), "_block": F.floor(F.col("seq") / block).cast("bigint")}
-    )
-    weights = sized.groupBy(*TASK, "_block").agg(F.sum("_n").alias("_w"))
-    newer = Window.partitionBy(*TASK).orderBy(F.desc("_block")).rowsBetween(
-        Window.unboundedPreceding, -1
+    sized = chunks.select(
+        *TASK, "seq", F.octet_length("chunk").alias("_n"),
+        F.floor(F.col("seq") / block).cast("bigint").alias("_block"),
+        F.floor(F.col("seq") / segment).cast("bigint").alias("_segment"),
+        F.when(F.char_length("chunk") <= limit, F.col("chunk")).otherwise(F.right("chunk", F.lit(limit))).alias("_end"),
     )
     reach = min(limit, cap)
-    near = weights.withColumn("_after", F.coalesce(F.sum("_w").over(newer), F.lit(0))).where(
-        F.col("_after") < reach
+
+    def near(weights: DataFrame, level: str) -> DataFrame:
+        """The newest parts of a level, down to the one in which the tail begins."""
+        newer = Window.partitionBy(*TASK).orderBy(F.desc(level)).rowsBetween(Window.unboundedPreceding, -1)
+        return weights.withColumn("_after", F.coalesce(F.sum("_w").over(newer), F.lit(0))).where(
+            F.col("_after") < reach
+        ).select(*TASK, level)
+
+    blocks = near(sized.groupBy(*TASK, "_block").agg(F.sum("_n").alias("_w")), "_block")
+    segments = near(
+        sized.join(blocks, [*TASK, "_block"], "left_semi").groupBy(*TASK, "_segment").agg(F.sum("_n").alias("_w")), "_segment"
     )
-    kept = sized.join(near.select(*TASK, "_block"), [*TASK, "_block"], "left_semi")
+    kept = sized.join(segments, [*TASK, "_segment"], "left_semi")
     order = Window.partitionBy(*TASK).orderBy(F.desc("seq"))
     upto = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = kept.withColumns({"_sum": F.sum("_n").over(upto), "_rank": F.row_number().over(order)})
     tail = placed.where(
         ((F.col("_sum") <= cap) | (F.col("_rank") == 1)) & (F.col("_sum") - F.col("_n") < limit)
     )
-    joined = F.array_join(
-        F.transform(F.array_sort(F.collect_list(F.struct("seq", "chunk"))), lambda c: c["chunk"]), ""
-    )
+    filled = F.when(F.col("_n") > 0, F.struct("seq", "_end"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(filled)), lambda c: c["_end"]), "")
     return tail.groupBy(*TASK).agg(tail_text(joined, limit).alias("tail"))

@@ -7,6 +7,7 @@ import os
 import re
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -63,10 +64,17 @@ def stream_checkpoint(spark: SparkSession, name: str) -> str:
     return os.path.join(base, "streams", name)
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, readable by every executor."""
+    return f"{ensure_checkpoint_dir(spark)}/scratch/{name}-{uuid.uuid4().hex}"
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Compute ``df`` once into the shared folder; later stages survive executor loss.
+    """Write ``df`` once to the shared folder and read it back, columns pruned.
 
-    Runs now: a lazy checkpoint would compute the plan twice.
+    Later stages survive executor loss.  Runs now: its readers would each compute the
+    plan.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = scratch_path(df.sparkSession, "cut")
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,19 +2,12 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from attestry.operators.catalog import snapshot_rows
-from attestry.session import ensure_checkpoint_dir
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, readable by every executor."""
-    return f"{ensure_checkpoint_dir(spark)}/scratch/{name}-{uuid.uuid4().hex}"
+from attestry.session import scratch_path
 
 
 def append_attempts(attempts: DataFrame, path: str) -> None:

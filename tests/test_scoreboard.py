@@ -95,6 +95,26 @@ def test_median_with_a_dominant_group(spark, parts):
     assert got.pop("n3") == 5.0 and got.pop("n2") != 0 and got == pytest.approx(want)
 
 
+def test_median_bins_follow_the_order_of_values(spark):
+    rng = random.Random(5)
+    inf = float("inf")
+    values = sorted({rng.choice([-1, 1]) * rng.random() * 2.0 ** rng.randint(-1070, 1000) for _ in range(4_000)}
+                    | {rng.gauss(300, 1) for _ in range(4_000)} | {0.0, 5e-324, -5e-324, 1.7e308, -1.7e308, inf, -inf})
+    df = spark.createDataFrame([(v,) for v in values + [float("nan")]], "v double")
+    bins = [r.b for r in df.select(median.bin_of(F.col("v")).alias("b")).collect()]
+    assert bins == sorted(bins) and len(set(bins)) > 1_000
+
+
+def test_medians_run_nothing_while_planned(spark):
+    """Infinite values, and no stage before the result is asked for."""
+    inf = float("inf")
+    df = spark.createDataFrame([("a", inf), ("a", -inf), ("a", 3.0), ("b", -inf), ("b", -2.0), ("b", -8.0)], "k string, v double")
+    spark.sparkContext.setJobGroup("median-plan", "")
+    planned = median.exact_median(df, ["k"], F.col("v"), "m")
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("median-plan")
+    assert {r.k: r.m for r in planned.collect()} == {"a": 3.0, "b": -8.0}
+
+
 def test_global_median(spark):
     df = spark.range(1001).withColumn("v", F.col("id") * 2)
     assert median.exact_median(df, [], F.col("v"), "m").first().m == 1000

@@ -55,6 +55,24 @@ def test_note_matching_prefers_exact_then_longer_then_earlier(spark):
     assert got == {"ABC": 1, "more": 0, "a\\E.b": 4}
 
 
+def test_note_matching_with_a_token_in_every_heading(spark):
+    """A common token, equal headings, names of one token only: as the plain search finds them."""
+    rows = [(i % 50, i // 50, f"Model {'lane' if i % 3 else 'Lane'} v{i % 700} gpt-{i % 11}") for i in range(6_000)]
+    rows += [(60, i, "model") for i in range(300)] + [(61, 0, None), (61, 1, "")]
+    names = ["model", "lane v7", "MODEL lane", "gpt-5", "v699 gpt-1", "v70", "nothing", "model nothing", "gpt", "", None]
+    heads = spark.createDataFrame(rows, "doc_id int, sec_idx int, heading string").withColumn("body", F.lit(""))
+    models = spark.createDataFrame([(n,) for n in names], "model string")
+    want = {}
+    for name in filter(None, names):
+        at = re.compile(f"(?<![{notes.NAME_CHARS}]){re.escape(name.lower())}(?![{notes.NAME_CHARS}])")
+        hits = [(h.lower() == name.lower(), len(h), -d, -s) for d, s, h in rows if h and at.search(h.lower())]
+        if hits:
+            want[name] = (-max(hits)[2], -max(hits)[3])
+    for share in (10_000, 40):
+        got = {r.model: (r.doc_id, r.sec_idx) for r in notes.matched_sections(models, heads, share).collect()}
+        assert got == want
+
+
 CHECKS = [
     ("true", (True, False)), (" : ", (True, False)), ("exit 0 # fine", (True, False)), ("echo a && echo b", (True, False)), ("echo a; ls", (False, False)),
     ("echo 'a > b'", (False, False)), ("test -s '#x'", (False, True)), ("[ -f a ]", (False, True)), ("test -s a && grep -q x b", (False, True)),
@@ -171,6 +189,30 @@ def test_one_oversized_chunk_is_kept(spark):
     assert logs.output_tails(df, 10, 3, 1).first().tail == "bbbbb"
 
 
+def test_output_tail_at_the_shipped_limits(spark):
+    """256 KiB of chunks of a megabyte, of one byte and of none, in blocks of 65,536."""
+    def chunk(task, i):
+        return {"big": chr(97 + i % 26) * 1_000_000, "thin": chr(97 + i % 26), "none": ""}[task]
+
+    sizes = {"big": 40, "thin": 300_000, "none": 70_000}
+    df = None
+    for task, n in sizes.items():
+        letter = F.chr(97 + F.col("id") % 26)
+        text = {"big": F.repeat(letter, 1_000_000), "thin": letter, "none": F.lit("")}[task]
+        rows = spark.range(n).select(F.lit("r").alias("run_id"), F.lit(task).alias("task_key"), F.col("id").alias("seq"), text.alias("chunk"))
+        df = rows if df is None else df.unionByName(rows)
+    got = {r.task_key: r.tail for r in logs.output_tails(df, logs.RETAINED_BYTES).collect()}
+    thin = "".join(chunk("thin", i) for i in range(sizes["thin"]))
+    assert got == {"big": chunk("big", 39)[-logs.RETAINED_BYTES :], "thin": thin[-logs.RETAINED_BYTES :], "none": ""}
+
+
+def test_long_characters_at_the_cut(spark):
+    df = spark.createDataFrame([("r", "t", 1, "é" * 9), ("r", "t", 2, "aé" * 6)], "run_id string, task_key string, seq bigint, chunk string")
+    for limit in range(1, 40):
+        whole = ("é" * 9 + "aé" * 6).encode()[-limit:].decode("utf-8", "replace")
+        assert logs.output_tails(df, limit, 100, 4, 2).first().tail == whole
+
+
 def test_orchestrator_commands_are_left_alone(spark):
     def needs(c):
         return one(spark, sessions.needs_routing(F.lit(c), "conductor"))
