@@ -34,14 +34,38 @@ NOTICES = (
     ("licensed under the mit license", "mit", 2),
     ("permission is hereby granted free of charge to any person obtaining a copy", "mit", 3),
     ("licensed under the apache license version 2", "apache-2", 3),
+    ("apache software license", "apache", 1),
     ("licensed under cc by nc", "cc-by-nc", 1),
     ("creative commons attribution noncommercial", "cc-by-nc", 3),
     ("creative commons attribution sharealike", "cc-by-sa", 3),
+    ("creative commons attribution noderivatives", "cc-by-nd", 3),
+    ("licensed under a creative commons attribution", "cc-by", 3),
+    ("creative commons zero", "cc0", 1),
     ("licensed under the gnu general public license", "gpl", 3),
     ("gnu general public license version", "gpl", 2),
+    ("terms of the gnu general public license", "gpl", 3),
     ("gnu lesser general public license", "lgpl", 2),
+    ("gnu library general public license", "lgpl", 2),
+    ("gnu affero general public license", "agpl", 2),
+    ("gnu free documentation license", "gfdl", 2),
     ("mozilla public license version", "mpl", 2),
+    ("eclipse public license", "epl", 1),
+    ("european union public licence", "eupl", 2),
+    ("common development and distribution license", "cddl", 3),
+    ("common public license version", "cpl", 2),
+    ("microsoft public license", "ms-pl", 1),
     ("redistribution and use in source and binary forms", "bsd", 3),
+    ("bsd 3 clause license", "bsd", 1),
+    ("bsd 2 clause license", "bsd", 1),
+    ("permission to use copy modify and or distribute this software for any purpose", "isc", 3),
+    ("boost software license", "bsl", 1),
+    ("artistic license", "artistic", 1),
+    ("sil open font license", "ofl", 1),
+    ("open database license", "odbl", 1),
+    ("python software foundation license", "psf", 2),
+    ("this software is provided as is without any express or implied warranty", "zlib", 3),
+    ("free and unencumbered software released into the public domain", "unlicense", 3),
+    ("dedicated to the public domain", "public-domain", 2),
     ("all rights reserved", "all-rights-reserved", 1),
 )
 
@@ -84,28 +108,52 @@ def places(padded: bytes, phrase: str) -> list[int]:
     return found
 
 
-def fuzzy(padded: bytes, notice: Notice) -> list[tuple[str, int, int, int]]:
-    """Spans ``(label, first word, end word, errors)`` of a notice, not overlapping."""
-    size, found, tried = len(notice.phrase), {}, set()
+def windows(padded: bytes, notice: Notice) -> list[tuple[int, int]]:
+    """Stretches between blanks, no longer than the notice and its errors, that hold a seed.
+
+    The notice begins and ends at blanks within ``errors`` of where its seed puts them;
+    where no blank stands there, it is not there.
+    """
+    size, k, found = len(notice.phrase.encode()), notice.errors, set()
     for seed, offset in notice.seeds:
         at = padded.find(seed)
         while at >= 0:
-            # The window ends at blanks, so words are whole in it.
-            low = padded.rfind(b" ", 0, max(1, at - offset - notice.errors)) + 1
-            high = padded.find(b" ", min(len(padded) - 1, at - offset + size + notice.errors))
-            if (low, high) not in tried:
-                tried.add((low, high))
-                match = notice.pattern.search(padded[low:high].decode("utf-8", "replace"))
-                if match:
-                    first = padded.count(b" ", 0, low) - 1 + match.string.count(" ", 0, match.start())
-                    end = first + match.group().strip().count(" ") + 1
-                    errors = sum(match.fuzzy_counts)
-                    if first not in found or errors < found[first][3]:
-                        found[first] = (notice.label, first, end, errors)
+            begin = at - offset
+            low = padded.find(b" ", max(0, begin - k - 1), max(0, begin + k) + 1)
+            high = padded.rfind(b" ", at, begin + size + k + 1) if low >= 0 else -1
+            if low < high:
+                found.add((low + 1, high))
             at = padded.find(seed, at + 1)
-    spans: list[tuple[str, int, int, int]] = []
+    return sorted(found)
+
+
+def fuzzy(padded: bytes, notice: Notice) -> list[tuple[str, int, int, int]]:
+    """Spans ``(label, first word, end word, errors)`` of a notice, not overlapping.
+
+    Of overlapping places that with fewer errors counts, then the earlier.  Time grows
+    with the text: words are counted once, equal stretches are matched once.
+    """
+    found: dict[int, tuple[str, int, int, int]] = {}
+    known: dict[bytes, tuple[int, int, int] | None] = {}
+    counted, words = 0, -1
+    for low, high in windows(padded, notice):
+        words += padded.count(b" ", counted, low)
+        counted, stretch = low, padded[low:high]
+        if stretch not in known:
+            match = notice.pattern.search(stretch.decode("utf-8", "replace"))
+            known[stretch] = match and (
+                match.string.count(" ", 0, match.start()), match.group().strip().count(" ") + 1, sum(match.fuzzy_counts)
+            )
+        if known[stretch]:
+            skipped, length, errors = known[stretch]
+            first = words + skipped
+            if first not in found or errors < found[first][3]:
+                found[first] = (notice.label, first, first + length, errors)
+    spans, taken = [], set()
     for span in sorted(found.values(), key=lambda s: (s[3], s[1])):
-        if all(span[2] <= s[1] or s[2] <= span[1] for s in spans):
+        held = range(span[1], span[2])
+        if taken.isdisjoint(held):
+            taken.update(held)
             spans.append(span)
     return sorted(spans, key=lambda s: s[1])
 
@@ -115,7 +163,7 @@ def scan_text(text: bytes, listed: tuple = NOTICES) -> tuple:
     words = [w for w in words if w]
     padded = b" " + b" ".join(words) + b" "
     base = [(at, label) for phrase, label in BASE for at in places(padded, phrase)]
-    spans = [s for n in notices(listed) for s in fuzzy(padded, n)]
+    spans = sorted((s for n in notices(listed) for s in fuzzy(padded, n)), key=lambda s: (s[1], s[2], s[0]))
     score = 1.0 if base else max((1 - s[3] / 10 for s in spans), default=0.0)
     starts = [at for at, _ in base]
     return (
@@ -144,8 +192,10 @@ def scan(docs: DataFrame, text: str = "text", listed: tuple = NOTICES) -> DataFr
     ``spans`` holds the notices found with errors: label, first and end word, errors.
     ``score`` is 1 with an exact phrase, else falls with the errors of the best
     notice, 0 without one.  A null text counts as empty: no words, empty label
-    strings, null places.  Rows are scanned each by itself, so repeated rows give
-    repeated results and empty tables none; other columns cannot clash.
+    strings, null places.  Very long texts are scanned whole in time that grows with
+    their length.  Notices of different labels may overlap, places of one notice do not:
+    fewer errors win, then the earlier.  Rows are scanned each by itself, so repeated
+    rows give repeated results and empty tables none; other columns cannot clash.
     """
     rows = packed(docs, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
 

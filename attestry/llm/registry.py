@@ -195,8 +195,10 @@ def op4(spark: SparkSession, root: str) -> DataFrame:
 
 @query("op8_fuzzy_notices")
 def op8(spark: SparkSession, root: str) -> DataFrame:
+    spans = F.transform("spans", lambda s: F.concat_ws(":", s["label"], *[s[k].cast("string") for k in ("first_word", "end_word", "errors")]))
     return licenses.scan(documents(spark, root).select("doc_id", "text")).select(
-        "row.doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"
+        "row.doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score",
+        F.array_join(spans, ",").alias("spans"),
     )
 
 

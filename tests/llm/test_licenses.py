@@ -1,4 +1,6 @@
+import random
 import re
+import time
 
 from attestry.llm import licenses
 
@@ -67,6 +69,42 @@ def test_every_single_error_is_caught():
             assert licenses.fuzzy(f" before {wrong.strip()} after ".encode(), notice), wrong
 
 
+def test_fuzzy_spans_equal_a_search_of_every_word_range():
+    """Every run of words is compared with every notice by plain edit distance."""
+    rng = random.Random(4)
+    listed = tuple(n for n in licenses.NOTICES if n[1] in ("artistic", "bsd", "all-rights-reserved", "epl"))
+    for _ in range(60):
+        words = []
+        for _ in range(8):
+            words += rng.choice(("some", "other", "rights", "public", "é", "license")).split()
+            phrase = list(rng.choice(listed)[0])
+            for _ in range(rng.randint(0, 3)):
+                at = rng.randrange(len(phrase))
+                phrase[at] = rng.choice(("", "x", phrase[at] + "y"))
+            words += "".join(phrase).split()
+        padded = f" {' '.join(words)} ".encode()
+        for notice in licenses.notices(listed):
+            size = len(notice.phrase.split())
+            near = {
+                i for i in range(len(words)) for n in range(max(1, size - 3), size + 4) if i + n <= len(words)
+                and abs(len(" ".join(words[i : i + n])) - len(notice.phrase)) <= notice.errors
+                and distance(" ".join(words[i : i + n]), notice.phrase) <= notice.errors
+            }
+            got = licenses.fuzzy(padded, notice)
+            assert all(s[1] in near for s in got)
+            # Every place is reported or overlaps one that is.
+            assert all(any(s[1] - size - 3 <= i < s[2] for s in got) for i in near), (near, got, words)
+            for s in got:
+                assert distance(" ".join(words[s[1] : s[2]]), notice.phrase) == s[3]
+
+
+def test_a_megabyte_of_notices_and_of_one_word():
+    for text in ("licensed under the apache licence version 2 and released undr the mit license " * 13_000, "mozilla" * 150_000, "public " * 150_000):
+        begin = time.perf_counter()
+        licenses.scan_text(text.encode())
+        assert time.perf_counter() - begin < 5
+
+
 def test_empty_table_and_repeats(table):
     assert licenses.scan(table((1, "x")).limit(0)).count() == 0
     assert licenses.scan(table(*[(None, "under the mit license")] * 3)).where("n_base = 1").count() == 3
