@@ -1,17 +1,20 @@
 """Personal data by weak supervision: labelers vote, EM weighs them, a classifier decides.
 
 Candidates come from exact patterns and from wider ones.  Every candidate gets the
-votes of shape, gazetteer and context labelers.  Vote patterns are counted over all
-documents; there are few of them, so expectation-maximisation runs on exact counts of
-the whole corpus, and so does the classifier trained on its soft labels.  Base spans
-always stay; wider candidates are reported where the classifier accepts them.
+votes of shape, gazetteer, context and neighbour labelers, and features of the span and
+the words around it.  Vote patterns are counted over all documents; there are few of
+them, so expectation-maximisation runs on exact counts of the whole corpus and estimates
+each labeler's reliability kind by kind.  The classifier sees features only, never votes;
+it learns the soft labels from a bounded sample of spans and scores every span.  Base
+spans always stay; wider candidates are reported where the classifier accepts them.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
+import zlib
+from collections.abc import Collection, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +27,7 @@ from attestry.llm.common import ROW, packed, shared
 # Fixed values of the contract: kinds as listed, their patterns and rules.
 BASE = ("email", "ip", "card", "phone")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+DOTTED = re.compile(r"[0-9][0-9.]*")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -42,18 +45,34 @@ FIRST_NAMES = frozenset(
     "Sarah Sophie Susan Thomas William".split()
 )
 TITLE = re.compile(r"(?:Mr|Mrs|Ms|Dr|Prof)\b")
+# Countries with an account number and its length, from the public registry.
+IBAN_SIZES = {
+    "AT": 20, "BE": 16, "BG": 22, "CH": 21, "CY": 28, "CZ": 24, "DE": 22, "DK": 18, "EE": 20, "ES": 24, "FI": 18,
+    "FR": 27, "GB": 22, "GR": 27, "HR": 21, "HU": 28, "IE": 22, "IS": 26, "IT": 27, "LT": 20, "LU": 20, "LV": 21,
+    "MT": 31, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "RO": 24, "SE": 24, "SI": 19, "SK": 24, "TR": 26,
+}
+FILES = (".png", ".jpg", ".gif", ".svg", ".css", ".js")
+ISSUERS = ("34", "37", "4", "5", "6", "2")
+PRIVATE = ("10.", "127.", "192.168.", "169.254.")
 CUES = {
     "email": re.compile(r"(?i)e-?mail|mail ?to|contact|write"), "ip": re.compile(r"(?i)\bip\b|host|address|server|from"),
     "card": re.compile(r"(?i)card|visa|credit|payment|account"), "phone": re.compile(r"(?i)phone|tel|call|mobile|fax|contact"),
     "iban": re.compile(r"(?i)iban|account|bank|transfer"), "person": re.compile(r"(?i)\bname|signed|contact|patient|born|\bby\b"),
     "ssn": re.compile(r"(?i)ssn|social|security|tax"), "telephone": re.compile(r"(?i)phone|tel|call|mobile|fax|contact"),
 }
-AGAINST = re.compile(r"(?i)version|isbn|issn|order|part|serial|page|chapter|section|release|build|doi")
+FOLLOWS = {
+    "person": re.compile(r"(?i)^[\s,]*(?:said|wrote|born|lives|was|is|has|and (?:his|her)|\(?b\.)\b"),
+    "email": re.compile(r"^[\s>,;.)\]]|^$"), "card": re.compile(r"(?i)exp|cvv|cvc|valid"),
+}
+AGAINST = re.compile(r"(?i)version|isbn|issn|order|part|serial|page|chapter|section|release|build|doi|license")
+NEAR_WORD = re.compile(r"[^\W\d_]+")
 CONTEXT = 40
 
 YES, NO, ABSTAIN = 1, 2, 0
-LABELERS = 5
+LABELERS = 6  # shape, gazetteer, cue before, cue after, counter-cue, neighbours
 ACCEPT = 0.5
+FEATURES = 4096  # hashed features of spans and their context
+SAMPLE_SPANS = 5_000  # of each kind, about; what the classifier is fitted on
 
 
 def luhn(digits: str) -> bool:
@@ -82,13 +101,25 @@ def emails(text: str) -> Iterator[tuple[int, int]]:
         at = text.find("@", max(at + 1, floor))
 
 
+def addresses(text: str) -> Iterator[tuple[int, int]]:
+    """Leftmost matches of four numbers: each run of digits and dots is split once."""
+    for run in DOTTED.finditer(text):
+        parts, at, place = run.group().split("."), run.start(), 0
+        while place < len(parts):
+            four = parts[place : place + 4]
+            if len(four) == 4 and all(four):
+                end = at + sum(map(len, four)) + 3
+                if all(len(p.lstrip("0")) <= 3 and int(p.lstrip("0") or 0) <= 255 for p in four):
+                    yield at, end
+                at, place = end + 1, place + 4
+            else:
+                at, place = at + len(parts[place]) + 1, place + 1
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """``(kind, start, end)`` of the contract's matches; failing matches are dropped."""
     found = [(0, a, b) for a, b in emails(text)]
-    for m in IP.finditer(text):
-        parts = [p.lstrip("0") for p in m.group().split(".")]
-        if all(len(p) <= 3 and int(p or 0) <= 255 for p in parts):
-            found.append((1, *m.span()))
+    found += [(1, a, b) for a, b in addresses(text)]
     for m in CARD.finditer(text):
         digits = m.group().replace(" ", "").replace("-", "")
         if 16 <= len(digits) <= 19 and luhn(digits):
@@ -122,48 +153,102 @@ def iban_valid(value: str) -> bool:
     return 15 <= len(packed_value) <= 34 and int("".join(str(int(c, 36)) for c in packed_value[4:] + packed_value[:4])) % 97 == 1
 
 
-def votes(text: str, kind: int, start: int, end: int) -> int:
-    """Votes of the labelers as base-3 digits: shape, gazetteer, cue, counter-cue, neighbours."""
-    name, value = KINDS[kind], text[start:end]
-    before, after = text[max(0, start - CONTEXT) : start], text[end : end + 1]
-    shape = gazetteer = ABSTAIN
+def shape_vote(name: str, value: str) -> int:
+    """Whether the span's own digits and letters are those of its kind."""
+    digits = "".join(c for c in value if "0" <= c <= "9")
     if name == "iban":
-        shape = YES if iban_valid(value) else NO
+        good = iban_valid(value)
     elif name == "ssn":
-        shape = NO if value[:3] in ("000", "666") or value[0] == "9" or value[4:6] == "00" or value[7:] == "0000" else YES
+        good = not (value[:3] in ("000", "666") or value[0] == "9" or value[4:6] == "00" or value[7:] == "0000")
     elif name == "telephone":
-        digits = [c for c in value if c.isdigit()]
-        shape = YES if digits[0] in "23456789" and digits[3] in "23456789" else NO
+        good = digits[0] in "23456789" and digits[3] in "23456789"
     elif name == "person":
-        gazetteer = YES if PERSON.match(value).group(1) in FIRST_NAMES else NO
-        shape = YES if TITLE.match(value) else ABSTAIN
+        return YES if TITLE.match(value) else ABSTAIN
     elif name == "ip":
-        shape = NO if value.split(".")[0] in ("0", "127", "255") else YES
+        good = value.split(".")[0].lstrip("0") not in ("", "127", "255") and not any(len(p) > 3 for p in value.split("."))
+    elif name == "card":
+        good = len(set(digits)) > 3
+    elif name == "phone":
+        good = value[1] != "0" and len(digits) >= 10
     else:
-        shape = YES
+        good = ".." not in value and not value.startswith(".") and any(c.isalpha() for c in value.partition("@")[0])
+    return YES if good else NO
+
+
+def gazetteer_vote(name: str, value: str, first_names: Collection[str]) -> int:
+    """Whether the span is in, or begins or ends with, what lists know of its kind."""
+    if name == "person":
+        return YES if PERSON.match(value).group(1) in first_names else NO
+    if name == "iban":
+        size = IBAN_SIZES.get(value[:2])
+        return ABSTAIN if size is None else YES if size == len(value.replace(" ", "")) else NO
     if name == "email":
-        gazetteer = NO if value.lower().endswith((".png", ".jpg", ".gif")) else YES
-    cue = YES if CUES[name].search(before) else ABSTAIN
-    against = NO if AGAINST.search(before) else ABSTAIN
-    glued = NO if (before[-1:].isalnum() or after.isalnum()) and name != "email" else ABSTAIN
+        return NO if value.lower().endswith(FILES) else ABSTAIN
+    if name == "ip":
+        return NO if value.startswith(PRIVATE) else ABSTAIN
+    if name == "card":
+        return YES if value.startswith(ISSUERS) else NO
+    if name == "ssn":
+        return NO if value in ("078-05-1120", "123-12-1234") else ABSTAIN
+    return NO if "555-01" in value else ABSTAIN
+
+
+def votes(text: str, kind: int, start: int, end: int, first_names: Collection[str] = FIRST_NAMES) -> int:
+    """Votes of the labelers as base-3 digits."""
+    name, value = KINDS[kind], text[start:end]
+    before, after = text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
+    follows = FOLLOWS.get(name)
+    glued = NO if (before[-1:].isalnum() or after[:1].isalnum()) and name != "email" else ABSTAIN
     code = 0
-    for vote in (shape, gazetteer, cue, against, glued):
+    for vote in (
+        shape_vote(name, value), gazetteer_vote(name, value, first_names), YES if CUES[name].search(before) else ABSTAIN,
+        YES if follows and follows.search(after) else ABSTAIN, NO if AGAINST.search(before) else ABSTAIN, glued,
+    ):
         code = code * 3 + vote
     return code
 
 
+def outline(value: str) -> str:
+    """Character classes in runs, each with its length up to five."""
+    out, last, run = [], "", 0
+    for c in value[:64] + "\0":
+        kind = "" if c == "\0" else "9" if c.isdigit() else "A" if c.isupper() else "a" if c.isalpha() else c
+        if kind != last:
+            out.append(f"{last}{min(run, 5)}")
+            last, run = kind, 0
+        run += 1
+    return "".join(out[1:])
+
+
+def span_features(text: str, kind: int, start: int, end: int, first_names: Collection[str] = FIRST_NAMES) -> list[int]:
+    """Hashed features: the span's outline, length and checks, its neighbours and its place."""
+    name, value = KINDS[kind], text[start:end]
+    before, after = text[max(0, start - CONTEXT) : start], text[end : end + CONTEXT]
+    near = NEAR_WORD.findall(before)[-2:]
+    line = text.rfind("\n", max(0, start - 80), start)
+    told = [
+        "", f"outline {outline(value)}", f"long {min(len(value) // 4, 8)}", f"shape {shape_vote(name, value)}",
+        f"listed {gazetteer_vote(name, value, first_names)}", f"left {before[-1:]}", f"right {after[:1]}",
+        f"begins {line == start - 1 or start == 0}", f"edge {start < 200} {len(text) - end < 200}",
+        *[f"before {w.lower()}" for w in near], *[f"after {w.lower()}" for w in NEAR_WORD.findall(after)[:1]],
+    ]
+    if name == "person":
+        told += [f"word {w}" for w in value.split()]
+    return sorted({zlib.crc32(f"{name} {t}".encode("utf-8", "replace")) % FEATURES for t in told})
+
+
 CANDIDATES = ArrayType(StructType([
     StructField("kind", IntegerType()), StructField("start", LongType()), StructField("end", LongType()),
-    StructField("votes", IntegerType()),
+    StructField("votes", IntegerType()), StructField("told", ArrayType(IntegerType())),
 ]))
-ARROW_CANDIDATES = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("votes", pa.int32())]))
+ARROW_CANDIDATES = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64()), ("votes", pa.int32()), ("told", pa.list_(pa.int32()))]))
 
 
 def spelled(spans: list[tuple[int, int, int]]) -> str:
     return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in sorted(spans))
 
 
-def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def find(batches: Iterable[pa.RecordBatch], first_names: Collection[str] = FIRST_NAMES) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         counts: list[list[int]] = [[] for _ in BASE]
         digests, spans = [], []
@@ -173,7 +258,9 @@ def find(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 column.append(sum(k == kind for k, _, _ in base))
             digests.append(hashlib.sha256(spelled(base).encode()).hexdigest())
             spans.append([
-                {"kind": k, "start": a, "end": b, "votes": votes(text, k, a, b)} for k, a, b in base + wider_spans(text, base)
+                {"kind": k, "start": a, "end": b, "votes": votes(text, k, a, b, first_names),
+                 "told": span_features(text, k, a, b, first_names)}
+                for k, a, b in base + wider_spans(text, base)
             ])
         yield pa.RecordBatch.from_arrays(
             [batch.column(ROW), *[pa.array(c, pa.int64()) for c in counts], pa.array(digests, pa.string()),
@@ -186,10 +273,14 @@ def digits_of(codes: np.ndarray) -> np.ndarray:
     return codes[:, None] // 3 ** np.arange(LABELERS - 1, -1, -1) % 3
 
 
+# What is believed of a labeler before its votes are seen, as votes: better than chance.
+BELIEF = np.array([[0.4, 0.1, 0.5], [0.4, 0.5, 0.1]]) * 4  # of no personal data, of some: abstain, yes, no
+
+
 def reliabilities(codes: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tuple[np.ndarray, np.ndarray]:
-    """EM over vote patterns: posterior of each pattern, and P(vote | class) per labeler.
+    """EM over one kind's vote patterns: posterior of each, and P(vote | class) per labeler.
 
-    Starts from majority votes.  One pseudo-vote per cell keeps every table proper.
+    Starts from majority votes; a few votes of belief keep every table proper.
     """
     given = digits_of(codes)
     balance = (given == YES).sum(axis=1) - (given == NO).sum(axis=1)
@@ -199,7 +290,7 @@ def reliabilities(codes: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tu
         weight = np.stack([(1 - posterior) * counts, posterior * counts])
         for labeler in range(LABELERS):
             for vote in range(3):
-                tables[:, labeler, vote] = (weight * (given[:, labeler] == vote)).sum(axis=1) + 1
+                tables[:, labeler, vote] = (weight * (given[:, labeler] == vote)).sum(axis=1) + BELIEF[:, vote]
         tables /= tables.sum(axis=2, keepdims=True)
         prior = (weight.sum(axis=1) + 1) / (weight.sum() + 2)
         logs = np.log(prior)[:, None] + sum(np.log(tables[:, j, given[:, j]]) for j in range(LABELERS))
@@ -207,60 +298,85 @@ def reliabilities(codes: np.ndarray, counts: np.ndarray, rounds: int = 50) -> tu
     return posterior, tables
 
 
-def features(kinds: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    given = digits_of(codes)
-    columns = [np.ones(len(kinds))]
-    columns += [(kinds == k).astype(float) for k in range(len(KINDS))]
-    columns += [(given[:, j] == v).astype(float) for j in range(LABELERS) for v in (YES, NO)]
-    return np.stack(columns, axis=1)
-
-
-def classifier(kinds: np.ndarray, codes: np.ndarray, counts: np.ndarray, soft: np.ndarray) -> np.ndarray:
-    """Weighted logistic regression on soft labels by Newton steps, lightly damped."""
-    x, w = features(kinds, codes), np.zeros(1 + len(KINDS) + 2 * LABELERS)
-    share = counts / max(1.0, counts.sum())
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (share * (p - soft)) + 1e-3 * w
-        bend = (x * (share * p * (1 - p))[:, None]).T @ x + 1e-3 * np.eye(len(w))
-        w -= np.linalg.solve(bend, slope)
-    return 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-
-
-def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` as one struct, with base counts, digest and reported spans.
-
-    A null text counts as empty: zero counts, empty strings.  Wider candidates need
-    the classifier's approval and at least one vote in favour; where there are none
-    to learn from, nothing is added.  Repeated rows are scanned each by itself,
-    empty tables give no rows, other columns cannot clash.  Texts are read once.
+def classifier(told: list[list[int]], weight: np.ndarray, soft: np.ndarray, steps: int = 300) -> np.ndarray:
+    """Feature weights of a logistic regression on soft labels, by adaptive gradient steps."""
+    rows = np.repeat(np.arange(len(told)), [len(t) for t in told])
+    columns = np.array([f for t in told for f in t], np.int64)
+    share, w, seen = weight / weight.sum(), np.zeros(FEATURES), np.full(FEATURES, 1e-12)
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, w[columns], len(told)), -30, 30)))
+        slope = np.bincount(columns, (share * (p - soft))[rows], FEATURES) + 1e-6 * w
+        seen += slope**2
+        w -= 0.3 * slope / np.sqrt(seen)
+    return w
+
+
+def fit(found: DataFrame, sample: int = SAMPLE_SPANS) -> np.ndarray | None:
+    """Feature weights, learned from the corpus itself; None where no candidate is.
+
+    Collects at most kinds x 3**labelers counts and about ``sample`` spans of a kind.
+    """
+    spans = found.select(F.explode("candidates").alias("c")).select("c.kind", "c.votes", "c.told")
+    table = spans.groupBy("kind", "votes").count().collect()
+    if not table:
+        return None
+    soft, rates = {}, {}
+    for kind in sorted({r.kind for r in table}):
+        mine = sorted((r.votes, r["count"]) for r in table if r.kind == kind)
+        codes, counts = (np.array(c, np.int64) for c in zip(*mine))
+        posterior, _ = reliabilities(codes, counts.astype(float))
+        soft.update({(kind, int(c)): p for c, p in zip(codes, posterior)})
+        rates[kind] = min(1.0, sample / int(counts.sum()))
+    # Equal spans are drawn together and weigh as many as they are.
+    drawn = F.pmod(F.xxhash64("kind", "votes", "told"), F.lit(1_000_000))
+    kept = F.lit(False)
+    for kind, rate in rates.items():
+        kept = kept | ((F.col("kind") == kind) & (drawn < int(rate * 1_000_000)))
+    rows = spans.where(kept).groupBy("kind", "votes", "told").count().orderBy("kind", "votes", "told").collect()
+    if not rows:
+        return None
+    each = {k: sum(r["count"] for r in rows if r.kind == k) for k in rates}
+    weight = np.array([r["count"] / each[r.kind] for r in rows])  # every kind counts alike
+    return classifier([r.told for r in rows], weight, np.array([soft[r.kind, r.votes] for r in rows]))
+
+
+def scan(docs: DataFrame, text: str = "text", first_names: Collection[str] = FIRST_NAMES, sample: int = SAMPLE_SPANS) -> DataFrame:
+    """The rows of ``docs`` as one struct, with base counts, digest, reported spans and their chances.
+
+    ``chances`` holds the classifier's probability of every reported span, in the order
+    of ``spans``.  A null text counts as empty: zero counts, empty strings.  Wider
+    candidates need the classifier's approval; where there is nothing to learn from,
+    nothing is added.  Of overlapping candidates base spans win, then the kind listed
+    first.  Very long texts are scanned whole in time that grows with their length.
+    Repeated rows are scanned each by itself, empty tables give no rows, other columns
+    cannot clash.  Texts are read once.
     """
     rows = packed(docs, F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     schema = StructType([
         rows.schema[ROW], *[StructField(f"n_{k}", LongType()) for k in BASE], StructField("base_sha256", StringType()),
         StructField("candidates", CANDIDATES),
     ])
-    found = shared(rows.mapInArrow(find, schema), "pii-candidates")
-
-    # At most kinds x 3**labelers counts, whatever the corpus.
-    table = (
-        found.select(F.explode("candidates").alias("c")).groupBy("c.kind", "c.votes").count().orderBy("kind", "votes").collect()
-    )
-    kinds, codes, counts = (np.array([r[i] for r in table], np.int64) for i in range(3))
-    accepted: list[int] = []
-    if table:
-        posterior, _ = reliabilities(codes, counts.astype(float))
-        chance = classifier(kinds, codes, counts.astype(float), posterior)
-        favour = (digits_of(codes) == YES).any(axis=1)
-        accepted = [int(k) * 1000 + int(c) for k, c, p, f in zip(kinds, codes, chance, favour) if k >= len(BASE) and f and p >= ACCEPT]
+    listed = frozenset(first_names)
+    found = shared(rows.mapInArrow(lambda b: find(b, listed), schema), "pii-candidates")
+    learned = fit(found, sample)
+    weights = F.expr("array(" + ",".join(f"{w:.6f}D" for w in (learned if learned is not None else np.zeros(FEATURES))) + ")")
     names = F.array(*[F.lit(k) for k in KINDS])
 
+    def judged(c: Column) -> Column:
+        total = F.aggregate(c["told"], F.lit(0.0), lambda sum_, f: sum_ + F.get(weights, f))
+        return F.struct(
+            c["kind"].alias("kind"), c["start"].alias("start"), c["end"].alias("end"),
+            (F.lit(1.0) / (F.lit(1.0) + F.exp(-F.greatest(F.lit(-30.0), F.least(F.lit(30.0), total))))).alias("chance"),
+        )
+
     def reported(c: Column) -> Column:
-        base = c["kind"] < len(BASE)
-        return base | (c["kind"] * 1000 + c["votes"]).isin(accepted) if accepted else base
+        return (c["kind"] < len(BASE)) | ((c["chance"] >= ACCEPT) & F.lit(learned is not None))
+
+    def spelled_out(c: Column) -> Column:
+        return F.concat_ws(":", F.get(names, c["kind"]), c["start"].cast("string"), c["end"].cast("string"))
 
-    ordered = F.sort_array(F.filter("candidates", reported))
-    spans = F.array_join(
-        F.transform(ordered, lambda c: F.concat_ws(":", F.get(names, c["kind"]), c["start"].cast("string"), c["end"].cast("string"))), ","
+    ordered = found.withColumn("_spans", F.sort_array(F.filter(F.transform("candidates", judged), reported)))
+    return ordered.select(
+        ROW, *[f"n_{k}" for k in BASE], "base_sha256", F.array_join(F.transform("_spans", spelled_out), ",").alias("spans"),
+        F.array_join(F.transform("_spans", lambda c: c["chance"].cast("decimal(5,4)").cast("string")), ",").alias("chances"),
     )
-    return found.select(ROW, *[f"n_{k}" for k in BASE], "base_sha256", spans.alias("spans"))

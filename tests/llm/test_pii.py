@@ -1,7 +1,9 @@
 import hashlib
 import re
+import time
 
 import numpy as np
+import pyarrow as pa
 
 from attestry.llm import pii
 
@@ -38,6 +40,7 @@ def test_base_equals_a_plain_scan(table, spark, sf_dir):
         1: "a@b.c.d@e.f x@y @z.q a@@b.c é.a-b@c.d", 2: None, 3: "", 4: "1.2.3.4.5 256.1.1.1 0000001.1.1.1 1.2.3",
         5: "4111 1111 1111 1111 and 4111-1111-1111-1112 4111111111111111 0", 6: "+1 (017) 555-7713, +12 3 +1234567 +1 (2) 3)",
         7: "word " * 20000 + "a.b@c.de" + "z" * 5000 + "@", 8: "9" * 5000 + ".1.1.1",
+        9: "1.2.3.4.5.6.7.8.9 1..2.3.4.5 .1.2.3.4. 1.2.3. 00.0.0.00 999.1.2.3.4.5.6.7 300.1.1.1.1",
     }
     got = scanned(table(*texts.items()))
     assert len(got) == len(texts)
@@ -61,12 +64,69 @@ def test_wider_spans_are_reported_where_labelers_agree(table):
     assert kinds == {100: ["ssn"], 101: [], 102: ["person"], 103: [], 104: ["iban"]}
 
 
+def test_a_megabyte_of_digits_dots_and_names():
+    for text in ("7" * 1_000_000, "1." * 50_000 + "1" * 900_000, "+1-" * 330_000, "a@" * 500_000, "A" * 1_000_000, "Anna " * 200_000, "4111 " * 200_000):
+        begin = time.perf_counter()
+        next(pii.find([pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text])], [pii.ROW, "text"])]))
+        assert time.perf_counter() - begin < 8, text[:9]
+
+
+def corpus(rng, n):
+    """Texts of one span each, and whether it is personal, which no code below is told."""
+    first, last = ["Anna", "Peter", "Maria", "Olaf", "Kirsten", "Tariq"], ["Berg", "Stone", "Lund", "Field"]
+    things = ["Broken Window", "Blue River", "Open Court", "Winter Garden"]
+    rows = []
+    for i in range(n):
+        yes = rng.random() < 0.5
+        number = f"{rng.integers(100, 650):03d}-{rng.integers(10, 99):02d}-{rng.integers(1000, 9999):04d}"
+        kind = rng.choice(["ssn", "person", "telephone"])
+        if kind == "ssn":
+            text = rng.choice(["her social security", "ssn is", "tax id for"]) + f" {number} on file" if yes else \
+                rng.choice(["part number", "order", "serial"]) + f" {number if rng.random() < 0.5 else '000' + number[3:]} in stock"
+        elif kind == "person":
+            text = rng.choice(["patient", "signed by", "contact"]) + f" {rng.choice(first)} {rng.choice(last)} said so" if yes else \
+                rng.choice(["see chapter", "section", "the page of"]) + f" {rng.choice(things)} again"
+        else:
+            text = rng.choice(["call", "phone", "mobile"]) + f" ({rng.integers(201, 989)}) {rng.integers(201, 989)}-{rng.integers(2000, 9999)} now" if yes else \
+                rng.choice(["isbn", "build", "version"]) + f" {rng.integers(100, 199)}-{rng.integers(100, 199)}-{rng.integers(1000, 9999)} out"
+        rows.append((i, text, bool(yes), str(kind)))
+    return rows
+
+
+def test_classifier_tells_wider_spans_apart(table):
+    """Precision and recall of every wider kind, with first names that no list holds."""
+    rows = corpus(np.random.default_rng(9), 1_500)
+    got = scanned(table(*[(i, t) for i, t, _, _ in rows]))
+    for kind in ("ssn", "person", "telephone"):
+        said = {i for i, r in got.items() if any(s.startswith(kind) for s in r.spans.split(","))}
+        true = {i for i, _, yes, k in rows if yes and k == kind}
+        assert len(said & true) >= 0.95 * len(true) and len(said & true) >= 0.95 * len(said), (kind, len(said), len(true), len(said & true))
+    for r in got.values():
+        assert len(r.spans.split(",")) == len(r.chances.split(","))
+
+
+def test_classifier_weights_equal_a_plain_fit():
+    """The optimum of the plain log-loss on a few rows, found by small steps in Python."""
+    told, soft, weight = [[1, 2], [1, 3], [2], [3]], np.array([0.9, 0.2, 0.8, 0.3]), np.array([2.0, 1.0, 1.0, 3.0])
+    w = pii.classifier(told, weight, soft, 3_000)
+    plain = {1: 0.0, 2: 0.0, 3: 0.0}
+    for _ in range(60_000):
+        step = dict.fromkeys(plain, 0.0)
+        for t, y, n in zip(told, soft, weight):
+            p = 1 / (1 + np.exp(-sum(plain[f] for f in t)))
+            for f in t:
+                step[f] += n / 7 * (p - y)
+        for f in plain:
+            plain[f] -= 0.3 * step[f]
+    assert np.allclose([w[f] for f in plain], list(plain.values()), atol=0.02)
+
+
 def test_em_recovers_reliabilities():
     rng = np.random.default_rng(3)
     truth = rng.random(20000) < 0.4
-    good = [0.95, 0.85, 0.8, 0.75, 0.7]
+    good = [0.95, 0.85, 0.8, 0.75, 0.7, 0.7]
     given = np.stack([np.where(rng.random(len(truth)) < g, truth, ~truth) for g in good], axis=1)
-    codes, counts = np.unique((np.where(given, pii.YES, pii.NO) * 3 ** np.arange(4, -1, -1)).sum(axis=1), return_counts=True)
+    codes, counts = np.unique((np.where(given, pii.YES, pii.NO) * 3 ** np.arange(5, -1, -1)).sum(axis=1), return_counts=True)
     _, tables = pii.reliabilities(codes, counts.astype(float))
     assert np.allclose(tables[1, :, pii.YES], good, atol=0.04)
 
