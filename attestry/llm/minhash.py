@@ -167,41 +167,32 @@ def verify(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.filter(pa.array(linked, pa.bool_())).select(["a", "b"])
 
 
-def compare_block(frame: pd.DataFrame) -> pd.DataFrame:
-    """Links between members of a pair of blocks of one bucket, enough to join all they join.
+def compare_block(frame: pd.DataFrame, best: bool) -> pd.DataFrame:
+    """Pairs of different components that stay in the race, from two blocks of one bucket.
 
-    A pair is looked at in the first band it agrees in and nowhere else, and only
-    while its components are apart: links found on the way join them.
+    The right block holds members outside the bucket's largest component, the left one any
+    members.  A pair is looked at in the first band it agrees in and nowhere else.  With
+    ``best``, of two components' pairs that with most agreements is all that is returned.
     """
-    i, j, number = int(frame["i"].iat[0]), int(frame["j"].iat[0]), int(frame["number"].iat[0])
-    ids, parts, block = frame["class_id"].to_numpy(), frame["component"].to_numpy(), frame["block"].to_numpy()
+    number, main = int(frame["number"].iat[0]), int(frame["main"].iat[0])
+    ids, parts, minor = frame["class_id"].to_numpy(), frame["component"].to_numpy(), frame["minor"].to_numpy()
     matrix = np.frombuffer(b"".join(frame["signature"]), "<u4").reshape(-1, HASHES)
-    texts, sets = frame["text"].tolist(), {}
-    joined: dict[int, int] = {}
-
-    def root(part: int) -> int:
-        while part in joined:
-            part = joined[part]
-        return part
-
-    def set_of(row: int) -> np.ndarray:
-        if row not in sets:
-            sets[row] = shingles(texts[row].encode())
-        return sets[row]
-
-    right = np.flatnonzero(block == j)
-    out = []
-    for row in np.flatnonzero(block == i).tolist():
-        others = right[(parts[right] != parts[row]) & ((ids[right] > ids[row]) if i == j else True)]
-        agree = (matrix[others].reshape(-1, BANDS, BAND_ROWS) == matrix[row].reshape(1, BANDS, BAND_ROWS)).all(axis=2)
-        others = others[agree.argmax(axis=1) == number] if len(others) else others
-        one = np.broadcast_to(matrix[row], (len(others), HASHES))
-        for other in others[plausible(one, matrix[others])].tolist():
-            mine, theirs = root(int(parts[row])), root(int(parts[other]))
-            if mine != theirs and similar(set_of(row), set_of(other)):
-                joined[mine] = theirs
-                out.append((min(ids[row], ids[other]), max(ids[row], ids[other])))
-    return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+    left = np.flatnonzero(~minor)
+    out: dict[tuple, tuple[int, int, int]] = {}
+    for row in np.flatnonzero(minor).tolist():
+        others = left[(parts[left] != parts[row]) & ((parts[left] == main) | (ids[left] < ids[row]))]
+        if not len(others):
+            continue
+        same = matrix[others] == matrix[row]
+        others = others[same.reshape(-1, BANDS, BAND_ROWS).all(axis=2).argmax(axis=1) == number]
+        others = others[plausible(np.broadcast_to(matrix[row], (len(others), HASHES)), matrix[others])]
+        agreed = (matrix[others] == matrix[row]).sum(axis=1)
+        for other, count in zip(others.tolist(), agreed.tolist()):
+            pair = (min(ids[row], ids[other]), max(ids[row], ids[other]))
+            key = (min(parts[row], parts[other]), max(parts[row], parts[other])) if best else pair
+            if key not in out or out[key][0] < count:
+                out[key] = (count, *pair)
+    return pd.DataFrame([(a, b) for _, a, b in out.values()], columns=["a", "b"], dtype="int64")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -289,20 +280,39 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     if not more.isEmpty():
         links = links.unionByName(more)
         parts = components(links)
-    # What is left: members of one bucket in different components, compared by blocks.
-    grouped = label(members.select("band", "number", "class_id", "n"), parts)
-    split = grouped.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low != high")
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    block = F.pmod(F.xxhash64("class_id"), blocks).cast("int")
-    replicated = (
-        grouped.join(split.select("band"), "band")
-        .select("band", "number", "class_id", "component", block.alias("block"), F.explode(F.sequence(F.lit(0), blocks - 1)).alias("other"))
-        .select("band", "number", "class_id", "component", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-        .join(bodies, "class_id")
-    )
-    last = shared(replicated.groupBy("band", "i", "j").applyInPandas(compare_block, "a long, b long"), "near-links")
-    if not last.isEmpty():
-        parts = components(links.unionByName(last))
+    # What is left: members of one bucket in different components.  Every such pair has a
+    # member outside the bucket's largest component, so only those meet all others; blocks
+    # hold signatures, and texts come to the pairs that stay in the race.
+    def crossing(parts: DataFrame, best: bool) -> DataFrame:
+        grouped = label(members.select("band", "number", "class_id"), parts)
+        counted = grouped.groupBy("band", "component").agg(F.count(F.lit(1)).alias("n"))
+        split = counted.groupBy("band").agg(
+            F.sum("n").alias("n"), F.max("n").alias("top"), F.max_by("component", F.struct("n", "component")).alias("main")
+        ).where("n > top")
+        blocks, minor_blocks = F.ceil(F.col("n") / BLOCK).cast("int"), F.ceil((F.col("n") - F.col("top")) / BLOCK).cast("int")
+        held = grouped.join(split, "band").join(bodies.select("class_id", "signature"), "class_id")
+        own = F.xxhash64("class_id")
+        carried = ["band", "number", "class_id", "component", "main", "signature"]
+        left = held.select(*carried, F.lit(False).alias("minor"), F.pmod(own, blocks).cast("int").alias("i"),
+                           F.explode(F.sequence(F.lit(0), minor_blocks - 1)).alias("j"))
+        right = held.where("component != main").select(
+            *carried, F.lit(True).alias("minor"), F.pmod(own, minor_blocks).cast("int").alias("j"),
+            F.explode(F.sequence(F.lit(0), blocks - 1)).alias("i"),
+        )
+        pairs = left.unionByName(right).groupBy("band", "i", "j").applyInPandas(lambda f: compare_block(f, best), "a long, b long")
+        return shared(pairs, "near-crossing")
+
+    # First the likeliest pair of every two components; the rest only where one failed.
+    for best in (True, False):
+        pairs = crossing(parts, best)
+        met_pairs = pairs.count()
+        confirmed = linked(pairs)
+        joined = confirmed.count()
+        if joined:
+            links = links.unionByName(confirmed)
+            parts = components(links)
+        if joined == met_pairs:
+            break
 
     named = label(classes.select("print", "class_id", "first"), parts)
     heads = named.groupBy("component").agg(F.min("first").alias("head"))

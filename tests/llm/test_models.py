@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from attestry.llm import language, minhash, quality
@@ -155,8 +156,10 @@ def brute_components(texts):
     return part
 
 
-def test_near_duplicates_of_a_loose_group(table):
+@pytest.mark.parametrize("block", [minhash.BLOCK, 7])
+def test_near_duplicates_of_a_loose_group(table, monkeypatch, block):
     """A group whose members are partly linked, partly just below the threshold."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
     rng = np.random.default_rng(1)
     base = [f"w{i}" for i in range(80)]
     texts = {}
@@ -172,18 +175,47 @@ def test_near_duplicates_of_a_loose_group(table):
     assert got[200].n_shingles == 0 and got[205].n_shingles == 1 and got[203].component_id == 202
 
 
-def test_rounds_do_not_depend_on_block_size(table, monkeypatch):
-    frame = {"class_id": [1, 2, 3], "component": [1, 2, 3], "block": [0, 0, 0]}
+def test_blocks_compare_signatures_of_other_components():
     import pandas as pd
 
     text = " ".join(f"w{i}" for i in range(60))
-    texts = [text, text + " tail", "other words entirely " * 20]
+    texts = [text, text + " tail", "other words entirely " * 20, text + " tail end"]
     signatures = [minhash.signature(minhash.shingles(t.encode())) for t in texts]
-    matrix = np.frombuffer(b"".join(signatures), "<u4").reshape(3, minhash.BANDS, minhash.BAND_ROWS)
-    first = int((matrix[0] == matrix[1]).all(axis=1).argmax())
-    made = pd.DataFrame(frame).assign(text=texts, signature=signatures, i=0, j=0)
-    assert minhash.compare_block(made.assign(number=first)).values.tolist() == [[1, 2]]
-    assert minhash.compare_block(made.assign(number=(first + 1) % minhash.BANDS)).empty
+    matrix = np.frombuffer(b"".join(signatures), "<u4").reshape(4, minhash.BANDS, minhash.BAND_ROWS)
+    rows = pd.DataFrame({"class_id": [1, 2, 3, 4], "component": [1, 2, 3, 2], "signature": signatures, "main": 1, "i": 0, "j": 0})
+    every, best = set(), {}
+    for number in range(minhash.BANDS):
+        made = pd.concat([rows.assign(minor=False), rows[rows.component != 1].assign(minor=True)]).assign(number=number)
+        pairs = [tuple(p) for p in minhash.compare_block(made, False).values.tolist()]
+        first = {
+            (a, b) for a, b in ((1, 2), (1, 4)) if int((matrix[a - 1] == matrix[b - 1]).all(axis=1).argmax()) == number
+        }
+        assert set(pairs) == first and len(pairs) == len(first)  # 2 and 4 are of one component, 3 is like none
+        every |= first
+        chosen = [tuple(p) for p in minhash.compare_block(made, True).values.tolist()]
+        assert len(chosen) == bool(first) and set(chosen) <= first
+    assert every == {(1, 2), (1, 4)}
+
+
+def test_a_bucket_of_very_many_components():
+    """Twenty thousand members in blocks: signatures alone, each block bounded."""
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+    members = 20_000
+    matrix = rng.integers(0, 2**32, (members, minhash.HASHES), dtype=np.uint32)
+    matrix[:, : minhash.BAND_ROWS] = 7  # all meet in the first band
+    matrix[11], matrix[15_000] = matrix[10], matrix[19_999]
+    blocks = -(-members // minhash.BLOCK)
+    rows = pd.DataFrame({"class_id": np.arange(members), "component": np.arange(members), "number": 0, "main": 0})
+    rows["signature"] = [m.tobytes() for m in matrix]
+    place = np.arange(members) % blocks
+    found = set()
+    for i, j in ((10 % blocks, 11 % blocks), (11 % blocks, 10 % blocks), (15_000 % blocks, 19_999 % blocks), (19_999 % blocks, 15_000 % blocks)):
+        frame = pd.concat([rows[place == i].assign(minor=False), rows[(place == j) & (rows.component != 0)].assign(minor=True)])
+        assert len(frame) <= 2 * (minhash.BLOCK + 1)
+        found |= {tuple(p) for p in minhash.compare_block(frame, True).values.tolist()}
+    assert found == {(10, 11), (15_000, 19_999)}
 
 
 def test_pruning_bounds_keep_similar_pairs():
