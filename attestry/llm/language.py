@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark import SparkFiles
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, DoubleType, LongType, StringType, StructField, StructType
 
@@ -30,8 +30,9 @@ START, SPACE = 1, 32
 ALPHABET = 1 << 16
 UNKNOWN = "und"  # fixed value of the contract
 
-CALIBRATION_ROWS = 20_000  # labelled texts the rejection limits are fitted on, about
+REACHED = 0.99  # share of the labelled texts of a length that lie below its limit
 MARGIN = 0.3
+BINS = 4_096  # of one unit of entropy, only to find a rank
 SURE_CHARS = 30  # characters after which more text adds no confidence
 GROUP_CHARS = 1 << 20  # characters folded at a time
 WINDOW = 1 << 20
@@ -302,36 +303,59 @@ class Model:
         size = np.bincount(owner, minlength=len(texts))
         return sums / np.maximum(size, 1)[:, None], size, np.bincount(owner, weights=letter, minlength=len(texts))
 
-    def calibrate(self, size: np.ndarray, entropy: np.ndarray) -> None:
-        """A limit per power of two of the length, from labelled texts of that length.
+    def calibrate(self, steps: np.ndarray, reached: np.ndarray) -> None:
+        """A limit per power of two of the length, from ``high_entropies``.
 
-        It lies above their 99th percentile by ``MARGIN`` of the way to the entropy of
-        a model that knows nothing, so texts like the labelled ones stay.  Lengths
+        It lies above what the labelled texts reach by ``MARGIN`` of the way to the entropy
+        of a model that knows nothing, so texts like the labelled ones stay.  Lengths
         without texts take the limit of the nearest length that has some.
         """
-        step = np.log2(np.maximum(size, 1)).astype(int)
         limits = np.full(64, np.nan)
-        for b in np.unique(step[size > 0]):
-            high = np.quantile(entropy[(step == b) & (size > 0)], 0.99)
-            limits[b] = high + MARGIN * (np.log(ALPHABET) - high)
+        limits[steps] = reached + MARGIN * (np.log(ALPHABET) - reached)
         known = np.flatnonzero(~np.isnan(limits))
         if len(known):
             limits = limits[known[np.abs(np.arange(64)[:, None] - known[None, :]).argmin(axis=1)]]
             self.limits = np.maximum.accumulate(limits[::-1])[::-1]  # shorter texts vary more
 
 
+def high_entropies(counted: DataFrame) -> DataFrame:
+    """The exact quantile ``REACHED`` of the entropies of each ``step``, between two ranks in proportion.
+
+    ``counted`` has one row per step and entropy with its number of texts, ``n``.  Counts
+    per bin tell in which bins the two ranks fall, and only those bins are ordered.
+    """
+    binned = counted.withColumn("bin", F.floor(F.col("entropy") * BINS))
+    every = Window.partitionBy("step")
+    so_far = every.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = (
+        binned.groupBy("step", "bin").agg(F.sum("n").alias("held"))
+        .withColumns({"rank": (F.sum("held").over(every) - 1) * F.lit(REACHED), "before": F.sum("held").over(so_far) - F.col("held")})
+    )
+    low, high = F.floor("rank"), F.ceil("rank")
+    ends = placed.where((F.col("before") <= high) & (F.col("before") + F.col("held") > low)).select("step", "bin", "before", "rank")
+    within = Window.partitionBy("step", "bin").orderBy("entropy").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ordered = binned.join(ends, ["step", "bin"]).withColumn("upto", F.col("before") + F.sum("n").over(within))
+
+    def at(place: Column) -> Column:
+        return F.min(F.when(F.col("upto") > place, F.col("entropy")))
+
+    return ordered.groupBy("step", "rank").agg(at(low).alias("below"), at(high).alias("above")).select(
+        "step", (F.col("below") + (F.col("above") - F.col("below")) * (F.col("rank") - low)).alias("entropy")
+    )
+
+
 def trainable(docs: DataFrame, learn: Column, text: str, lang: str) -> DataFrame:
     return docs.where(learn & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).cast("string").alias("lang"), F.col(text).cast("string").alias("text")
     )
 
 
-def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
-        calibration_rows: int = CALIBRATION_ROWS) -> Model | None:
+def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang") -> Model | None:
     """Count grams over every row that ``learn`` selects; None where there is none.
 
     One task fits one language from its distinct 4-grams, 16 bytes each, and every gram
-    stays in the model.  Executors fetch the arrays, 12 bytes an entry, as files.
+    stays in the model.  Executors fetch the arrays, 12 bytes an entry, as files.  The same
+    rows, all of them, then give the rejection limits.
     """
     rows = trainable(docs, learn, text, lang)
     counts = rows.mapInArrow(count_grams, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
@@ -344,17 +368,18 @@ def fit(docs: DataFrame, learn: Column, text: str = "text", lang: str = "lang",
     for file in files:
         docs.sparkSession.sparkContext.addFile(file)
     model = Model(tuple(sorted(file.rsplit("/", 1)[1] for file in files)))
-    step = max(1, rows.count() // max(1, calibration_rows))
-    some = rows.where(F.pmod(F.xxhash64("text"), F.lit(step)) == 0) if step > 1 else rows
 
     def measure(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, texts in groups(batch.column("text").to_pylist()):
                 entropy, size, _ = model.entropies(texts)
-                yield pa.RecordBatch.from_arrays([pa.array(size), pa.array(entropy.min(axis=1))], ["size", "entropy"])
+                said = size > 0
+                steps = np.log2(np.maximum(size, 1)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(steps[said]), pa.array(entropy.min(axis=1)[said])], ["step", "entropy"])
 
-    seen = some.select("text").mapInArrow(measure, "size long, entropy double").toArrow()
-    model.calibrate(seen.column("size").to_numpy(), seen.column("entropy").to_numpy())
+    counted = rows.select("text").mapInArrow(measure, "step int, entropy double").groupBy("step", "entropy").agg(F.count("*").alias("n"))
+    reached = high_entropies(shared(counted, "language-entropies")).toArrow()  # a row per power of two
+    model.calibrate(reached.column("step").to_numpy(), reached.column("entropy").to_numpy())
     return model
 
 

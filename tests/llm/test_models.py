@@ -43,6 +43,26 @@ def test_language_of_odd_texts(table):
     assert {r.lang_pred for r in language.identify(frame, None).collect()} == {"und"}
 
 
+def test_rejection_limits_come_from_every_labelled_text(spark):
+    """Exact quantiles over 45,000 texts, most of them alike, rare long and odd ones too."""
+    text = F.concat(
+        F.lit("plain words "), F.when(F.col("id") % 41 == 7, F.concat(F.lit("qxzj"), F.col("id") % 97, F.lit("vvk"))).otherwise("again and again"),
+        F.when(F.col("id") % 4_001 == 5, F.repeat(F.lit(" longer than most"), F.lit(9))).otherwise(""),
+    )
+    docs = spark.range(45_000).select(F.col("id").alias("doc_id"), F.concat(text, F.translate(F.col("id").cast("string"), "0123456789", "abcdefghij")).alias("text"), F.lit("en").alias("lang"))
+    model = language.fit(docs, F.lit(True))
+    entropy, size, _ = model.entropies([r.text for r in docs.select("text").collect()])
+    low, step = entropy.min(axis=1), np.log2(size).astype(int)
+    # Shorter texts never have a lower limit than longer ones.
+    wanted, limit = {}, 0.0
+    for b in sorted(set(step), reverse=True):
+        high = np.quantile(low[step == b], 0.99)
+        limit = max(limit, high + language.MARGIN * (np.log(language.ALPHABET) - high))
+        wanted[b] = limit
+    assert len(wanted) > 2
+    assert all(abs(model.limits[b] - value) < 1e-9 for b, value in wanted.items())
+
+
 def test_language_probabilities_sum_to_one():
     packed, _, _ = language.grams(["abab cab", "bca bac abc"])
     keys, n = np.unique(packed, return_counts=True)
