@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry.functions.paths import clean_segments, is_absolute
-from attestry.functions.shell import judge_check
+from attestry.functions.shell import with_judgements
 from attestry.operators.contracts import findings, violations
 from attestry.operators.logs import tail_text
 
@@ -28,9 +28,11 @@ NEGATED = (
 
 def instructs_commit(spec: Column) -> Column:
     """Some mention of the command is not negated right before it."""
-    parts = F.split(F.lower(spec), COMMIT)
+    low = F.lower(spec)
+    parts = F.split(low, COMMIT)
     before = F.slice(parts, F.lit(1), F.size(parts) - 1)
-    return F.exists(before, lambda p: ~tail_text(p, NEGATION_BYTES).rlike(NEGATED))
+    unnegated = F.exists(before, lambda p: ~tail_text(p, NEGATION_BYTES).rlike(NEGATED))
+    return F.when(low.contains(COMMIT), unnegated).otherwise(low.contains(COMMIT))
 
 
 def is_file_pointer(spec: Column) -> Column:
@@ -52,13 +54,13 @@ def spec_rules() -> list[tuple[str, Column]]:
         ("spec-file-pointer", is_file_pointer(spec)),
         ("missing-expect-files", (F.size(files) == 0) & ~F.col("worktrees")),
         ("worktree-deliverable", F.col("worktrees") & relative),
-        ("worktree-commit", F.col("worktrees") & instructs_commit(spec)),
+        ("worktree-commit", F.when(F.col("worktrees"), instructs_commit(spec))),
     ]
 
 
 def lint_tasks(tasks: DataFrame) -> DataFrame:
-    """All task rules in one projection; only the check command visits Python."""
-    judged = tasks.withColumn("_check", judge_check("check_cmd"))
+    """All task rules in one projection, over a command that is brought into its plain form once."""
+    judged = with_judgements(tasks, "check_cmd", "_check")
     rules = [
         ("check-cannot-fail", F.col("_check.cannot_fail")),
         ("check-silent", F.col("_check.silent")),
@@ -131,7 +133,11 @@ def validate(manifests: DataFrame, tasks: DataFrame, base_dir: str = "/") -> Dat
             F.concat(F.lit(base_dir + "/"), "_workdir")
         )
     )
-    placed = tasks.join(homes, "manifest_id").withColumns({"_root": root})
+    # Of the long texts only whether they are blank meets the manifests.
+    told = tasks.select(
+        "manifest_id", "pos", "task_key", blank("spec").alias("_no_spec"), blank("check_cmd").alias("_no_check")
+    )
+    placed = told.join(homes, "manifest_id").withColumns({"_root": root})
     placed = placed.withColumn(
         "_full", clean_segments(F.concat_ws("/", F.array_join("_root", "/"), "task_key"))
     )
@@ -145,7 +151,7 @@ def validate(manifests: DataFrame, tasks: DataFrame, base_dir: str = "/") -> Dat
             ("key-required", blank("task_key")),
             ("key-escapes", keyed & ~inside),
             ("key-reserved", keyed & F.coalesce(reserved, F.lit(False))),
-            ("spec-required", blank("spec")), ("check-required", blank("check_cmd")),
+            ("spec-required", F.col("_no_spec")), ("check-required", F.col("_no_check")),
         ],
     )
     # Every repeat after the first of a key, as the manifest lists them.

@@ -14,8 +14,8 @@ LIST = "case when expect_file is null then [] else [expect_file] end"
 T = f"t as (select *, {LIST} as expect_files from manifest_tasks)"
 
 
-def tasks(v: Inputs):
-    rows = v("manifest_tasks")
+def tasks(v: Inputs, dealt: bool = False):
+    rows = v.dealt("manifest_tasks") if dealt else v("manifest_tasks")
     empty = F.array().cast("array<string>")
     return rows.withColumn(
         "expect_files", F.when(F.col("expect_file").isNull(), empty).otherwise(F.array("expect_file"))
@@ -37,12 +37,12 @@ SPEC_RULES = [
     ("check-cannot-fail", "check_cmd in ('true', 'echo ok && echo done')"), ("check-silent", "check_cmd = 'test -s out.txt'"), *SPEC_RULES,
 ]), TASKS)
 def _(v):
-    return lint.lint_tasks(tasks(v))
+    return lint.lint_tasks(tasks(v, dealt=True))
 
 
 @query("lint_specs", f"with {T} " + rules_sql("t", "manifest_id, pos, task_key", SPEC_RULES), TASKS)
 def _(v):
-    return lint.lint_specs(tasks(v))
+    return lint.lint_specs(tasks(v, dealt=True))
 
 
 HITS = """hits as (select manifest_id, expect_file as path, string_agg(task_key, ', ' order by pos) as listed_by from manifest_tasks
