@@ -43,7 +43,7 @@ NORM_COLUMNS = ", ".join(catalog.SNAPSHOT)
 
 @query("catalog_normalise", f"with {NORMALISED} select {NORM_COLUMNS} from norm", ("catalog_raw",))
 def _(v):
-    return prices(catalog.normalise(v("catalog_raw"))).select(*catalog.SNAPSHOT)
+    return prices(catalog.normalise(v.dealt("catalog_raw"))).select(*catalog.SNAPSHOT)
 
 
 @query("scan_catalog_any_shape", f"""with {NORMALISED}
