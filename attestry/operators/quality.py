@@ -82,13 +82,27 @@ def plain_text(value: Column, kind: DataType) -> Column:
         return F.when(value, "True").when(~value, "False")
     if not isinstance(kind, (DoubleType, FloatType)):
         return value
-    text = value.cast("double").cast("string")
-    if isinstance(kind, FloatType):
-        text = value.cast("string")
+    text = spark_text(value, kind)
+    power, digits = _power(text), _digits(text)
+    return written(value, text, power, digits, F.char_length(digits))
+
+
+def spark_text(value: Column, kind: DataType) -> Column:
+    return (value if isinstance(kind, FloatType) else value.cast("double")).cast("string")
+
+
+def _power(text: Column) -> Column:
+    return F.split_part(text, F.lit("E"), F.lit(2)).try_cast("int")
+
+
+def _digits(text: Column) -> Column:
+    mantissa = F.split_part(text, F.lit("E"), F.lit(1))
+    return F.regexp_replace(F.regexp_replace(mantissa, "[-.]", ""), "0+$", "")
+
+
+def written(value: Column, text: Column, power: Column, digits: Column, count: Column) -> Column:
+    """A number as the checks print it, from the parts of Spark's text."""
     sign = F.when(text.startswith("-"), "-").otherwise("")
-    mantissa, power = F.split_part(text, F.lit("E"), F.lit(1)), F.split_part(text, F.lit("E"), F.lit(2)).try_cast("int")
-    digits = F.regexp_replace(F.regexp_replace(mantissa, "[-.]", ""), "0+$", "")
-    count = F.char_length(digits)
     large = F.concat(
         F.rpad(F.substring(digits, F.lit(1), power + 1), power + 1, F.lit("0")), F.lit("."),
         F.when(count > power + 1, F.substring(digits, power + 2, count)).otherwise("0"),
@@ -98,13 +112,40 @@ def plain_text(value: Column, kind: DataType) -> Column:
         F.substring(digits, 1, 1), F.when(count > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), count))).otherwise(""),
         F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.char_length(F.abs(power).cast("string")), F.lit(2)), F.lit("0")),
     )
-    written = F.when(power.between(0, 15), large).when(power.between(-4, -1), small).otherwise(scientific)
+    plain = F.when(power.between(0, 15), large).when(power.between(-4, -1), small).otherwise(scientific)
     return (
         F.when(F.isnan(value), "nan").when(text.contains("Infinity"), F.concat(sign, F.lit("inf")))
-        .when(power.isNull(), text).otherwise(F.concat(sign, written))
+        .when(power.isNull(), text).otherwise(F.concat(sign, plain))
     )
 
 
+def printed(records: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, Column]]:
+    """Records with the named fields as the checks print them, and where each one is.
+
+    A number's text and its parts are columns on the way: each is made once a row, however
+    many rules read the field.
+    """
+    columns: dict[str, Column] = {}
+    steps: list[dict[str, Column]] = [{}, {}, {}, {}]
+    for i, name in enumerate(dict.fromkeys(names)):
+        kind = records.schema[name].dataType if name in records.columns else None
+        if not isinstance(kind, (BooleanType, DoubleType, FloatType)):
+            columns[name] = _field(records, name)
+            continue
+        value, text, power, digits, count, out = F.col(f"`{name}`"), *(f"_{part}{i}" for part in ("text", "power", "digits", "count", "out"))
+        columns[name] = F.col(out)
+        if isinstance(kind, BooleanType):
+            steps[3][out] = plain_text(value, kind)
+            continue
+        steps[0][text] = spark_text(value, kind)
+        steps[1] |= {power: _power(F.col(text)), digits: _digits(F.col(text))}
+        steps[2][count] = F.char_length(F.col(digits))
+        steps[3][out] = written(value, F.col(text), F.col(power), F.col(digits), F.col(count))
+    for step in steps:
+        records = records.withColumns(step) if step else records
+    return records, columns
+
+
 def is_empty(value: Column) -> Column:
     text = value.cast("string")
     return text.isNull() | ~text.rlike(r"\S")
@@ -134,6 +175,8 @@ def check_records(
     """One row per rule: ``rule``, ``ok`` and the number of offending rows."""
     measures: dict[str, Column] = {"n": F.count("*")}
     results: list[Column] = []
+    given = records.columns
+    records, fields = printed(records, [*required, *[inv.field for inv in invariants if inv.field]])
 
     def measure(column: Column) -> Column:
         name = f"m{len(measures)}"
@@ -149,13 +192,13 @@ def check_records(
     if min_rows:
         result(f"min_rows:{min_rows}", n >= min_rows, F.greatest(F.lit(min_rows) - n, F.lit(0)))
     for name in schema_fields:
-        present = name in records.columns
+        present = name in given
         result(f"schema:{name}", F.lit(present), F.lit(0 if present else 1))
     for name in required:
-        empties = measure(F.count_if(is_empty(_field(records, name))))
+        empties = measure(F.count_if(is_empty(fields[name])))
         result(f"required:{name}", empties == 0, empties)
     for inv in invariants:
-        value = _field(records, inv.field) if inv.field else None
+        value = fields[inv.field] if inv.field else None
         if inv.kind == "count":
             ok = _compare(n, inv.op, F.lit(int(inv.value)))
             result(inv.name, ok, F.when(ok, 0).otherwise(1))

@@ -153,7 +153,7 @@ def _(v):
 def _(v):
     """Booleans and floating numbers compare as the checks print them."""
     key = F.col("o_orderkey").cast("double")
-    records = v.table("orders").select(
+    records = v.dealt_table("orders").select(
         (F.col("o_orderpriority") == "1-URGENT").alias("flag"), (key * 1e7).alias("n"), (key / 1e6).alias("s")
     )
     rules = ["any:flag==True", "flag!=False", "any:n==10000000.0", "n!=20000000.0", "any:s==1e-06", "any:s==1E-06"]
