@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from attestry.functions.paths import ancestors, normal
+from attestry.session import cut_lineage
 
 WILDCARD = "*"
 BINARY_PROBE = 2_048
@@ -87,10 +88,20 @@ def oversized(files: DataFrame, max_bytes: int) -> DataFrame:
 BLANKS = r"\s+"
 
 
+LONG_RUN = 64
+
+
 def _grams(run: Column, size: Column) -> Column:
-    """Distinct n-grams of a run that is at least ``size`` long."""
+    """Distinct n-grams of a run that is at least ``size`` long.
+
+    Cutting at a place counts characters from the run's beginning, so a long run is
+    walked once instead: what lies ahead of each of its characters.
+    """
     places = F.sequence(F.lit(1), F.char_length(run) - size + 1)
-    return F.array_distinct(F.transform(places, lambda at: F.substring(run, at, size)))
+    cut = F.transform(places, lambda at: F.substring(run, at, size))
+    ahead = F.concat(F.lit("(?s)(?=(.{"), size.cast("string"), F.lit("}))."))
+    walked = F.regexp_extract_all(run, ahead, F.lit(1))
+    return F.array_distinct(F.when(F.char_length(run) <= LONG_RUN, cut).otherwise(walked))
 
 
 def texts_held(needles: DataFrame, texts: DataFrame, by: list[str] = ()) -> DataFrame:
@@ -141,7 +152,8 @@ def texts_held(needles: DataFrame, texts: DataFrame, by: list[str] = ()) -> Data
     index = pieces.select(
         *by, "piece", "texts", F.explode(F.flatten(F.transform(fitting, lambda n: _grams(F.col("piece"), n)))).alias("gram")
     )
-    hits = index.join(keys.select(*by, "gram").distinct(), [*by, "gram"], "left_semi")
+    # Both readers below would make all n-grams of all words again.
+    hits = cut_lineage(index.join(keys.select(*by, "gram").distinct(), [*by, "gram"], "left_semi"))
     counts = hits.groupBy(*by, "gram").agg(F.sum("texts").alias("held"))
     # A needle with an n-gram that no text holds occurs nowhere.
     held_by = F.coalesce("held", F.lit(0))
@@ -156,8 +168,7 @@ def texts_held(needles: DataFrame, texts: DataFrame, by: list[str] = ()) -> Data
         F.when(F.col("single"), F.contains("piece", "run")).when(first, F.endswith("piece", "run"))
         .when(last, F.startswith("piece", "run")).otherwise(F.col("piece") == F.col("run"))
     )
-    # Counts stay in the plan, so that the exchange of words is made once and used twice.
-    near = rarest.where(F.col("needle") != F.col("gram")).join(hits.where("texts > 0"), [*by, "gram"]).where(fits)
+    near = rarest.where(F.col("needle") != F.col("gram")).join(hits, [*by, "gram"]).where(fits)
     inside = near.where("single").select(*by, "needle")
     keyed = held.withColumn("text_key", F.xxhash64("content"))
     across = (
