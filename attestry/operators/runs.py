@@ -12,12 +12,13 @@ RECENT_RUNS = 12
 
 def parse_run_states(documents: DataFrame, schema: str, body: str = "body") -> DataFrame:
     """Rows from one-document JSON texts; malformed ones and those without run_id drop out."""
-    parsed = F.from_json(body, schema, {"mode": "PERMISSIVE"})
+    parsed = F.when(F.try_parse_json(body).isNotNull(), F.from_json(body, schema, {"mode": "PERMISSIVE"}))
+    others = [c for c in documents.columns if c != body]
+    # Behind the explode no filter is pushed before the parsing, which would parse again.
     return (
-        documents.where(F.try_parse_json(body).isNotNull())
-        .withColumn("_s", parsed)
+        documents.select(*others, F.explode_outer(F.array(parsed)).alias("_s"))
         .where(F.coalesce(F.col("_s.run_id"), F.lit("")) != "")
-        .select(*[c for c in documents.columns if c != body], "_s.*")
+        .select(*others, "_s.*")
     )
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from attestry import session
 from attestry.functions import clock, display, status
 from attestry.operators import library, ranks, runs
 from attestry.registry.base import Inputs, query
@@ -71,10 +72,12 @@ def filed(v: Inputs, docs, name: str) -> str:
  where r.done or r.identity <> '5-LOW'""", ("runs", "run_tasks"))
 def _(v):
     states = documents.read_run_states(v.spark, filed(v, state_documents(v), "run-states"), one_per_line=True)
-    return states.orderBy(F.desc("updated_at"), "run_id").select(
-        "run_id", "run_name", "done",
+    # A sort reads its input twice, the first time for its ranges: what it sorts is parsed before.
+    sized = session.cut_lineage(states.select(
+        "run_id", "run_name", "done", "updated_at",
         F.greatest(F.size(F.coalesce("tasks", F.array())), F.lit(0)).cast("bigint").alias("tasks"),
-    )
+    ))
+    return sized.orderBy(F.desc("updated_at"), "run_id").drop("updated_at")
 
 
 ACTIVE_BODY = """case when o_orderstatus = 'P' then '{oops' else concat('{"run-', cast(o_orderkey as string), '":{"pid":', cast(o_custkey as string),

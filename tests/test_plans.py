@@ -1,9 +1,12 @@
 """Plan shapes and skew: what has to hold when the data is a thousand times larger."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
-from attestry.operators import library, links, scoreboard
+from attestry.functions import measures
+from attestry.operators import library, lint, links, quality, scoreboard
 from attestry.registry import QUERIES
 from attestry.registry.base import Inputs
 
@@ -89,3 +92,52 @@ def _sevens(i):
         first = -(-low // 7)
         hits += [j for j in range(first, high // 7 + 1) if j < 10_000]
     return hits
+
+
+def plan_of(df) -> str:
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize(
+    "key", ["copy_brand_kit", "copy_listing", "copy_contracts", "copy_brand_board", "doc_sections", "review_findings_strict", "lint_tasks"]
+)
+def test_rules_are_judged_in_a_projection_of_their_own(spark, sf_dir, key):
+    """What explodes is a plain column, and no filter below judges the rules a second time."""
+    plan = plan_of(QUERIES[key](spark, sf_dir))
+    generated = re.findall(r"Generate explode\((.{0,40})", plan)
+    assert generated and all(re.match(r"_\w+#\d+\)", g) for g in generated), generated
+    assert not re.search(r"Filter .*size\(_?found", plan)
+
+
+def test_word_counts_keep_no_words(spark):
+    """Blanks beyond ASCII count, and neither form lists every match."""
+    rows = spark.createDataFrame([(" a\u00a0b\u3000c\x1fd ",), ("",), ("\u2028",), (None,), ("\U0001f600 \u00e9",)], "t string")
+    found = rows.select(measures.spaced_words(F.col("t")).alias("w"), measures.visible_chars(F.col("t")).alias("v"))
+    assert [tuple(r) for r in found.collect()] == [(4, 4), (0, 0), (0, 0), (None, None), (2, 2)]
+    assert "regexp_extract_all" not in plan_of(found)
+
+
+def test_a_table_of_one_row_group_is_dealt_to_all_cores(spark, tmp_path):
+    spark.range(30_000).selectExpr("id as p_partkey", "cast(id % 50 as int) as p_size", "'x' as p_name").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    raw = Inputs(spark, str(tmp_path)).dealt("catalog_raw")
+    sizes = [n for n in raw.rdd.glom().map(len).collect() if n]
+    assert len(sizes) == 8 and max(sizes) < 5_000
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("dealt_")]
+
+
+def test_task_texts_do_not_meet_the_manifests(spark):
+    manifests = spark.createDataFrame([("m", "r", "/w", 1, False, "")], "manifest_id string, run_name string, workdir string, max_parallel int, worktrees boolean, repo string")
+    tasks = spark.createDataFrame([("m", 0, "k", "long text", " "), ("m", 1, "j", None, None)], "manifest_id string, pos int, task_key string, spec string, check_cmd string")
+    found = lint.validate(manifests, tasks)
+    assert sorted((r.pos, r.rule) for r in found.collect()) == [(1, "check-required"), (1, "spec-required")]
+    projected = [line for line in plan_of(found).splitlines() if "Project [" in line]
+    assert not any(re.search(r"[\[ ](spec|check_cmd)#\d+[,\]]", line) for line in projected)
+
+
+def test_printed_numbers_are_made_once_a_row(spark):
+    rules = ["any:x==1.5", "any:x==1e-06", "x!=3.0", "any:x==nan"]
+    rows = spark.createDataFrame([(1.5,), (1e-6,), (float("nan"),), (None,)], "x double")
+    found = quality.check_records(rows, [quality.invariant(r) for r in rules])
+    assert [(r.rule, r.ok) for r in found.collect()] == [(r, True) for r in rules]
+    # The digits are cut from the text by two replacements; each rule trims once.
+    assert plan_of(found).count("regexp_replace") <= 2 + 2 * len(rules)
