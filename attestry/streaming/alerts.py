@@ -22,57 +22,87 @@ from attestry.streaming import runtime
 
 LIBRARY_SECONDS = 5
 KEEP_SECONDS = 30 * 24 * 3600  # of alerted sessions and finished runs
+BUCKETS = 1_024  # of sessions or runs whose state is read and written together
+BEFORE, AFTER = np.iinfo("int64").min, np.iinfo("int64").max
+
+
+def keep_first(known: dict[str, int], path: str | None, seq: int, files: int) -> None:
+    """Keep the ``files`` files seen earliest, each with its first place; blank paths are none."""
+    if path in known:
+        known[path] = min(seq, known[path])
+    elif path and path.strip():
+        if len(known) == files:
+            latest = max(known, key=known.get)
+            if seq >= known[latest]:
+                return
+            del known[latest]
+        known[path] = seq
 
 
 class EditBurst(StatefulProcessor):
     """Fires once per session, at the first edit past both thresholds with nothing live.
 
-    State per session is small: the count, up to the needed number of file names, and
-    whether it fired.  Of a batch a task holds nine bytes per edit of the session, and the
-    earliest new files.
+    A key is a bucket of sessions: calls and reads of state cost far more than the rows of
+    one session, so they are made once a bucket.  State per session is small: the count, up
+    to the needed number of file names, and whether it fired.  Of a batch a task holds
+    thirteen bytes per edit of the bucket, and each session's earliest files.
     """
 
     def __init__(self, edits: int, files: int):
         self.edits, self.files = edits, files
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("burst", "edits bigint, files array<string>, fired boolean")
+        self.state = handle.getValueState(
+            "bursts", "sessions array<string>, edits array<bigint>, files array<array<string>>, fired array<boolean>"
+        )
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        edits, files, fired = self.state.get() if self.state.exists() else (0, [], False)
-        wanted, firsts, parts = self.files - len(files), {}, []
+        names, edits, files, fired = (list(part) for part in self.state.get()) if self.state.exists() else ([], [], [], [])
+        at = {name: n for n, name in enumerate(names)}
+        # Known files come before any of the batch.
+        firsts = [dict.fromkeys(paths, BEFORE) for paths in files]
+        parts = []
         for chunk in rows:
-            parts.append((chunk["seq"].to_numpy("int64"), chunk["live"].to_numpy("bool")))
-            name = chunk["file_path"].fillna("")
-            new = chunk[name.str.strip().ne("") & ~name.isin(files)].groupby("file_path")["seq"].min()
-            for path, seq in new.items():
-                firsts[path] = min(int(seq), firsts.get(path, int(seq)))
-            # Later files cannot be among the first ones wanted.
-            firsts = dict(sorted(firsts.items(), key=lambda f: f[1])[: max(wanted, 0)])
-        if not fired:
-            seqs, live = (np.concatenate(p) for p in zip(*parts))
-            order = np.argsort(seqs, kind="stable")
-            seqs, live = seqs[order], live[order]
-            place = np.arange(1, len(seqs) + 1) + edits
-            ready = (place >= self.edits) & ~live
-            if wanted > 0:
-                ready &= (seqs >= max(firsts.values())) if len(firsts) == wanted else False
-            hits = np.flatnonzero(ready)
-            if len(hits):
-                fired = True
-                at = hits[0]
-                yield pd.DataFrame({"session_id": [key[0]], "seq": [int(seqs[at])], "edits": [int(place[at])]})
-            edits, files = edits + len(seqs), sorted([*files, *firsts])
-        self.state.update((edits, files, fired))
+            session = [at.setdefault(name, len(at)) for name in chunk["session_id"]]
+            firsts += [{} for _ in range(len(at) - len(firsts))]
+            seq = chunk["seq"].to_numpy("int64")
+            parts.append((np.array(session, "int32"), seq, chunk["live"].to_numpy("bool")))
+            for n, path, place in zip(session, chunk["file_path"], seq.tolist()):
+                keep_first(firsts[n], path, place, self.files)
+        new = len(at) - len(names)
+        before, quiet = np.array(edits + [0] * new, "int64"), ~np.array(fired + [False] * new, "bool")
+
+        session, seqs, live = (np.concatenate(part) for part in zip(*parts))
+        order = np.lexsort((seqs, session))
+        session, seqs, live = session[order], seqs[order], live[order]
+        counts = np.bincount(session, minlength=len(at))
+        place = np.arange(1, len(session) + 1) - (np.cumsum(counts) - counts)[session] + before[session]
+        start = np.array([max(known.values()) if len(known) == self.files else AFTER for known in firsts], "int64")
+        ready = quiet[session] & (place >= self.edits) & ~live & (start[session] < AFTER) & (seqs >= start[session])
+        hits = np.flatnonzero(ready)
+        if len(hits):
+            alerted, first = np.unique(session[hits], return_index=True)
+            quiet[alerted] = False
+            found, first = list(at), hits[first]
+            yield pd.DataFrame(
+                {"session_id": pd.Series([found[n] for n in alerted], dtype="object"), "seq": seqs[first], "edits": place[first]}
+            )
+        # A session that has fired is not asked for its files again.
+        kept = [sorted(known) if waits else [] for known, waits in zip(firsts, quiet)]
+        self.state.update((list(at), (before + counts).tolist(), kept, (~quiet).tolist()))
 
     def close(self) -> None:
         pass
 
 
-def edit_bursts(edits: DataFrame) -> DataFrame:
-    """Streaming frame of burst alerts from (session_id, seq, file_path, live) edits."""
+def edit_bursts(edits: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """Streaming frame of burst alerts from (session_id, seq, file_path, live) edits.
+
+    ``buckets`` must not change while a checkpoint is in use.
+    """
     runtime.use_rocksdb(edits.sparkSession)
-    return edits.select("session_id", "seq", "file_path", "live").groupBy("session_id").transformWithStateInPandas(
+    bucket = F.pmod(F.xxhash64("session_id"), F.lit(buckets)).cast("int").alias("bucket")
+    return edits.select(bucket, "session_id", "seq", "file_path", "live").groupBy("bucket").transformWithStateInPandas(
         EditBurst(BURST_EDITS, BURST_FILES), "session_id string, seq bigint, edits bigint",
         "Append", "None",
     )

@@ -1,5 +1,7 @@
 """Streams replayed in small batches equal their batch twins, also out of order."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -106,6 +108,30 @@ def test_suppressed_burst_does_not_use_up_the_once(spark, tmp_path):
     assert [(r.session_id, r.seq) for r in sessions.burst_alerts(df).collect()] == got
 
 
+def test_bursts_of_a_bucket_are_told_apart(spark, tmp_path):
+    """State is kept by bucket, and each session fires where a plain walk over its edits says."""
+    paths = ["a", "b", "c", "d", " ", "\u00a0", "", None]
+    draw = random.Random(5)
+    sessions_of = [None, *(f"s{n}" for n in range(40))]
+    rows = [(i, draw.choice(sessions_of), draw.choice(paths), draw.choice([True, True, False, None])) for i in range(1_200)]
+    late = [(i % 2 * 1_200 + (i if i % 2 else -i), "late", f"f{i % 5}", i % 4 == 0) for i in range(40)]
+    frames = [[r for r in rows if r[0] < 300], [r for r in rows if 300 <= r[0] < 500] + late[:20], [r for r in rows if r[0] >= 500] + late[20:]]
+    wanted, edits, files = {}, {}, {}
+    for frame in frames:
+        for seq, session, path, live in sorted(frame, key=lambda r: r[0]):
+            edits[session] = edits.get(session, 0) + 1
+            files.setdefault(session, set()).update({path} if path and path.strip() else set())
+            if edits[session] >= 8 and len(files[session]) >= 3 and not live:
+                wanted.setdefault(session, (seq, edits[session]))
+    df = [spark.createDataFrame(f, "seq bigint, session_id string, file_path string, live boolean") for f in frames]
+    stream = files_stream(spark, df, str(tmp_path / "in"))
+    query = alerts.stream_rows(alerts.edit_bursts(stream, buckets=4), str(tmp_path / "out"), "burst", checkpoint=str(tmp_path / "cp"))
+    runtime.finish(query)
+    got = [(r.session_id, (r.seq, r.edits)) for r in runtime.read_batches(spark, str(tmp_path / "out")).collect()]
+    assert len(got) == len(wanted) > 20 and dict(got) == wanted
+    assert max(p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators) <= 4
+
+
 def test_replayed_batch_overwrites(spark, tmp_path):
     root = str(tmp_path)
     for _ in range(2):
