@@ -103,7 +103,9 @@ LIBRARY_BODY = """case when o_orderpriority = '5-LOW' then '[garbage' else conca
  from orders, (select cast(unnest([0, 1]) as int) as p) where o_orderpriority <> '5-LOW'""")
 def _(v):
     docs = v.table("orders").select(F.expr(LIBRARY_BODY).alias("body"))
-    entries = documents.read_library(v.spark, filed(v, docs, "library"), one_per_line=True)
+    found = documents.read_library(v.spark, filed(v, docs, "library"), one_per_line=True)
+    # Entries meet their versions by name: what both sides read is parsed before, once.
+    entries = session.cut_lineage(found.select("run_name", "state", "current_run_id", "versions"))
     versions = library.library_versions(entries)
     return entries.select("run_name", "state", "current_run_id").join(versions, "run_name").select(
         "run_name", "state", "current_run_id", "pos", "run_id", "outcome", "tasks_pass", "tasks_fail"

@@ -141,3 +141,19 @@ def test_printed_numbers_are_made_once_a_row(spark):
     assert [(r.rule, r.ok) for r in found.collect()] == [(r, True) for r in rules]
     # The digits are cut from the text by two replacements; each rule trims once.
     assert plan_of(found).count("regexp_replace") <= 2 + 2 * len(rules)
+
+
+def test_libraries_are_parsed_once_for_both_sides_of_the_join(spark, sf_dir):
+    plan = plan_of(QUERIES["scan_library"](spark, sf_dir))
+    assert plan.count("Join Inner") == 1 and "from_json" not in plan and "parseJson" not in plan
+
+
+def test_a_name_in_two_libraries_keeps_all_versions(spark, tmp_path):
+    """Each entry of a name meets the versions of all entries of that name."""
+    rows = [(7, 1, "F", "1-URGENT"), (7, 2, "O", "1-URGENT"), (None, 3, "O", "1-URGENT"), (8, 4, "O", "5-LOW")]
+    orders = spark.createDataFrame(rows, "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_orderpriority string")
+    orders.write.parquet(f"{tmp_path}/orders.parquet")
+    found = QUERIES["scan_library"](spark, str(tmp_path)).select("run_name", "current_run_id", "pos", "tasks_fail").collect()
+    assert sorted((r.current_run_id, r.pos, r.tasks_fail or 0) for r in found) == sorted(
+        (f"r{c}", p, n) for c in (1, 2) for p, n in ((0, 0), (0, 0), (1, 1), (1, 2))
+    ) and {r.run_name for r in found} == {"job-7"}
