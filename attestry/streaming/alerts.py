@@ -1,8 +1,8 @@
 """Once-only alerts and liveness from keyed state.
 
-A key's rows of one batch are folded chunk by chunk into numbers; texts are never
-gathered.  Alerted sessions and finished runs are forgotten after a stated time; a
-session's edit count and a run's last outcome stay, a few values each.
+A key's rows of one batch are folded chunk by chunk into numbers; beyond the names kept as
+state, texts are never gathered.  Alerted sessions and finished runs are forgotten after a
+stated time; a session's edit count and a run's last outcome stay, a few values each.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
@@ -26,6 +26,11 @@ BUCKETS = 1_024  # of sessions or runs whose state is read and written together
 BEFORE, AFTER = np.iinfo("int64").min, np.iinfo("int64").max
 
 
+def bucket(name: str, buckets: int) -> Column:
+    """A row's bucket by name; their number must not change while a checkpoint is in use."""
+    return F.pmod(F.xxhash64(name), F.lit(buckets)).cast("int").alias("bucket")
+
+
 def keep_first(known: dict[str, int], path: str | None, seq: int, files: int) -> None:
     """Keep the ``files`` files seen earliest, each with its first place; blank paths are none."""
     if path in known:
@@ -96,13 +101,10 @@ class EditBurst(StatefulProcessor):
 
 
 def edit_bursts(edits: DataFrame, buckets: int = BUCKETS) -> DataFrame:
-    """Streaming frame of burst alerts from (session_id, seq, file_path, live) edits.
-
-    ``buckets`` must not change while a checkpoint is in use.
-    """
+    """Streaming frame of burst alerts from (session_id, seq, file_path, live) edits."""
     runtime.use_rocksdb(edits.sparkSession)
-    bucket = F.pmod(F.xxhash64("session_id"), F.lit(buckets)).cast("int").alias("bucket")
-    return edits.select(bucket, "session_id", "seq", "file_path", "live").groupBy("bucket").transformWithStateInPandas(
+    rows = edits.select(bucket("session_id", buckets), "session_id", "seq", "file_path", "live")
+    return rows.groupBy("bucket").transformWithStateInPandas(
         EditBurst(BURST_EDITS, BURST_FILES), "session_id string, seq bigint, edits bigint",
         "Append", "None",
     )
@@ -125,41 +127,48 @@ def command_alerts(commands: DataFrame, tool: str, keep_seconds: int = KEEP_SECO
 class OutcomeThrottle(StatefulProcessor):
     """Lets an outcome through when it changes or the last one is old enough.
 
-    Of a batch a task holds the times, numbers and outcome codes of the run's rows.
+    A key is a bucket of runs, as for sessions.  Of a batch a task holds the times, numbers
+    and outcome codes of the bucket's rows.
     """
 
     def __init__(self, seconds: int):
         self.seconds = seconds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("last", "outcome string, at double")
+        self.state = handle.getValueState("lasts", "runs array<string>, outcomes array<string>, times array<double>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last, at = self.state.get() if self.state.exists() else (None, 0.0)
+        names, last, at = (list(part) for part in self.state.get()) if self.state.exists() else ([], [], [])
+        places = {name: n for n, name in enumerate(names)}
         codes: dict[str, int] = {}
         parts = []
         for chunk in rows:
-            code = chunk["outcome"].map(lambda outcome: codes.setdefault(outcome, len(codes)))
-            parts.append((chunk["at"].to_numpy("float64"), chunk["seq"].to_numpy("int64"), code.to_numpy("int32")))
-        times, seqs, outcomes = (np.concatenate(p) for p in zip(*parts))
-        names = list(codes)
+            run = np.array([places.setdefault(name, len(places)) for name in chunk["run_id"]], "int32")
+            code = np.array([codes.setdefault(outcome, len(codes)) for outcome in chunk["outcome"]], "int32")
+            parts.append((run, chunk["at"].to_numpy("float64"), chunk["seq"].to_numpy("int64"), code))
+        new = len(places) - len(names)
+        names, last, at = list(places), last + [None] * new, at + [0.0] * new
+        runs, times, seqs, outcomes = (np.concatenate(p) for p in zip(*parts))
+        shown = list(codes)
         kept = []
-        for n in np.lexsort((seqs, times)):
-            outcome, time = names[outcomes[n]], float(times[n])
-            if outcome != last or time - at >= self.seconds:
-                last, at = outcome, time
-                kept.append((key[0], int(seqs[n]), outcome))
-        self.state.update((last, at))
-        yield pd.DataFrame(kept, columns=["run_id", "seq", "outcome"])
+        for n in np.lexsort((seqs, times, runs)):
+            run, outcome, time = runs[n], shown[outcomes[n]], float(times[n])
+            if outcome != last[run] or time - at[run] >= self.seconds:
+                last[run], at[run] = outcome, time
+                kept.append((names[run], int(seqs[n]), outcome))
+        self.state.update((names, last, at))
+        if kept:
+            yield pd.DataFrame(kept, columns=["run_id", "seq", "outcome"])
 
     def close(self) -> None:
         pass
 
 
-def library_updates(snapshots: DataFrame, seconds: int = LIBRARY_SECONDS) -> DataFrame:
+def library_updates(snapshots: DataFrame, seconds: int = LIBRARY_SECONDS, buckets: int = BUCKETS) -> DataFrame:
     """Streaming frame of library writes from (run_id, seq, at seconds, outcome)."""
     runtime.use_rocksdb(snapshots.sparkSession)
-    return snapshots.select("run_id", "seq", "at", "outcome").groupBy("run_id").transformWithStateInPandas(
+    rows = snapshots.select(bucket("run_id", buckets), "run_id", "seq", "at", "outcome")
+    return rows.groupBy("bucket").transformWithStateInPandas(
         OutcomeThrottle(seconds), "run_id string, seq bigint, outcome string", "Append", "None"
     )
 

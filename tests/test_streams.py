@@ -132,6 +132,30 @@ def test_bursts_of_a_bucket_are_told_apart(spark, tmp_path):
     assert max(p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators) <= 4
 
 
+def test_outcomes_of_a_bucket_are_throttled_run_by_run(spark, tmp_path):
+    draw = random.Random(6)
+    rows = [
+        (draw.choice([None, *(f"r{n}" for n in range(30))]), i, float(i // 4 * 3), draw.choice(["live", "live", "pass", None]))
+        for i in range(900)
+    ]
+    frames = [rows[:200], rows[500:], rows[200:500]]
+    wanted, last = [], {}
+    for frame in frames:
+        for run, seq, at, outcome in sorted(frame, key=lambda r: (r[2], r[1])):
+            shown, then = last.get(run, (None, 0.0))
+            if outcome != shown or at - then >= 60:
+                last[run] = outcome, at
+                wanted.append((run, seq, outcome))
+    df = [spark.createDataFrame(f, "run_id string, seq bigint, at double, outcome string") for f in frames]
+    stream = files_stream(spark, df, str(tmp_path / "in"))
+    rows = alerts.library_updates(stream, seconds=60, buckets=4)
+    query = alerts.stream_rows(rows, str(tmp_path / "out"), "library", checkpoint=str(tmp_path / "cp"))
+    runtime.finish(query)
+    got = [(r.run_id, r.seq, r.outcome) for r in runtime.read_batches(spark, str(tmp_path / "out")).collect()]
+    assert sorted(got, key=repr) == sorted(wanted, key=repr)
+    assert max(p.stateOperators[0].numRowsTotal for p in query.recentProgress if p.stateOperators) <= 4
+
+
 def test_replayed_batch_overwrites(spark, tmp_path):
     root = str(tmp_path)
     for _ in range(2):
