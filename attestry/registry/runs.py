@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from attestry import session
@@ -13,6 +14,9 @@ from attestry.sources import documents, storage
 
 RUNS = ("runs", "run_tasks", "active_runs")
 SUBJECT = "The crew"
+ROWS_A_SLICE = 5_000_000
+SLICES = 8  # each reads the tables anew
+DOCS_A_FILE = 100_000
 
 KIND = """case when status = 'passed' then 'pass' when status = 'running' then case when attempt > 1 then 'retry' else 'working' end
  when status in ('failed', 'timeout') then 'fail' else 'waiting' end"""
@@ -29,29 +33,34 @@ rc as (select r.*, coalesce(total, 0) as total, coalesce(passed, 0) as passed, c
 DURATION = "case when {s} < 60 then concat(cast({s} as bigint), 's') else concat(cast({s} // 60 as bigint), 'm ', lpad(cast({s} % 60 as varchar), 2, '0'), 's') end"
 
 
-def nested_states(v: Inputs):
-    """Run states as nested rows, the way their documents hold them."""
+def nested_states(v: Inputs, at: int = 0, slices: int = 1):
+    """Run states as nested rows, the way their documents hold them; those of one slice of run ids."""
+
+    def sliced(view: str):
+        rows = v(view)
+        return rows if slices == 1 else rows.where(F.pmod(F.xxhash64("run_id"), F.lit(slices)) == at)
+
     task = F.struct(
         "pos", F.col("task_key").alias("key"), "model", "status", "attempt", "tokens", "verified",
         "started_at", "ended_at", "check_tail",
-        F.when(
-            F.col("status") == "passed",
-            F.array(
-                F.struct(
-                    "task_key", F.lit("report.md").alias("name"),
-                    F.concat(F.lit("/out/"), "run_id").alias("path"),
-                    F.col("tokens").alias("bytes"),
-                )
-            ),
-        ).alias("deliverables"),
     )
-    tasks = v("run_tasks").groupBy("run_id").agg(F.array_sort(F.collect_list(task)).alias("tasks"))
-    return v("runs").join(tasks, "run_id", "left")
+
+    def delivered(t: Column) -> Column:
+        report = F.struct(
+            t["key"].alias("task_key"), F.lit("report.md").alias("name"),
+            F.concat(F.lit("/out/"), "run_id").alias("path"), t["tokens"].alias("bytes"),
+        )
+        return t.withField("deliverables", F.when(t["status"] == "passed", F.array(report)))
+
+    # Deliverables follow from their task: made behind the shuffle, they take no place in it.
+    tasks = sliced("run_tasks").groupBy("run_id").agg(F.array_sort(F.collect_list(task)).alias("tasks"))
+    tasks = tasks.withColumn("tasks", F.transform("tasks", delivered))
+    return sliced("runs").join(tasks, "run_id", "left")
 
 
-def state_documents(v: Inputs):
+def state_documents(v: Inputs, at: int = 0, slices: int = 1):
     """One JSON text per run; pending runs of priority 5 are cut off mid-document."""
-    states = nested_states(v)
+    states = nested_states(v, at, slices)
     body = F.to_json(F.struct(*states.columns))
     broken = ~F.col("done") & (F.col("identity") == "5-LOW")
     return states.select(
@@ -67,11 +76,29 @@ def filed(v: Inputs, docs, name: str) -> str:
     return path
 
 
+def filed_states(v: Inputs) -> str:
+    """Run states written to files, one a line, a slice of the runs at a time; returns their folder.
+
+    The shuffles that nest the states are several times the tables, so those of one
+    slice go before the next one runs.  A compressed file is read by one task: none is long.
+    """
+    path = storage.scratch_path(v.spark, "run-states")
+    rows = v.table("orders").count() + v.table("lineitem").count()
+    slices = max(1, min(SLICES, -(-rows // ROWS_A_SLICE)))
+    with session.shuffles_removed(v.spark):
+        for at in range(slices):
+            docs = state_documents(v, at, slices).select("body")
+            docs.write.mode("append").options(
+                compression="gzip", maxRecordsPerFile=DOCS_A_FILE, **{"zlib.compress.level": "BEST_SPEED"}
+            ).text(path)
+    return path
+
+
 @query("scan_run_states", """select r.run_id, r.run_name, r.done, coalesce(n.n, 0) as tasks from runs r
  left join (select run_id, count(*) as n from run_tasks group by run_id) n using (run_id)
  where r.done or r.identity <> '5-LOW'""", ("runs", "run_tasks"))
 def _(v):
-    states = documents.read_run_states(v.spark, filed(v, state_documents(v), "run-states"), one_per_line=True)
+    states = documents.read_run_states(v.spark, filed_states(v), one_per_line=True)
     # A sort reads its input twice, the first time for its ranges: what it sorts is parsed before.
     sized = session.cut_lineage(states.select(
         "run_id", "run_name", "done", "updated_at",

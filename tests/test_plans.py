@@ -1,6 +1,9 @@
 """Plan shapes and skew: what has to hold when the data is a thousand times larger."""
 
+import gzip
 import re
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +11,9 @@ from pyspark.sql import functions as F
 from attestry.functions import measures
 from attestry.operators import library, lint, links, quality, scoreboard
 from attestry.registry import QUERIES
+from attestry.registry import runs as run_queries
 from attestry.registry.base import Inputs
+from attestry.session import ensure_checkpoint_dir, shuffles_removed
 
 STREAMING = {k for k in QUERIES if k.startswith("stream_")}
 WRITING = {
@@ -157,3 +162,71 @@ def test_a_name_in_two_libraries_keeps_all_versions(spark, tmp_path):
     assert sorted((r.current_run_id, r.pos, r.tasks_fail or 0) for r in found) == sorted(
         (f"r{c}", p, n) for c in (1, 2) for p, n in ((0, 0), (0, 0), (1, 1), (1, 2))
     ) and {r.run_name for r in found} == {"job-7"}
+
+
+def run_tables(spark, folder):
+    """2,000 orders, every 50th key null and every 100th twice; two of three have lines, some of these alike."""
+    orders = spark.range(2_000).selectExpr(
+        "if(id % 50 = 7, null, id) as o_orderkey", "id % 90 as o_custkey", "substr('FOP', 1 + cast(id % 3 as int), 1) as o_orderstatus",
+        "timestamp_ntz '2026-01-01 00:00:00' + make_interval(0, 0, 0, cast(id % 700 as int)) as o_orderdate",
+        "if(id % 4 = 0, '5-LOW', '1-URGENT') as o_orderpriority",
+    )
+    orders.union(orders.where("o_orderkey % 100 = 0")).write.parquet(f"{folder}/orders.parquet")
+    spark.range(8_000).selectExpr(
+        "if(id % 50 = 7, null, id % 2000) as l_orderkey", "cast(id div 4000 as int) as l_linenumber", "id % 97 as l_partkey", "id % 31 as l_suppkey",
+        "cast(id % 9 as double) as l_quantity", "if(id % 2 = 0, 'A', 'R') as l_returnflag", "'O' as l_linestatus",
+        "timestamp_ntz '2026-02-01 00:00:00' as l_shipdate",
+    ).where("l_orderkey is null or l_orderkey % 3 > 0").write.parquet(f"{folder}/lineitem.parquet")
+    return folder
+
+
+def shuffle_files(spark) -> set[str]:
+    blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {f for f in map(lambda i: blocks.apply(i).getName(), range(blocks.size())) if f.startswith("shuffle_")}
+
+
+def left_over(spark, before: set[str]) -> set[str]:
+    """Shuffle files that stay; they are removed in the background."""
+    for _ in range(50):
+        if not (left := shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    return left
+
+
+@pytest.mark.parametrize("slices", [1, 5])
+def test_run_states_take_little_disk(spark, tmp_path, monkeypatch, slices):
+    """Documents are compressed, in short files, and the shuffles that nest them go with their slice."""
+    folder = str(run_tables(spark, tmp_path))
+    for name, value in (("ROWS_A_SLICE", 100_000 if slices == 1 else 1), ("SLICES", slices), ("DOCS_A_FILE", 300)):
+        monkeypatch.setattr(run_queries, name, value, raising=False)
+    scratch, conf = Path(ensure_checkpoint_dir(spark).removeprefix("file:")) / "scratch", "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    known, before, was = set(scratch.glob("run-states-*")), shuffle_files(spark), spark.conf.get(conf)
+    found = QUERIES["scan_run_states"](spark, folder)
+    assert not left_over(spark, before) and spark.conf.get(conf) == was
+    (written,) = set(scratch.glob("run-states-*")) - known
+    files = list(written.glob("part-*"))
+    texts = [gzip.decompress(f.read_bytes()) for f in files]
+    assert sum(f.stat().st_size for f in files) < sum(map(len, texts)) / 4
+    assert sum(t.count(b"\n") for t in texts) == 2_020 and max(t.count(b"\n") for t in texts) <= 300
+    got = [(r.run_id, r.done, r.tasks) for r in found.collect()]
+    keys = [i for i in range(2_000) if i % 50 != 7 and not (i % 3 == 2 and i % 4 == 0)]
+    keys += [i for i in range(0, 2_000, 100) if not (i % 3 == 2 and i % 4 == 0)]
+    assert sorted(got) == sorted((f"run-{i}", i % 3 != 2, 2 if i % 3 else 0) for i in keys)
+
+
+def test_slices_of_run_states_make_the_whole(spark, tmp_path):
+    v = Inputs(spark, str(run_tables(spark, tmp_path)))
+    whole = sorted(r.body for r in run_queries.state_documents(v).select("body").collect())
+    parts = [[r.body for r in run_queries.state_documents(v, at, 4).select("body").collect()] for at in range(4)]
+    assert min(map(len, parts)) > 300 and sorted(sum(parts, [])) == whole
+    assert sum('"deliverables":[{"task_key":"task-0","name":"report.md","path":"/out/run-4","bytes":' in t for t in whole) == 1
+
+
+def test_the_setting_for_shuffles_comes_back(spark):
+    conf = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = spark.conf.get(conf)
+    with pytest.raises(ZeroDivisionError), shuffles_removed(spark):
+        assert spark.conf.get(conf) == "true"
+        raise ZeroDivisionError
+    assert spark.conf.get(conf) == was
